@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import decontaminate, line_dedup, mixing
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -66,4 +66,15 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
 
 
-ORACLES = {"op4_entropy_mix": op4(), "op7_prefix_chat": op7(), "op8_line_runs": op8()}
+def op2() -> str:
+    shingled = lambda name, key: f"""(SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5
+    THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {name}))"""
+    return f"""
+WITH asked AS {shingled('benchmark', 'item_id')}, n AS (SELECT item_id, count(*)::BIGINT AS n_shingles FROM asked GROUP BY item_id),
+held AS {shingled('documents', 'doc_id')},
+found AS (SELECT doc_id, item_id, count(*)::BIGINT AS n_found FROM held JOIN asked USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM found JOIN n USING (item_id) WHERE n_found >= {decontaminate.CONTAINED}::DOUBLE * n_shingles"""
+
+
+ORACLES = {"op2_containment": op2(), "op4_entropy_mix": op4(), "op7_prefix_chat": op7(), "op8_line_runs": op8()}
