@@ -50,6 +50,15 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once for a row.
+
+    A lambda that used the expression itself would work it out for each element, and the
+    optimizer can bring that about by inlining a column into a filter.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased; every other character stays."""
     return F.translate(text, UPPER, LOWER)

@@ -33,26 +33,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stage, words
+from .common import let, lower_ascii, stage, words
 
 SHINGLE, CONTAINED, SURE = 5, 0.8, 8
 _BITS = 63
 
 
 def shingles(text: Column) -> Column:
-    """The shingles as text, distinct."""
-    w = words(lower_ascii(text))
-    n = F.size(w)
-    many = F.transform(F.sequence(F.lit(1), n - SHINGLE + 1), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))
-    return F.array_distinct(F.when(n >= SHINGLE, many).when(n > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>")))
+    """The distinct shingles of a text, as text."""
 
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        many = F.transform(F.sequence(F.lit(1), n - SHINGLE + 1), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))
+        return F.array_distinct(F.when(n >= SHINGLE, many).when(n > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>")))
 
-def hashed(w: Column) -> Column:
-    """Sorted non-negative hashes of a word array's shingles; repeats stay."""
-    n = F.size(w)
-    many = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.shiftrightunsigned(F.xxhash64(*(w[i + j] for j in range(SHINGLE))), 1))
-    one = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(w, " ")), 1))
-    return F.array_sort(F.when(n >= SHINGLE, many).when(n > 0, one))
+    return let(words(lower_ascii(text)), of)
+
+
+def hashed(text: Column) -> Column:
+    """The sorted non-negative hashes of a text's shingles; repeats stay; null if there are none."""
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        many = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.shiftrightunsigned(F.xxhash64(*(w[i + j] for j in range(SHINGLE))), 1))
+        one = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(w, " ")), 1))
+        return F.sort_array(F.when(n >= SHINGLE, many).when(n > 0, one))
+
+    return let(words(lower_ascii(text)), of)
 
 
 def partition_of(hashes: Column) -> Column:
@@ -60,22 +67,29 @@ def partition_of(hashes: Column) -> Column:
     return F.ceil(F.log2(F.size(hashes).cast("double"))).cast("int") + 1
 
 
-def minima(hashes: Column, c: Column) -> Column:
+def minima(hashes: Column) -> Column:
     """The minimum of each of 2^c bins: bins are the hashes' high bits, so each is a run of the sorted array."""
-    of = lambda h: F.call_function("shiftright", h, F.lit(_BITS) - c)
-    return F.filter(hashes, lambda h, i: (i == 0) | (of(h) != of(hashes[F.greatest(i - 1, F.lit(0))])))
+
+    def of(hs: Column) -> Column:
+        bin_of = lambda h: F.call_function("shiftright", h, F.lit(_BITS) - partition_of(hs))
+        return F.filter(hs, lambda h, i: (i == 0) | (bin_of(h) != bin_of(hs[F.greatest(i - 1, F.lit(0))])))
+
+    return let(hashes, of)
 
 
 def _from(hashes: Column) -> Column:
     """struct(h, since): a hash is its bin's minimum in the partitions from `since` on."""
-    ahead = lambda h, i: h.bitwiseXOR(hashes[F.greatest(i - 1, F.lit(0))])
-    since = lambda h, i: F.when(i == 0, F.lit(0)).otherwise(_BITS + 1 - F.length(F.bin(ahead(h, i))))
-    return F.transform(hashes, lambda h, i: F.struct(h.alias("h"), since(h, i).alias("since")))
+
+    def of(hs: Column) -> Column:
+        since = lambda h, i: F.when(i == 0, F.lit(0)).otherwise(_BITS + 1 - F.length(F.bin(h.bitwiseXOR(hs[F.greatest(i - 1, F.lit(0))]))))
+        return F.transform(hs, lambda h, i: F.struct(h.alias("h"), since(h, i).alias("since")))
+
+    return let(hashes, of)
 
 
 def index(items: DataFrame, contained: float) -> DataFrame:
     """item, h, since, sure of every item shingle; a staged table."""
-    each = items.select("item", F.array_distinct(hashed(words(lower_ascii(F.col("text"))))).alias("hs"))
+    each = items.select("item", F.array_distinct(hashed(F.col("text"))).alias("hs"))
     each = each.select("item", (F.ceil(F.size("hs") * F.lit(contained)) < SURE).alias("sure"), F.explode(_from(F.col("hs"))).alias("x"))
     return stage(each.select("item", "x.h", "x.since", "sure"), "item_sketches")
 
@@ -84,12 +98,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED) -
     """doc_id, item_id, n_shingles (of the item), n_found, containment of each contained item."""
     items = stage(benchmark.select("item_id", "text").distinct().select("item_id", "text", F.xxhash64("item_id", "text").alias("item")), "items")
     asked = index(items, contained)
-    per = docs.select("doc_id", hashed(words(lower_ascii(F.col("text")))).alias("hs")).where("hs is not null")
-    per = per.withColumn("c", partition_of(F.col("hs")))
-    seen = per.select("doc_id", "c", F.explode(minima(F.col("hs"), F.col("c"))).alias("h"))
+    # outer explodes, as for inner ones the optimizer works out the arrays once more to see if they are empty
+    hs = hashed(F.col("text"))
+    both = lambda x: F.struct(partition_of(x).alias("c"), minima(x).alias("hs"))
+    per = docs.select("doc_id", let(hs, both).alias("x"))
+    seen = per.select("doc_id", F.col("x.c").alias("c"), F.explode_outer("x.hs").alias("h"))
     pairs = seen.join(asked.where("not sure"), "h").where("c >= since").select("doc_id", "item")
     if not asked.where("sure").isEmpty():
-        every = per.select("doc_id", F.explode("hs").alias("h"))
+        every = docs.select("doc_id", F.explode_outer(hs).alias("h"))
         pairs = pairs.unionByName(every.join(asked.where("sure"), "h").select("doc_id", "item"))
     candidates = stage(pairs.distinct(), "candidates")
 
