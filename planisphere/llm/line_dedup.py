@@ -111,7 +111,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     drops = stage(drops, "drops")
 
     whole = docs.select(F.struct(*docs.columns).alias("d"))
-    both = whole.join(drops, F.col("d.doc_id").eqNullSafe(drops["doc_id"]), "left")
+    # one way at every size: by the size of the drops, small inputs would broadcast and large ones shuffle
+    both = whole.join(drops.hint("merge"), F.col("d.doc_id").eqNullSafe(drops["doc_id"]), "left")
     text = F.coalesce(F.col("d.text"), F.lit(""))
     key_hash = lambda line: F.xxhash64(line_key(line))
     stays = F.filter(lines(text), lambda x: ~((F.length(line_key(x)) >= min_chars) & F.array_contains(F.col("drops"), key_hash(x))))
