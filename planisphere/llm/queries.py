@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, mixing, near_dedup, url_trust
+from . import audio, chat, decontaminate, language, line_dedup, mixing, near_dedup, privacy, quality, url_trust
 from .common import table
 from .sql import ORACLES
 
@@ -21,11 +21,20 @@ def op2_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op3_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op5_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,6 +50,15 @@ def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_link_trust, op2_containment, op4_entropy_mix, op6_bbit_minhash, op7_prefix_chat, op8_line_runs)}
+def op9_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", decode=audio.render)
+
+
+_ALL = (op1_link_trust, op2_containment, op3_zstd_quality, op4_entropy_mix, op5_centroid_language, op6_bbit_minhash, op7_prefix_chat, op8_line_runs, op9_disclosure_pii, op10_chroma_prints)
+QUERIES = {f.__name__: f for f in _ALL}
 
 __all__ = ["ORACLES", "QUERIES"]
