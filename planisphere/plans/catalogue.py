@@ -1,4 +1,566 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine and their SQL, side by side."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geo, photometry, vec
+from ..functions.vec import Vec
+from ..operators import footprints, labels, lines, lod, net, raster
+from . import stand_in
+from .stand_in import A, C
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+_E2 = 1 - C * C / (A * A)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql if sql.lstrip().upper().startswith("WITH") else f"WITH {stand_in.SQL} {sql}"
+        return f
+
+    return add
+
+
+def _net(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pts = stand_in.points(spark, d)
+    return pts, stand_in.measures(spark, d, pts)
+
+
+def _r(c, n: int = 3):
+    return F.round(c, n)
+
+
+# networks
+
+
+@query("SELECT count(*) AS n_points, sum(n)::BIGINT AS n_measures, sum(greatest(1, n))::BIGINT AS n_rows FROM (SELECT p.point_idx, count(m.point_idx) AS n FROM pts p LEFT JOIN mes m USING (point_idx) GROUP BY 1)")
+def net_counts(spark: SparkSession, d: str) -> DataFrame:
+    return net.counts(*_net(spark, d))
+
+
+@query("SELECT p.point_idx, id, type, measure_ord, serialnumber, measure_type, sample, CASE WHEN coalesce(measure_ord, 0) = 0 THEN 6 ELSE 0 END AS n_covar FROM pts p LEFT JOIN mes m USING (point_idx)")
+def net_flat_rows(spark: SparkSession, d: str) -> DataFrame:
+    pts, mes = _net(spark, d)
+    flat = net.flatten(pts, mes, {"networkId": "stand-in"})
+    return flat.select("point_idx", "id", "type", "measure_ord", "serialnumber", "measure_type", "sample", F.size("aprioriCovar").alias("n_covar"))
+
+
+@query("SELECT point_idx, measure_ord, serialnumber, sample FROM mes WHERE sample BETWEEN 1000 AND 20000")
+def net_where_sample(spark: SparkSession, d: str) -> DataFrame:
+    pts, mes = _net(spark, d)
+    return net.where_range(pts, mes, "sample", *net.parse_where("sample:1000..20000")[1:])[1].select("point_idx", "measure_ord", "serialnumber", "sample")
+
+
+@query("SELECT point_idx, serialnumber FROM mes WHERE false")
+def net_where_text(spark: SparkSession, d: str) -> DataFrame:
+    pts, mes = _net(spark, d)
+    return net.where_range(pts, mes, "serialnumber", 0, 9)[1].select("point_idx", "serialnumber")
+
+
+@query("SELECT id, sample, line FROM pts JOIN mes USING (point_idx)")
+def net_project_columns(spark: SparkSession, d: str) -> DataFrame:
+    pts, mes = _net(spark, d)
+    return pts.join(mes, "point_idx").select("id", "sample", "line")
+
+
+@query("SELECT point_idx, id, measure_ord, serialnumber FROM pts JOIN mes USING (point_idx) WHERE point_idx >= 100 AND point_idx < 350")
+def net_slice_points(spark: SparkSession, d: str) -> DataFrame:
+    pts, mes = _net(spark, d)
+    return net.slice_points(pts.join(mes, "point_idx"), 100, 250).select("point_idx", "id", "measure_ord", "serialnumber")
+
+
+@query("SELECT row_ord, point_idx, measure_ord FROM (SELECT row_number() OVER (ORDER BY point_idx, measure_ord) - 1 AS row_ord, point_idx, measure_ord FROM mes) WHERE row_ord >= 500 AND row_ord < 1700")
+def net_slice_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = net.ordinal(stand_in.measures(spark, d).select("point_idx", "measure_ord"), "point_idx", "measure_ord", name="row_ord")
+    return net.slice_rows(rows, 500, 1200).select("row_ord", "point_idx", "measure_ord")
+
+
+_OFFSETS = "off AS (SELECT point_idx, n_measures, (sum(n_measures) OVER (ORDER BY point_idx) - n_measures)::BIGINT AS measure_start FROM (SELECT p.point_idx, count(m.point_idx) AS n_measures FROM pts p LEFT JOIN mes m USING (point_idx) GROUP BY 1))"
+
+
+@query(f"WITH {stand_in.SQL}, {_OFFSETS} SELECT * FROM off")
+def net_csr_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return net.offsets(*_net(spark, d))
+
+
+@query(f"WITH {stand_in.SQL}, {_OFFSETS} SELECT * FROM off WHERE measure_start < 1300 AND measure_start + n_measures > 900")
+def net_snap_measures(spark: SparkSession, d: str) -> DataFrame:
+    return net.snap(*_net(spark, d), 900, 400)
+
+
+@query("SELECT run, any_value(rid) AS id, count(*) AS n, min(row_ord) AS first_row FROM (SELECT *, sum(s) OVER (ORDER BY row_ord) - 1 AS run FROM (SELECT row_ord, rid, (rid IS DISTINCT FROM lag(rid) OVER (ORDER BY row_ord) OR row_ord = 0)::BIGINT AS s FROM (SELECT event_id AS row_ord, event_type AS rid FROM events))) GROUP BY run")
+def net_runs(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("row_ord"), F.col("event_type").alias("id"))
+    return net.runs(rows).groupBy("run").agg(F.first("id").alias("id"), F.count("*").alias("n"), F.min("row_ord").alias("first_row"))
+
+
+@query("SELECT serialnumber AS value, row_number() OVER (ORDER BY f, serialnumber) - 1 AS code FROM (SELECT serialnumber, min((point_idx, measure_ord)) AS f FROM mes GROUP BY 1)")
+def net_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    mes = stand_in.measures(spark, d).withColumn("at", F.struct("point_idx", "measure_ord"))
+    return net.dictionary(mes, "serialnumber", "at")
+
+
+@query("SELECT point_idx, md5(string_agg(serialnumber || chr(31), '' ORDER BY serialnumber)) AS track FROM mes GROUP BY 1")
+def track_key(spark: SparkSession, d: str) -> DataFrame:
+    return net.track_keys(stand_in.measures(spark, d)).select("point_idx", F.md5("track_key").alias("track"))
+
+
+@query("SELECT point_idx, row_number() OVER (ORDER BY coalesce(k, ''), point_idx) - 1 AS new_idx FROM pts LEFT JOIN (SELECT point_idx, string_agg(serialnumber || chr(31), '' ORDER BY serialnumber) AS k FROM mes GROUP BY 1) USING (point_idx)")
+def track_reorder(spark: SparkSession, d: str) -> DataFrame:
+    return net.reorder_by_track(*_net(spark, d)).select("point_idx", "new_idx")
+
+
+@query("SELECT count(*) AS n FROM pts WHERE false")
+def net_set_parity(spark: SparkSession, d: str) -> DataFrame:
+    """A network equals what its flat rows give back: no difference on either side."""
+    pts, mes = _net(spark, d)
+    flat = net.ordinal(net.flatten(pts, mes).select("point_idx", "id", "type", "measure_ord", "serialnumber", "measure_type", "sample"), "point_idx", F.coalesce("measure_ord", F.lit(0)), name="row_ord")
+    back, held = net.unflatten(flat.drop("point_idx", "measure_ord"), ["id", "type"], ["serialnumber", "measure_type", "sample"])
+    cols = ["point_idx", "measure_ord", "serialnumber", "measure_type", "sample"]
+    bad = net.differences(pts.select("point_idx", "id", "type"), back).select("side").unionByName(net.differences(mes.select(*cols), held.select(*cols)).select("side"))
+    return bad.agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n_points, max(point_idx) AS last_idx, count(DISTINCT id) AS ids FROM (SELECT * FROM (SELECT point_idx, id FROM pts) UNION ALL SELECT point_idx + (SELECT count(*) FROM pts), id FROM pts)")
+def net_concatenate(spark: SparkSession, d: str) -> DataFrame:
+    pts, mes = _net(spark, d)
+    n = spark.read.parquet(f"{d}/orders.parquet").count()
+    both, _ = net.concatenate([(pts.select("point_idx", "id"), mes), (pts.select("point_idx", "id"), mes)], [n, n])
+    return both.agg(F.count("*").alias("n_points"), F.max("point_idx").alias("last_idx"), F.countDistinct("id").alias("ids"))
+
+
+# levels of detail
+
+_K = 64
+_SEG = f"seg AS (SELECT *, ((point_idx + 1) * least({_K}, n) - 1) // n AS segment FROM pts, (SELECT count(*) AS n FROM pts))"
+
+
+def _summary_sql(x: str, y: str, z: str) -> str:
+    pairs = [(x, x), (x, y), (x, z), (y, y), (y, z), (z, z)]
+    cov = ", ".join(f"round(covar_pop({a}, {b}) / 1e6, 3) AS s{i}" for i, (a, b) in enumerate(pairs))
+    mu = ", ".join(f"round(avg({c}), 3) AS mu_{n}" for n, c in zip("xyz", (x, y, z)))
+    return f"WITH {stand_in.SQL}, {_SEG} SELECT segment, min(point_idx) AS range_start, count(*) AS range_count, count({x}) AS weight, {mu}, {cov} FROM seg GROUP BY segment HAVING count({x}) > 0"
+
+
+def _summary(spark: SparkSession, d: str, xyz: tuple[str, str, str]) -> DataFrame:
+    n = spark.read.parquet(f"{d}/orders.parquet").count()
+    return lod.gaussian(stand_in.points(spark, d), _K, n, xyz)
+
+
+def _rounded(s: DataFrame) -> DataFrame:
+    return s.select("segment", "range_start", "range_count", "weight", *(_r(F.col(f"mu_{a}")).alias(f"mu_{a}") for a in "xyz"), *(_r(F.col(f"s{i}") / 1e6).alias(f"s{i}") for i in range(6)))
+
+
+@query(_summary_sql("x", "y", "z"))
+def gaussian_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_summary(spark, d, ("x", "y", "z")))
+
+
+@query(_summary_sql("coalesce(x, ax)", "coalesce(y, ay)", "coalesce(z, az)"))
+def apriori_fallback_summary(spark: SparkSession, d: str) -> DataFrame:
+    n = spark.read.parquet(f"{d}/orders.parquet").count()
+    pts = stand_in.points(spark, d).withColumns({c: F.coalesce(c, f"apriori{c.upper()}") for c in "xyz"})
+    return _rounded(lod.gaussian(pts, _K, n))
+
+
+@query(f"WITH {stand_in.SQL}, {_SEG} SELECT segment, count(*) AS n, round(avg(x), 3) AS mean_x, 0::BIGINT AS far FROM seg WHERE x IS NOT NULL GROUP BY segment")
+def drill_down_mean(spark: SparkSession, d: str) -> DataFrame:
+    n = spark.read.parquet(f"{d}/orders.parquet").count()
+    held = lod.drill_down(_summary(spark, d, ("x", "y", "z")), stand_in.points(spark, d), _K, n).where("x is not null")
+    return held.groupBy("segment").agg(F.count("*").alias("n"), _r(F.avg("x")).alias("mean_x"), F.count_if((F.col("point_idx") < F.col("range_start")) | (F.col("point_idx") >= F.col("range_start") + F.col("range_count"))).alias("far"))
+
+
+@query("SELECT ty, tx, coalesce(n, 0) AS n FROM (SELECT unnest(range(36))::INT AS ty) CROSS JOIN (SELECT unnest(range(72))::INT AS tx) LEFT JOIN (SELECT greatest(0, least(35, floor((lat + pi() / 2) / pi() * 36)))::INT AS ty, greatest(0, least(71, floor((lon + pi()) / (2 * pi()) * 72)))::INT AS tx, count(*) AS n FROM pts GROUP BY 1, 2) USING (ty, tx)")
+def density_map(spark: SparkSession, d: str) -> DataFrame:
+    return lod.density(stand_in.points(spark, d))
+
+
+@query("SELECT point_idx, greatest(-32768, least(32767, round(lon * (65535 / (2 * pi()))))) ::SMALLINT AS qlon, greatest(-32768, least(32767, round(lat * (65535 / pi()))))::SMALLINT AS qlat FROM pts")
+def quantize_vertices(spark: SparkSession, d: str) -> DataFrame:
+    qlon, qlat = geo.quantize(F.col("lat"), F.col("lon"))
+    return stand_in.points(spark, d).select("point_idx", qlon.alias("qlon"), qlat.alias("qlat"))
+
+
+def _ecef_sql(lat: str, lon: str, h: str) -> str:
+    n = f"({A}e0 / sqrt(1 - {_E2!r}e0 * sin({lat}) * sin({lat})))"
+    return f"round(({n} + {h}) * cos({lat}) * cos({lon}), 3) AS x, round(({n} + {h}) * cos({lat}) * sin({lon}), 3) AS y, round(({n} * {1 - _E2!r}e0 + {h}) * sin({lat}), 3) AS z"
+
+
+@query(f"SELECT point_idx, {_ecef_sql('la', 'lo', '0')} FROM (SELECT point_idx, greatest(-32768, least(32767, round(lon * (65535 / (2 * pi()))))) * (2 * pi() / 65535) AS lo, greatest(-32768, least(32767, round(lat * (65535 / pi())))) * (pi() / 65535) AS la FROM pts)")
+def dequantize_xyz(spark: SparkSession, d: str) -> DataFrame:
+    q = geo.quantize(F.col("lat"), F.col("lon"))
+    p = stand_in.points(spark, d).select("point_idx", q[0].alias("qlon"), q[1].alias("qlat"))
+    lat, lon = geo.dequantize(F.col("qlon"), F.col("qlat"))
+    p = p.select("point_idx", lat.alias("la"), lon.alias("lo"))
+    return p.select("point_idx", *(_r(c).alias(n) for n, c in zip("xyz", geo.geodetic_to_ecef(F.col("la"), F.col("lo"), F.lit(0.0), A, C))))
+
+
+@query("SELECT point_idx, round(max(sqrt(x * x + y * y + z * z)), 3) AS far FROM pts WHERE x IS NOT NULL GROUP BY point_idx HAVING point_idx < 2000")
+def window_radius(spark: SparkSession, d: str) -> DataFrame:
+    p = net.slice_points(stand_in.points(spark, d), 0, 2000).where("x is not null")
+    return p.groupBy("point_idx").agg(_r(F.max(vec.magnitude(Vec(*(F.col(c) for c in "xyz"))))).alias("far"))
+
+
+@query("SELECT round(max(sqrt(x * x + y * y + z * z)), 3) AS radius, count(*) AS n FROM pts WHERE point_idx < 5000")
+def window_max_radius(spark: SparkSession, d: str) -> DataFrame:
+    p = net.slice_points(stand_in.points(spark, d), 0, 5000)
+    return p.agg(_r(F.max(vec.magnitude(Vec(*(F.col(c) for c in "xyz"))))).alias("radius"), F.count("*").alias("n"))
+
+
+@query("SELECT point_idx, round(atan2(ax, az), 9) AS azimuth FROM pts")
+def azimuth_wedges(spark: SparkSession, d: str) -> DataFrame:
+    p = stand_in.points(spark, d).select("point_idx", F.col("aprioriX").alias("x"), F.col("aprioriZ").alias("z"))
+    return lod.wedges(p).select("point_idx", _r(F.col("azimuth"), 9).alias("azimuth"))
+
+
+@query("WITH RECURSIVE w AS (SELECT o_custkey % 50 AS grp, o_orderkey * 10 AS s, (10 - (o_orderkey % 2) * 3)::BIGINT AS c, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS i FROM orders), f AS (SELECT grp, i, s AS ms, c AS mc, 1 AS m FROM w WHERE i = 1 UNION ALL SELECT w.grp, w.i, CASE WHEN f.ms + f.mc = w.s AND f.mc + w.c <= 40 THEN f.ms ELSE w.s END, CASE WHEN f.ms + f.mc = w.s AND f.mc + w.c <= 40 THEN f.mc + w.c ELSE w.c END, CASE WHEN f.ms + f.mc = w.s AND f.mc + w.c <= 40 THEN f.m ELSE f.m + 1 END FROM f JOIN w ON w.grp = f.grp AND w.i = f.i + 1) SELECT grp, max(ms) AS range_start, max(mc) AS range_count FROM f GROUP BY grp, m")
+def coalesce_windows(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    w = o.select((F.col("o_custkey") % 50).alias("grp"), (F.col("o_orderkey") * 10).alias("range_start"), (10 - (F.col("o_orderkey") % 2) * 3).alias("range_count"))
+    return lod.coalesce_windows(w, 40)
+
+
+@query("SELECT s_suppkey AS idx, (u - coalesce(lag(u) OVER (ORDER BY s_suppkey), 0))::BIGINT AS share FROM (SELECT s_suppkey, round(sum(w) OVER (ORDER BY s_suppkey) / sum(w) OVER () * 100000) AS u FROM (SELECT s_suppkey, (s_suppkey % 97 + 1)::DOUBLE AS w FROM supplier))")
+def weighted_allotment(spark: SparkSession, d: str) -> DataFrame:
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("idx"), (F.col("s_suppkey") % 97 + 1).cast("double").alias("weight"))
+    return lod.allotment(s, 100_000)
+
+
+def _cholesky_sql() -> str:
+    over = lambda v, p: f"CASE WHEN {p} > 1e-9 THEN ({v}) / {p} ELSE 0.0e0 END"
+    src = f"WITH {stand_in.SQL}, {_SEG}, g AS (SELECT segment, " + ", ".join(f"covar_pop({a}, {b}) AS s{i}" for i, (a, b) in enumerate([("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")])) + " FROM seg WHERE x IS NOT NULL GROUP BY segment)"
+    src += f", a AS (SELECT *, sqrt(greatest(s0, 0)) AS l0 FROM g), b AS (SELECT *, {over('s1', 'l0')} AS l1, {over('s2', 'l0')} AS l3 FROM a), c AS (SELECT *, sqrt(greatest(s3 - l1 * l1, 0)) AS l2 FROM b), e AS (SELECT *, {over('s4 - l3 * l1', 'l2')} AS l4 FROM c)"
+    return src + " SELECT segment, round(l0, 2) AS l0, round(l1, 2) AS l1, round(l2, 2) AS l2, round(l3, 2) AS l3, round(l4, 2) AS l4, round(sqrt(greatest(s5 - l3 * l3 - l4 * l4, 0)), 2) AS l5 FROM e"
+
+
+@query(_cholesky_sql())
+def cholesky(spark: SparkSession, d: str) -> DataFrame:
+    low = lod.cholesky([F.col(f"s{i}") for i in range(6)])
+    return _summary(spark, d, ("x", "y", "z")).select("segment", *(_r(c, 2).alias(f"l{i}") for i, c in enumerate(low)))
+
+
+@query()
+def mixture_sample(spark: SparkSession, d: str) -> DataFrame:
+    return lod.mixture(_summary(spark, d, ("x", "y", "z")), 0.1)
+
+
+@query("SELECT a.key AS a, b.key AS b, round(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2), 3) AS dist FROM pts a JOIN pts b ON a.key < b.key AND (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 <= 4e8 AND abs(a.x-b.x) <= 2e4 WHERE a.key < 5000 AND b.key < 5000")
+def neighbour_pairs(spark: SparkSession, d: str) -> DataFrame:
+    p = net.slice_points(stand_in.points(spark, d), 0, 5000)
+    return lines.neighbours(p, 20_000.0).select("a", "b", _r(F.sqrt("d2")).alias("dist"))
+
+
+@query()
+def filaments(spark: SparkSession, d: str) -> DataFrame:
+    return lines.filaments(net.slice_points(stand_in.points(spark, d), 0, 20_000))
+
+
+def _polylines(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("line_id"), F.posexplode("embedding").alias("k", "e"))
+    e = e.withColumns({"v": F.floor(F.col("k") / 3), "axis": F.col("k") % 3}).where("v < 21")
+    of = lambda a: F.max(F.when(F.col("axis") == a, F.col("e").cast("double") * 1000))
+    return e.groupBy("line_id", "v").agg(of(0).alias("x"), of(1).alias("y"), of(2).alias("z"))
+
+
+@query("""WITH v AS (SELECT vec_id AS line_id, i AS v, embedding[i*3+1]::DOUBLE*1000 AS x, embedding[i*3+2]::DOUBLE*1000 AS y, embedding[i*3+3]::DOUBLE*1000 AS z FROM embeddings, (SELECT unnest(range(21)) AS i)),
+s AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1, coalesce(sqrt((lead(x) OVER w - x)**2 + (lead(y) OVER w - y)**2 + (lead(z) OVER w - z)**2), 0) AS len FROM v WINDOW w AS (PARTITION BY line_id ORDER BY v)),
+t AS (SELECT *, sum(len) OVER (PARTITION BY line_id ORDER BY v) - len AS at, sum(len) OVER (PARTITION BY line_id) AS arc FROM s),
+n AS (SELECT DISTINCT line_id, arc, greatest(21, floor(arc / 100) + 1)::BIGINT AS ns FROM t)
+SELECT line_id, ns, round(arc, 6) AS arc FROM n""")
+def line_resample_counts(spark: SparkSession, d: str) -> DataFrame:
+    v = _polylines(spark, d)
+    got = lod.resample(v, 100.0, 10**9).groupBy("line_id").agg(F.count("*").alias("ns"))
+    w = Window.partitionBy("line_id").orderBy("v")
+    step = F.sqrt(sum(((F.lead(c).over(w) - F.col(c)) ** 2 for c in "yz"), (F.lead("x").over(w) - F.col("x")) ** 2))
+    arc = v.withColumn("s", step).groupBy("line_id").agg(_r(F.sum("s"), 6).alias("arc"))
+    return got.join(arc, "line_id")
+
+
+@query("""WITH v AS (SELECT vec_id AS line_id, i AS v, embedding[i*3+1]::DOUBLE*1000 AS x, embedding[i*3+2]::DOUBLE*1000 AS y, embedding[i*3+3]::DOUBLE*1000 AS z FROM embeddings, (SELECT unnest(range(21)) AS i)),
+s AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1, sqrt((lead(x) OVER w - x)**2 + (lead(y) OVER w - y)**2 + (lead(z) OVER w - z)**2) AS len FROM v WINDOW w AS (PARTITION BY line_id ORDER BY v)),
+t AS (SELECT *, sum(len) OVER (PARTITION BY line_id ORDER BY v) - len AS at, sum(len) OVER (PARTITION BY line_id) AS arc FROM s WHERE x1 IS NOT NULL),
+n AS (SELECT line_id, k AS nth, arc * k / (ns - 1) AS target FROM (SELECT DISTINCT line_id, arc, greatest(21, floor(arc / 100) + 1)::BIGINT AS ns FROM t), unnest(range(1, ns - 1)) AS u(k))
+SELECT line_id, nth, round(x + f * (x1 - x), 3) AS x, round(y + f * (y1 - y), 3) AS y, round(z + f * (z1 - z), 3) AS z
+FROM (SELECT n.line_id, nth, x, y, z, x1, y1, z1, least(1.0e0, greatest(0.0e0, (n.target - t.at) / len)) AS f FROM n ASOF JOIN t ON n.line_id = t.line_id AND n.target >= t.at)""")
+def line_resample(spark: SparkSession, d: str) -> DataFrame:
+    got = lod.resample(_polylines(spark, d), 100.0, 10**9)
+    last = F.max("nth").over(Window.partitionBy("line_id"))
+    inner = got.withColumn("last", last).where("nth > 0 and nth < last")
+    return inner.select("line_id", "nth", *(_r(F.col(c)).alias(c) for c in "xyz"))
+
+
+@query("SELECT y AS row, x AS col, round(radians(-60 + y * 120.0e0 / 12), 9) AS lat, round(radians(10 + x * 340.0e0 / 24), 9) AS lon FROM (SELECT unnest(range(13)) AS y) CROSS JOIN (SELECT unnest(range(25)) AS x)")
+def meshgrid(spark: SparkSession, d: str) -> DataFrame:
+    return lod.meshgrid(spark, 10.0, 350.0, 25, -60.0, 60.0, 13).select("row", "col", _r(F.col("lat"), 9).alias("lat"), _r(F.col("lon"), 9).alias("lon"))
+
+
+@query(f"SELECT ring, k::INT AS k, round({A}e0 * cos(lat) * cos(2 * pi() * k / n), 3) AS x, round({A}e0 * cos(lat) * sin(2 * pi() * k / n), 3) AS y, round({C}e0 * sin(lat), 3) AS z FROM (SELECT ring, -pi() / 2 + pi() * ((ring + 0.5e0) / 24) AS lat, greatest(1, round(60 * cos(-pi() / 2 + pi() * ((ring + 0.5e0) / 24)))) AS n FROM (SELECT unnest(range(24)) AS ring)), unnest(range(n::BIGINT)) AS u(k)")
+def placeholder_grid(spark: SparkSession, d: str) -> DataFrame:
+    return lod.ring_grid(spark, 24, 60, A, C).select("ring", "k", *(_r(F.col(c)).alias(c) for c in "xyz"))
+
+
+# geometry
+
+
+@query("SELECT point_idx, round(ax, 3) AS x, round(ay, 3) AS y, round(az, 3) AS z FROM pts")
+def ecef_forward(spark: SparkSession, d: str) -> DataFrame:
+    return stand_in.points(spark, d).select("point_idx", *(_r(F.col(f"apriori{n}")).alias(n.lower()) for n in "XYZ"))
+
+
+def _inverse_sql() -> str:
+    out, lat = "", "l0"
+    for k in range(1, 6):
+        out += f", i{k} AS (SELECT *, atan2(az + {_E2!r}e0 * ({A}e0 / sqrt(1 - {_E2!r}e0 * sin({lat}) * sin({lat}))) * sin({lat}), flat) AS l{k} FROM i{k - 1})"
+        lat = f"l{k}"
+    return f"WITH {stand_in.SQL}, i0 AS (SELECT *, sqrt(ax * ax + ay * ay) AS flat, atan2(az, sqrt(ax * ax + ay * ay)) AS l0 FROM pts){out} SELECT point_idx, round(l5, 9) AS lat, round(atan2(ay, ax), 9) AS lon, round(degrees(l0), 7) AS lat_centric FROM i5"
+
+
+
+def _apriori() -> Vec:
+    return Vec(*(F.col(f"apriori{n}") for n in "XYZ"))
+
+
+@query(_inverse_sql())
+def ecef_inverse(spark: SparkSession, d: str) -> DataFrame:
+    p = _apriori()
+    lat, lon = geo.ecef_to_geodetic(p, A, C)
+    return stand_in.points(spark, d).select("point_idx", _r(lat, 9).alias("lat"), _r(lon, 9).alias("lon"), _r(F.degrees(F.atan2(p.z, F.sqrt(p.x * p.x + p.y * p.y))), 7).alias("lat_centric"))
+
+
+@query(f"WITH {stand_in.SQL}, t AS (SELECT *, sqrt(ax*ax + ay*ay) AS flat, atan2(az * {A}e0, sqrt(ax*ax + ay*ay) * {C}e0) AS th FROM pts WHERE abs(lat) < 1.5), u AS (SELECT *, atan2(az + {_E2!r}e0 * {C}e0 * pow(sin(th), 3), flat - {_E2!r}e0 * {A}e0 * pow(cos(th), 3)) AS la FROM t) SELECT point_idx, round(degrees(la), 7) AS lat, round(degrees(atan2(ay, ax)), 7) AS lon, round(flat / cos(la) - {A}e0 / sqrt(1 - {_E2!r}e0 * sin(la) * sin(la)), 2) AS h FROM u")
+def bowring_height(spark: SparkSession, d: str) -> DataFrame:
+    lat, lon, h = geo.bowring(_apriori(), A, C)
+    return stand_in.points(spark, d).where("abs(lat) < 1.5").select("point_idx", _r(lat, 7).alias("lat"), _r(lon, 7).alias("lon"), _r(h, 2).alias("h"))
+
+
+_B = 3390000.0
+
+
+@query(f"SELECT point_idx, round({A}e0 * {_B}e0 * {C}e0 / sqrt(pow({_B}e0 * {C}e0 * cos(lat) * cos(lon), 2) + pow({A}e0 * {C}e0 * cos(lat) * sin(lon), 2) + pow({A}e0 * {_B}e0 * sin(lat), 2)), 3) AS radius, round(sqrt({A}e0 * {A}e0 * cos(lat) * cos(lat) + {C}e0 * {C}e0 * sin(lat) * sin(lat)), 3) AS viewer FROM pts")
+def ellipsoid_radius(spark: SparkSession, d: str) -> DataFrame:
+    r = geo.radius_at(F.col("lat"), F.col("lon"), A, _B, C)
+    return stand_in.points(spark, d).select("point_idx", _r(r).alias("radius"), _r(geo.viewer_radius(F.col("lat"), A, C)).alias("viewer"))
+
+
+@query(f"SELECT point_idx, round(nx / m, 9) AS nx, round(ny / m, 9) AS ny, round(nz / m, 9) AS nz FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS m FROM (SELECT point_idx, ax / ({A}e0 * {A}e0) AS nx, ay / ({A}e0 * {A}e0) AS ny, az / ({C}e0 * {C}e0) AS nz FROM pts))")
+def surface_normal(spark: SparkSession, d: str) -> DataFrame:
+    n = geo.surface_normal(_apriori(), A, A, C)
+    return stand_in.points(spark, d).select("point_idx", *(_r(c, 9).alias(f"n{k}") for k, c in zip("xyz", n)))
+
+
+def _rays(spark: SparkSession, d: str) -> DataFrame:
+    """A sensor 400 km up beside each point, looking near or past it."""
+    p = stand_in.points(spark, d).select("point_idx", *(F.col(f"apriori{n}").alias(f"g{n.lower()}") for n in "XYZ"))
+    return p.select("point_idx", *(F.col(f"g{k}").alias(f"ground_{k}") for k in "xyz"), (F.col("gx") * 1.12 + 1e4).alias("pos_x"), (F.col("gy") * 1.12 - 2e4).alias("pos_y"), (F.col("gz") * 1.12 + 3e4).alias("pos_z"), (-F.col("gx") + (F.col("point_idx") % 5) * 9e5).alias("look_x"), (-F.col("gy")).alias("look_y"), (-F.col("gz")).alias("look_z"))
+
+
+_RAYS = "rays AS (SELECT point_idx, ax AS gx, ay AS gy, az AS gz, ax * 1.12e0 + 1e4 AS px, ay * 1.12e0 - 2e4 AS py, az * 1.12e0 + 3e4 AS pz, -ax + (point_idx % 5) * 9e5 AS lx, -ay AS ly, -az AS lz FROM pts)"
+
+
+def _hit_sql(src: str, p: str, l: str, out: str) -> str:
+    """CTE `out` of src with hx, hy, hz."""
+    ax = lambda v, k: f"({v}{k} / {C if k == 'z' else A}e0)"
+    dots = lambda u, v: " + ".join(f"{ax(u, k)} * {ax(v, k)}" for k in "xyz")
+    return f"""{out}0 AS (SELECT *, {dots(l, l)} AS qa, {dots(p, l)} AS hb, {dots(p, p)} - 1 AS qc FROM {src}),
+{out}1 AS (SELECT *, hb * hb - qa * qc AS disc FROM {out}0), {out}2 AS (SELECT *, sqrt(greatest(disc, 0)) AS root FROM {out}1),
+{out} AS (SELECT * EXCLUDE (qa, hb, qc, disc, root, t), {p}x + t * {l}x AS hx, {p}y + t * {l}y AS hy, {p}z + t * {l}z AS hz FROM (SELECT *, CASE WHEN disc < 0 THEN -hb / qa WHEN (-hb - root) / qa >= 0 THEN (-hb - root) / qa ELSE (-hb + root) / qa END AS t FROM {out}2))"""
+
+
+@query(f"WITH {stand_in.SQL}, {_RAYS}, {_hit_sql('rays', 'p', 'l', 'hit')} SELECT point_idx, round(hx, 2) AS x, round(hy, 2) AS y, round(hz, 2) AS z FROM hit")
+def ray_ellipsoid(spark: SparkSession, d: str) -> DataFrame:
+    h = geo.ray_ellipsoid(Vec.of("pos"), Vec.of("look"), A, A, C)
+    return _rays(spark, d).select("point_idx", *(_r(c, 2).alias(k) for k, c in zip("xyz", h)))
+
+
+def _acos(c: str) -> str:
+    return f"acos(greatest(-1, least(1, {c})))"
+
+
+@query(f"""WITH {stand_in.SQL}, {_RAYS}, t AS (SELECT *, px - gx AS tx, py - gy AS ty, pz - gz AS tz, 1e11 - gx AS sx, 2e10 - gy AS sy, -3e10 - gz AS sz, gx / {A * A!r}e0 AS nx, gy / {A * A!r}e0 AS ny, gz / {C * C!r}e0 AS nz FROM rays)
+SELECT point_idx, round({_acos('(tx*sx+ty*sy+tz*sz)/(sqrt(tx*tx+ty*ty+tz*tz)*sqrt(sx*sx+sy*sy+sz*sz))')}, 7) AS phase, round({_acos('(nx*tx+ny*ty+nz*tz)/(sqrt(nx*nx+ny*ny+nz*nz)*sqrt(tx*tx+ty*ty+tz*tz))')}, 7) AS emission,
+round({_acos('(nx*sx+ny*sy+nz*sz)/(sqrt(nx*nx+ny*ny+nz*nz)*sqrt(sx*sx+sy*sy+sz*sz))')}, 7) AS incidence, round(sqrt(tx*tx+ty*ty+tz*tz), 3) AS slant FROM t""".replace("e+", "e"))
+def phase_emission_incidence(spark: SparkSession, d: str) -> DataFrame:
+    g, s, sun = Vec.of("ground"), Vec.of("pos"), Vec.lit(1e11, 2e10, -3e10)
+    n = Vec(g.x / (A * A), g.y / (A * A), g.z / (C * C))
+    return _rays(spark, d).select("point_idx", _r(photometry.phase_angle(g, s, sun), 7).alias("phase"), _r(photometry.emission_angle(n, s.minus(g)), 7).alias("emission"), _r(photometry.incidence_angle(g, sun, n), 7).alias("incidence"), _r(vec.distance(s, g)).alias("slant"))
+
+
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    r = vec.unit(Vec.of("look")).put(_rays(spark, d), "look")
+    dark = F.col("point_idx") % 7 == 0
+    return r.withColumns({"sun_x": F.when(~dark, F.lit(0.9)), "sun_y": F.when(~dark, F.lit(0.3)), "sun_z": F.when(~dark, F.lit(-0.2))})
+
+
+_CAMPT = ["lat_geodetic", "lon_east", "lat_centric", "emission", "incidence", "phase", "slant_distance", "target_center_distance", "local_radius", "spacecraft_altitude", "off_nadir", "spacecraft_azimuth", "sub_spacecraft_lat", "sub_spacecraft_lon", "sub_solar_lat", "sub_solar_lon", "sub_solar_azimuth", "solar_distance", "north_azimuth"]
+
+
+@query()
+def campt_record(spark: SparkSession, d: str) -> DataFrame:
+    return photometry.camera_points(_states(spark, d), A, C).select("point_idx", *(_r(F.col(c), 6).alias(c) for c in _CAMPT))
+
+
+_FRAME = """east AS (SELECT *, -ny / sqrt(nx*nx+ny*ny) AS ex, nx / sqrt(nx*nx+ny*ny) AS ey FROM {src}), loc AS (SELECT *, -nz * ey AS qx, nz * ex AS qy, nx * ey - ny * ex AS qz FROM east)"""
+_NORMAL = f"nrm AS (SELECT * EXCLUDE (n0x, n0y, n0z), n0x / m AS nx, n0y / m AS ny, n0z / m AS nz FROM (SELECT *, sqrt(n0x*n0x+n0y*n0y+n0z*n0z) AS m FROM (SELECT *, gx / {A * A!r}e0 AS n0x, gy / {A * A!r}e0 AS n0y, gz / {C * C!r}e0 AS n0z FROM {{src}})))".replace("e+", "e")
+
+
+def _mod(c: str) -> str:
+    return f"CASE WHEN {c} < 0 THEN {c} + 360 ELSE {c} END"
+
+
+@query(f"""WITH {stand_in.SQL}, {_RAYS}, dn AS (SELECT *, -px AS dx, -py AS dy, -pz AS dz FROM rays), {_hit_sql('dn', 'p', 'd', 'hit')}, {_NORMAL.format(src='hit')}, {_FRAME.format(src='nrm')},
+v AS (SELECT *, px - gx AS tx, py - gy AS ty, pz - gz AS tz FROM loc)
+SELECT point_idx, round(sqrt((px-hx)**2+(py-hy)**2+(pz-hz)**2), 3) AS altitude, round({_mod('degrees(atan2(tx*ex+ty*ey, tx*qx+ty*qy+tz*qz))')}, 6) AS azimuth,
+round(degrees({_acos('(lx*-px+ly*-py+lz*-pz)/(sqrt(lx*lx+ly*ly+lz*lz)*sqrt(px*px+py*py+pz*pz))')}), 6) AS off_nadir FROM v""")
+def spacecraft_geometry(spark: SparkSession, d: str) -> DataFrame:
+    s = photometry.camera_points(_states(spark, d), A, C)
+    return s.select("point_idx", _r(F.col("spacecraft_altitude")).alias("altitude"), _r(F.col("spacecraft_azimuth"), 6).alias("azimuth"), _r(F.col("off_nadir"), 6).alias("off_nadir"))
+
+
+@query(f"""WITH {stand_in.SQL}, {_RAYS}, dn AS (SELECT point_idx, gx, gy, gz, 0.9e0/sqrt(0.94e0) AS dx, 0.3e0/sqrt(0.94e0) AS dy, -0.2e0/sqrt(0.94e0) AS dz FROM rays WHERE point_idx % 7 <> 0), {_hit_sql('dn', 'g', 'd', 'hit')}
+SELECT point_idx, round(hx, 1) AS x, round(hy, 1) AS y, round(hz, 1) AS z FROM hit""")
+def sun_geometry(spark: SparkSession, d: str) -> DataFrame:
+    s = photometry.camera_points(_states(spark, d), A, C).where("sun_x is not null")
+    return s.select("point_idx", *(_r(F.col(f"subsolar_{k}"), 1).alias(k) for k in "xyz"))
+
+
+@query("SELECT point_idx, round(e, 7) AS e360, round(CASE WHEN e > 180 THEN e - 360 ELSE e END, 7) AS e180, round(360 - e, 7) AS w360, round(CASE WHEN 360 - e > 180 THEN -e ELSE 360 - e END, 7) AS w180 FROM (SELECT point_idx, CASE WHEN degrees(lon) < 0 THEN degrees(lon) + 360 ELSE degrees(lon) END AS e FROM pts)")
+def lon_variants(spark: SparkSession, d: str) -> DataFrame:
+    return stand_in.points(spark, d).select("point_idx", *(_r(c, 7).alias(k) for k, c in photometry.longitudes(F.col("lon")).items()))
+
+
+@query(f"SELECT point_idx, round({_mod('az')}, 6) AS azimuth FROM (SELECT point_idx, degrees(atan2(sin(lon - 0.5) * cos(lat), cos(0.25) * sin(lat) - sin(0.25) * cos(lat) * cos(lon - 0.5))) AS az FROM pts)")
+def ground_azimuth(spark: SparkSession, d: str) -> DataFrame:
+    return stand_in.points(spark, d).select("point_idx", _r(vec.ground_azimuth(F.col("lat"), F.col("lon"), F.lit(0.25), F.lit(0.5)), 6).alias("azimuth"))
+
+
+@query(f"""WITH {stand_in.SQL}, {_RAYS}, k AS (SELECT *, sqrt(gx*gx+gy*gy+gz*gz) AS ma, sqrt(lx*lx+ly*ly+lz*lz) AS mb, gx*lx+gy*ly+gz*lz AS ab FROM rays)
+SELECT point_idx, round(ma, 3) AS mag, round(sqrt((gx-lx)**2+(gy-ly)**2+(gz-lz)**2), 3) AS dist, round({_acos('ab/(ma*mb)')}, 6) AS sep, round(gx/ma, 9) AS ux, round((gy*lz-gz*ly)/1e6, 3) AS cx, round(ab/1e6, 3) AS dotp, round(lx - ab/(ma*ma)*gx, 2) AS perp, round(greatest(abs(gx-lx), abs(gy-ly), abs(gz-lz)), 3) AS cheb FROM k""")
+def vector_ops(spark: SparkSession, d: str) -> DataFrame:
+    a, b = Vec.of("ground"), Vec.of("look")
+    return _rays(spark, d).select("point_idx", _r(vec.magnitude(a)).alias("mag"), _r(vec.distance(a, b)).alias("dist"), _r(vec.separation_angle(a, b), 6).alias("sep"), _r(vec.unit(a).x, 9).alias("ux"), _r(vec.cross(a, b).x / 1e6).alias("cx"), _r(vec.dot(a, b) / 1e6).alias("dotp"), _r(vec.perpendicular(a, b).x, 2).alias("perp"), _r(geo.chebyshev(a, b)).alias("cheb"))
+
+
+@query("SELECT point_idx, round(asin(az / r), 9) AS lat, round(atan2(ay, ax), 9) AS lon, round(r, 3) AS radius, round(ax, 3) AS x FROM (SELECT *, sqrt(ax*ax+ay*ay+az*az) AS r FROM pts)")
+def spherical_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    lat, lon, r = vec.rect_to_spherical(_apriori())
+    p = stand_in.points(spark, d).select("point_idx", lat.alias("la"), lon.alias("lo"), r.alias("r"))
+    return p.select("point_idx", _r(F.col("la"), 9).alias("lat"), _r(F.col("lo"), 9).alias("lon"), _r(F.col("r")).alias("radius"), _r(vec.spherical_to_rect(F.col("la"), F.col("lo"), F.col("r")).x).alias("x"))
+
+
+# rasters: part keys are cells of a 50-column raster of degrees
+
+_GT, _NODATA = (-180.0, 7.2, 0.0, 90.0, 0.0, -4.5), -9999.0
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.read.parquet(f"{d}/part.parquet")
+    v = F.when(F.col("p_partkey") % 11 == 0, _NODATA).otherwise(F.col("p_retailprice"))
+    return p.where("p_partkey < 2000").select((F.col("p_partkey") % 50).cast("int").alias("px"), F.floor(F.col("p_partkey") / 50).cast("int").alias("py"), v.alias("value"))
+
+
+_CELLS = "cells AS (SELECT (p_partkey % 50)::INT AS px, (p_partkey // 50)::INT AS py, CASE WHEN p_partkey % 11 = 0 THEN -9999.0e0 ELSE p_retailprice END AS value FROM part WHERE p_partkey < 2000)"
+
+
+@query(f"""WITH {stand_in.SQL}, {_CELLS}, q AS (SELECT point_idx, lat, lon, trunc((degrees(lon) + 180) / 7.2e0)::INT AS px, trunc((degrees(lat) - 90) / -4.5e0)::INT AS py FROM pts),
+f AS (SELECT q.*, coalesce(value, -9999.0e0) AS v, {A}e0 * {A}e0 * {C}e0 / sqrt(pow({A}e0 * {C}e0 * cos(lat) * cos(lon), 2) + pow({A}e0 * {C}e0 * cos(lat) * sin(lon), 2) + pow({A}e0 * {A}e0 * sin(lat), 2)) AS r FROM q LEFT JOIN cells USING (px, py))
+SELECT point_idx, px, py, CASE WHEN v = -9999 THEN 0 ELSE v END AS height, round(CASE WHEN v = -9999 THEN r ELSE v + r END, 3) AS radius FROM f""")
+def dem_lookup(spark: SparkSession, d: str) -> DataFrame:
+    p = stand_in.points(spark, d).select("point_idx", F.degrees("lat").alias("lat"), F.degrees("lon").alias("lon"))
+    found = raster.heights(raster.lookup(p, _cells(spark, d), _GT, _NODATA), _NODATA, A, C)
+    return found.select("point_idx", "px", "py", "height", _r(F.col("radius")).alias("radius"))
+
+
+@query()
+def dem_intersection(spark: SparkSession, d: str) -> DataFrame:
+    hit = raster.intersect(_rays(spark, d), _cells(spark, d), _GT, _NODATA, A, C)
+    return hit.select("point_idx", *(_r(F.col(f"hit_{k}"), 2).alias(k) for k in "xyz"), _r(F.col("local_radius")).alias("local_radius"))
+
+
+@query(f"WITH {_CELLS} SELECT min(value) AS low, max(value) AS high, count(*) AS n FROM cells WHERE value <> -9999")
+def raster_range(spark: SparkSession, d: str) -> DataFrame:
+    return raster.value_range(_cells(spark, d), _NODATA)
+
+
+@query(f"WITH {_CELLS} SELECT avg(px) AS cx, avg(py) AS cy FROM cells WHERE px % 10 = 0 AND py % 10 = 0 AND value <> -9999")
+def raster_centroid(spark: SparkSession, d: str) -> DataFrame:
+    return raster.centroid(_cells(spark, d), _NODATA)
+
+
+@query(f"WITH {_CELLS} SELECT quadrant, px, py FROM (SELECT *, row_number() OVER (PARTITION BY quadrant ORDER BY dd DESC, py, px) AS rn FROM (SELECT *, (px - 24.3e0)**2 + (py - 19.6e0)**2 AS dd, (CASE WHEN py < 19.6 THEN 'n' ELSE 's' END) || (CASE WHEN px < 24.3 THEN 'w' ELSE 'e' END) AS quadrant FROM cells WHERE px % 5 = 0 AND py % 5 = 0 AND value <> -9999)) WHERE rn = 1")
+def raster_quadrants(spark: SparkSession, d: str) -> DataFrame:
+    return raster.farthest_by_quadrant(_cells(spark, d), _NODATA, 24.3, 19.6)
+
+
+# outlines
+
+
+@query("""WITH e AS (SELECT image, nth, nth // 9 AS side, (nth % 9) / 9.0e0 AS t FROM (SELECT s_suppkey AS image FROM supplier), unnest(range(36)) AS u(nth)),
+p AS (SELECT image, nth, CASE side WHEN 0 THEN t * 99 WHEN 1 THEN 99.0e0 WHEN 2 THEN (1 - t) * 99 ELSE 0 END AS s, CASE side WHEN 0 THEN 0.0e0 WHEN 1 THEN t * 199 WHEN 2 THEN 199.0e0 ELSE (1 - t) * 199 END AS l FROM e),
+q AS (SELECT *, printf('%.6f %.6f', s * 0.0125e0 + image % 300, l * -0.0125e0 + 40) AS ll FROM p)
+SELECT image, 'POLYGON((' || string_agg(ll, ', ' ORDER BY nth) || ', ' || min(ll) FILTER (WHERE nth = 0) || '))' AS wkt FROM q GROUP BY image""")
+def footprint_wkt(spark: SparkSession, d: str) -> DataFrame:
+    images = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("image"), F.lit(100).alias("samples"), F.lit(200).alias("lines"))
+    edge = footprints.edge_pixels(images, 10)
+    return footprints.wkt(edge.select("image", "nth", (F.col("sample") * 0.0125 + F.col("image") % 300).alias("lon"), (F.col("line") * -0.0125 + 40).alias("lat")))
+
+
+# labels
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    doc = F.to_json(F.struct(F.when(F.col("event_id") % 5 > 0, F.col("event_type")).alias("SPACECRAFT_NAME"), F.lit("HOST").alias("MISSION_NAME"), F.concat(F.lit(" I"), F.col("user_id") % 3, F.lit(" ")).alias("INSTRUMENT_ID"), F.struct(F.col("value").alias("value"), F.lit("ms").alias("unit")).alias("EXPOSURE"), F.concat(F.lit("2024-01-01T00:00:"), F.col("event_id") % 60, F.lit("Z")).alias("START_TIME")))
+    return e.select(F.col("event_id").alias("label_id"), F.parse_json(doc).alias("label"))
+
+
+RULES = [
+    {"out": "Group", "const": "Instrument"},
+    {"out": "SpacecraftName", "from": "SPACECRAFT_NAME", "fallback": "MISSION_NAME", "transform": "capitalize"},
+    {"out": "InstrumentId", "from": "INSTRUMENT_ID", "enum": {"I0": "ZERO", "*": "OTHER"}},
+    {"out": "StartTime", "from": "START_TIME", "transform": "remove_start_time_z"},
+    {"out": "Filter", "from": "FILTER", "default": "none"},
+    {"out": "Absent", "from": "NOWHERE"},
+]
+
+
+@query("""SELECT event_id AS label_id, k.ord AS ord, k.keyword AS keyword, k.value AS value FROM (SELECT event_id, unnest([
+{'ord': 0, 'keyword': 'Group', 'value': 'Instrument'}, {'ord': 1, 'keyword': 'SpacecraftName', 'value': CASE WHEN event_id % 5 > 0 THEN upper(event_type[1]) || lower(event_type[2:]) ELSE 'Host' END},
+{'ord': 2, 'keyword': 'InstrumentId', 'value': CASE WHEN user_id % 3 = 0 THEN 'ZERO' ELSE 'OTHER' END}, {'ord': 3, 'keyword': 'StartTime', 'value': '2024-01-01T00:00:' || (event_id % 60)}, {'ord': 4, 'keyword': 'Filter', 'value': 'none'}]) AS k FROM events)""")
+def label_translate(spark: SparkSession, d: str) -> DataFrame:
+    return labels.translate(_labels(spark, d), RULES).select("label_id", "ord", "keyword", "value")
+
+
+@query("SELECT event_id AS label_id, CASE WHEN event_id % 5 > 0 THEN event_type ELSE 'HOST' END AS spacecraft, CASE WHEN event_id % 5 = 0 THEN 'Host' || (user_id % 3) WHEN event_type = 'click' AND user_id % 3 = 1 THEN 'ClickOne' END AS spec FROM events")
+def label_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    crafts = spark.createDataFrame([("HOST", "h", None, None), ("click", "c", None, {"I1": "one"})], "spacecraft string, craft_id string, instr_override string, instr_map map<string,string>")
+    specs = spark.createDataFrame([("h", f"I{k}", f"Host{k}") for k in range(3)] + [("c", "one", "ClickOne")], "craft_id string, instr string, spec string")
+    return labels.dispatch(_labels(spark, d), crafts, specs).select("label_id", "spacecraft", "spec")
+
+
+@query("SELECT event_id, greatest(0, event_id % 3000 - e - s - 1)::BIGINT AS samples, st::BIGINT AS start FROM (SELECT event_id, CASE WHEN m = 1 AND z THEN 37 WHEN m = 1 THEN 15 WHEN m = 2 AND z THEN 18 WHEN m = 2 THEN 7 ELSE 0 END AS e, CASE WHEN m = 1 AND z THEN 18 WHEN m = 2 AND z THEN 9 ELSE 0 END AS s, CASE WHEN m = 2 AND z THEN 7 ELSE 0 END AS st FROM (SELECT event_id, user_id % 4 AS m, event_id % 2 = 0 AS z FROM events))")
+def ctx_crop(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    c = labels.crop(F.col("event_id") % 3000, (F.col("user_id") % 4).cast("string"), (F.col("event_id") % 2).cast("string"))
+    return e.select("event_id", c.alias("c")).select("event_id", "c.samples", "c.start")
+
+
+@query("SELECT event_id, CASE user_id % 3 WHEN 1 THEN -203110 - event_id % 8 WHEN 2 THEN -203120 - event_id % 8 END::INT AS frame, CASE event_id % 4 WHEN 0 THEN 'CH2_TMC_FORE' WHEN 1 THEN 'CH2_TMC_AFT' WHEN 2 THEN 'CH2_TMC_NADIR' ELSE 'CH2_TMC' END AS instrument, CASE event_id % 4 WHEN 0 THEN -152211 WHEN 1 THEN -152212 WHEN 2 THEN -152210 END AS view_frame, upper(event_type[1]) || lower(event_type[2:]) AS name FROM events")
+def frame_codes(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    name = F.concat(F.lit("ch2_tmc_nc"), F.element_at(F.array(*map(F.lit, "FanX")), (F.col("event_id") % 4 + 1).cast("int")), F.lit(".img"))
+    return e.select("event_id", labels.frame_code(F.concat(F.lit("FC"), F.col("user_id") % 3), F.col("event_id") % 8).alias("frame"), labels.view_instrument(name).alias("instrument"), labels.view_frame(name).alias("view_frame"), labels.capitalize(F.col("event_type")).alias("name"))
+
+
+@query("SELECT s_suppkey, (3396190 + s_suppkey)::DOUBLE AS a, round(CASE WHEN s_suppkey % 3 = 0 THEN 3396190 + s_suppkey ELSE (3396190 + s_suppkey) * (1 - 1 / 169.8e0) END, 3) AS c FROM supplier")
+def wkt_ellipsoid(spark: SparkSession, d: str) -> DataFrame:
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    text = F.concat(F.lit('GEOGCS["Mars",DATUM["D",SPHEROID["Mars", '), F.lit(3396190) + F.col("s_suppkey"), F.lit(", "), F.when(F.col("s_suppkey") % 3 == 0, F.lit("0")).otherwise(F.lit("169.8")), F.lit("]]]"))
+    a, c = geo.ellipsoid_columns(text)
+    return s.select("s_suppkey", a.alias("a"), _r(c).alias("c"))
