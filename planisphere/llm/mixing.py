@@ -119,7 +119,7 @@ def stops(sized: DataFrame, cells: DataFrame) -> DataFrame:
     for k in range(len(LEVELS) + 1):
         one, by = Window.partitionBy("key"), Window.partitionBy("key").orderBy("at")
         part = sums.where(F.col("level") == k).join(plan.select("key", "mass", "extra", "carry"), "key")
-        want = F.col("extra") * F.sum("words").over(one) / F.col("mass") + F.col("carry")
+        want = F.coalesce(F.col("extra") * F.sum("words").over(one) / F.nullif("mass", F.lit(0)), F.lit(0.0)) + F.col("carry")
         part = part.select("key", "at", want.alias("want"), (F.sum("words").over(by) - F.col("words")).alias("before"))
         at = part.where((F.col("before") <= F.col("want")) | (F.col("before") == 0)).groupBy("key").agg(F.max(F.struct("at", "before", "want")).alias("m")).select("key", "m.*")
         at = stage(at, "at")

@@ -32,7 +32,7 @@ d AS (SELECT *, {_levels()} AS lvl FROM sized)"""
     for k in range(len(mixing.LEVELS) + 1):
         out += f""",
 r{k} AS (SELECT d.doc_id, d.key, d.size, sum(d.size) OVER (PARTITION BY d.key ORDER BY u, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0e0 AS upto,
-  extra * sum(d.size) OVER (PARTITION BY d.key) / mass + carry_{k} AS want FROM d JOIN {'x' if k == 0 else f'y{k}'} USING (key) WHERE lvl = {k}),
+  coalesce(extra * sum(d.size) OVER (PARTITION BY d.key) / nullif(mass, 0), 0.0) + carry_{k} AS want FROM d JOIN {'x' if k == 0 else f'y{k}'} USING (key) WHERE lvl = {k}),
 y{k + 1} AS (SELECT b.*, coalesce(left_over, carry_{k}) AS carry_{k + 1} FROM {'x' if k == 0 else f'y{k}'} b LEFT JOIN
   (SELECT key, max(want) - coalesce(sum(size) FILTER (WHERE upto <= want), 0) AS left_over FROM r{k} GROUP BY key) USING (key))"""
     rows = " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(len(mixing.LEVELS) + 1))
