@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, photometry, vec
 from ..functions.vec import Vec
-from ..operators import footprints, labels, lines, lod, net, raster
+from ..operators import footprints, imports, labels, lines, lod, net, projection, raster
 from . import stand_in
 from .stand_in import A, C
 
@@ -564,3 +564,39 @@ def wkt_ellipsoid(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit('GEOGCS["Mars",DATUM["D",SPHEROID["Mars", '), F.lit(3396190) + F.col("s_suppkey"), F.lit(", "), F.when(F.col("s_suppkey") % 3 == 0, F.lit("0")).otherwise(F.lit("169.8")), F.lit("]]]"))
     a, c = geo.ellipsoid_columns(text)
     return s.select("s_suppkey", a.alias("a"), _r(c).alias("c"))
+
+
+@query("SELECT image, n, round(-50 + 0.0 * image, 6) AS x0, 0.5e0 AS xs, round(0.02e0 * (image % 5), 6) AS xl, 30.0e0 AS y0, 0.0e0 AS ys, -0.25e0 AS yl FROM (SELECT s_suppkey AS image, 36::BIGINT AS n FROM supplier)")
+def affine_fit(spark: SparkSession, d: str) -> DataFrame:
+    images = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("image"), F.lit(100).alias("samples"), F.lit(200).alias("lines"))
+    p = footprints.edge_pixels(images, 10)
+    p = p.withColumns({"x": F.lit(-50.0) + 0.5 * F.col("sample") + 0.02 * (F.col("image") % 5) * F.col("line"), "y": 30.0 - 0.25 * F.col("line")})
+    zero = lambda c: F.round(c, 6) + F.lit(0.0)
+    fit = projection.affine_fit(p)
+    return fit.select("image", "n", *(zero(F.col(c)).alias(c) for c in ("x0", "xs", "xl", "y0", "ys", "yl")))
+
+
+@query("WITH k AS (SELECT s_suppkey AS image, s_suppkey % 60 AS cut FROM supplier) SELECT image, 64 * 64 AS covered FROM k")
+def validity_quadtree(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves of each image's quadtree tile it."""
+    images = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("image"), F.lit(64).alias("lines"), F.lit(64).alias("samples"))
+    line = images.select("image", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("line"))
+    sees = line.select("image", "line", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("sample")).where(F.col("sample") >= F.col("image") % 60)
+    leaves = projection.quadtree(images, sees)
+    area = (F.col("line1") - F.col("line0")) * (F.col("sample1") - F.col("sample0"))
+    return leaves.groupBy("image").agg(F.sum(area).cast("int").alias("covered"))
+
+
+@query("SELECT row, col, round(s * 2 - 1, 9) AS diff_x, round(sqrt((s * 2 - 1)**2 + (s * 1.5e0 - 0.75e0)**2), 9) AS size FROM (SELECT y AS row, x AS col, sin((-10 + 18.0e0 * y / 9) * 0.1e0) * cos((30 + 18.0e0 * x / 9) * 0.1e0) AS s FROM (SELECT unnest(range(10)) AS y) CROSS JOIN (SELECT unnest(range(10)) AS x))")
+def sample_differences(spark: SparkSession, d: str) -> DataFrame:
+    g = projection.sample_differences(lod.meshgrid(spark, 30.0, 48.0, 10, -10.0, 8.0, 10))
+    return g.select("row", "col", _r(F.col("diff_x"), 9).alias("diff_x"), _r(F.col("size"), 9).alias("size"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'cube' WHEN 1 THEN 'gtiff' ELSE 'auto' END AS format, CASE s_suppkey % 3 WHEN 0 THEN 'UnsignedByte' WHEN 1 THEN 'SignedWord' ELSE 'Real' END AS cell FROM supplier")
+def import_formats(spark: SparkSession, d: str) -> DataFrame:
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    none = F.lit(None).cast("double")
+    made = imports.core(F.lit(4), F.lit(16), F.lit(1), pick("Byte", "Int16", "Other"), none, none)
+    return s.select("s_suppkey", imports.output_format(pick("a.CUB", "b.tiff", "c")).alias("format"), made["Pixels"]["Type"].alias("cell"))
