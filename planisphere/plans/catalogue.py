@@ -95,7 +95,7 @@ def net_snap_measures(spark: SparkSession, d: str) -> DataFrame:
     return net.snap(*_net(spark, d), 900, 400)
 
 
-@query("SELECT run, any_value(rid) AS id, count(*) AS n, min(row_ord) AS first_row FROM (SELECT *, sum(s) OVER (ORDER BY row_ord) - 1 AS run FROM (SELECT row_ord, rid, (rid IS DISTINCT FROM lag(rid) OVER (ORDER BY row_ord) OR row_ord = 0)::BIGINT AS s FROM (SELECT event_id AS row_ord, event_type AS rid FROM events))) GROUP BY run")
+@query("SELECT run, any_value(rid) AS id, count(*) AS n, min(row_ord) AS first_row FROM (SELECT *, (sum(s) OVER (ORDER BY row_ord) - 1)::BIGINT AS run FROM (SELECT row_ord, rid, (rid IS DISTINCT FROM lag(rid) OVER (ORDER BY row_ord) OR row_ord = 0)::BIGINT AS s FROM (SELECT event_id AS row_ord, event_type AS rid FROM events))) GROUP BY run")
 def net_runs(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("row_ord"), F.col("event_type").alias("id"))
     return net.runs(rows).groupBy("run").agg(F.first("id").alias("id"), F.count("*").alias("n"), F.min("row_ord").alias("first_row"))
@@ -301,7 +301,7 @@ def meshgrid(spark: SparkSession, d: str) -> DataFrame:
     return lod.meshgrid(spark, 10.0, 350.0, 25, -60.0, 60.0, 13).select("row", "col", _r(F.col("lat"), 9).alias("lat"), _r(F.col("lon"), 9).alias("lon"))
 
 
-@query(f"SELECT ring, k::INT AS k, round({A}e0 * cos(lat) * cos(2 * pi() * k / n), 3) AS x, round({A}e0 * cos(lat) * sin(2 * pi() * k / n), 3) AS y, round({C}e0 * sin(lat), 3) AS z FROM (SELECT ring, -pi() / 2 + pi() * ((ring + 0.5e0) / 24) AS lat, greatest(1, round(60 * cos(-pi() / 2 + pi() * ((ring + 0.5e0) / 24)))) AS n FROM (SELECT unnest(range(24)) AS ring)), unnest(range(n::BIGINT)) AS u(k)")
+@query(f"SELECT ring, k::INT AS k, round({A}e0 * cos(lat) * cos(2 * pi() * k / n), 3) + 0.0e0 AS x, round({A}e0 * cos(lat) * sin(2 * pi() * k / n), 3) + 0.0e0 AS y, round({C}e0 * sin(lat), 3) AS z FROM (SELECT ring, -pi() / 2 + pi() * ((ring + 0.5e0) / 24) AS lat, greatest(1, round(60 * cos(-pi() / 2 + pi() * ((ring + 0.5e0) / 24)))) AS n FROM (SELECT unnest(range(24)) AS ring)), unnest(range(n::BIGINT)) AS u(k)")
 def placeholder_grid(spark: SparkSession, d: str) -> DataFrame:
     return lod.ring_grid(spark, 24, 60, A, C).select("ring", "k", *(_r(F.col(c)).alias(c) for c in "xyz"))
 
@@ -441,7 +441,7 @@ def ground_azimuth(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {stand_in.SQL}, {_RAYS}, k AS (SELECT *, sqrt(gx*gx+gy*gy+gz*gz) AS ma, sqrt(lx*lx+ly*ly+lz*lz) AS mb, gx*lx+gy*ly+gz*lz AS ab FROM rays)
-SELECT point_idx, round(ma, 3) AS mag, round(sqrt((gx-lx)**2+(gy-ly)**2+(gz-lz)**2), 3) AS dist, round({_acos('ab/(ma*mb)')}, 6) AS sep, round(gx/ma, 9) AS ux, round((gy*lz-gz*ly)/1e6, 3) AS cx, round(ab/1e6, 3) AS dotp, round(lx - ab/(ma*ma)*gx, 2) AS perp, round(greatest(abs(gx-lx), abs(gy-ly), abs(gz-lz)), 3) AS cheb FROM k""")
+SELECT point_idx, round(ma, 3) AS mag, round(sqrt((gx-lx)**2+(gy-ly)**2+(gz-lz)**2), 3) AS dist, round({_acos('ab/(ma*mb)')}, 6) AS sep, round(gx/ma, 9) AS ux, round((gy*lz-gz*ly)/1e6, 3) AS cx, round(ab/1e6, 3) AS dotp, round(lx - ab/(ma*ma)*gx, 2) + 0.0e0 AS perp, round(greatest(abs(gx-lx), abs(gy-ly), abs(gz-lz)), 3) AS cheb FROM k""")
 def vector_ops(spark: SparkSession, d: str) -> DataFrame:
     a, b = Vec.of("ground"), Vec.of("look")
     return _rays(spark, d).select("point_idx", _r(vec.magnitude(a)).alias("mag"), _r(vec.distance(a, b)).alias("dist"), _r(vec.separation_angle(a, b), 6).alias("sep"), _r(vec.unit(a).x, 9).alias("ux"), _r(vec.cross(a, b).x / 1e6).alias("cx"), _r(vec.dot(a, b) / 1e6).alias("dotp"), _r(vec.perpendicular(a, b).x, 2).alias("perp"), _r(geo.chebyshev(a, b)).alias("cheb"))
@@ -566,7 +566,7 @@ def wkt_ellipsoid(spark: SparkSession, d: str) -> DataFrame:
     return s.select("s_suppkey", a.alias("a"), _r(c).alias("c"))
 
 
-@query("SELECT image, n, round(-50 + 0.0 * image, 6) AS x0, 0.5e0 AS xs, round(0.02e0 * (image % 5), 6) AS xl, 30.0e0 AS y0, 0.0e0 AS ys, -0.25e0 AS yl FROM (SELECT s_suppkey AS image, 36::BIGINT AS n FROM supplier)")
+@query("SELECT image, n, -50.0e0 AS x0, 0.5e0 AS xs, round(0.02e0 * (image % 5), 6) AS xl, 30.0e0 AS y0, 0.0e0 AS ys, -0.25e0 AS yl FROM (SELECT s_suppkey AS image, 36::BIGINT AS n FROM supplier)")
 def affine_fit(spark: SparkSession, d: str) -> DataFrame:
     images = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("image"), F.lit(100).alias("samples"), F.lit(200).alias("lines"))
     p = footprints.edge_pixels(images, 10)
