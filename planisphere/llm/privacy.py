@@ -130,10 +130,9 @@ def disclosing(docs: DataFrame, found: DataFrame, alpha: float, support: int) ->
     pairs = stage(pairs.drop("contexts"), "pairs")
     n = docs.count()
     words = docs.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    asked = pairs.select("term").distinct()
     if pairs.isEmpty():  # no candidate: no document frequency is needed
         words = words.limit(0)
-    df = words.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    df = words.groupBy("term").agg(F.count("*").alias("n_t"))  # counted before the join, which then meets a row a term
     share = F.col("n_et") / F.greatest("n_t", "n_et")
     told = pairs.join(df, "term").withColumn("share", share).where(F.col("share") >= F.pow(F.col("n_e") / F.lit(float(max(1, n))), F.lit(1 - 1 / alpha)))
     told = stage(told.select("e", "term", "share"), "disclosing")
