@@ -1,6 +1,6 @@
 """Command line: convert, filter and summarize networks.
 
-    python -m planisphere.cli IN OUT [--where COL:LO..HI] [--start N --count N] [--summarize K [--method segment|tracks]]
+    python -m planisphere.cli IN OUT [--where COL:LO..HI] [--start N --count N] [--summarize K [--method segment|tracks|lines]]
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     p.add_argument("--start", type=int, default=0)
     p.add_argument("--count", type=int)
     p.add_argument("--summarize", type=int, default=0)
-    p.add_argument("--method", choices=("segment", "tracks"), default="tracks")
+    p.add_argument("--method", choices=("segment", "tracks", "lines"), default="tracks")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
     points, measures = facade.read_network(spark, a.input)
@@ -31,7 +31,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     if a.count is not None:
         points, measures = net.slice_points(points, a.start, a.count), net.slice_points(measures, a.start, a.count)
     kind = facade.infer_format(a.output)
-    if kind == "bundle":
+    if a.method == "lines" and kind != "bundle":
+        p.error("--method lines needs a bundle as output")
+    if a.method == "lines":
+        facade.write_lines(a.output, points, measures)
+    elif kind == "bundle":
         facade.write_bundle(a.output, points, measures, segments=a.summarize, by_tracks=a.method == "tracks")
     elif kind == "parquet":
         facade.write_flat(net.flatten(points, measures), a.output)

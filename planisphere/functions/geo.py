@@ -100,6 +100,16 @@ def on_radius(p: Vec, radius: Column) -> Vec:
     return scale(p, radius / F.nullif(magnitude(p), F.lit(0.0)))
 
 
+def shape_model(kind: str, lat: Column, lon: Column, height: float, a: float, b: float, c: float) -> tuple[Column, Column]:
+    """Height and radius (metres) at a position in degrees of a shape of constant height.
+
+    A shape given by a raster is `raster.lookup` and `raster.heights`; no other kind is known.
+    """
+    if kind != "constant":
+        raise ValueError(f"no shape model {kind}")
+    return F.lit(float(height)), radius_at(F.radians(lat), F.radians(lon), a, b, c) + height
+
+
 def ellipsoid_from_text(text: str) -> tuple[float, float, bool]:
     """(a, c, found) from WKT or PROJ text; WGS84 if nothing is found. An inverse flattening of 0 is a sphere."""
     number = r"([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)"

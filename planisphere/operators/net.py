@@ -17,18 +17,24 @@ HEADER = ["networkId", "targetName", "created", "lastModified", "description", "
 SEPARATOR = "\x1f"
 
 
-def ordinal(df: DataFrame, *order: Column | str, name: str = "ord") -> DataFrame:
-    """df with its rank from 0 in a total order, without a single-task window.
+def ordinal(df: DataFrame, *order: Column | str, name: str = "ord", running: str | None = None, into: str | None = None) -> DataFrame:
+    """df with its rank from 0 in a total order and, if asked, `into`: the sum of `running` over all rows before.
 
-    Rows are range-partitioned and ranked within partitions; the partitions' counts,
-    one row each, give the offsets. The partitioned rows are staged, as the bounds of
-    ranges are sampled anew each time they are worked out.
+    No window runs in a single task over rows: they are range-partitioned and ranked
+    within partitions; the partitions' counts, one row each, give the offsets. The
+    partitioned rows are staged, as the bounds of ranges are sampled anew each time
+    they are worked out.
     """
     dealt = stage(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "ordered")
-    inside = dealt.withColumn("in_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)))
-    counts = dealt.groupBy("part_").agg(F.count("*").alias("n_"))
-    before = counts.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))
-    return inside.join(before, "part_").withColumn(name, (F.col("before_") + F.col("in_") - 1).cast("long")).drop("part_", "in_", "before_")
+    value, w = F.col(running) if running else F.lit(0), Window.partitionBy("part_").orderBy(*order)
+    inside = dealt.withColumns({"in_": F.row_number().over(w), "sum_": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) - value})
+    counts = dealt.groupBy("part_").agg(F.count("*").alias("n_"), F.sum(value).alias("all_"))
+    ahead = Window.orderBy("part_")
+    before = counts.select("part_", (F.sum("n_").over(ahead) - F.col("n_")).alias("before_"), (F.sum("all_").over(ahead) - F.col("all_")).alias("upto_"))
+    made = {name: (F.col("before_") + F.col("in_") - 1).cast("long")}
+    if into:
+        made[into] = (F.col("upto_") + F.col("sum_")).cast("long")
+    return inside.join(before, "part_").withColumns(made).drop("part_", "in_", "sum_", "before_", "all_", "upto_")
 
 
 def counts(points: DataFrame, measures: DataFrame) -> DataFrame:
@@ -67,17 +73,8 @@ def runs(rows: DataFrame) -> DataFrame:
     before = rows.select((F.col("row_ord") + 1).alias("row_ord"), F.col("id").alias("id_before"))
     marked = rows.join(before, "row_ord", "left").withColumn("starts", F.coalesce((~F.col("id").eqNullSafe(F.col("id_before"))), F.lit(True)).cast("long"))
     marked = marked.withColumn("starts", F.when(F.col("row_ord") == 0, F.lit(1)).otherwise(F.col("starts"))).drop("id_before")
-    starts = ordinal(marked.where("starts = 1").select("row_ord"), "row_ord", name="run")
-    spans = starts.join(starts.select((F.col("run") - 1).alias("run"), F.col("row_ord").alias("upto")), "run", "left")
-    # the run of a row is the last start at or before it: a running maximum over buckets of rows, then inside them
-    bucket = F.floor(F.col("row_ord") / 4096)
-    last = spans.groupBy(bucket.alias("b")).agg(F.max("run").alias("last"))
-    carried = last.select("b", F.lag("last").over(Window.orderBy("b")).alias("prev"), F.col("last"))
-    held = marked.join(spans.select("row_ord", "run"), "row_ord", "left").withColumn("b", bucket)
-    every = held.select("b").distinct().join(carried, "b", "left").select("b", F.last(F.coalesce("last", "prev"), True).over(Window.orderBy("b")).alias("upto_b"))
-    into = every.select("b", F.lag("upto_b").over(Window.orderBy("b")).alias("into"))
-    w = Window.partitionBy("b").orderBy("row_ord").rowsBetween(Window.unboundedPreceding, 0)
-    return held.join(into, "b").withColumn("run", F.coalesce(F.max("run").over(w), "into")).drop("b", "into", "starts")
+    counted = ordinal(marked, "row_ord", name="nth_", running="starts", into="run")
+    return counted.withColumn("run", F.col("run") + F.col("starts") - 1).drop("nth_", "starts")
 
 
 def where_range(points: DataFrame, measures: DataFrame, column: str, low: float, high: float) -> tuple[DataFrame, DataFrame]:
@@ -118,12 +115,9 @@ def point_at(points: DataFrame, i: int) -> DataFrame:
 
 
 def offsets(points: DataFrame, measures: DataFrame) -> DataFrame:
-    """point_idx, n_measures, measure_start: running sums of counts, over blocks of points and then inside them."""
-    per = with_counts(points.select("point_idx"), measures).withColumn("b", F.floor(F.col("point_idx") / 65536))
-    block = per.groupBy("b").agg(F.sum("n_measures").alias("n"))
-    block = block.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("before"))
-    inside = F.sum("n_measures").over(Window.partitionBy("b").orderBy("point_idx")) - F.col("n_measures")
-    return per.join(block, "b").select("point_idx", "n_measures", (F.col("before") + inside).cast("long").alias("measure_start"))
+    """point_idx, n_measures, measure_start: running sums of counts."""
+    per = with_counts(points.select("point_idx"), measures)
+    return ordinal(per, "point_idx", name="nth_", running="n_measures", into="measure_start").drop("nth_")
 
 
 def slice_rows(rows: DataFrame, start: int, count: int) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import geo, photometry, vec
 from ..functions.vec import Vec
 from ..operators import footprints, imports, labels, lines, lod, net, projection, raster
+from ..operators.staging import stage
+from ..sources import documents, facade
+from ..streaming import windows
 from . import stand_in
 from .stand_in import A, C
 
@@ -202,10 +205,11 @@ def dequantize_xyz(spark: SparkSession, d: str) -> DataFrame:
     return p.select("point_idx", *(_r(c).alias(n) for n, c in zip("xyz", geo.geodetic_to_ecef(F.col("la"), F.col("lo"), F.lit(0.0), A, C))))
 
 
-@query("SELECT point_idx, round(max(sqrt(x * x + y * y + z * z)), 3) AS far FROM pts WHERE x IS NOT NULL GROUP BY point_idx HAVING point_idx < 2000")
+@query("SELECT point_idx // 2000 AS part, round(max(sqrt(x * x + y * y + z * z)), 3) AS far, count(x) AS n FROM pts GROUP BY 1")
 def window_radius(spark: SparkSession, d: str) -> DataFrame:
-    p = net.slice_points(stand_in.points(spark, d), 0, 2000).where("x is not null")
-    return p.groupBy("point_idx").agg(_r(F.max(vec.magnitude(Vec(*(F.col(c) for c in "xyz"))))).alias("far"))
+    """The largest radius of each window of 2000 points."""
+    far = vec.magnitude(Vec(*(F.col(c) for c in "xyz")))
+    return stand_in.points(spark, d).groupBy(F.floor(F.col("point_idx") / 2000).alias("part")).agg(_r(F.max(far)).alias("far"), F.count("x").alias("n"))
 
 
 @query("SELECT round(max(sqrt(x * x + y * y + z * z)), 3) AS radius, count(*) AS n FROM pts WHERE point_idx < 5000")
@@ -251,15 +255,27 @@ def mixture_sample(spark: SparkSession, d: str) -> DataFrame:
     return lod.mixture(_summary(spark, d, ("x", "y", "z")), 0.1)
 
 
-@query("SELECT a.key AS a, b.key AS b, round(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2), 3) AS dist FROM pts a JOIN pts b ON a.key < b.key AND (a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2 <= 4e8 AND abs(a.x-b.x) <= 2e4 WHERE a.key < 5000 AND b.key < 5000")
+_NEAR = 20_000.0
+_STEPS = "(SELECT unnest([-1, 0, 1]) AS {0})"
+
+
+@query(f"""WITH {stand_in.SQL}, g AS (SELECT point_idx, x, y, z, floor(x / {_NEAR})::BIGINT AS cx, floor(y / {_NEAR})::BIGINT AS cy, floor(z / {_NEAR})::BIGINT AS cz FROM pts WHERE x IS NOT NULL),
+r AS (SELECT point_idx, x, y, z, cx + i AS cx, cy + j AS cy, cz + k AS cz FROM g, {_STEPS.format('i')}, {_STEPS.format('j')}, {_STEPS.format('k')})
+SELECT a, b, round(sqrt(d2), 3) AS dist FROM (SELECT a.point_idx AS a, b.point_idx AS b, (b.x-a.x)**2 + (b.y-a.y)**2 + (b.z-a.z)**2 AS d2 FROM r a JOIN g b ON a.cx = b.cx AND a.cy = b.cy AND a.cz = b.cz AND a.point_idx < b.point_idx) WHERE d2 <= {_NEAR * _NEAR}""")
 def neighbour_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = net.slice_points(stand_in.points(spark, d), 0, 5000)
-    return lines.neighbours(p, 20_000.0).select("a", "b", _r(F.sqrt("d2")).alias("dist"))
+    return lines.neighbours(stand_in.points(spark, d), _NEAR).select("a", "b", _r(F.sqrt("d2")).alias("dist"))
 
 
 @query()
 def filaments(spark: SparkSession, d: str) -> DataFrame:
-    return lines.filaments(net.slice_points(stand_in.points(spark, d), 0, 20_000))
+    return lines.filaments(stand_in.points(spark, d))
+
+
+@query()
+def lines_layer(spark: SparkSession, d: str) -> DataFrame:
+    """Long filaments as windows of the reordered points, with their quantized vertices."""
+    pts = stage(stand_in.points(spark, d), "points")
+    return lines.layer(pts, stage(lines.filaments(pts), "filaments"), A, C)
 
 
 def _polylines(spark: SparkSession, d: str) -> DataFrame:
@@ -334,10 +350,11 @@ def ecef_inverse(spark: SparkSession, d: str) -> DataFrame:
     return stand_in.points(spark, d).select("point_idx", _r(lat, 9).alias("lat"), _r(lon, 9).alias("lon"), _r(F.degrees(F.atan2(p.z, F.sqrt(p.x * p.x + p.y * p.y))), 7).alias("lat_centric"))
 
 
-@query(f"WITH {stand_in.SQL}, t AS (SELECT *, sqrt(ax*ax + ay*ay) AS flat, atan2(az * {A}e0, sqrt(ax*ax + ay*ay) * {C}e0) AS th FROM pts WHERE abs(lat) < 1.5), u AS (SELECT *, atan2(az + {_E2!r}e0 * {C}e0 * pow(sin(th), 3), flat - {_E2!r}e0 * {A}e0 * pow(cos(th), 3)) AS la FROM t) SELECT point_idx, round(degrees(la), 7) AS lat, round(degrees(atan2(ay, ax)), 7) AS lon, round(flat / cos(la) - {A}e0 / sqrt(1 - {_E2!r}e0 * sin(la) * sin(la)), 2) AS h FROM u")
+@query(f"WITH {stand_in.SQL}, t AS (SELECT *, sqrt(ax*ax + ay*ay) AS flat, atan2(az * {A}e0, sqrt(ax*ax + ay*ay) * {C}e0) AS th FROM pts), u AS (SELECT *, atan2(az + {_E2!r}e0 * {C}e0 * pow(sin(th), 3), flat - {_E2!r}e0 * {A}e0 * pow(cos(th), 3)) AS la FROM t) SELECT point_idx, round(degrees(la), 7) AS lat, round(degrees(atan2(ay, ax)), 7) AS lon, CASE WHEN abs(lat) < 1.5 THEN round(flat / cos(la) - {A}e0 / sqrt(1 - {_E2!r}e0 * sin(la) * sin(la)), 2) END AS h FROM u")
 def bowring_height(spark: SparkSession, d: str) -> DataFrame:
-    lat, lon, h = geo.bowring(_apriori(), A, C)
-    return stand_in.points(spark, d).where("abs(lat) < 1.5").select("point_idx", _r(lat, 7).alias("lat"), _r(lon, 7).alias("lon"), _r(h, 2).alias("h"))
+    """Heights are null near the poles, where the formula divides by nearly 0."""
+    la, lo, h = geo.bowring(_apriori(), A, C)
+    return stand_in.points(spark, d).select("point_idx", _r(la, 7).alias("lat"), _r(lo, 7).alias("lon"), F.when(F.abs("lat") < 1.5, _r(h, 2)).alias("h"))
 
 
 _B = 3390000.0
@@ -462,10 +479,10 @@ _GT, _NODATA = (-180.0, 7.2, 0.0, 90.0, 0.0, -4.5), -9999.0
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     p = spark.read.parquet(f"{d}/part.parquet")
     v = F.when(F.col("p_partkey") % 11 == 0, _NODATA).otherwise(F.col("p_retailprice"))
-    return p.where("p_partkey < 2000").select((F.col("p_partkey") % 50).cast("int").alias("px"), F.floor(F.col("p_partkey") / 50).cast("int").alias("py"), v.alias("value"))
+    return p.select((F.col("p_partkey") % 50).cast("int").alias("px"), F.floor(F.col("p_partkey") / 50).cast("int").alias("py"), v.alias("value"))
 
 
-_CELLS = "cells AS (SELECT (p_partkey % 50)::INT AS px, (p_partkey // 50)::INT AS py, CASE WHEN p_partkey % 11 = 0 THEN -9999.0e0 ELSE p_retailprice END AS value FROM part WHERE p_partkey < 2000)"
+_CELLS = "cells AS (SELECT (p_partkey % 50)::INT AS px, (p_partkey // 50)::INT AS py, CASE WHEN p_partkey % 11 = 0 THEN -9999.0e0 ELSE p_retailprice END AS value FROM part)"
 
 
 @query(f"""WITH {stand_in.SQL}, {_CELLS}, q AS (SELECT point_idx, lat, lon, trunc((degrees(lon) + 180) / 7.2e0)::INT AS px, trunc((degrees(lat) - 90) / -4.5e0)::INT AS py FROM pts),
@@ -600,3 +617,62 @@ def import_formats(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("double")
     made = imports.core(F.lit(4), F.lit(16), F.lit(1), pick("Byte", "Int16", "Other"), none, none)
     return s.select("s_suppkey", imports.output_format(pick("a.CUB", "b.tiff", "c")).alias("format"), made["Pixels"]["Type"].alias("cell"))
+
+
+@query("SELECT point_idx, 'POINT Z(' || printf('%.3f %.3f %.3f', ax, ay, az) || ')' AS wkt FROM pts")
+def ecef_point_text(spark: SparkSession, d: str) -> DataFrame:
+    return stand_in.points(spark, d).select("point_idx", footprints.ecef_wkt(*_apriori()).alias("wkt"))
+
+
+@query(f"SELECT point_idx, 250.0e0 AS height, round(250 + {A}e0 * {A}e0 * {C}e0 / sqrt(pow({A}e0 * {C}e0 * cos(lat) * cos(lon), 2) + pow({A}e0 * {C}e0 * cos(lat) * sin(lon), 2) + pow({A}e0 * {A}e0 * sin(lat), 2)), 3) AS radius FROM pts")
+def shape_radius(spark: SparkSession, d: str) -> DataFrame:
+    h, r = geo.shape_model("constant", F.degrees("lat"), F.degrees("lon"), 250, A, A, C)
+    return stand_in.points(spark, d).select("point_idx", h.alias("height"), _r(r).alias("radius"))
+
+
+@query("SELECT s_suppkey % 40 AS image, 0.0e0 + min(k * 3) AS min_x, 0.0e0 + max(k * 3) AS max_x, min(s_acctbal) AS min_y, max(s_acctbal) AS max_y FROM (SELECT *, s_suppkey % 17 AS k FROM supplier) WHERE k <> 3 GROUP BY 1")
+def projected_bounds(spark: SparkSession, d: str) -> DataFrame:
+    s = spark.read.parquet(f"{d}/supplier.parquet").withColumn("k", F.col("s_suppkey") % 17)
+    return footprints.bounds(s.select((F.col("s_suppkey") % 40).alias("image"), F.when(F.col("k") != 3, F.col("k") * 3.0).alias("x"), F.col("s_acctbal").alias("y")))
+
+
+@query("SELECT page_id, CASE WHEN url IS NULL OR trim(url) = '' THEN 'empty' WHEN NOT regexp_matches(url, '(?i)^(https?|s3|file)://') THEN 'scheme' WHEN NOT regexp_matches(url, '://[^/?#]+') THEN 'no host' ELSE '' END AS problem FROM pages")
+def url_validity(spark: SparkSession, d: str) -> DataFrame:
+    bad = documents.url_problems(F.col("url"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.coalesce(F.get(bad, 0), F.lit("")).alias("problem"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'MARS' WHEN 1 THEN 'DEIMOS' WHEN 2 THEN 'MOON' ELSE 'EARTH' END AS body FROM supplier")
+def target_body(spark: SparkSession, d: str) -> DataFrame:
+    k, none = F.col("s_suppkey") % 4, F.lit(None).cast("string")
+    found = documents.body(F.when(k == 0, 499), F.when(k == 1, "Deimos").otherwise(none), F.when(k == 2, "Lunar Orbiter").otherwise(none), F.when(k == 3, 6370.0))
+    return spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", found.alias("body"))
+
+
+@query(f"""WITH {stand_in.SQL}, {_RAYS}, s AS (SELECT point_idx, gx, gy, gz, gx + 3 AS sx, gy - 4 AS sy, gz AS sz, gx AS mx, gy + 5 AS my, gz + 12 AS mz FROM rays)
+SELECT point_idx, round(sqrt((sx-gx)**2 + (sy-gy)**2 + (sz-gz)**2), 6) AS sample_resolution, round(sqrt((mx-gx)**2 + (my-gy)**2 + (mz-gz)**2), 6) AS line_resolution, 9.0e0 AS pixel_resolution, round(9 / cos(radians(point_idx % 60)), 6) AS oblique_resolution FROM s""")
+def pixel_resolution(spark: SparkSession, d: str) -> DataFrame:
+    r = _rays(spark, d).withColumn("emission", (F.col("point_idx") % 60).cast("double"))
+    for name, step in (("s", (3, -4, 0)), ("l", (0, 5, 12))):
+        r = r.withColumns({f"ground_{name}_{k}": F.col(f"ground_{k}") + v for k, v in zip("xyz", step)})
+    return photometry.resolution(r).select("point_idx", *(_r(F.col(c), 6).alias(c) for c in ("sample_resolution", "line_resolution", "pixel_resolution", "oblique_resolution")))
+
+
+@query("SELECT point_idx, x::FLOAT AS x, y::FLOAT AS y, z::FLOAT AS z FROM pts WHERE point_idx >= 700 AND point_idx < 1500")
+def xyz_window(spark: SparkSession, d: str) -> DataFrame:
+    return facade.read_xyz(stand_in.points(spark, d), 700, 800)[0]
+
+
+@query("SELECT point_idx, measure_ord, serialnumber AS value FROM mes")
+def dictionary_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Codes instead of names, and names again."""
+    mes = stage(stand_in.measures(spark, d).select("point_idx", "measure_ord", "serialnumber", F.struct("point_idx", "measure_ord").alias("at")), "measures")
+    names = stage(net.dictionary(mes, "serialnumber", "at"), "names")
+    codes = mes.join(names, mes.serialnumber == names.value).select("point_idx", "measure_ord", "code")
+    return net.decode(codes, names).select("point_idx", "measure_ord", "value")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    got = windows.tumbling(spark.read.parquet(f"{d}/events.parquet"), "ts", "1 hour", "10 minutes", "event_type")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", _r(F.col("value"), 4).alias("value"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lod, net
+from ..functions import geo
+from ..functions.vec import Vec, magnitude
+from ..operators import lines, lod, net
+from ..operators.staging import stage
 from . import netpb
 
 LAYERS = ("points", "measures", "summary", "lines", "density")
@@ -24,6 +30,13 @@ def read_flat(spark: SparkSession, path: str, columns: list[str] | None = None,
     return rows.select("id", *(c for c in columns if c != "id" and c in rows.columns)) if columns else rows
 
 
+def read_flat_bytes(spark: SparkSession, raw: bytes, columns: list[str] | None = None) -> DataFrame:
+    """Flat rows of a Parquet file that the caller holds in memory; bytes of another kind raise."""
+    found = pq.ParquetFile(io.BytesIO(raw))
+    held = found.schema_arrow.names
+    return spark.createDataFrame(found.read([c for c in held if not columns or c == "id" or c in columns]))
+
+
 def write_flat(rows: DataFrame, path: str, codec: str = "gzip") -> None:
     """Rows ranged and sorted by point, so that files hold whole points and their statistics prune ranges."""
     rows.repartitionByRange("point_idx").sortWithinPartitions("point_idx", "measure_ord").write.mode("overwrite").parquet(path, compression=codec)
@@ -34,7 +47,7 @@ def shape(rows: DataFrame) -> dict:
     return {"rows": rows.count(), "columns": rows.columns}
 
 
-def write_bundle(path: str, points: DataFrame, measures: DataFrame, header: dict[str, str] | None = None, segments: int = 0, by_tracks: bool = False) -> None:
+def write_bundle(path: str, points: DataFrame, measures: DataFrame, header: dict[str, str] | None = None, segments: int = 0, by_tracks: bool = False, reordered: bool = False) -> None:
     """points, measures, meta and, with segments, a Gaussian summary, of points reordered by track if asked."""
     spark = points.sparkSession
     if segments and by_tracks:
@@ -43,13 +56,53 @@ def write_bundle(path: str, points: DataFrame, measures: DataFrame, header: dict
         points, measures = renamed(points), renamed(measures)
     for name, df in (("points", points), ("measures", measures)):
         df.repartitionByRange("point_idx").sortWithinPartitions("point_idx").write.mode("overwrite").parquet(f"{path}/{name}")
-    stamps = {**(header or {}), "pointsReordered": str(int(bool(segments and by_tracks)))}
+    stamps = {**(header or {}), "pointsReordered": str(int(reordered or bool(segments and by_tracks)))}
     spark.createDataFrame(list(stamps.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     if segments:
         held = spark.read.parquet(f"{path}/points")
         lod.gaussian(held, segments, held.count()).write.mode("overwrite").parquet(f"{path}/summary")
 
 
+def write_lines(path: str, points: DataFrame, measures: DataFrame, header: dict[str, str] | None = None, cell: float = lines.CELL, turn: float = lines.TURN, min_length: int = lines.MIN_LENGTH, epsilon: float = lines.EPSILON, a: float = geo.MARS[0], c: float = geo.MARS[1]) -> None:
+    """A bundle whose points stand in filament order, with the layers lines and density.
+
+    Positions are x, y, z or adjustedX, adjustedY, adjustedZ. The stamp pointsReordered tells whether there was any filament.
+    """
+    xyz = Vec(*located(points))
+    placed = stage(points.select("point_idx", *(k.alias(n) for n, k in zip("xyz", xyz))), "placed")
+    traced = stage(lines.filaments(placed, cell, turn, min_length, epsilon), "filaments")
+    order = stage(lines.line_order(placed, traced, min_length), "order")
+    renamed = lambda df: df.join(order, "point_idx").drop("point_idx").withColumnRenamed("new_idx", "point_idx")
+    made = stage(lines.layer(placed, traced, a, c, min_length), "lines")
+    count = made.count()
+    write_bundle(path, renamed(points), renamed(measures), {**(header or {}), "summaryMethod": "lines", "lineCount": str(count), "linesRadiusA": repr(a), "linesRadiusC": repr(c)}, reordered=count > 0)
+    made.write.mode("overwrite").parquet(f"{path}/lines")
+    lat, lon = geo.ecef_to_geodetic(Vec(*(F.col(k) for k in "xyz")), a, c)
+    lod.density(placed.where("x is not null").select(lat.alias("lat"), lon.alias("lon"))).write.mode("overwrite").parquet(f"{path}/density")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, v, x, y, z: the vertices of a bundle's lines on the ellipsoid that its stamps name."""
+    meta = {r.key: r.value for r in read_layer(spark, path, "meta", "key string, value string").where("key like 'linesRadius%'").collect()}
+    found = read_layer(spark, path, "lines", "line long, range_start long, range_count long, vertices array<struct<qlon:smallint,qlat:smallint>>")
+    return lines.vertices(found, float(meta.get("linesRadiusA", geo.MARS[0])), float(meta.get("linesRadiusC", geo.MARS[1])))
+
+
+def located(points: DataFrame) -> list[Column]:
+    """The columns of adjusted positions: the first of the known names that the points have."""
+    for names in (["x", "y", "z"], ["adjustedX", "adjustedY", "adjustedZ"], ["adjX", "adjY", "adjZ"]):
+        if all(n in points.columns for n in names):
+            return [F.col(n) for n in names]
+    raise ValueError("no columns of positions")
+
+
+def read_xyz(points: DataFrame, start: int, count: int) -> tuple[DataFrame, DataFrame]:
+    """point_idx, x, y, z (floats) of a window of points, clamped to what is there; and its largest radius."""
+    cut = net.slice_points(points, start, count)
+    xyz = Vec(*located(cut))
+    return cut.select("point_idx", *(k.cast("float").alias(n) for n, k in zip("xyz", xyz))), cut.agg(F.max(magnitude(xyz)).alias("radius"))
+
+
 def read_layer(spark: SparkSession, path: str, layer: str, schema: str | None = None) -> DataFrame:
     """A bundle's table; a layer that is not there has no rows (of the schema given)."""
     from pyspark.errors import AnalysisException
