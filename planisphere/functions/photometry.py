@@ -48,9 +48,8 @@ def local_frame(df: DataFrame) -> DataFrame:
 
 def azimuth(v: Vec) -> Column:
     """Degrees in [0, 360) of a direction in the local frame."""
-    n = Vec.of("normal")
-    flat = unit(v.minus(scale(n, dot(v, n))))
-    return F.pmod(F.degrees(F.atan2(dot(flat, Vec.of("east")), dot(flat, Vec.of("north")))), F.lit(360.0))
+    # east and north are at right angles to the normal, so the vector's part along the normal has no say
+    return F.pmod(F.degrees(F.atan2(dot(v, Vec.of("east")), dot(v, Vec.of("north")))), F.lit(360.0))
 
 
 def spacecraft(df: DataFrame, a: float, c: float) -> DataFrame:

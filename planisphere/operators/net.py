@@ -20,21 +20,23 @@ SEPARATOR = "\x1f"
 def ordinal(df: DataFrame, *order: Column | str, name: str = "ord", running: str | None = None, into: str | None = None) -> DataFrame:
     """df with its rank from 0 in a total order and, if asked, `into`: the sum of `running` over all rows before.
 
-    No window runs in a single task over rows: they are range-partitioned and ranked
-    within partitions; the partitions' counts, one row each, give the offsets. The
-    partitioned rows are staged, as the bounds of ranges are sampled anew each time
-    they are worked out.
+    Rows are range-partitioned and sorted, and numbered as they are staged: a row's
+    number holds its partition and its place there, so ranks take one shuffle. The
+    partitions' counts, one row each (hence the broadcast), give the offsets.
     """
-    dealt = stage(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "ordered")
-    value, w = F.col(running) if running else F.lit(0), Window.partitionBy("part_").orderBy(*order)
-    inside = dealt.withColumns({"in_": F.row_number().over(w), "sum_": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) - value})
-    counts = dealt.groupBy("part_").agg(F.count("*").alias("n_"), F.sum(value).alias("all_"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()), "ordered")
+    part, value = F.shiftright("at_", 33), F.col(running) if running else F.lit(0)
+    counts = dealt.groupBy(part.alias("part_")).agg(F.count("*").alias("n_"), F.sum(value).alias("all_"))
     ahead = Window.orderBy("part_")
     before = counts.select("part_", (F.sum("n_").over(ahead) - F.col("n_")).alias("before_"), (F.sum("all_").over(ahead) - F.col("all_")).alias("upto_"))
-    made = {name: (F.col("before_") + F.col("in_") - 1).cast("long")}
+    made = {name: (F.col("before_") + F.col("at_").bitwiseAND(F.lit(2**33 - 1))).cast("long")}
+    inside = dealt.withColumn("part_", part)
     if into:
+        w = Window.partitionBy("part_").orderBy("at_").rowsBetween(Window.unboundedPreceding, 0)
+        inside = inside.withColumn("sum_", F.sum(value).over(w) - value)
         made[into] = (F.col("upto_") + F.col("sum_")).cast("long")
-    return inside.join(before, "part_").withColumns(made).drop("part_", "in_", "sum_", "before_", "all_", "upto_")
+    return inside.join(F.broadcast(before), "part_").withColumns(made).drop("part_", "at_", "sum_", "before_", "upto_")
 
 
 def counts(points: DataFrame, measures: DataFrame) -> DataFrame:
