@@ -2,27 +2,28 @@
 
 Patterns find the protected entities: e-mail addresses, IP addresses, card numbers
 (Luhn) and phone numbers. The corpus then tells which other terms reveal them. For an
-entity e and a term t in the words around e, the share of t's documents that show it
-beside e is p(e|t), and t discloses e if its pointwise mutual information with e
-reaches the entity's information content over ALPHA:
+entity e and a term t anywhere in a text that holds e, p(e|t) is the share of t's texts
+that hold e, and t discloses e if its pointwise mutual information with e reaches the
+entity's information content over ALPHA:
 
     log2(p(e|t) / p(e)) >= -log2(p(e)) / ALPHA, that is, p(e|t) >= p(e) ^ (1 - 1/ALPHA)
 
-Such terms become spans of kind `term` in the documents that hold e. A term counts only
-if it stands beside e in SUPPORT different contexts, so that a name that occurs once, or
-in a passage copied many times, is no evidence. In sanitised text an entity becomes its
-kind in brackets; a term is removed where it tells the entity almost surely (REMOVE),
-else generalised to its initial.
+Such terms become spans of kind `term` wherever they stand in the documents that hold e.
+All entities are judged, however rare: p(e|t) = (n_et + PRIOR p(e)) / (n_t + PRIOR), so
+that few texts count less than many. A text counts once, however many documents are exact
+copies of it; an entity of all texts has no information to disclose. In sanitised text an
+entity becomes its kind in brackets; a term is removed where it tells the entity almost
+surely (REMOVE), else generalised to its initial.
 
 Positions come from the texts between matches: one pass splits, one extracts, and the
 lengths are summed. Documents without matches cost the passes alone. What the corpus
-gathers (contexts, document frequencies of candidate terms) covers all rows.
+gathers (texts of each term and entity) covers all rows. Terms in too many texts to
+disclose an entity even if it stood in all of them are not paired with it.
 
 Defined cases: null text is empty; spans are code points, end exclusive, leftmost and
 non-overlapping for each kind; spans of different kinds may overlap, and sanitising
 takes them from left to right; terms inside an entity's span are no spans of their own;
-rows that repeat a doc_id with the same text count once in the corpus; a null doc_id is
-a document like others; empty tables give no rows. Columns `spans` and `sanitised`
+a null doc_id is a document like others; empty tables give no rows. Columns `spans` and `sanitised`
 replace such columns of the input; all others are kept by `sanitise`.
 """
 
@@ -45,7 +46,8 @@ KINDS = [*PATTERNS, "term"]
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _WORD = r"\p{L}{3,}"
-ALPHA, SUPPORT, REMOVE, AROUND = 1.1, 3, 0.9, 60
+#: PRIOR: for how many texts the entity's own share counts in the estimate of p(e|t).
+ALPHA, PRIOR, REMOVE = 1.1, 1.0, 0.9
 
 
 def _digits(value: Column) -> Column:
@@ -113,46 +115,47 @@ def entity(kind: Column, value: Column) -> Column:
     return F.concat(kind.cast("string"), F.lit(":"), F.when(kind >= 2, _digits(value)).otherwise(lower_ascii(value)))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, alpha: float, support: int) -> DataFrame:
-    """id, th, e, term, share: the terms that disclose an entity of the document; a staged table."""
-    text = F.col("text")
-    near = found.where("size(base) > 0").select("id", "th", "text", F.explode("base").alias("s"))
-    before = F.substring(text, F.greatest(F.lit(1), F.col("s.start") - AROUND + 1), F.least(F.lit(AROUND), F.col("s.start")))
-    after = F.substring(text, F.col("s.end") + 1, F.lit(AROUND))
-    around = F.concat_ws("\n", before, after)
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(_WORD), F.lit(0)))
-    seen = near.select("id", "th", entity(F.col("s.kind"), F.col("s.value")).alias("e"), F.xxhash64(around).alias("ctx"), terms.alias("terms")).distinct()
-    seen = stage(seen, "contexts")
-    doc = F.struct("id", "th")
-    of_e = seen.groupBy("e").agg(F.countDistinct(doc).alias("n_e"), F.countDistinct("ctx").alias("contexts")).where(F.col("contexts") >= support)
-    each = seen.join(of_e.select("e", "n_e"), "e").select("id", "th", "e", "n_e", "ctx", F.explode("terms").alias("term"))
-    pairs = each.groupBy("e", "n_e", "term").agg(F.countDistinct(doc).alias("n_et"), F.countDistinct("ctx").alias("contexts")).where(F.col("contexts") >= support)
-    pairs = stage(pairs.drop("contexts"), "pairs")
-    n = docs.count()
-    words = docs.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    if pairs.isEmpty():  # no candidate: no document frequency is needed
-        words = words.limit(0)
-    df = words.groupBy("term").agg(F.count("*").alias("n_t"))  # counted before the join, which then meets a row a term
-    share = F.col("n_et") / F.greatest("n_t", "n_et")
-    told = pairs.join(df, "term").withColumn("share", share).where(F.col("share") >= F.pow(F.col("n_e") / F.lit(float(max(1, n))), F.lit(1 - 1 / alpha)))
-    told = stage(told.select("e", "term", "share"), "disclosing")
-    return stage(seen.select("id", "th", "e", "terms").distinct().join(told, "e").where(F.array_contains("terms", F.col("term"))).groupBy("id", "th").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("sure")), "document_terms")
-
-
-def find_spans(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def vocabulary(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, alpha: float, prior: float) -> DataFrame:
+    """th, terms, sure: the terms of a text that disclose an entity in it; a staged table."""
+    held = found.select("th", F.explode("base").alias("s")).select("th", entity(F.col("s.kind"), F.col("s.value")).alias("e")).distinct()
+    held = stage(held, "held")
+    if held.isEmpty():  # no entity: no frequency is needed
+        docs = docs.limit(0)
+    th = F.xxhash64("text").alias("th")
+    n = F.lit(float(max(1, docs.select(th).distinct().count())))
+    words = docs.select(th, vocabulary(F.col("text")).alias("terms")).groupBy("th").agg(F.first("terms").alias("terms"))
+    n_t = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))  # counted before the join, which then meets a row a term
+    near = found.select("th", F.explode(vocabulary(F.col("text"))).alias("term")).distinct().join(n_t, "term")
+    of_e = held.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n)
+    p = F.col("n_e") / n
+    share = lambda n_et: (n_et + prior * p) / (F.col("n_t") + prior)
+    tells = lambda n_et: share(n_et) >= F.pow(p, F.lit(1 - 1 / alpha))
+    pairs = held.join(of_e, "e").join(near, "th").where(tells(F.least("n_e", "n_t")))
+    pairs = stage(pairs, "pairs")
+    told = pairs.groupBy("e", "n_e", "term", "n_t").agg(F.count("*").alias("n_et")).where(tells(F.col("n_et")))
+    told = stage(told.select("e", "term", share(F.col("n_et")).alias("share")), "disclosing")
+    asked = pairs.select("th", "e", "term").join(told, ["e", "term"])
+    return stage(asked.groupBy("th").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("sure")), "document_terms")
+
+
+def find_spans(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
     """id (doc_id), th (a hash of the text), base and terms (arrays of spans), sure (terms to remove): one row a document row."""
     all_docs = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     found = all_docs.select("id", F.xxhash64("text").alias("th"), "text", base_spans(F.col("text")).alias("base"))
     held = stage(found.where("size(base) > 0"), "entities")
-    by_doc = disclosing(all_docs.select("text"), held, alpha, support)
+    by_doc = disclosing(all_docs.select("text"), held, alpha, prior)
 
-    asked = by_doc.select(F.col("id").alias("id2"), F.col("th").alias("th2"), F.col("terms").alias("told"), "sure")
-    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))
+    asked = by_doc.select("th", F.col("terms").alias("told"), "sure")
     apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
     every = matches(F.col("text"), _WORD, len(PATTERNS))
     named = F.filter(every, lambda s: F.array_contains(F.col("told"), F.lower(s["value"])) & apart(s))
     none = F.array().cast(f"array<{_SPAN}>")
-    marked = held.join(asked, same, "left").select("id", "th", "base", F.when(F.col("told").isNull(), none).otherwise(named).alias("terms"), F.coalesce("sure", F.array().cast("array<string>")).alias("sure")).dropDuplicates(["id", "th"])
+    marked = held.join(asked, "th", "left").select("id", "th", "base", F.when(F.col("told").isNull(), none).otherwise(named).alias("terms"), F.coalesce("sure", F.array().cast("array<string>")).alias("sure")).dropDuplicates(["id", "th"])
     marked = stage(marked, "spans")
     rows = all_docs.select("id", F.xxhash64("text").alias("th"))
     right = marked.select(F.col("id").alias("id3"), F.col("th").alias("th3"), "base", "terms", "sure")
@@ -166,9 +169,9 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(name(s["kind"]), F.lit(":"), s["start"], F.lit(":"), s["end"])), ",")
 
 
-def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
     """The documents with spans (array of kind, start, end) and sanitised (the text without what they cover)."""
-    marked = stage(find_spans(docs, alpha, support).dropDuplicates(["id", "th"]), "document_spans")
+    marked = stage(find_spans(docs, alpha, prior).dropDuplicates(["id", "th"]), "document_spans")
     whole = docs.select(F.struct(*docs.columns).alias("d"))
     text = F.coalesce(F.col("d.text"), F.lit(""))
     both = whole.join(marked.hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("th")), "left")

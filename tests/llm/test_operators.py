@@ -373,6 +373,40 @@ def test_disclosing_terms(spark):
     assert privacy.digests(docs(spark, [])).count() == 0
 
 
+def _told(rows, alpha=privacy.ALPHA, prior=privacy.PRIOR):
+    """Plain version: the disclosing terms of each text."""
+    holds, terms = {}, {}
+    for t in {t for _, t in rows}:
+        found = [(k, m.group()) for k, p in PLAIN for m in re.finditer(p, t) if _sound(k, m.group())]
+        holds[t] = {(k, v.lower() if k in ("email", "ip") else re.sub("[^0-9]", "", v)) for k, v in found}
+        terms[t] = {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}
+    n_t = Counter(w for x in terms.values() for w in x)
+    out = defaultdict(set)
+    for e in set().union(*holds.values()):
+        texts = [t for t in holds if e in holds[t]]
+        p = len(texts) / len(holds)
+        n_et = Counter(w for t in texts for w in terms[t])
+        told = {w for w, k in n_et.items() if p < 1 and (k + prior * p) / (n_t[w] + prior) >= p ** (1 - 1 / alpha)}
+        for t in texts:
+            out[t] |= told & terms[t]
+    return out
+
+
+def test_terms_of_whole_texts_and_rare_entities(spark):
+    far = " ".join(["common things happen"] * 10)
+    rows = [(k, f"Zebulon{'abcdef'[k]} {far} zebulon {'bcdefg'[k] * 4} {far} wrote to jo@x.org") for k in range(6)]
+    rows += [(50 + k, f"common things happen {k} at {k % 9}.1.1.{k % 7}") for k in range(40)] + [(200 + k, f"common things happen again {k}") for k in range(2500)]
+    rows += [(9000, f"the Raretoken spoke {far} to solo@y.org"), (9001, f"the Raretoken spoke {far} to solo@y.org"), (9002, f"a Twotoken {far} two@z.org"), (9003, "no twotoken is here")]
+    got = {r.doc_id: r.spans for r in privacy.digests(docs(spark, rows, "spans")).collect()}
+    want = _told(rows)
+    for d, t in rows:
+        words = [t[int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in got[d].split(",") if s) if k == "term"]
+        whole = re.sub(r"\S+@\S+", " ", t)  # no span stands in an entity
+        assert sorted(words) == sorted(w for w in re.findall(r"[^\W\d_]{3,}", whole.lower()) if w in want[t])
+    for d, word, told in ((0, "zebulon", True), (9000, "raretoken", True), (9001, "raretoken", True), (9002, "twotoken", False), (0, "common", False)):
+        assert (word in want[dict(rows)[d]]) == told
+
+
 # 10, audio
 
 
