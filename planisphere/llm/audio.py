@@ -4,19 +4,22 @@ A recording (mono PCM samples) becomes pitch-class frames: the power of each sho
 Fourier frame folded to twelve pitch classes and scaled to length 1. Sixteen filters
 over a window of 16 frames compare rectangles of the chroma image, each by four lookups
 in its integral image, and give two bits each: a 32-bit integer for each frame. Two
-recordings are aligned by the histogram of offsets at which they have equal integers;
-the share of differing bits over the overlap at the best offset decides.
+recordings align if at any offset at most MAX_ERROR of the bits differ over an overlap of
+MIN_OVERLAP frames or more. All offsets are tested, whether or not an integer is equal
+there. Of those that align, the one with most equal integers is told.
 
 The tables hold no audio, so the query renders each vector of `embeddings` as a
 recording: a note for each of its numbers, the pitch set by the number.
 
 `search` takes the fingerprints of a stated set of queries against all rows, in blocks
-of BLOCK queries whose integers stand sorted in memory; nothing else is held, and no
-pair of recordings is made unless it aligns. Style: Python with Arrow.
+of BLOCK queries held in memory; nothing else is held, and no pair of recordings is made
+unless it aligns. A block and some rows are compared at an offset at once, frames in turn
+until all pairs have more differing bits than the whole overlap may have. Work grows with
+the product of the lengths. Style: Python with Arrow.
 
 Defined cases: null or too short audio has an empty fingerprint and aligns with nothing;
 silence gives equal chroma frames and fingerprints of zero difference; a recording does
-not match itself by id; ties of offsets go to the smallest shift, then the smaller one;
+not match itself by id; ties of offsets go to the fewest differing bits, then the smallest shift, then the smaller one;
 repeated rows are recordings of their own; empty tables give no rows. Other columns are
 ignored.
 """
@@ -37,6 +40,8 @@ LOWEST, HIGHEST = 110.0, 3520.0
 #: A pair aligns if at most this share of bits differ over at least so many frames.
 MAX_ERROR, MIN_OVERLAP, BLOCK = 0.15, 16, 2048
 QUERY_EVERY = 100
+#: Rows compared at once, and integers held for it: bounds of memory only.
+_ROWS, _HELD = 8, 1 << 17
 _LOW, _HIGH = -0.05, 0.05
 
 
@@ -130,38 +135,65 @@ def fingerprints(table: DataFrame, id_column: str, media: str, decode=np.asarray
 
 
 class _Block:
-    """The integers of some queries, sorted, for lookups."""
+    """The fingerprints of some queries, by length, for comparison with rows."""
 
     def __init__(self, prints: list[tuple[int, np.ndarray]]):
-        self.ids, self.prints = [i for i, _ in prints], [p for _, p in prints]
-        key = np.concatenate([*self.prints, np.empty(0, np.uint32)])
-        self.of = np.repeat(np.arange(len(prints)), [len(p) for p in self.prints])
-        self.at = np.concatenate([*(np.arange(len(p)) for p in self.prints), np.empty(0, int)]).astype(int)
-        order = np.argsort(key, kind="stable")
-        self.key, self.of, self.at = key[order], self.of[order], self.at[order]
+        self.ids = [i for i, _ in prints]
+        by_length: dict[int, list[int]] = {}
+        for k, (_, p) in enumerate(prints):
+            by_length.setdefault(len(p), []).append(k)
+        #: (queries, their integers as frames x queries, the same with each integer's next beside it)
+        self.groups = []
+        for n, of in by_length.items():
+            if n >= MIN_OVERLAP:
+                frames = np.stack([np.asarray(prints[k][1], np.uint32) for k in of], axis=1)
+                self.groups.append((np.array(of), frames, self._two(frames)))
+
+    @staticmethod
+    def _two(frames: np.ndarray) -> np.ndarray:
+        return frames[:-1].astype(np.uint64) | (frames[1:].astype(np.uint64) << np.uint64(32))
 
     def aligned(self, row_id: int, p: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(query id, offset, overlap, bit error) of each query that aligns with a row."""
-        low, high = np.searchsorted(self.key, p, "left"), np.searchsorted(self.key, p, "right")
-        n = high - low
-        if not n.sum():
-            return []
-        hit = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        query, offset = self.of[hit], np.repeat(np.arange(len(p)), n) - self.at[hit]
-        pair, votes = np.unique(np.stack([query, offset]), axis=1, return_counts=True)
-        out = []
-        order = np.lexsort((pair[1], np.abs(pair[1]), -votes, pair[0]))
-        q_sorted = pair[0][order]
-        for k in order[np.concatenate([[True], q_sorted[1:] != q_sorted[:-1]])]:
-            q, shift = self.prints[pair[0][k]], int(pair[1][k])
-            if self.ids[pair[0][k]] == row_id:
-                continue
-            a, b = q[max(0, -shift) :], p[max(0, shift) :]
-            m = min(len(a), len(b))
-            error = float(np.bitwise_count(a[:m] ^ b[:m]).sum()) / (32 * m)
-            if m >= MIN_OVERLAP and error <= MAX_ERROR:
-                out.append((self.ids[pair[0][k]], shift, m, error))
-        return out
+        return [found[1:] for found in self.of_rows([(row_id, p)])]
+
+    def of_rows(self, rows: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int, int, float]]:
+        """(row's place, query id, offset, overlap, bit error) of all aligned pairs."""
+        by_length: dict[int, list[int]] = {}
+        for r, (_, p) in enumerate(rows):
+            by_length.setdefault(len(p), []).append(r)
+        best: dict[tuple[int, int], tuple] = {}
+        for n, places in by_length.items():
+            for at in range(0, len(places), _ROWS) if n >= MIN_OVERLAP else ():
+                some = places[at : at + _ROWS]
+                self._compare(rows, some, np.stack([np.asarray(rows[r][1], np.uint32) for r in some], axis=1), best)
+        return [(r, self.ids[k], shift, m, error) for (r, k), (_, error, _, shift, m) in sorted(best.items())]
+
+    def _compare(self, rows: list[tuple[int, np.ndarray]], some: list[int], p: np.ndarray, best: dict) -> None:
+        two = self._two(p)
+        for of, frames, pairs in self.groups:
+            step = 2 * max(1, _HELD // (len(of) * len(some)))
+            for shift in range(MIN_OVERLAP - len(frames), len(p) - MIN_OVERLAP + 1):
+                a, b = max(0, -shift), max(0, shift)
+                m = min(len(frames) - a, len(p) - b)
+                most = int(MAX_ERROR * 32 * m) + 1  # one bit more, so that rounding drops nothing
+                differ = np.zeros((len(some), len(of)), np.uint32)
+                for t in range(0, m // 2 * 2, step):
+                    end = min(t + step, m // 2 * 2)
+                    x = pairs[a + t : a + end : 2, None, :] ^ two[b + t : b + end : 2, :, None]
+                    differ += np.bitwise_count(x).sum(axis=0, dtype=np.uint32)
+                    if differ.min() > most:
+                        break
+                row, query = np.nonzero(differ <= most)
+                if not len(row):
+                    continue
+                bits = np.bitwise_count(frames[a : a + m, query] ^ p[b : b + m, row])
+                total, votes = bits.sum(axis=0, dtype=np.int64), (bits == 0).sum(axis=0)
+                for j in np.flatnonzero(total / (32 * m) <= MAX_ERROR):
+                    r, k = some[row[j]], int(of[query[j]])
+                    found = (-int(votes[j]), float(total[j]) / (32 * m), abs(shift), shift, m)
+                    if self.ids[k] != rows[r][0] and ((r, k) not in best or found < best[r, k]):
+                        best[r, k] = found
 
 
 def align(queries: DataFrame, prints: DataFrame) -> DataFrame:
@@ -174,7 +206,8 @@ def align(queries: DataFrame, prints: DataFrame) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lookup = _Block(part)
             for batch in batches:
-                got = [(q, i, *rest) for i, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for q, *rest in lookup.aligned(i, np.asarray(p or [], np.uint32))]
+                rows = [(i, np.asarray(p or [], np.uint32)) for i, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                got = [(q, rows[r][0], *rest) for r, q, *rest in lookup.of_rows(rows)]
                 cols = list(zip(*got)) if got else [[]] * 5
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.float64())], names=["query_id", "id", "offset", "overlap", "bit_error"])
 

@@ -450,6 +450,36 @@ def test_audio_search_recall_against_all_pairs(spark):
     assert audio.search(df.limit(0), "vec_id", "embedding", audio.render).count() == 0
 
 
+def _best_alignment(q, p):
+    """Plain version: the told offset of a pair over all offsets, or None."""
+    found = []
+    for shift in range(-len(q) + 1, len(p)):
+        pairs = [(int(q[i]) ^ int(p[i + shift])).bit_count() for i in range(len(q)) if 0 <= i + shift < len(p)]
+        error = sum(pairs) / (32 * max(1, len(pairs)))
+        if len(pairs) >= audio.MIN_OVERLAP and error <= audio.MAX_ERROR:
+            found.append((-pairs.count(0), error, abs(shift), shift, len(pairs)))
+    return min(found)[3:] + (min(found)[1],) if found else None
+
+
+def test_audio_alignment_is_complete_up_to_max_error():
+    rng = np.random.default_rng(11)
+    queries = [(k, rng.integers(0, 2**32, n).astype(np.uint32)) for k, n in enumerate([48] * 12 + [16, 17, 33, 15, 0])]
+    block = audio._Block(queries)
+    hits = unvoted = 0
+    for k, q in queries:
+        for share in (0.02, 0.1, 0.12, 0.14, 0.149, 0.16):
+            for first in (0, 20, 32):
+                p = q[first:].copy() if len(q) == 48 else q.copy()
+                bits = rng.permutation(32 * len(p))[: int(share * 32 * len(p))]
+                np.bitwise_xor.at(p, bits // 32, (np.uint32(1) << (bits % 32).astype(np.uint32)))
+                p = np.concatenate([rng.integers(0, 2**32, int(rng.integers(0, 9))).astype(np.uint32), p])
+                want = [(i, *w) for i, other in queries if (w := _best_alignment(other, p))]
+                assert block.aligned(-1, p) == want
+                hits += len(want)
+                unvoted += sum(not np.isin(p, queries[w[0]][1]).any() for w in want)
+    assert hits > 100 and unvoted > 10
+
+
 # queries with SQL
 
 
