@@ -32,7 +32,10 @@ RULES = [
 DAMPING = 0.85
 #: A host is blocked if distrust / (trust + distrust) is above this.
 THRESHOLD = 0.5
-ITERATIONS, EVERY, TOLERANCE = 24, 4, 1e-6
+#: Scores rest when each host's last changed by at most TOLERANCE of itself; LIMIT iterations without rest are an error.
+LIMIT, EVERY, TOLERANCE = 10_000, 4, 1e-6
+#: Scores below this, thousands of links from any seed, are near the end of doubles and need not rest.
+_LEAST = 1e-300
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -60,12 +63,13 @@ def links(pages: DataFrame) -> DataFrame:
     return out.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, limit: int = LIMIT) -> DataFrame:
     """host, trust, distrust, from edges (src, dst, n) and seeds (host, trust, distrust).
 
     One table of flows holds both directions, so that an iteration is one join and
     one sum. Hosts without outgoing flow lose their mass, which scales all scores
-    alike. Lineage is cut every few iterations; the loop ends when the scores rest.
+    alike. Lineage is cut every few iterations; the loop ends when the scores
+    rest: no host gains a score and none changes by more than TOLERANCE of its own.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("all")).withColumnRenamed("src", "h")
     into = edges.groupBy("dst").agg(F.sum("n").alias("all")).withColumnRenamed("dst", "h")
@@ -77,16 +81,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
     score, done = start.select("host", "good", F.col("seed").alias("score")), 0
     if not flows.isEmpty():
         base = start.select("host", "good", (F.col("seed") * (1 - damping)).alias("score"))
-        while done < iterations:
+        while True:
             before = score
             for _ in range(EVERY):
                 moved = flows.join(score.select(F.col("host").alias("origin"), "good", "score"), ["origin", "good"]).select("host", "good", (F.col("share") * F.col("score") * damping).alias("score"))
                 score = moved.unionByName(base).groupBy("host", "good").agg(F.sum("score").alias("score"))
             score, done = stage(score, "scores"), done + EVERY
-            was = before.select("host", "good", (-F.col("score")).alias("score"))
-            change = score.unionByName(was).groupBy("host", "good").agg(F.abs(F.sum("score")).alias("d")).agg(F.sum("d")).first()[0]
-            if (change or 0.0) < TOLERANCE:
+            both = score.select("host", "good", "score", F.lit(0.0).alias("was")).unionByName(before.select("host", "good", F.lit(0.0).alias("score"), F.col("score").alias("was")))
+            both = both.groupBy("host", "good").agg(F.sum("score").alias("score"), F.sum("was").alias("was"))
+            change = both.agg(F.max(F.abs(F.col("score") - F.col("was")) / F.greatest("score", "was", F.lit(_LEAST)))).first()[0]
+            if (change or 0.0) <= TOLERANCE:
                 break
+            if done >= limit:
+                raise RuntimeError(f"trust does not rest after {done} iterations: a host still changes by {change:.1e} of its score")
     of = lambda good: F.sum(F.when(F.col("good") == good, F.col("score")).otherwise(0.0))
     return score.groupBy("host").agg(of(True).alias("trust"), of(False).alias("distrust"))
 

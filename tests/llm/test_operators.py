@@ -86,6 +86,19 @@ def test_urls_against_plain(spark):
     assert url_trust.judge(pages.limit(0)).count() == 0
 
 
+def test_trust_comes_to_rest(spark):
+    edges = [(f"h{k:02d}", f"h{k + 1:02d}", 1) for k in range(29)] + [("a", "b", 1), ("b", "a", 1)]
+    seeds = [("h29", 0.0, 0.5), ("a", 0.5, 0.5)]
+    args = spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, trust double, distrust double")
+    got = {r.host: r for r in url_trust.propagate(*args).collect()}
+    for k in range(30):  # 29 links from the one seed, against them
+        assert got[f"h{k:02d}"].distrust == pytest.approx(0.5 * 0.15 * 0.85 ** (29 - k), rel=1e-5) and got[f"h{k:02d}"].trust == 0
+    for host, power in (("a", 0), ("b", 1)):  # a cycle
+        assert got[host].trust == pytest.approx(0.5 * 0.15 * 0.85**power / (1 - 0.85**2), rel=1e-5)
+    with pytest.raises(RuntimeError):
+        url_trust.propagate(*args, limit=8)
+
+
 def test_url_query_is_complete(spark):
     pages = table(spark, SF, "pages")
     got = QUERIES["op1_link_trust"](spark, SF)
