@@ -311,6 +311,16 @@ def test_chat_round_trip(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_chat_digests_read_the_mask(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "x<|y"), (1, 2, "assistant", "second"), (2, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    whole, expand = {r.conv_id: r.formatted for r in chat.format_conversations(df).collect()}, chat.expand
+    ends = [(r.loss_start, r.loss_end) for r in expand(chat.format_conversations(df)).where("conv_id = 1").orderBy("example").collect()]
+    monkeypatch.setattr(chat, "expand", lambda *args: expand(*args).withColumn("loss_end", F.col("loss_end") - 1))
+    got = {r.conv_id: r for r in chat.digests(df).collect()}
+    loss = "".join(whole[1][a : b - 1] for a, b in ends).replace("<\\|", "<|")
+    assert loss == "x<|secon" and got[1].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and got[2].loss_chars == 0
+
+
 # 8, lines
 
 
