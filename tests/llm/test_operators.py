@@ -339,19 +339,48 @@ def test_lines_against_plain(spark):
         every = (t or "").split("\n")
         stay = [x for x in every if key(x) not in hot or hot[key(x)] == d]
         want.append((d or -1, len(every), len(every) - len(stay), "\n".join(stay)))
-    for batches, fanout in ((4, 4), (5, 2), (1, 9)):
+    for batches, fanout in ((4, 4), (5, 2), (1, 9), (3, 2)):
         got = line_dedup.dedup_lines(docs(spark, rows, "n_lines"), batches=batches, fanout=fanout)
         assert sorted((r.doc_id or -1, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == sorted(want)
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_of_any_ids(spark):
+    rng = np.random.default_rng(16)
+    shared = "a line of well over forty characters, shared"
+    ends = [0, *range(2**60 - 6, 2**60)], [-(2**62), 2**62, -(2**63), 2**63 - 1, 5, None], [int(i) for i in rng.integers(-(2**63), 2**63 - 1, 40)]
+    for ids in ends:
+        rows = [(i, f"{shared}\nown {k}") for k, i in enumerate(ids)]
+        got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, rows, "th")).collect()}
+        top = max(i for i in ids if i is not None)
+        assert len(got) == len(ids) and all(r.n_dropped == (r.doc_id != top) and (shared in r.text) == (r.doc_id == top) for r in got.values())
+
+
+def test_lines_of_a_long_document_in_linear_time(spark):
+    many = [f"line {k} is long enough to be a key of its own" for k in range(60_000)]
+    rows = [(k, "\n".join(many)) for k in range(5)] + [(9, "x\n" + "\n".join(many[::2])), (9, many[1])]
+    got = {(r.doc_id, r.n_lines): r for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got[9, 30_001].n_dropped == 0 and got[9, 1].n_dropped == 0 and got[0, 60_000].text == ""
+    assert got[4, 60_000].n_dropped == 30_001 and got[4, 60_000].text == "\n".join(many[3::2])
+
+
+def test_drop_lines_keeps_columns(spark):
+    rows = [(k, "the same line of over forty characters in all\n" * (2 if k else 1) + ("" if k < 3 else "tail")) for k in range(6)] + ODD
+    df = docs(spark, rows, "n_lines").withColumn("d", F.lit(1)).withColumn("places", F.lit(2))
+    got = line_dedup.drop_lines(df)
+    assert got.columns == df.columns and got.where("n_lines <> 'mine' or n_chars <> length(text)").count() == 0
+    assert line_dedup.drop_lines(df.limit(0)).count() == 0
+
+
 def test_runs_tell_what_is_fresh(spark):
-    store = line_dedup.LineRuns(spark, fanout=2)
+    store = line_dedup.LineRuns(fanout=2)
     keys = lambda rows: spark.createDataFrame(rows, "doc_id long, h1 long, h2 long")
-    assert store.add(keys([(9, 1, 1), (8, 2, 2)])).where("fresh").count() == 2
-    assert [r.h1 for r in store.add(keys([(7, 1, 1), (7, 3, 3)])).where("fresh").collect()] == [3]
-    assert [len(x) for x in store.levels] == [0, 1]
-    assert store.add(keys([(6, 2, 2)])).where("fresh").count() == 0
+    fresh = lambda: sorted(r.h1 for table, _ in store.levels if table is not None for r in table.where("fresh").collect())
+    for batch, new in (([(9, 1, 1), (8, 2, 2)], [1, 2]), ([(7, 1, 1), (7, 3, 3)], [1, 2, 3]), ([(6, 2, 2)], [1, 2, 3])):
+        store.add(keys(batch))
+        assert fresh() == new
+    assert [n for _, n in store.levels] == [1, 1]
+    assert sorted((r.h1, r.docs, r.holder) for r in store.finish().collect()) == [(1, 2, 9), (2, 2, 8), (3, 1, 7)]
 
 
 # 9, personal data
