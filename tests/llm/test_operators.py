@@ -268,10 +268,44 @@ def test_near_chain_that_no_hub_sees(spark):
     assert {r.component_id for r in got} == {1}
 
 
+def test_near_long_chain(spark):
+    words = [f"w{k}" for k in range(20_000)]
+    rows = [(k + 1, " ".join(words[2 * k : 2 * k + 100])) for k in range(3000)]
+    got = near_dedup.near_groups(docs(spark, rows)).collect()
+    assert {r.component_id for r in got} == {1}
+
+
+def test_near_unlinked_members_of_a_bucket(spark):
+    rng = np.random.default_rng(12)
+    vocab = [f"w{k}" for k in range(9000)]
+    stem = list(rng.choice(vocab, 300))
+    rows = []
+    for k in range(700):  # near a common stem, some within the threshold of each other only
+        w = list(stem)
+        at = int(rng.integers(0, 300)) if k % 3 else 40
+        for j in range(int(rng.integers(4, 20))):
+            w[(at + 7 * j) % 300] = f"x{k // 4}-{j}" if k % 2 else str(rng.choice(vocab))
+        rows.append((k, " ".join(w)))
+    got = near_dedup.near_groups(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(_groups(rows)) and len({r.component_id for r in got}) > 20
+
+
 def test_near_edges(spark):
     assert near_dedup.near_groups(docs(spark, [])).count() == 0
     kept = near_dedup.drop_near_copies(docs(spark, [(5, "same words in both of these texts"), (2, "same words in both of these texts")]))
     assert [r.doc_id for r in kept.collect()] == [2]
+    assert near_dedup.drop_near_copies(docs(spark, [])).count() == 0
+    assert near_dedup.rows_of_a_band(85) == 6 and near_dedup.rows_of_a_band(80) == 5
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    same, own = "one text that several rows of this table share", "a text that stands in no other row at all"
+    rows = [(None, same), (None, own), (7, same), (7, same), (7, "words of a second text under that id"), (8, same), (None, None), (None, None), (3, ""), (None, "text of null ids alone, twice"), (None, "text of null ids alone, twice"), *ODD[4:6]]
+    df = docs(spark, rows, "gone_id").withColumn("th", F.lit(1)).withColumn("stays", F.lit(True))
+    got = near_dedup.drop_near_copies(df)
+    assert got.columns == df.columns and got.where("gone_id <> 'mine'").count() == 0
+    want = [(None, own), (7, same), (7, "words of a second text under that id"), (None, None), (None, None), (3, ""), (None, "text of null ids alone, twice"), ODD[4]]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
 
 
 def test_estimate_is_close():
