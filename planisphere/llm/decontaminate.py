@@ -14,7 +14,8 @@ is missed with a probability below 0.22^8 = 6e-6. For smaller items, if there ar
 all shingles of the documents are looked up, so that they are found for certain.
 
 Each candidate is verified on exact shingles, as text: the share of the item's
-distinct 5-word shingles that the document holds must reach 0.8.
+distinct 5-word shingles that the document holds must reach 0.8. A candidate document
+is cut into its shingles once, and those that an item has are counted.
 
 The items' sketches are staged, so that Catalyst broadcasts them if their true size is
 below its threshold and sorts and merges otherwise; a passage that many documents
@@ -23,9 +24,11 @@ share then meets the usual splitting of skewed joins.
 Defined cases: words are runs of other than blanks, A-Z lower-cased; a text of one to
 four words has one shingle, its whole sequence, so such an item is found only as a
 whole document; null and blank texts hold nothing and match nothing. Items with a null
-item_id count like others. Repeated documents are judged each; repeated items give one
-row for each distinct (doc_id, item_id). A null doc_id is matched null-safely. Empty
-tables give no rows. Other columns are ignored by `leaks`, kept by `remove_leaks`.
+item_id count like others. Rows that repeat a doc_id, or have none, are judged each on
+its own text: `leaks` gives one row for each distinct (doc_id, item_id), with the most
+shingles found, and `remove_leaks` removes the rows whose own text leaks. Empty tables
+give no rows. Other columns are ignored by `leaks`, kept by `remove_leaks`, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, stage, words
+from .common import let, lower_ascii, stage, text_key, words
 
 SHINGLE, CONTAINED, SURE = 5, 0.8, 8
 _BITS = 63
@@ -94,33 +97,42 @@ def index(items: DataFrame, contained: float) -> DataFrame:
     return stage(each.select("item", "x.h", "x.since", "sure"), "item_sketches")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED) -> DataFrame:
-    """doc_id, item_id, n_shingles (of the item), n_found, containment of each contained item."""
+def _found(docs: DataFrame, benchmark: DataFrame, contained: float) -> DataFrame:
+    """doc_id, th (the text's hash), item_id, n_shingles, n_found of each contained item; a staged table."""
     items = stage(benchmark.select("item_id", "text").distinct().select("item_id", "text", F.xxhash64("item_id", "text").alias("item")), "items")
     asked = index(items, contained)
     # outer explodes, as for inner ones the optimizer works out the arrays once more to see if they are empty
-    hs = hashed(F.col("text"))
+    hs, th = hashed(F.col("text")), text_key(F.col("text")).alias("th")
     both = lambda x: F.struct(partition_of(x).alias("c"), minima(x).alias("hs"))
-    per = docs.select("doc_id", let(hs, both).alias("x"))
-    seen = per.select("doc_id", F.col("x.c").alias("c"), F.explode_outer("x.hs").alias("h"))
-    pairs = seen.join(asked.where("not sure"), "h").where("c >= since").select("doc_id", "item")
+    per = docs.select("doc_id", th, let(hs, both).alias("x"))
+    seen = per.select("doc_id", "th", F.col("x.c").alias("c"), F.explode_outer("x.hs").alias("h"))
+    pairs = seen.join(asked.where("not sure"), "h").where("c >= since").select("doc_id", "th", "item")
     if not asked.where("sure").isEmpty():
-        every = docs.select("doc_id", F.explode_outer(hs).alias("h"))
-        pairs = pairs.unionByName(every.join(asked.where("sure"), "h").select("doc_id", "item"))
+        every = docs.select("doc_id", th, hs.alias("hs")).select("doc_id", "th", F.explode_outer("hs").alias("h"))
+        pairs = pairs.unionByName(every.join(asked.where("sure"), "h").select("doc_id", "th", "item"))
     candidates = stage(pairs.distinct(), "candidates")
 
-    named = candidates.select(F.col("doc_id").alias("id2")).distinct()
-    texts = docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("id2")), "left_semi")
-    held = texts.select("doc_id", shingles(F.col("text")).alias("held"))
-    asked = items.select("item_id", "item", shingles(F.col("text")).alias("asked"))
-    both = held.join(candidates.withColumnRenamed("doc_id", "id3"), F.col("doc_id").eqNullSafe(F.col("id3"))).join(asked, "item")
-    both = both.select("doc_id", "item_id", F.size("asked").cast("long").alias("n_shingles"), F.size(F.array_intersect("asked", "held")).cast("long").alias("n_found"))
-    sound = both.where(F.col("n_found") >= F.lit(contained) * F.col("n_shingles"))
-    out = sound.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_found", "n_shingles")).alias("m"))
+    # candidates' texts are cut into shingles once, whatever the number of items; those that an item has meet it as text
+    named = candidates.select(F.col("doc_id").alias("id2"), F.col("th").alias("th2")).distinct()
+    texts = docs.select("doc_id", th, "text").join(named, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left_semi")
+    held = texts.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", shingles(F.col("text")).alias("held")).select("doc_id", "th", F.explode_outer("held").alias("s"))
+    wanted = items.select("item", shingles(F.col("text")).alias("asked")).select("item", F.explode_outer("asked").alias("s"))
+    hits = held.join(stage(wanted, "item_shingles"), "s").groupBy("doc_id", "th", "item").agg(F.count("*").alias("n_found"))
+    asked_for = candidates.select(F.col("doc_id").alias("id2"), F.col("th").alias("th2"), F.col("item").alias("item2"))
+    hits = hits.join(asked_for, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")) & (F.col("item") == F.col("item2")), "left_semi")
+    sizes = items.select("item_id", "item", F.size(shingles(F.col("text"))).cast("long").alias("n_shingles"))
+    out = hits.join(sizes, "item").where(F.col("n_found") >= F.lit(contained) * F.col("n_shingles"))
+    return stage(out.select("doc_id", "th", "item_id", "n_shingles", "n_found"), "leaks")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED) -> DataFrame:
+    """doc_id, item_id, n_shingles (of the item), n_found, containment of each contained item."""
+    out = _found(docs, benchmark, contained).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_found", "n_shingles")).alias("m"))
     return out.select("doc_id", "item_id", "m.n_shingles", "m.n_found", (F.col("m.n_found") / F.col("m.n_shingles")).alias("containment"))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """The documents that contain no item; all columns stay."""
-    hit = stage(leaks(docs, benchmark, contained).select(F.col("doc_id").alias("hit_id")).distinct(), "leaking")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    hit = _found(docs, benchmark, contained).select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th")).distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), "doc_id", text_key(F.col("text")).alias("th"))
+    return whole.join(stage(hit, "leaking"), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left_anti").select("d.*")

@@ -143,6 +143,14 @@ def test_remove_leaks_keeps_columns(spark, corpus):
     assert decontaminate.leaks(corpus.limit(0), bench).count() == 0 and decontaminate.leaks(corpus, bench.limit(0)).count() == 0
 
 
+def test_remove_leaks_with_null_and_repeated_ids(spark):
+    item = "a benchmark question of more than five words in all"
+    rows = [(None, f"x {item} y"), (None, "clean text of nobody"), (4, item.upper()), (4, "clean text of the fourth document"), (5, None), *ODD]
+    df = docs(spark, rows, "hit_id").withColumn("th", F.lit(1)).withColumn("item", F.lit(2))
+    got = decontaminate.remove_leaks(df, spark.createDataFrame([(1, item), (1, item), (None, None)], "item_id long, text string"))
+    assert got.columns == df.columns and Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(None, "clean text of nobody"), (4, "clean text of the fourth document"), (5, None), *(r[:2] for r in ODD)])
+
+
 # 3 and 5, classifiers
 
 
