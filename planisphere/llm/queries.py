@@ -13,7 +13,8 @@ _CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_trust.judge(table(spark, sf_dir, "pages"))
+    judged = url_trust.judge(table(spark, sf_dir, "pages"))
+    return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
 def op2_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing
+from . import decontaminate, line_dedup, mixing, url_trust
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -14,6 +14,36 @@ def _levels() -> str:
     return f"CASE {cases} ELSE {len(mixing.LEVELS)} END"
 
 
+def op1() -> str:
+    """Rules by a join, links by pattern, and the two walks as a recursion of 150 steps (0.85^150 is below 1e-10)."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_trust.RULES)
+    low = lambda c: f"translate({c}, '{_UP}', '{_LOW}')"
+    d = url_trust.DAMPING
+    return f"""
+WITH RECURSIVE rules(verdict, h, p) AS (VALUES {rules}),
+parsed AS (SELECT page_id, {low("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+fits AS (SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, h || p, verdict DESC) AS nth
+  FROM (SELECT DISTINCT page_id, host, path FROM parsed) t JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+ruled AS (SELECT t.*, rule, verdict FROM parsed t LEFT JOIN fits f ON f.page_id = t.page_id AND nth = 1),
+hosts AS (SELECT host, count(*) FILTER (WHERE verdict = 'allow')::DOUBLE AS good, count(*) FILTER (WHERE verdict = 'block')::DOUBLE AS bad FROM ruled WHERE host <> '' GROUP BY host),
+seed AS (SELECT host, kind, amount FROM (
+  SELECT host, 1 AS kind, good / nullif(sum(good) OVER (), 0) AS amount FROM hosts UNION ALL SELECT host, 2, bad / nullif(sum(bad) OVER (), 0) FROM hosts) t WHERE amount > 0),
+hrefs AS (SELECT page_id, host, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS href FROM parsed),
+linked AS (SELECT DISTINCT page_id, host AS src, {low("regexp_extract(href, '^[^/]*//([^/?#]*)', 1)")} AS dst FROM hrefs WHERE regexp_matches(href, '^([A-Za-z][A-Za-z0-9+.-]*:)?//')),
+edges AS (SELECT src, dst, count(*)::DOUBLE AS n FROM linked WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+flows AS (SELECT 1 AS kind, src AS origin, dst AS host, n / sum(n) OVER (PARTITION BY src) AS share FROM edges
+  UNION ALL SELECT 2, dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges),
+walk(k, kind, host, score) AS (SELECT 0, kind, host, amount FROM seed UNION ALL
+  SELECT k + 1, kind, host, sum(score) FROM (
+    SELECT w.k, w.kind, f.host, w.score * f.share * {d} AS score FROM walk w JOIN flows f ON f.kind = w.kind AND f.origin = w.host
+    UNION ALL SELECT w.k, s.kind, s.host, s.amount * {1 - d} FROM (SELECT DISTINCT k FROM walk) w, seed s) t WHERE k < 150 GROUP BY k, kind, host),
+rest AS (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM walk WHERE k = 150),
+scores AS (SELECT host, coalesce(sum(score) FILTER (WHERE kind = 1), 0) AS trust, coalesce(sum(score) FILTER (WHERE kind = 2), 0) AS distrust FROM rest GROUP BY host)
+SELECT page_id, t.host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust / nullif(trust + distrust, 0), 0) > {url_trust.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust FROM ruled t LEFT JOIN scores s ON s.host = t.host"""
+
+
 def op4() -> str:
     """Targets by water level; the rate of a single margin is target / source size; extra copies in hash order, level by level."""
     out = f"""
@@ -77,4 +107,4 @@ found AS (SELECT doc_id, item_id, count(*)::BIGINT AS n_found FROM held JOIN ask
 SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM found JOIN n USING (item_id) WHERE n_found >= {decontaminate.CONTAINED}::DOUBLE * n_shingles"""
 
 
-ORACLES = {"op2_containment": op2(), "op4_entropy_mix": op4(), "op7_prefix_chat": op7(), "op8_line_runs": op8()}
+ORACLES = {"op1_link_trust": op1(), "op2_containment": op2(), "op4_entropy_mix": op4(), "op7_prefix_chat": op7(), "op8_line_runs": op8()}

@@ -3,8 +3,13 @@
 Rules name a host and a path prefix; pages that a rule fits take its verdict. The
 pages so judged are seeds: trusted pages give their hosts trust, blocked pages
 distrust. Personalised PageRank carries trust along the links between hosts, and
-carries distrust against them (who links to bad hosts is suspect). A host whose
-share of distrust exceeds the threshold has its other pages blocked.
+carries distrust against them (who links to bad hosts is suspect). What hosts without
+further links would lose goes back to the seeds, so trust and distrust each sum to 1 and
+can be compared. A host whose share of distrust exceeds the threshold has its other
+pages blocked.
+
+A link leads to another host if its address begins with a scheme and "://", or with "//";
+an address inside a query string is none.
 
 Defined cases: a null url, or one without "://", has empty host and path, fits no
 rule, and the empty host takes no part in the graph, so such pages are allowed; links
@@ -15,11 +20,10 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stage
+from .common import discard, lower_ascii, stage
 
 #: (verdict, host, path prefix): fixed by the query's contract.
 RULES = [
@@ -33,9 +37,10 @@ DAMPING = 0.85
 #: A host is blocked if distrust / (trust + distrust) is above this.
 THRESHOLD = 0.5
 #: Scores rest when each host's last changed by at most TOLERANCE of itself; LIMIT iterations without rest are an error.
-LIMIT, EVERY, TOLERANCE = 10_000, 4, 1e-6
+LIMIT, EVERY, TOLERANCE = 10_000, 4, 1e-8
 #: Scores below this, thousands of links from any seed, are near the end of doubles and need not rest.
 _LEAST = 1e-300
+_FAR = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -57,8 +62,8 @@ def rule(rules: list[tuple[str, str, str]], host: Column, path: Column) -> Colum
 def links(pages: DataFrame) -> DataFrame:
     """src, dst, n: pages of host src with links to host dst, other than src."""
     hrefs = F.regexp_extract_all(F.col("html"), F.lit(_HREF), F.lit(1))
-    far = F.filter(hrefs, lambda h: h.contains("//"))
-    whole = F.transform(far, lambda h: F.when(h.startswith("//"), F.concat(F.lit("http:"), h)).otherwise(h))
+    far = F.filter(hrefs, lambda h: h.rlike(_FAR))
+    whole = F.transform(far, lambda h: F.concat(F.lit("x:"), F.regexp_replace(h, r"^[^/]*", "")))  # from the "//" on
     out = pages.select(host(F.col("url")).alias("src"), F.explode(F.array_distinct(F.transform(whole, host))).alias("dst"))
     return out.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -67,9 +72,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, limi
     """host, trust, distrust, from edges (src, dst, n) and seeds (host, trust, distrust).
 
     One table of flows holds both directions, so that an iteration is one join and
-    one sum. Hosts without outgoing flow lose their mass, which scales all scores
-    alike. Lineage is cut every few iterations; the loop ends when the scores
+    one sum. Lineage is cut every few iterations; the loop ends when the scores
     rest: no host gains a score and none changes by more than TOLERANCE of its own.
+    Hosts without outgoing flow lose their mass meanwhile. Giving it back to the seeds
+    in each iteration would scale all scores of a kind alike, so that is done once, at
+    the end: the scores of either kind are made to sum to 1.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("all")).withColumnRenamed("src", "h")
     into = edges.groupBy("dst").agg(F.sum("n").alias("all")).withColumnRenamed("dst", "h")
@@ -90,12 +97,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, limi
             both = score.select("host", "good", "score", F.lit(0.0).alias("was")).unionByName(before.select("host", "good", F.lit(0.0).alias("score"), F.col("score").alias("was")))
             both = both.groupBy("host", "good").agg(F.sum("score").alias("score"), F.sum("was").alias("was"))
             change = both.agg(F.max(F.abs(F.col("score") - F.col("was")) / F.greatest("score", "was", F.lit(_LEAST)))).first()[0]
+            discard(before)
             if (change or 0.0) <= TOLERANCE:
                 break
             if done >= limit:
                 raise RuntimeError(f"trust does not rest after {done} iterations: a host still changes by {change:.1e} of its score")
     of = lambda good: F.sum(F.when(F.col("good") == good, F.col("score")).otherwise(0.0))
-    return score.groupBy("host").agg(of(True).alias("trust"), of(False).alias("distrust"))
+    total = score.agg(of(True).alias("trust"), of(False).alias("distrust")).first()
+    part = lambda good, name: (of(good) / F.lit(float(total[name] or 0.0) or 1.0)).alias(name)
+    return score.groupBy("host").agg(part(True, "trust"), part(False, "distrust"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
