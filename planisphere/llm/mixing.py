@@ -1,35 +1,48 @@
 """Operator 4, mixing sources to target weights by entropy balancing.
 
 Document rates r minimise the divergence sum(size * (r log r - r)) from one copy of
-each document, under the constraint that each source's words meet its target. The
-solution is exponentially tilted, r = exp(sum of the dual variables of the groups a
-document is in); Newton steps on the convex dual find the variables. Rates depend on
-groups alone, so documents are first summed into cells, and the steps run over the
-cells in Spark: nothing is collected, and a source with a third of all rows is a row.
+each document, under token constraints: each source's words meet its target, and, where
+further margins are given (a language, a length class), so do the words of each of their
+groups. The solution is exponentially tilted, r = exp(sum of the dual variables of the
+groups a document is in). Rates depend on groups alone, so documents are first summed
+into cells, and Newton steps on the convex dual run over the cells in Spark.
 
-Rates become whole copies by order sampling: every document of a cell takes
+A step solves the joint system of all margins. Its Hessian holds the words that two
+groups share. The sources' block is diagonal, as a document has one source, so sources
+are eliminated where they are, a row each; what is left, the Schur complement on the
+groups of the further margins (at most SMALL), is summed in Spark and solved on the
+driver. Joint steps are halved until they bring the constraints closer; constraints that
+stay missed, as when they contradict each other, are an error.
+
+Rates become whole copies by order sampling: every document of a source takes
 floor(rate) copies; one more goes to those that come first in the order of a hash of
 doc_id, until the words that are still wanted are reached to within half a document.
 Long documents are rounded first, and shorter ones make up what they left. The place
 to stop is found from sums over 4096 hash ranges and then inside the one range where it
-falls, so no task sees a whole source, and reruns agree.
+falls, so no task sees a whole source, and reruns agree. With further margins, each cell
+is rounded so by itself.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in
-order; a null doc_id has the hash of an empty text; rows that repeat a doc_id and size
+order; without a doc_id a row is ordered by its text's hash; rows that repeat a doc_id and size
 are taken alike; sources without words have target 0; an empty table gives no rows.
+size, source_size, target, rate, copies and taken replace columns of these names in
+`mix`; `mix_copies` keeps the input's and gives its own another name.
 The list of sources is ranked in one task: it holds a row for each source.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stage
+from .common import discard, n_words, stage
 
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Newton steps at most, their longest, steps between cuts of the lineage, and the relative miss at which they end.
-STEPS, LONGEST_STEP, EVERY, TOLERANCE = 48, 2.0, 4, 1e-12
+#: Newton steps at most, the longest move of a variable, and the relative miss at which they end.
+STEPS, LONGEST_STEP, TOLERANCE = 60, 2.0, 1e-10
+#: Groups of all margins but the first, at most.
+SMALL = 2000
 _RANGES_BITS, _HASH_BITS = 12, 52
 #: Documents of more words than these are rounded first.
 LEVELS = (1024, 128)
@@ -40,9 +53,10 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1"))
 
 
-def order_hash(doc_id: Column) -> Column:
-    """52 bits of the MD5 of doc_id as text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
+def order_hash(doc_id: Column, text: Column | None = None) -> Column:
+    """52 bits of the MD5 of doc_id as text; of the text where there is no doc_id, so that such rows are spread too."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))) if text is not None else F.lit(""))
+    return F.conv(F.substring(F.md5(own.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -70,27 +84,83 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return s.select("key", "mass", F.least(F.col("cap").cast("double"), F.coalesce(F.col("final") * F.col("w"), F.col("cap").cast("double"))).alias("target"))
 
 
+def _direction(cells: DataFrame, margins: list[tuple[str, str]]) -> DataFrame:
+    """cells with `move`, the Newton direction of each cell's eta. cells: group and target columns, mass, eta, words, slope."""
+    (first, goal), small = margins[0], margins[1:]
+    rows = cells.groupBy(first).agg(F.sum("slope").alias("d_"), (F.max(goal) - F.sum("words")).alias("r_"), F.max(F.abs("eta")).alias("far_"))
+    # a group whose rates are all at their limit has no slope: it stays, or steps back if it takes too much
+    rows = rows.withColumn("own_", F.when(F.col("d_") > 0, F.col("r_") / F.col("d_")).when(F.col("r_") < 0, F.lit(-1.0)).otherwise(0.0))
+    if not small:
+        return cells.join(rows.select(first, F.col("own_").alias("move")), first)
+    key = lambda k: F.concat(F.lit(f"{k}:"), F.col(small[k][0]).cast("string"))
+    keys = F.array(*(key(k) for k in range(len(small))))
+    each = cells.select(first, "slope", "words", F.explode(F.arrays_zip(keys.alias("g"), F.array(*(F.col(t).cast("double") for _, t in small)).alias("t"))).alias("x"))
+    each = each.select(first, "slope", "words", F.col("x.g").alias("g"), F.col("x.t").alias("t"))
+    shared = stage(each.groupBy(first, "g").agg(F.sum("slope").alias("b")).join(rows, first), "shared")
+    gaps = each.groupBy("g").agg((F.max("t") - F.sum("words")).alias("r")).collect()
+    if len(gaps) > SMALL:
+        raise ValueError(f"{len(gaps)} groups in the further margins, more than {SMALL}")
+    place = {r.g: k for k, r in enumerate(gaps)}
+    h, rhs = np.zeros((len(gaps), len(gaps))), np.array([r.r for r in gaps])
+    pairs = cells.select("slope", F.explode(keys).alias("g"), keys.alias("gs")).select("slope", "g", F.explode("gs").alias("o"))
+    for r in pairs.groupBy("g", "o").agg(F.sum("slope").alias("v")).collect():
+        h[place[r.g], place[r.o]] += r.v
+    held = shared.where("d_ > 0")
+    other = held.select(F.col(first).alias("same_"), F.col("g").alias("o"), F.col("b").alias("c"))
+    for r in held.join(other, F.col(first) == F.col("same_")).groupBy("g", "o").agg(F.sum(F.col("b") * F.col("c") / F.col("d_")).alias("v")).collect():
+        h[place[r.g], place[r.o]] -= r.v
+    for r in held.groupBy("g").agg(F.sum(F.col("b") * F.col("r_") / F.col("d_")).alias("v")).collect():
+        rhs[place[r.g]] -= r.v
+    moved = np.linalg.lstsq(h, rhs, rcond=1e-9)[0]  # the margins share their sum, so the system is singular but consistent
+    by = cells.sparkSession.createDataFrame([(g, float(moved[k])) for g, k in place.items()], "g string, m double")
+    taken = shared.join(F.broadcast(by), "g").groupBy(first).agg(F.sum(F.col("b") * F.col("m")).alias("t_"))  # at most SMALL rows
+    rows = rows.join(taken, first).select(first, F.when(F.col("d_") > 0, (F.col("r_") - F.col("t_")) / F.col("d_")).otherwise(F.col("own_")).alias("move"))
+    out = cells.join(rows, first)
+    for k in range(len(small)):
+        mine = by.where(F.col("g").startswith(f"{k}:")).select(F.col("g").alias(f"g{k}_"), F.col("m").alias(f"m{k}_"))
+        out = out.join(F.broadcast(mine), key(k) == F.col(f"g{k}_"))
+    return out.withColumn("move", F.col("move") + sum(F.col(f"m{k}_") for k in range(len(small)))).select(*cells.columns, "move")
+
+
 def balance(cells: DataFrame, margins: list[tuple[str, str]], most: float = MOST, steps: int = STEPS) -> DataFrame:
-    """cells with a rate for each. margins: (group column, column that has the group's target).
+    """cells with a rate for each. margins: (group column, column that has the group's target), the one with most groups first.
 
-    One Newton step on a margin's block of the dual moves each group's variable by
-    (target - words taken) / (words taken by rates that can still move); margins take
-    turns. With a single margin all steps run in one shuffle by its column.
+    eta is a cell's exponent, the sum of its groups' dual variables. The dual's gradient is
+    what each group takes less its target; a rate at the limit `most` no longer moves.
     """
-    tilted, limit = cells.withColumn("eta", F.lit(0.0)), F.lit(float(most))
-    for k in range(steps):
-        for group, target in margins:
-            one = Window.partitionBy(group)
-            rate = F.col("mass") * F.exp("eta")
-            tilted = tilted.withColumns({"taken_": F.sum(F.least(rate, F.col("mass") * limit)).over(one), "slope_": F.sum(F.when(F.exp("eta") <= most, rate).otherwise(0.0)).over(one)})
-            # where every rate is at its limit the slope is 0: step back from the limit if too much is taken
-            move = F.when(F.col("slope_") > 0, (F.col(target) - F.col("taken_")) / F.col("slope_")).when(F.col("taken_") > F.col(target), F.lit(-1.0)).otherwise(0.0)
-            tilted = tilted.withColumns({"eta": F.col("eta") + F.greatest(F.lit(-LONGEST_STEP), F.least(F.lit(LONGEST_STEP), move)), "miss_": F.abs(F.col(target) - F.col("taken_")) / F.greatest(F.lit(1.0), F.col(target))})
-        if k % EVERY == EVERY - 1:
-            tilted = stage(tilted.drop("taken_", "slope_"), "tilted")
-            if (tilted.agg(F.max("miss_")).first()[0] or 0.0) < TOLERANCE:
+    limit, top, one = F.lit(float(most)), F.log(F.lit(float(most))), margins[0][0]
+
+    def seen(df: DataFrame) -> DataFrame:
+        rate = F.exp(F.least(F.col("eta"), top))
+        return df.withColumns({"words": F.col("mass") * rate, "slope": F.when(F.col("eta") <= top, F.col("mass") * rate).otherwise(F.lit(0.0))})
+
+    def miss(df: DataFrame) -> float:
+        parts = [df.groupBy(g).agg((F.abs(F.max(t) - F.sum("words")) / F.greatest(F.lit(1.0), F.max(t))).alias("m")) for g, t in margins]
+        return max((float(p.agg(F.max("m")).first()[0] or 0.0) for p in parts), default=0.0)
+
+    now = stage(seen(cells.where(F.col(one).isNotNull()).withColumn("eta", F.lit(0.0))), "tilted")
+    gap = miss(now)
+    for _ in range(steps):
+        if gap <= TOLERANCE:
+            break
+        moved = stage(_direction(now, margins), "moved")
+        longest = float(moved.agg(F.max(F.abs("move"))).first()[0] or 0.0)
+        size = 1.0 if len(margins) == 1 else min(1.0, LONGEST_STEP / (longest or 1.0))
+        for _ in range(30):  # a single margin's groups move apart, each by its own bounded step
+            step = F.greatest(F.lit(-LONGEST_STEP), F.least(F.lit(LONGEST_STEP), F.col("move"))) if len(margins) == 1 else F.col("move")
+            after = stage(seen(moved.withColumn("eta", F.col("eta") + F.lit(size) * step)).drop("move"), "tilted")
+            found = miss(after)
+            if found < gap or len(margins) == 1:
                 break
-    return tilted.withColumn("rate", F.least(F.exp("eta"), limit)).drop("eta", "taken_", "slope_", "miss_")
+            discard(after)
+            size /= 2
+        else:
+            break
+        discard(now, moved)
+        now, gap = after, found
+    if gap > TOLERANCE:
+        raise RuntimeError(f"the constraints are missed by {gap:.1e} after Newton's steps; they may contradict each other")
+    return now.withColumn("rate", F.least(F.exp("eta"), limit)).drop("eta", "words", "slope")
 
 
 def _span(u: Column) -> Column:
@@ -106,7 +176,7 @@ def level(size: Column) -> Column:
 
 
 def stops(sized: DataFrame, cells: DataFrame) -> DataFrame:
-    """key, source_size, target, rate, base and, for each level l, at_l and last_l, where its extra copies end.
+    """The cells' columns but mass and target, base and, for each level l, at_l and last_l, where its extra copies end.
 
     A document takes one more copy if its hash range is below its level's `at`, or is
     `at` and its (hash, doc_id, size) is not above `last`. What a level misses is carried
@@ -130,22 +200,63 @@ def stops(sized: DataFrame, cells: DataFrame) -> DataFrame:
         ends = at.join(last, "key", "left").select("key", F.col("at").alias(f"at_{k}"), f"last_{k}", (F.col("want") - F.col("before") - F.coalesce("upto", F.lit(0))).alias("left_over"))
         plan = plan.join(ends, "key", "left").withColumn("carry", F.coalesce("left_over", "carry")).drop("left_over")
         plan = stage(plan, "plan")
-    return plan.withColumnRenamed("mass", "source_size").drop("extra", "carry")
+    return plan.drop("mass", "target", "extra", "carry")
+
+
+NEW = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The documents with size, source_size, target, rate, copies and taken (size times copies)."""
-    small = docs.select("doc_id", source_key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"))
-    sized = stage(small.withColumns({"u": order_hash(F.col("doc_id")), "level": level(F.col("size"))}), "sizes")
-    goals = stage(targets(sized.groupBy("key").agg(F.sum("size").alias("mass")), weights, most), "targets")
-    plan = stops(sized, stage(balance(goals, [("key", "target")], most), "rates"))
+def _mixed(docs: DataFrame, weights: tuple[int, ...], most: int, margin: tuple[Column, DataFrame] | None) -> DataFrame:
+    """d (the row as a struct) and the columns NEW.
+
+    margin: a column of docs that names each document's group, and (group, share): the share
+    of all words that each group is to have.
+    """
+    key = source_key(F.col("source"))
+    group = F.coalesce(margin[0].cast("string"), F.lit("")) if margin else F.lit("")
+    small = docs.select("doc_id", key.alias("key"), group.alias("grp"), n_words(F.col("text")).alias("size"), order_hash(F.col("doc_id"), F.col("text")).alias("u"))
+    sized = stage(small.withColumns({"level": level(F.col("size")), "cell": F.concat("key", F.lit("\n"), "grp")}), "sizes")
+    cells = stage(sized.groupBy("cell", "key", "grp").agg(F.sum("size").alias("mass")), "cells")
+    goals = targets(cells.groupBy("key").agg(F.sum("mass").alias("mass")), weights, most)
+    goals = stage(goals.select("key", F.col("mass").alias("source_size"), F.col("target").alias("source_target")), "targets")
+    cells, margins = cells.join(goals, "key"), [("key", "source_target")]
+    if margin:
+        total = float(goals.agg(F.sum("source_target")).first()[0] or 0.0)
+        shares = margin[1].select(F.col("group").cast("string").alias("grp"), (F.col("share") * total).alias("group_target"))
+        cells, margins = cells.join(shares, "grp", "left").fillna(0.0, ["group_target"]), [*margins, ("grp", "group_target")]
+    rates = balance(cells, margins, most)
+    plan = rates.select("cell", "mass", (F.col("mass") * F.col("rate")).alias("target"), "rate", "source_size", "source_target")
+    plan = stops(sized.drop("key").withColumnRenamed("cell", "key"), stage(plan.withColumnRenamed("cell", "key"), "rates"))
 
-    new = ("size", "source_size", "target", "rate", "copies", "taken")
-    whole = docs.select(F.struct(*docs.columns).alias("d"))
-    whole = whole.select("d", source_key(F.col("d.source")).alias("key"), n_words(F.col("d.text")).alias("size"), order_hash(F.col("d.doc_id")).alias("u"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.concat(key, F.lit("\n"), group).alias("key"), n_words(F.col("text")).alias("size"), order_hash(F.col("doc_id"), F.col("text")).alias("u"))
     place = F.struct(F.col("u"), F.col("d.doc_id").alias("doc_id"), F.col("size"))
     ends = lambda k: (_span(F.col("u")) < F.col(f"at_{k}")) | ((_span(F.col("u")) == F.col(f"at_{k}")) & (place <= F.col(f"last_{k}")))
     more = F.coalesce(*(F.when(level(F.col("size")) == k, ends(k)) for k in range(len(LEVELS) + 1)), F.lit(False))
     both = whole.join(plan, "key", "left").withColumn("copies", F.least(F.lit(most), F.col("base") + more.cast("long")))
-    cols = [F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in new]
-    return both.select(*cols, "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return both.select("d", "size", "source_size", F.col("source_target").alias("target"), "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, margin: tuple[Column, DataFrame] | None = None) -> DataFrame:
+    """The documents with size, source_size, target (their source's), rate, copies and taken (size times copies).
+
+    margin: (column, table of group and share) adds the constraint that each group of the
+    column takes its share of all words.
+    """
+    cols = [F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in NEW]
+    return _mixed(docs, weights, most, margin).select(*cols, *NEW)
+
+
+def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """A row for each copy taken: the input's columns, then size, target, rate, copies and copy (from 1).
+
+    Where the input has a column of such a name, the mix's own is called mix_ and that name.
+    """
+    out = _mixed(docs, weights, most, None).where("copies > 0")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    held = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        return name if name not in held else free(f"mix_{name}")
+
+    cols = [F.col(f"d.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*cols, *(F.col(c).alias(free(c)) for c in ("size", "target", "rate", "copies", "copy")))

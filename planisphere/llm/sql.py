@@ -49,7 +49,7 @@ def op4() -> str:
     out = f"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key, len({_WORDS})::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS u FROM documents),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))), 1, 13))::BIGINT AS u FROM documents),
 src AS (SELECT key, sum(size)::BIGINT AS mass FROM sized GROUP BY key),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY key) - 1) % 3 + 1)::INT]::DOUBLE AS w, mass * {mixing.MOST} AS cap FROM src),
 c AS (SELECT *, sum(cap) OVER (ORDER BY cap / w, key) - cap AS before, sum(w) OVER () - sum(w) OVER (ORDER BY cap / w, key) + w AS w_left, sum(mass) OVER () AS total FROM w),
