@@ -5,12 +5,14 @@ in pieces of 4 KB, all of it, once with either dictionary; the difference of the
 sizes over their sum is its feature, and a logistic curve fitted on labelled text that
 the dictionaries have not seen turns it into a probability.
 
-Fitting uses a bounded sample (PER_CLASS documents of each class in the order of a hash
-of doc_id, SAMPLE_CHARS of each): the only bound; every text is scored whole. The
-class counts over all labelled rows set the curve's prior. Held-out rows (crc32 of
-doc_id mod 4 is 2) are not learned from; lang, source, doc_id and labels are no inputs.
-
-Defined cases: null or empty text has difference 0 and scores by the prior alone; labels
+Fitting uses a bounded sample, PER_CLASS documents of each class in the order of a hash
+of doc_id: the only bound. Their texts are taken whole, a dictionary is trained in a task
+of its own, and the driver sees the two dictionaries and a number a sampled document.
+Every text is scored whole. The class counts over all labelled rows set the curve's
+prior. Held-out rows (crc32 of doc_id mod 4 is 2) are not learned from; lang, source,
+doc_id and labels are no inputs.
+
+Defined cases: of several texts of a labelled doc_id the first in order is learned from; null or empty text has difference 0 and scores by the prior alone; labels
 other than 0 and 1 are ignored, and of several labels of a document the lowest counts;
 with only one class labelled every score is that class's share (0.5 without labels);
 repeated rows score alike; empty tables give no rows; other columns are ignored.
@@ -23,15 +25,17 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, stage
 from .mixing import order_hash
 
-PER_CLASS, SAMPLE_CHARS = 1500, 6000
+#: Labelled documents of each class that are learned from; every FRESH-th calibrates, the others train the dictionary.
+PER_CLASS, FRESH = 1500, 3
 PIECE, DICTIONARY, LEVEL, PASSING = 4096, 112 * 1024, 3, 0.7
 
 
@@ -79,23 +83,39 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, flo
     return float(w[0] / scale), float(w[1])
 
 
+def sample(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """quality, u, text: at most PER_CLASS labelled documents of each class, one text each; a staged table. known: doc_id, quality."""
+    ranked = known.withColumn("u", order_hash(F.col("doc_id")))
+    chosen = [ranked.where(F.col("quality") == q).orderBy("u", "doc_id").limit(PER_CLASS) for q in (0, 1)]
+    chosen = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("id"), "quality", "u")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    return stage(found.groupBy("doc_id", "quality", "u").agg(F.min("text").alias("text")), "labelled_texts")
+
+
+def _train(part: pd.DataFrame) -> pd.DataFrame:
+    part = part.sort_values(["u", "text"])
+    seen = part[part.u % FRESH != 0]
+    return pd.DataFrame({"quality": [int(part.quality.iloc[0])], "dictionary": [_dictionary(list((seen if len(seen) else part).text))]})
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    texts: dict[int, list[str]] = {}
-    for q in (0, 1):
-        chosen = known.where(F.col("quality") == q).orderBy(order_hash(F.col("doc_id"))).limit(PER_CLASS).select(F.col("doc_id").alias("id"))
-        found = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-        texts[q] = [r.text for r in sorted(found.select("doc_id", "text").collect(), key=lambda r: (r.doc_id % 1009, r.doc_id, r.text))]
-    if not texts[0] or not texts[1]:
+    texts = sample(docs, known)
+    trained = {r.quality: bytes(r.dictionary) for r in texts.groupBy("quality").applyInPandas(_train, "quality int, dictionary binary").collect()}
+    if len(trained) < 2:
         share = 0.5 if not counts else float(bool(counts.get(1)))
         return Model(b" " * 8, b" " * 8, 0.0, float(np.clip(200 * (share - 0.5), -100, 100)) if counts else 0.0)
-    seen = {q: [t for k, t in enumerate(v) if k % 3] or v for q, v in texts.items()}
-    fresh = {q: v[::3] for q, v in texts.items()}
-    good, bad = _dictionary(seen[1]), _dictionary(seen[0])
-    x = np.array([difference(t, good, bad) for q in (0, 1) for t in fresh[q]])
-    y = np.array([q for q in (0, 1) for _ in fresh[q]])
-    slope, bias = _logistic(x, y)
+    good, bad = trained[1], trained[0]
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [difference(t.as_py(), good, bad) for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(x, pa.float64())], names=["quality", "fresh", "x"])
+
+    rows = texts.select(F.col("quality").cast("int"), (F.col("u") % FRESH == 0).alias("fresh"), "text").mapInArrow(features, "quality int, fresh boolean, x double").collect()
+    fresh = {q: sorted(r.x for r in rows if r.quality == q and r.fresh) or sorted(r.x for r in rows if r.quality == q) for q in (0, 1)}
+    slope, bias = _logistic(np.array(fresh[0] + fresh[1]), np.array([0] * len(fresh[0]) + [1] * len(fresh[1])))
     return Model(good, bad, slope, bias + float(np.log(counts[1] / counts[0])))
 
 
