@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from planisphere.llm import audio, chat, decontaminate, language, line_dedup, mixing, near_dedup, privacy, quality, url_trust
@@ -184,6 +185,35 @@ def test_quality_held_out(spark):
     assert auc > 0.85 and (got.predicted == (got.score >= 0.7)).all() and got.score.between(0, 1).all()
 
 
+def test_quality_against_plain(spark):
+    d = "/root/testdata/sf0.01"
+    corpus, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = quality.fit(corpus, labels)
+    compress = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(getattr(model, k)), write_content_size=False, write_checksum=False, write_dict_id=False) for k in ("good", "bad")}
+    got = {r.doc_id: r for r in quality.classify(corpus, labels).collect()}
+    texts = {r.doc_id: r.text for r in corpus.collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        raw = (t or "").encode("utf-8", "replace")
+        size = {k: sum(len(c.compress(raw[at : at + 4096])) - 5 for at in range(0, len(raw), 4096)) for k, c in compress.items()}
+        x = (size["bad"] - size["good"]) / max(1, sum(size.values())) if raw else 0.0
+        p = 1 / (1 + np.exp(-np.clip(model.slope * x + model.bias, -40, 40)))
+        assert got[i].score == pytest.approx(p, abs=1e-9) and got[i].predicted == int(got[i].score >= 0.7)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    held = [(got[r.doc_id].score, r.quality) for r in labels.collect() if r.doc_id in got and got[r.doc_id].held_out and r.quality is not None]
+    bins = defaultdict(list)
+    for p, y in held:
+        bins[min(4, int(5 * p))].append((p, y))
+    assert sum(abs(sum(p - y for p, y in v)) for v in bins.values()) / len(held) < 0.1  # calibration error
+
+
+def test_quality_sample_is_bounded(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] * 3, "doc_id long, quality int").withColumn("text", F.lit("mine"))
+    rows = [(k % 20, f"text {k} " * 20) for k in range(4000)]
+    got = quality.sample(docs(spark, rows, "quality"), labels.select("doc_id", "quality").distinct())
+    assert got.groupBy("quality").count().where("count > 10").count() == 0 and got.count() == 20
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(k, 1 if k < 6 else 0) for k in range(12)] + [(3, None), (99, 1)], "doc_id long, quality int")
     rows = [(k, "good calm prose " * 50 if k < 6 else "$$$ ### !!! " * 50) for k in range(12)] + ODD
@@ -208,14 +238,61 @@ def test_language_held_out(spark):
     assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
 
 
+FINNISH = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä "
+RUSSIAN = "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства "
+
+
 def test_language_edges(spark, corpus):
     model = language.fit(corpus)
-    rows = ODD + [(20, "12 34 !!"), (21, "Жжжж щщщ ыыы эээ юю я" * 40), (22, "the")]
-    got = {r.doc_id: r for r in language.identify(docs(spark, rows, "score"), model).collect()}
+    rng = np.random.default_rng(15)
+    gibberish = "".join(c if rng.random() > 0.18 else " " for c in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 20_000))
+    rows = ODD + [(20, "12 34 !!"), (21, "Жжжж щщщ ыыы эээ юю я" * 40), (22, "the"), (23, gibberish), (24, FINNISH * 20), (25, RUSSIAN), (26, "".join(map(chr, rng.integers(0x4E00, 0x9000, 500))))]
+    df = docs(spark, rows, "score").withColumn("rejected", F.lit("mine"))
+    got = {r.doc_id: r for r in language.identify(df, model).collect()}
     assert got[1].lang_pred == got[2].lang_pred == got[20].lang_pred == "und" and got[20].rejected and got[20].score == 0
     assert got[21].rejected and got[21].lang_pred in model.langs and not got[22].rejected
+    assert all(got[k].rejected for k in (23, 24, 25, 26))
+    kept = language.retain(df, model)
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.where("rejected = 'mine' and score = 'mine'").collect()) == Counter(d for d, *_ in rows if not got[d].rejected)
     assert {r.lang_pred for r in language.predict(docs(spark, [(1, "a", None)])).collect()} == {"und"}
-    assert language.predict(docs(spark, [])).count() == 0
+    assert language.predict(docs(spark, [])).count() == 0 and language.retain(docs(spark, []), None).count() == 0
+
+
+def _plain_places(text):
+    """Places of all letter runs, one at a time."""
+    a = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D]
+    mask, out, c = 2**32 - 1, Counter(), [" "]
+    for ch in text.lower():
+        if ch.isalpha() or c[-1] != " " or len(c) == 1 and text[0] == ch:
+            c.append(ch if ch.isalpha() else " ")
+    c = [ord(x) for x in [*c, " "]]
+    one = [x * a[0] & mask for x in c]
+    two = [((one[i] ^ one[i] >> 15) * a[1] + c[i + 1] * a[2]) & mask for i in range(len(c) - 1)]
+    three = [((two[i] ^ two[i] >> 13) * a[2] + c[i + 2] * a[1]) & mask for i in range(len(c) - 2)]
+    out.update(x >> 20 for x in one + [x ^ 0x5BD1E995 for x in two] + three)
+    return out
+
+
+def test_language_against_plain(spark, corpus):
+    model = language.fit(corpus)
+    rows = [(r.doc_id, r.text) for r in corpus.limit(60).collect()]
+    got = {r.doc_id: r for r in language.identify(docs(spark, rows), model).collect()}
+    for d, t in rows:
+        n = _plain_places(t)
+        v = {p: (1 + np.log(k)) * model.idf[p] for p, k in n.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        cos = [sum(x / norm * float(c[p]) for p, x in v.items()) for c in model.centroids]
+        assert got[d].score == pytest.approx(max(cos), abs=1e-5) and got[d].lang_pred == model.langs[model.owner[int(np.argmax(cos))]]
+    assert np.linalg.norm(model.centroids, axis=1) == pytest.approx(1, abs=1e-4) and len(model.centroids) == 3 * len(model.langs)
+
+
+def test_language_learns_repeats_once(spark):
+    same = [(None, "the same english words again and again")] * 300 + [(1, "the same english words again and again")] * 300
+    rows = same + [(k, f"ein deutscher Satz mit der Nummer {k}", "de") for k in range(40)]
+    got = language.sample(docs(spark, rows)).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in got}["en"] <= 2
+    model = language.fit(docs(spark, rows))
+    assert model.langs == ["de", "en"] and language.judge("ein Satz", model)[0] == "de"
 
 
 # 4, mixing
