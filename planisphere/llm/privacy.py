@@ -16,14 +16,15 @@ entity becomes its kind in brackets; a term is removed where it tells the entity
 surely (REMOVE), else generalised to its initial.
 
 Positions come from the texts between matches: one pass splits, one extracts, and the
-lengths are summed. Documents without matches cost the passes alone. What the corpus
+lengths are summed in blocks, in time linear in the matches. Documents without matches cost the passes alone. What the corpus
 gathers (texts of each term and entity) covers all rows. Terms in too many texts to
 disclose an entity even if it stood in all of them are not paired with it.
 
 Defined cases: null text is empty; spans are code points, end exclusive, leftmost and
 non-overlapping for each kind; spans of different kinds may overlap, and sanitising
 takes them from left to right; terms inside an entity's span are no spans of their own;
-a null doc_id is a document like others; empty tables give no rows. Columns `spans` and `sanitised`
+words that touch an entity count from its end; a null doc_id is a document like others;
+repeated rows have equal spans; empty tables give no rows. Columns `spans` and `sanitised`
 replace such columns of the input; all others are kept by `sanitise`.
 """
 
@@ -32,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, stage
+from .common import before, discard, let, lower_ascii, stage, text_key
 
 #: Fixed by the query's contract, but for lookbehinds and possessive repeats, which find the same in linear time.
 PATTERNS = {
@@ -78,26 +79,32 @@ _SPAN = "struct<kind:int,start:int,end:int,value:string>"
 
 
 def matches(text: Column, pattern: str, kind: int) -> Column:
-    """array of (kind, start, end, value) of a pattern's matches in a text."""
-    none = F.array().cast(f"array<{_SPAN}>")
+    """array of (kind, start, end, value) of a pattern's matches in a text; a match starts after all gaps and matches before it."""
 
     def located(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(x["gaps"][i])
-            end = start + F.length(x["found"][i])
-            span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["found"][i].alias("value"))
-            return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
-
-        first = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), first, step, lambda acc: acc["out"])
+        ends = before(F.transform(x["found"], lambda v, i: (F.length(x["gaps"][i]) + F.length(v)).cast("long")))
+        at = lambda e: F.transform(x["found"], lambda v, i: F.struct(F.lit(kind).alias("kind"), (e[i] + F.length(x["gaps"][i])).cast("int").alias("start"), (e[i] + F.length(x["gaps"][i]) + F.length(v)).cast("int").alias("end"), v.alias("value")))
+        return let(ends, at)
 
     def of(x: Column) -> Column:
         both = F.struct(x["found"].alias("found"), F.split(x["text"], pattern, -1).alias("gaps"))
-        return F.when(F.size(x["found"]) == 0, none).otherwise(let(both, located))
+        return F.when(F.size(x["found"]) == 0, F.array().cast(f"array<{_SPAN}>")).otherwise(let(both, located))
 
     return let(F.struct(text.alias("text"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), of)
 
 
+def blanked(text: Column) -> Column:
+    """The text with its e-mail addresses blank, so that words keep their places; entities of other kinds hold no letters."""
+    pattern = PATTERNS["email"]
+
+    def whole(x: Column) -> Column:
+        parts = F.transform(x["found"], lambda v, i: F.concat(x["gaps"][i], F.repeat(F.lit(" "), F.length(v))))
+        return F.when(F.size(x["found"]) == 0, x["text"]).otherwise(F.concat(F.array_join(parts, ""), F.element_at(x["gaps"], -1)))
+
+    both = F.struct(text.alias("text"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(F.contains(text, F.lit("@")), let(both, whole)).otherwise(text)
+
+
 def base_spans(text: Column) -> Column:
     """The entities of a text, by kind and then start."""
     out = []
@@ -121,16 +128,19 @@ def vocabulary(text: Column) -> Column:
 
 
 def disclosing(docs: DataFrame, found: DataFrame, alpha: float, prior: float) -> DataFrame:
-    """th, terms, sure: the terms of a text that disclose an entity in it; a staged table."""
+    """th, term, share: the terms of a text that disclose an entity in it, each once with its greatest share; a staged table.
+
+    found: th, text, base of each different text with entities.
+    """
     held = found.select("th", F.explode("base").alias("s")).select("th", entity(F.col("s.kind"), F.col("s.value")).alias("e")).distinct()
     held = stage(held, "held")
-    if held.isEmpty():  # no entity: no frequency is needed
+    if held.isEmpty():  # no entity: no frequency is needed, and none changes the empty result
         docs = docs.limit(0)
-    th = F.xxhash64("text").alias("th")
+    th = text_key(F.col("text")).alias("th")
     n = F.lit(float(max(1, docs.select(th).distinct().count())))
     words = docs.select(th, vocabulary(F.col("text")).alias("terms")).groupBy("th").agg(F.first("terms").alias("terms"))
     n_t = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))  # counted before the join, which then meets a row a term
-    near = found.select("th", F.explode(vocabulary(F.col("text"))).alias("term")).distinct().join(n_t, "term")
+    near = found.select("th", F.explode(vocabulary(F.col("text"))).alias("term")).join(n_t, "term")
     of_e = held.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n)
     p = F.col("n_e") / n
     share = lambda n_et: (n_et + prior * p) / (F.col("n_t") + prior)
@@ -139,28 +149,32 @@ def disclosing(docs: DataFrame, found: DataFrame, alpha: float, prior: float) ->
     pairs = stage(pairs, "pairs")
     told = pairs.groupBy("e", "n_e", "term", "n_t").agg(F.count("*").alias("n_et")).where(tells(F.col("n_et")))
     told = stage(told.select("e", "term", share(F.col("n_et")).alias("share")), "disclosing")
-    asked = pairs.select("th", "e", "term").join(told, ["e", "term"])
-    return stage(asked.groupBy("th").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("sure")), "document_terms")
+    out = stage(pairs.select("th", "e", "term").join(told, ["e", "term"]).groupBy("th", "term").agg(F.max("share").alias("share")), "told")
+    discard(held, pairs, told)
+    return out
 
 
 def find_spans(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
-    """id (doc_id), th (a hash of the text), base and terms (arrays of spans), sure (terms to remove): one row a document row."""
+    """id (doc_id), th (the text's hash), base and terms (arrays of spans), sure (terms to remove): one row a document row.
+
+    Spans hang on the text alone, so they are found once for each different text.
+    """
     all_docs = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = all_docs.select("id", F.xxhash64("text").alias("th"), "text", base_spans(F.col("text")).alias("base"))
-    held = stage(found.where("size(base) > 0"), "entities")
-    by_doc = disclosing(all_docs.select("text"), held, alpha, prior)
-
-    asked = by_doc.select("th", F.col("terms").alias("told"), "sure")
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-    every = matches(F.col("text"), _WORD, len(PATTERNS))
-    named = F.filter(every, lambda s: F.array_contains(F.col("told"), F.lower(s["value"])) & apart(s))
-    none = F.array().cast(f"array<{_SPAN}>")
-    marked = held.join(asked, "th", "left").select("id", "th", "base", F.when(F.col("told").isNull(), none).otherwise(named).alias("terms"), F.coalesce("sure", F.array().cast("array<string>")).alias("sure")).dropDuplicates(["id", "th"])
-    marked = stage(marked, "spans")
-    rows = all_docs.select("id", F.xxhash64("text").alias("th"))
-    right = marked.select(F.col("id").alias("id3"), F.col("th").alias("th3"), "base", "terms", "sure")
-    out = rows.join(right, F.col("id").eqNullSafe(F.col("id3")) & (F.col("th") == F.col("th3")), "left")
-    return out.select("id", "th", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"), F.coalesce("sure", F.array().cast("array<string>")).alias("sure"))
+    found = all_docs.select(text_key(F.col("text")).alias("th"), "text", base_spans(F.col("text")).alias("base")).where("size(base) > 0")
+    held = stage(found.groupBy("th").agg(F.first("text").alias("text"), F.first("base").alias("base")), "entities")
+    told = disclosing(all_docs.select("text"), held, alpha, prior)
+
+    # each word meets its text's terms by a join, so that a text with many of both takes no product of them
+    every = held.select("th", matches(blanked(F.col("text")), _WORD, len(PATTERNS)).alias("words"))
+    every = every.select("th", F.explode_outer("words").alias("s")).where("s is not null")
+    named = every.withColumn("term", F.lower("s.value")).join(told, ["th", "term"])
+    marks = named.groupBy("th").agg(F.sort_array(F.collect_list("s")).alias("terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("sure"))
+    marked = stage(held.select("th", "base").join(marks, "th", "left"), "spans")
+    discard(held, told)
+
+    none, no_terms = F.array().cast(f"array<{_SPAN}>"), F.array().cast("array<string>")
+    out = all_docs.select("id", text_key(F.col("text")).alias("th")).join(marked, "th", "left")
+    return out.select("id", "th", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"), F.coalesce("sure", no_terms).alias("sure"))
 
 
 def written(spans: Column) -> Column:
@@ -171,14 +185,16 @@ def written(spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
     """The documents with spans (array of kind, start, end) and sanitised (the text without what they cover)."""
-    marked = stage(find_spans(docs, alpha, prior).dropDuplicates(["id", "th"]), "document_spans")
-    whole = docs.select(F.struct(*docs.columns).alias("d"))
+    marked = stage(find_spans(docs.select("doc_id", "text"), alpha, prior).where("size(base) > 0").drop("id").dropDuplicates(["th"]), "text_spans")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), text_key(F.col("text")).alias("key"))
     text = F.coalesce(F.col("d.text"), F.lit(""))
-    both = whole.join(marked.hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("th")), "left")
+    both = whole.join(marked.hint("merge"), F.col("key") == F.col("th"), "left")
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
-    spans = F.transform(F.concat("base", "terms"), lambda s: F.struct(name(s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    ordered = F.array_sort(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["value"].alias("value"))))
-    inside = lambda s: F.when(s["kind"] < len(PATTERNS), F.concat(F.lit("["), F.upper(name(s["kind"])), F.lit("]"))).when(F.array_contains("sure", F.lower(s["value"])), F.lit("")).otherwise(F.concat(F.substring(s["value"], 1, 1), F.lit("...")))
+    no_spans, no_terms = F.array().cast(f"array<{_SPAN}>"), F.array().cast("array<string>")
+    every = F.concat(F.coalesce("base", no_spans), F.coalesce("terms", no_spans))
+    spans = F.transform(every, lambda s: F.struct(name(s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    inside = lambda s: F.when(s["kind"] < len(PATTERNS), F.concat(F.lit("["), F.upper(name(s["kind"])), F.lit("]"))).when(F.array_contains(F.coalesce("sure", no_terms), F.lower(s["value"])), F.lit("")).otherwise(F.concat(F.substring(s["value"], 1, 1), F.lit("...")))
+    by_start = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["value"].alias("value"))))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
@@ -186,9 +202,9 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> Dat
         return F.when(s["start"] >= acc["at"], taken).otherwise(acc)
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(ordered, first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = F.aggregate(by_start, first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
     cols = [F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in ("spans", "sanitised")]
-    return both.select(*cols, spans.alias("spans"), clean.alias("sanitised"))
+    return both.select(*cols, spans.alias("spans"), F.when(F.size(every) == 0, text).otherwise(clean).alias("sanitised"))
 
 
 def digests(docs: DataFrame) -> DataFrame:

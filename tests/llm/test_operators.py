@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -580,6 +581,16 @@ def test_base_spans_against_plain(spark, corpus):
     assert got == want
 
 
+def test_spans_of_long_texts_in_linear_time(spark):
+    words = " ".join(f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100 % 6]} x{k}@y{k}.org" for k in range(50_000))
+    began = time.time()
+    got = {r.doc_id: r for r in privacy.digests(docs(spark, [(1, words), (2, "1.2.3.4 " * 100_000), (3, "plain words " * 50_000), (4, "nothing")])).collect()}
+    assert time.time() - began < 90
+    assert (got[1].n_email, got[2].n_ip, got[3].n_email) == (50_000, 100_000, 0)
+    want = hashlib.sha256(",".join(f"ip:{8 * k}:{8 * k + 7}" for k in range(100_000)).encode()).hexdigest()
+    assert got[2].base_sha256 == want
+
+
 def test_disclosing_terms(spark):
     filler = ["alpha beta", "gamma delta", "kappa sigma", "omega theta", "lambda rho"]
     rows = [(k, f"{filler[k]} zebulon wrote to Jo@X.org about common things {k * 'pad '}") for k in range(5)]
