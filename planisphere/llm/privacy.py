@@ -208,7 +208,11 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> Dat
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans of every document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_spans of every document."""
     out = find_spans(docs)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return out.select(F.col("id").alias("doc_id"), *(count(k).alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)), F.size("terms").cast("long").alias("n_term"), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "terms")).alias("spans"))
+    every = F.concat("base", "terms")
+    return out.select(
+        F.col("id").alias("doc_id"), *(count(k).alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)), F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        written(every).alias("spans"), F.size("terms").cast("long").alias("n_term"), F.size(every).cast("long").alias("n_spans"),
+    )
