@@ -11,17 +11,18 @@ there. Of those that align, the one with most equal integers is told.
 The tables hold no audio, so the query renders each vector of `embeddings` as a
 recording: a note for each of its numbers, the pitch set by the number.
 
-`search` takes the fingerprints of a stated set of queries against all rows, in blocks
-of BLOCK queries held in memory; nothing else is held, and no pair of recordings is made
-unless it aligns. A block and some rows are compared at an offset at once, frames in turn
-until all pairs have more differing bits than the whole overlap may have. Work grows with
-the product of the lengths. Style: Python with Arrow.
+`search` takes the fingerprints of a stated set of queries against all rows. Queries are
+dealt to blocks and rows to chunks of about HELD integers each, and a task compares one
+chunk with one block; nothing passes the driver, and no pair of recordings is made unless
+it aligns. Some rows and a block are compared at an offset at once, frames in turn until
+all pairs have more differing bits than the whole overlap may have. Work grows with the
+product of the lengths. Style: Python with Arrow.
 
 Defined cases: null or too short audio has an empty fingerprint and aligns with nothing;
 silence gives equal chroma frames and fingerprints of zero difference; a recording does
-not match itself by id; ties of offsets go to the fewest differing bits, then the smallest shift, then the smaller one;
-repeated rows are recordings of their own; empty tables give no rows. Other columns are
-ignored.
+not match itself by id; ties of offsets go to the fewest differing bits, then the
+smallest shift, then the smaller one; repeated rows are recordings of their own, dealt
+apart; a null id is no query; empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,10 +39,12 @@ from .common import stage
 RATE, FRAME, HOP, WINDOW = 11025, 1024, 512, 16
 LOWEST, HIGHEST = 110.0, 3520.0
 #: A pair aligns if at most this share of bits differ over at least so many frames.
-MAX_ERROR, MIN_OVERLAP, BLOCK = 0.15, 16, 2048
+MAX_ERROR, MIN_OVERLAP = 0.15, 16
+#: Integers in a block of queries or a chunk of rows, on average.
+HELD = 1 << 17
 QUERY_EVERY = 100
 #: Rows compared at once, and integers held for it: bounds of memory only.
-_ROWS, _HELD = 8, 1 << 17
+_ROWS, _CELLS = 8, 1 << 17
 _LOW, _HIGH = -0.05, 0.05
 
 
@@ -155,10 +158,10 @@ class _Block:
 
     def aligned(self, row_id: int, p: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(query id, offset, overlap, bit error) of each query that aligns with a row."""
-        return [found[1:] for found in self.of_rows([(row_id, p)])]
+        return [(self.ids[k], *rest) for _, k, *rest in self.of_rows([(row_id, p)])]
 
     def of_rows(self, rows: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int, int, float]]:
-        """(row's place, query id, offset, overlap, bit error) of all aligned pairs."""
+        """(row's place, query's place, offset, overlap, bit error) of all aligned pairs."""
         by_length: dict[int, list[int]] = {}
         for r, (_, p) in enumerate(rows):
             by_length.setdefault(len(p), []).append(r)
@@ -167,12 +170,12 @@ class _Block:
             for at in range(0, len(places), _ROWS) if n >= MIN_OVERLAP else ():
                 some = places[at : at + _ROWS]
                 self._compare(rows, some, np.stack([np.asarray(rows[r][1], np.uint32) for r in some], axis=1), best)
-        return [(r, self.ids[k], shift, m, error) for (r, k), (_, error, _, shift, m) in sorted(best.items())]
+        return [(r, k, shift, m, error) for (r, k), (_, error, _, shift, m) in sorted(best.items())]
 
     def _compare(self, rows: list[tuple[int, np.ndarray]], some: list[int], p: np.ndarray, best: dict) -> None:
         two = self._two(p)
         for of, frames, pairs in self.groups:
-            step = 2 * max(1, _HELD // (len(of) * len(some)))
+            step = 2 * max(1, _CELLS // (len(of) * len(some)))
             for shift in range(MIN_OVERLAP - len(frames), len(p) - MIN_OVERLAP + 1):
                 a, b = max(0, -shift), max(0, shift)
                 m = min(len(frames) - a, len(p) - b)
@@ -196,35 +199,35 @@ class _Block:
                         best[r, k] = found
 
 
-def align(queries: DataFrame, prints: DataFrame) -> DataFrame:
-    """query_id, id, offset, overlap, bit_error of the aligned pairs, a block of queries at a time."""
-    rows = queries.repartitionByRange("id").sortWithinPartitions("id")
-    block: list[tuple[int, np.ndarray]] = []
-    out = prints.sparkSession.createDataFrame([], "query_id long, id long, offset long, overlap long, bit_error double")
+_ALIGNED = pa.schema([("query_at", pa.int64()), ("id", pa.int64()), ("offset", pa.int64()), ("overlap", pa.int64()), ("bit_error", pa.float64())])
+
+
+def _compare(rows: pa.Table, queries: pa.Table) -> pa.Table:
+    """The aligned pairs of a chunk of rows and a block of queries."""
+    prints = lambda t: [(i, np.asarray(p or [], np.uint32)) for i, p in zip(t["id"].to_pylist(), t["print"].to_pylist())]
+    ours, theirs, at = prints(rows), prints(queries), queries["at"].to_pylist()
+    got = [(at[k], ours[r][0], *rest) for r, k, *rest in _Block(theirs).of_rows(ours)] if ours and theirs else []
+    return pa.table([pa.array([g[k] for g in got], f.type) for k, f in enumerate(_ALIGNED)], schema=_ALIGNED)
 
-    def against(part: list[tuple[int, np.ndarray]]) -> DataFrame:
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lookup = _Block(part)
-            for batch in batches:
-                rows = [(i, np.asarray(p or [], np.uint32)) for i, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-                got = [(q, rows[r][0], *rest) for r, q, *rest in lookup.of_rows(rows)]
-                cols = list(zip(*got)) if got else [[]] * 5
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.float64())], names=["query_id", "id", "offset", "overlap", "bit_error"])
 
-        return prints.select("id", "print").mapInArrow(each, out.schema)
+def align(queries: DataFrame, prints: DataFrame) -> DataFrame:
+    """query_at, id, offset, overlap, bit_error of the aligned pairs. Both have at (a row's own number), id, print."""
+
+    def parts(df: DataFrame) -> int:
+        return max(1, -(-int(df.agg(F.sum(F.size("print"))).first()[0] or 0) // HELD))
 
-    for r in rows.toLocalIterator():
-        block.append((r.id, np.asarray(r.print or [], np.uint32)))
-        if len(block) == BLOCK:
-            out, block = out.unionByName(against(block)), []
-    return out.unionByName(against(block)) if block else out
+    blocks, chunks = parts(queries), parts(prints)
+    dealt = lambda df, mine, n, other, m: df.withColumns({mine: F.pmod(F.xxhash64("at"), F.lit(n)), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+    rows = dealt(prints, "chunk", chunks, "block", blocks).groupBy("chunk", "block")
+    asked = dealt(queries, "block", blocks, "chunk", chunks).groupBy("chunk", "block")
+    return rows.cogroup(asked).applyInArrow(_compare, "query_at long, id long, offset long, overlap long, bit_error double")
 
 
 def search(table: DataFrame, id_column: str, media: str, decode=np.asarray, query_every: int = QUERY_EVERY) -> DataFrame:
     """For each row whose id is divisible by query_every: n_matches, and the best match's id, offset, overlap and bit error."""
-    prints = stage(fingerprints(table, id_column, media, decode), "prints")
+    prints = stage(fingerprints(table, id_column, media, decode).withColumn("at", F.monotonically_increasing_id()), "prints")
     queries = prints.where(F.col("id") % query_every == 0)
-    best = align(queries, prints).groupBy("query_id").agg(F.count("*").alias("n_matches"), F.min(F.struct("bit_error", (-F.col("overlap")).alias("less"), "id", "offset")).alias("m"))
-    mine = queries.select(F.col("id").alias(id_column), F.size("print").cast("long").alias("n_frames"))
-    both = mine.join(best, F.col(id_column) == F.col("query_id"), "left")
+    best = align(queries, prints).groupBy("query_at").agg(F.count("*").alias("n_matches"), F.min(F.struct("bit_error", (-F.col("overlap")).alias("less"), "id", "offset")).alias("m"))
+    mine = queries.select("at", F.col("id").alias(id_column), F.size("print").cast("long").alias("n_frames"))
+    both = mine.join(best, F.col("at") == F.col("query_at"), "left")
     return both.select(id_column, "n_frames", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.col("m.id").alias("best_id"), F.col("m.offset").alias("best_offset"), (-F.col("m.less")).alias("best_overlap"), F.col("m.bit_error").alias("best_bit_error"))

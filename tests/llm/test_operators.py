@@ -679,10 +679,26 @@ def test_audio_search_recall_against_all_pairs(spark):
         all_hits += true
         hits += min(true, got[q].n_matches)
     assert all_hits > 0 and hits >= 0.9 * all_hits
-    assert got[1000].n_matches == 0 and got[1100].n_frames == 0
+    assert got[1000].n_matches == 0 and got[1100].n_frames == 0 and len(got) == 6
     assert audio.search(df.limit(0), "vec_id", "embedding", audio.render).count() == 0
 
 
+def test_audio_search_finds_shifted_recordings(spark, monkeypatch):
+    monkeypatch.setattr(audio, "HELD", 600)  # many blocks and chunks
+    rng = np.random.default_rng(17)
+    base = rng.normal(size=(12, 64))
+    rows = [(100 * k, base[k].tolist()) for k in range(12)]
+    for k in range(240):
+        v, cut = base[k % 12] + rng.normal(scale=0.02, size=64), int(rng.integers(0, 25))
+        rows.append((5000 + 2 * k + 1, (v[cut:] if k % 2 else np.concatenate([rng.normal(size=cut), v[: 64 - cut]])).tolist()))
+    got = {r.vec_id: r for r in audio.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", audio.render).collect()}
+    prints = {i: audio.fingerprint(audio.render(np.asarray(v))) for i, v in rows}
+    want = {q: [i for i, p in prints.items() if i != q and _best_alignment(prints[q], p)] for q in prints if q % 100 == 0}
+    assert {q: len(w) for q, w in want.items()} == {q: r.n_matches for q, r in got.items()}
+    assert sum(map(len, want.values())) > 100 and all(r.best_id in want[q] for q, r in got.items() if r.n_matches)
+    assert sum(r.best_offset != 0 for r in got.values() if r.n_matches) > 5
+
+
 def _best_alignment(q, p):
     """Plain version: the told offset of a pair over all offsets, or None."""
     found = []
