@@ -361,7 +361,7 @@ def test_mix_edges_and_reruns(spark):
 # 6, near copies
 
 
-def _groups(rows):
+def _groups(rows, percent=85):
     sets = [(d, _shingles(t)) for d, t, *_ in rows]
     root = list(range(len(sets)))
 
@@ -373,7 +373,7 @@ def _groups(rows):
     for i, (_, a) in enumerate(sets):
         for j in range(i):
             b = sets[j][1]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 root[find(i)] = find(j)
     least: dict = {}
     for i, (d, _) in enumerate(sets):
