@@ -18,6 +18,7 @@ def output_format(path: Column) -> Column:
     return F.when(ext.isin("cub", "lbl"), "cube").when(ext.isin("tif", "tiff"), "gtiff").otherwise("auto")
 
 
+#: The names inside the description are the output label's, fixed values.
 def core(samples: Column, lines: Column, bands: Column, cell_type: Column, base: Column, multiplier: Column) -> Column:
     """The core's description as a struct; without an offset and a scale, 0 and 1."""
     kinds = F.create_map(*(F.lit(x) for kv in PIXEL_TYPES.items() for x in kv))

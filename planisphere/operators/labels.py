@@ -9,9 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def variant_path(path: str) -> str:
+    """A dotted path, whose numbers are indexes, as a path into a variant."""
+    return "$." + re.sub(r"\.(\d+)(?=\.|$)", r"[\1]", path)
+
+
 def resolve(label: Column, path: str) -> Column:
     """The text at a dotted path of a variant, itself or its `value` or `_text`; null if it is missing."""
-    base = "$." + re.sub(r"\.(\d+)(?=\.|$)", r"[\1]", path)
+    base = variant_path(path)
     got = lambda p: F.try_variant_get(label, p, "string")
     return F.coalesce(got(base + ".value"), got(base + "._text"), got(base))
 
@@ -20,15 +25,16 @@ def clean(v: Column) -> Column:
     return F.btrim(v, F.lit(" \t\r\n"))
 
 
+def number(v: Column, kind: str) -> Column:
+    """The number that a text begins with, as int or double, in text; null if there is none."""
+    if kind == "int":
+        return F.regexp_extract(v, r"^\s*([-+]?\d+)", 1).try_cast("long").cast("string")
+    return F.regexp_extract(v, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1).try_cast("double").cast("string")
+
+
 def coerce(v: Column, kind: str) -> Column:
     """As int (a numeric prefix will do) or double, where possible; else the text."""
-    if kind == "int":
-        got = F.regexp_extract(v, r"^\s*([-+]?\d+)", 1).try_cast("long").cast("string")
-    elif kind == "double":
-        got = F.regexp_extract(v, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1).try_cast("double").cast("string")
-    else:
-        return v
-    return F.coalesce(got, v)
+    return F.coalesce(number(v, kind), v) if kind in ("int", "double") else v
 
 
 def apply_enum(v: Column, values: Column) -> Column:
@@ -82,8 +88,40 @@ def crop(samples: Column, summing: Column, mode: Column) -> Column:
     return F.struct(F.greatest(F.lit(0), samples - pick(1) - pick(2) - 1).cast("long").alias("samples"), pick(0).cast("long").alias("start"))
 
 
-#: Named transforms: (value) -> column. Add to it to offer more.
-TRANSFORMS: dict[str, Callable[[Column], Column]] = {"capitalize": capitalize, "remove_start_time_z": strip_z, "ch2tmc_instrument_id": view_instrument, "ch2tmc_naifframecode": lambda v: view_frame(v).cast("string")}
+def _text(label: Column, *paths: str) -> Column:
+    """The first of the paths whose text is not empty."""
+    return F.coalesce(*(F.nullif(clean(resolve(label, p)), F.lit("")) for p in paths))
+
+
+def _crop(value: Column, label: Column, args) -> Column:
+    samples = F.coalesce(number(_text(label, "IMAGE.LINE_SAMPLES"), "int").try_cast("long"), F.lit(0))
+    return crop(samples, F.coalesce(_text(label, "SPATIAL_SUMMING", "SAMPLING_FACTOR"), F.lit("")), _text(label, "EDIT_MODE_ID", "SAMPLE_FIRST_PIXEL"))["samples"]
+
+
+def _frame(value: Column, label: Column, args) -> Column:
+    return frame_code(_text(label, "INSTRUMENT_ID"), F.coalesce(number(_text(label, "FILTER_NUMBER"), "int").try_cast("int"), F.lit(0)))
+
+
+#: Named transforms (value's text, label, arguments) -> column. The names are those that specs use, fixed values.
+TRANSFORMS: dict[str, Callable[..., Column]] = {
+    "capitalize": lambda v, label, args: capitalize(v), "remove_start_time_z": lambda v, label, args: strip_z(v), "mroctx_crop": _crop,
+    "dawnfc_naifframecode": _frame, "ch2tmc_instrument_id": lambda v, label, args: view_instrument(v), "ch2tmc_naifframecode": lambda v, label, args: view_frame(v),
+}
+#: Those that give numbers.
+NUMERIC = {"mroctx_crop", "dawnfc_naifframecode", "ch2tmc_naifframecode"}
+
+
+def register(name: str, function: Callable[..., Column], numeric: bool = False) -> None:
+    """Offer one more transform; function takes (value's text, label, arguments) as columns and may hold a UDF."""
+    TRANSFORMS[name] = function
+    NUMERIC.discard(name)
+    NUMERIC.update({name} if numeric else ())
+
+
+def transform(name: str) -> Callable[..., Column]:
+    if name not in TRANSFORMS:
+        raise ValueError(f"no transform {name}")
+    return TRANSFORMS[name]
 
 
 def translate(labels: DataFrame, rules: list[dict]) -> DataFrame:
@@ -96,13 +134,12 @@ def translate(labels: DataFrame, rules: list[dict]) -> DataFrame:
     """
     made = []
     for k, r in enumerate(rules):
-        if (name := r.get("transform")) and name not in TRANSFORMS:
-            raise ValueError(f"no transform {name}")
+        apply = transform(r["transform"]) if r.get("transform") else None
         if "const" in r:
             v = F.lit(str(r["const"]))
         else:
             v = F.coalesce(*(clean(resolve(F.col("label"), p)) for p in (r.get("from"), r.get("fallback")) if p), F.lit(None).cast("string"))
-        v = TRANSFORMS[name](v) if name else v
+        v = apply(v, F.col("label"), r.get("args")).cast("string") if apply else v
         v = F.coalesce(v, F.lit(r["default"]).cast("string")) if "default" in r else v
         if enum := r.get("enum"):
             v = apply_enum(v, F.create_map(*(F.lit(x) for kv in enum.items() for x in kv)))
@@ -123,16 +160,36 @@ CRAFT_PATHS = ["SPACECRAFT_NAME", "MISSION_NAME", "INSTRUMENT_HOST_NAME", "QUBE.
 INSTRUMENT_PATHS = ["INSTRUMENT_ID", "QUBE.INSTRUMENT_ID", "Product_Observational.Observation_Area.Observing_System.Observing_System_Component.1.name"]
 
 
+#: What tells a product's type, in this order: a path that is there, and the type; fixed values.
+PRODUCTS = [
+    ("Product_Observational.product_class", "pds4"), ("Product_Observational.Identification_Area.product_class", "pds4"), ("QUBE", "qube"),
+    ("PDS_VERSION_ID", "pds3"), ("CCSD3ZF0000100000001NJPL3IF0PDS200000001", "pds3"),
+]
+#: Types that use the specs of another.
+_SHARED = {"qube": "pds3", "unknown": "pds3"}
+
+
+def product(label: Column) -> Column:
+    """pds4, qube, pds3 or unknown, by what the label has."""
+    has = lambda path: F.try_variant_get(label, f"$.{path}", "variant").isNotNull()
+    return F.coalesce(*(F.when(has(path), kind) for path, kind in PRODUCTS), F.lit("unknown"))
+
+
 def dispatch(labels: DataFrame, crafts: DataFrame, specs: DataFrame) -> DataFrame:
-    """labels with spacecraft, instrument and the spec for them; null where none fits.
+    """labels with product, spacecraft, instrument and the spec for them; null where none fits.
 
     crafts: spacecraft, craft_id, instr_override, instr_map (map); an override beats the
-    map. specs: craft_id, instr, spec. Both are small; Catalyst broadcasts by their size.
+    map. specs: craft_id, instr, spec and, if it matters, product (qube and unknown use
+    those of pds3). Both are small; Catalyst broadcasts by their size.
     """
     first = lambda paths: F.coalesce(*(F.nullif(clean(resolve(F.col("label"), p)), F.lit("")) for p in paths))
-    out = labels.withColumns({"spacecraft": first(CRAFT_PATHS), "instrument": first(INSTRUMENT_PATHS)}).join(crafts, "spacecraft", "left")
+    out = labels.withColumns({"spacecraft": first(CRAFT_PATHS), "instrument": first(INSTRUMENT_PATHS), "product": product(F.col("label"))}).join(crafts, "spacecraft", "left")
     out = out.withColumns({"craft_id": F.coalesce("craft_id", "spacecraft"), "instr": F.coalesce("instr_override", F.element_at("instr_map", F.col("instrument")), "instrument")})
-    return out.join(specs, ["craft_id", "instr"], "left").select(*labels.columns, "spacecraft", "instrument", "spec")
+    if "product" not in specs.columns:
+        return out.join(specs, ["craft_id", "instr"], "left").select(*labels.columns, "product", "spacecraft", "instrument", "spec")
+    shared = F.coalesce(*(F.when(F.col("product") == a, b) for a, b in _SHARED.items()), "product")
+    out = out.withColumn("kind", shared).join(specs.withColumnRenamed("product", "kind"), ["craft_id", "instr", "kind"], "left")
+    return out.select(*labels.columns, "product", "spacecraft", "instrument", "spec")
 
 
 def merge_specs(base: list[dict], over: list[dict]) -> list[dict]:

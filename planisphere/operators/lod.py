@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .net import ordinal
+
 
 def segment(idx: Column, n: Column, k: int) -> Column:
     """The segment of an ordinal: boundaries floor(s * n / k), for min(k, n) segments."""
@@ -50,30 +53,50 @@ def wedges(points: DataFrame) -> DataFrame:
     return points.withColumn("azimuth", F.atan2("x", "z"))
 
 
+def azimuth_order(points: DataFrame, digits: int | None = None) -> DataFrame:
+    """points with azimuth (rounded to digits, if given) and azimuth_rank, from 0; equal azimuths in the order of point_idx."""
+    turned = wedges(points)
+    turned = turned if digits is None else turned.withColumn("azimuth", F.round("azimuth", digits))
+    return ordinal(turned, "azimuth", "point_idx", name="azimuth_rank")
+
+
 def coalesce_windows(windows: DataFrame, budget: int) -> DataFrame:
     """Adjacent (range_start, range_count) windows of a group merged while a merged one stays within budget.
 
-    A greedy fold in order; windows of one group meet in one row.
+    Windows are first cut at gaps into runs, by ordinals of all windows, so that a large
+    group is spread; the greedy fold is a pass over each run's sorted rows.
     """
-    kind = "array<struct<s:bigint,c:bigint>>"
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("range_start").alias("s"), F.col("range_count").alias("c"))))
-
-    def step(acc: Column, w: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (last["s"] + last["c"] == w["s"]) & (last["c"] + w["c"] <= budget)
-        merged = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), (last["c"] + w["c"]).alias("c"))))
-        return F.when(fits, merged).otherwise(F.array_append(acc, w))
-
-    fold = windows.groupBy("grp").agg(ordered.alias("w")).select("grp", F.explode(F.aggregate("w", F.array().cast(kind), lambda a, w: step(a, w).cast(kind))).alias("m"))
-    return fold.select("grp", F.col("m.s").alias("range_start"), F.col("m.c").alias("range_count"))
+    ranked = ordinal(windows.select("grp", "range_start", "range_count"), "grp", "range_start", "range_count", name="at")
+    before = ranked.select((F.col("at") + 1).alias("at"), F.col("grp").alias("grp_before"), (F.col("range_start") + F.col("range_count")).alias("end_before"))
+    joined = F.col("grp").eqNullSafe(F.col("grp_before")) & F.col("range_start").eqNullSafe(F.col("end_before"))
+    marked = ranked.join(before, "at", "left").withColumn("starts", F.when(joined, 0).otherwise(1)).drop("grp_before", "end_before")
+    runs = ordinal(marked, "at", name="nth", running="starts", into="run").withColumn("run", F.col("run") + F.col("starts"))
+
+    def fold(batches):
+        last = None
+        for pdf in batches:
+            out = []
+            for row in zip(pdf["run"], pdf["grp"], pdf["range_start"], pdf["range_count"]):
+                if last and last[0] == row[0] and last[3] + row[3] <= budget:
+                    last = (*last[:3], last[3] + row[3])
+                else:
+                    out += [last[1:]] if last else []
+                    last = row
+            yield pd.DataFrame(out, columns=["grp", "range_start", "range_count"])
+        if last:
+            yield pd.DataFrame([last[1:]], columns=["grp", "range_start", "range_count"])
+
+    kinds = dict(windows.dtypes)
+    schema = f"grp {kinds['grp']}, range_start {kinds['range_start']}, range_count {kinds['range_count']}"
+    return runs.select("run", "at", "grp", "range_start", "range_count").repartition("run").sortWithinPartitions("run", "at").mapInPandas(fold, schema)
 
 
 def allotment(weights: DataFrame, total: int) -> DataFrame:
     """idx, share: total dealt by weight, as differences of the rounded running sum."""
-    w, every = Window.orderBy("idx"), Window.partitionBy()
-    upto = F.round(F.sum("weight").over(w) / F.sum("weight").over(every) * total)
-    cum = weights.withColumn("upto", upto)
-    return cum.select("idx", (F.col("upto") - F.coalesce(F.lag("upto").over(w), F.lit(0.0))).cast("long").alias("share"))
+    every = float(weights.agg(F.sum("weight")).first()[0] or 0.0) or 1.0
+    summed = ordinal(weights.select("idx", F.col("weight").cast("double").alias("weight")), "idx", name="nth", running="weight", into="ahead")
+    upto = lambda c: F.round(c / every * total)
+    return summed.select("idx", (upto(F.col("ahead") + F.col("weight")) - upto(F.col("ahead"))).cast("long").alias("share"))
 
 
 def cholesky(s: list[Column]) -> list[Column]:
@@ -113,10 +136,14 @@ def resample(vertices: DataFrame, spacing: float, budget: int) -> DataFrame:
     eff = max(spacing, total / max(1, budget))
     line = line.withColumn("ns", F.when(F.col("nv") <= 1, F.col("nv")).otherwise(F.greatest("nv", F.floor(F.col("arc") / eff) + 1)))
     want = line.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ns") - 1))).withColumn("target", F.when(F.col("ns") <= 1, F.lit(0.0)).otherwise(F.col("nth") * (F.col("arc") / F.greatest(F.lit(1), F.col("ns") - 1))))
-    ends = seg.select("line_id", "v", "x", "y", "z", "x1", "y1", "z1", "len", "at")
-    both = want.join(ends, "line_id").where(((F.col("target") >= F.col("at")) | (F.col("at") == 0)) & (F.col("x1").isNotNull() | (F.col("nv") == 1)))
-    pick = both.groupBy("line_id", "nth").agg(F.max_by(F.struct("target", "x", "y", "z", "x1", "y1", "z1", "len", "at"), F.struct("at", -F.col("v"))).alias("p"))
-    t = F.when(F.col("p.len") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("p.target") - F.col("p.at")) / F.nullif("p.len", F.lit(0.0))))).otherwise(0.0)
+    # samples and vertices in one order along the line: each sample takes the last vertex at or before it
+    at = seg.join(line.select("line_id", "nv"), "line_id").where(F.col("x1").isNotNull() | (F.col("nv") == 1))
+    vertex = F.struct(*(F.col(c) for c in ("x", "y", "z", "x1", "y1", "z1", "len", "at")))
+    both = at.select("line_id", F.col("at").alias("pos"), (-F.col("v")).alias("tie"), vertex.alias("p"), F.lit(None).cast("long").alias("nth"))
+    both = both.unionByName(want.select("line_id", F.col("target").alias("pos"), F.lit(1).cast(dict(vertices.dtypes)["v"]).alias("tie"), F.lit(None).cast(both.schema["p"].dataType).alias("p"), "nth"))
+    along = Window.partitionBy("line_id").orderBy("pos", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    pick = both.withColumn("p", F.last("p", ignorenulls=True).over(along)).where("nth is not null")
+    t = F.when(F.col("p.len") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("pos") - F.col("p.at")) / F.nullif("p.len", F.lit(0.0))))).otherwise(0.0)
     return pick.select("line_id", "nth", *((F.col(f"p.{c}") + t * (F.coalesce(f"p.{c}1", f"p.{c}") - F.col(f"p.{c}"))).alias(c) for c in "xyz"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 
+#: Columns of a network's header, and what follows each serial in a track's key; fixed values.
 HEADER = ["networkId", "targetName", "created", "lastModified", "description", "userName"]
 SEPARATOR = "\x1f"
 
@@ -33,9 +34,9 @@ def ordinal(df: DataFrame, *order: Column | str, name: str = "ord", running: str
     made = {name: (F.col("before_") + F.col("at_").bitwiseAND(F.lit(2**33 - 1))).cast("long")}
     inside = dealt.withColumn("part_", part)
     if into:
-        w = Window.partitionBy("part_").orderBy("at_").rowsBetween(Window.unboundedPreceding, 0)
-        inside = inside.withColumn("sum_", F.sum(value).over(w) - value)
-        made[into] = (F.col("upto_") + F.col("sum_")).cast("long")
+        w = Window.partitionBy("part_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
+        inside = inside.withColumn("sum_", F.coalesce(F.sum(value).over(w), F.lit(0)))
+        made[into] = (F.col("upto_") + F.col("sum_")).cast("double" if dict(df.dtypes)[running] in ("double", "float") else "long")
     return inside.join(F.broadcast(before), "part_").withColumns(made).drop("part_", "at_", "sum_", "before_", "upto_")
 
 
@@ -122,6 +123,13 @@ def offsets(points: DataFrame, measures: DataFrame) -> DataFrame:
     return ordinal(per, "point_idx", name="nth_", running="n_measures", into="measure_start").drop("nth_")
 
 
+def measure_range(points: DataFrame, measures: DataFrame, i: int) -> tuple[int, int]:
+    """The first measure's ordinal and the number of measures of point i; an index out of range raises."""
+    ahead = measures.where(F.col("point_idx") < i).count()
+    point_at(points, i)
+    return ahead, measures.where(F.col("point_idx") == i).count()
+
+
 def slice_rows(rows: DataFrame, start: int, count: int) -> DataFrame:
     """A window of rows by ordinal; count 0 is all."""
     return rows if count == 0 else rows.where((F.col("row_ord") >= start) & (F.col("row_ord") < start + count))

@@ -13,9 +13,12 @@ _own: list[str] = []
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage by a Parquet table under spark.checkpoint.dir (in local tests, where it is unset, a temporary folder)."""
+    """Cuts the lineage by a Parquet table under spark.checkpoint.dir (in a local session that names none, a temporary folder)."""
     base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = df.sparkSession.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="planisphere-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

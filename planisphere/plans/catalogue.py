@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, photometry, vec
 from ..functions.vec import Vec
-from ..operators import footprints, imports, labels, lines, lod, net, projection, raster
+from ..operators import footprints, imports, labels, lines, lod, net, projection, raster, specs
 from ..operators.staging import stage
 from ..sources import documents, facade
 from ..streaming import windows
@@ -224,6 +224,13 @@ def azimuth_wedges(spark: SparkSession, d: str) -> DataFrame:
     return lod.wedges(p).select("point_idx", _r(F.col("azimuth"), 9).alias("azimuth"))
 
 
+@query("SELECT point_idx, azimuth, row_number() OVER (ORDER BY azimuth, point_idx) - 1 AS azimuth_rank FROM (SELECT point_idx, round(atan2(ax, az), 9) AS azimuth FROM pts WHERE point_idx < 12000)")
+def azimuth_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The order of wedges around the axis, of the first 12000 points: the cap comes before the order."""
+    p = net.slice_points(stand_in.points(spark, d), 0, 12_000).select("point_idx", F.col("aprioriX").alias("x"), F.col("aprioriZ").alias("z"))
+    return lod.azimuth_order(p, 9).select("point_idx", "azimuth", "azimuth_rank")
+
+
 @query("WITH RECURSIVE w AS (SELECT o_custkey % 50 AS grp, o_orderkey * 10 AS s, (10 - (o_orderkey % 2) * 3)::BIGINT AS c, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS i FROM orders), f AS (SELECT grp, i, s AS ms, c AS mc, 1 AS m FROM w WHERE i = 1 UNION ALL SELECT w.grp, w.i, CASE WHEN f.ms + f.mc = w.s AND f.mc + w.c <= 40 THEN f.ms ELSE w.s END, CASE WHEN f.ms + f.mc = w.s AND f.mc + w.c <= 40 THEN f.mc + w.c ELSE w.c END, CASE WHEN f.ms + f.mc = w.s AND f.mc + w.c <= 40 THEN f.m ELSE f.m + 1 END FROM f JOIN w ON w.grp = f.grp AND w.i = f.i + 1) SELECT grp, max(ms) AS range_start, max(mc) AS range_count FROM f GROUP BY grp, m")
 def coalesce_windows(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
@@ -561,6 +568,61 @@ def label_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return labels.dispatch(_labels(spark, d), crafts, specs).select("label_id", "spacecraft", "spec")
 
 
+_BASE_SPEC = {"groups": [
+    {"name": "Instrument", "keywords": [{"out": "Gone", "const": 1}]},
+    {"name": "Kernels", "parent": "Naif", "keywords": [{"out": "Code", "from": "FILTER_NUMBER", "transform": "dawnfc_naifframecode"}]},
+]}
+_SPEC = {"extends": "base", "groups": [
+    {"name": "Instrument", "keywords": [
+        {"out": "SpacecraftName", "from": "NONE", "fallback_from": "SPACECRAFT_NAME"}, {"out": "Version", "const": 3}, {"out": "Exposure", "from": "EXPOSURE", "unit": "ms"},
+        {"out": "Gains", "from": "GAINS", "unit": "V"}, {"out": "Mode", "from": "MODE", "enum": {"m0": "ZERO", "m1": 1, "*": "MANY"}}, {"out": "Lines", "from": "IMAGE.LINES", "type": "int"},
+        {"out": "Left", "from": "NOWHERE"}, {"out": "Note", "from": "NOWHERE", "default": "none"}, {"out": "Samples", "transform": "mroctx_crop"}, {"out": "Second", "from": "LIST.1"}]},
+    {"name": "Archive", "keywords": [{"out": "Start", "from": "START_TIME", "transform": "remove_start_time_z"}]},
+]}
+
+
+def _products(spark: SparkSession, d: str) -> DataFrame:
+    """label_id, label, to: a product label for each event, with units, arrays and nested groups; some are unreadable."""
+    e, text = spark.read.parquet(f"{d}/events.parquet"), lambda *c: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in c))
+    k, u = F.col("event_id"), F.col("user_id")
+    doc = F.to_json(F.struct(
+        F.lit("PDS3").alias("PDS_VERSION_ID"), F.when(k % 5 > 0, F.col("event_type")).alias("SPACECRAFT_NAME"), text("FC", (u % 4).cast("string"), " ").alias("INSTRUMENT_ID"), (k % 8).alias("FILTER_NUMBER"),
+        F.struct(text(" ", (k % 50).cast("string")).alias("value"), F.lit("s").alias("unit")).alias("EXPOSURE"),
+        F.array(F.struct((k % 3).alias("value"), F.lit("x").alias("unit")), F.struct((k % 7).alias("value"), F.lit("y").alias("unit"))).alias("GAINS"),
+        text("m", (u % 3).cast("string")).alias("MODE"), F.struct(text((k % 900).cast("string"), "px").alias("LINES"), (k % 3000).alias("LINE_SAMPLES")).alias("IMAGE"),
+        text("T", (k % 60).cast("string"), "Z").alias("START_TIME"), (u % 3).alias("SPATIAL_SUMMING"), (k % 2).cast("string").alias("EDIT_MODE_ID"), F.array(F.lit("a"), text("b\"", (u % 2).cast("string"))).alias("LIST"),
+    ))
+    ending = F.element_at(F.array(*map(F.lit, ("cub", "TIF", "dat"))), (k % 3 + 1).cast("int"))
+    return e.select(k.alias("label_id"), F.when(k % 11 > 0, F.parse_json(doc)).alias("label"), text("out", k.cast("string"), ".", ending).alias("to"))
+
+
+def _rules_sql(target: str) -> str:
+    """The documents of _SPEC over _BASE_SPEC, put together as text."""
+    samples = "greatest(0, event_id % 3000 - 1 - CASE user_id % 3 WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 55 ELSE 15 END WHEN 2 THEN CASE WHEN event_id % 2 = 0 THEN 27 ELSE 7 END ELSE 0 END)"
+    return f"""'{{"Cube":{{"_type":"object","Instrument":{{"_type":"group"' || CASE WHEN event_id % 5 > 0 THEN ',"SpacecraftName":"' || event_type || '"' ELSE '' END || ',"Version":3,"Exposure":{{"value":' || (event_id % 50)
+ || ',"unit":"ms"}},"Gains":[' || (event_id % 3) || ',' || (event_id % 7) || '],"Mode":' || CASE user_id % 3 WHEN 0 THEN '"ZERO"' WHEN 1 THEN '1' ELSE '"MANY"' END || ',"Lines":' || (event_id % 900) || ',"Note":"none","Samples":' || {samples}
+ || ',"Second":"b\\"' || (user_id % 2) || '"{target}}},"Archive":{{"_type":"group","Start":"T' || (event_id % 60) || '"}}}},"Naif":{{"_type":"object","Kernels":{{"_type":"group"'
+ || CASE user_id % 4 WHEN 1 THEN ',"Code":' || (-203110 - event_id % 8) WHEN 2 THEN ',"Code":' || (-203120 - event_id % 8) ELSE '' END || '}}}}}}'"""
+
+
+@query(f"SELECT event_id AS label_id, {_rules_sql('')} AS document FROM events WHERE event_id % 11 > 0")
+def label_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by a spec that extends another: units, arrays, enums, types, defaults, omissions, groups of two parents."""
+    spec = specs.load({"own": _SPEC, "base": _BASE_SPEC}.__getitem__, "own")
+    return _products(spark, d).where("label is not null").select("label_id", specs.document(F.col("label"), spec).alias("document"))
+
+
+@query(f"""SELECT event_id AS label_id, m IS NULL AS ok, coalesce(m, 'imported to ' || t) AS message, CASE WHEN m IS NULL THEN CASE event_id % 3 WHEN 0 THEN 'cube' ELSE 'gtiff' END END AS format, CASE WHEN m IS NULL THEN doc END AS document
+FROM (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'unreadable label' WHEN event_id % 5 = 0 THEN 'no spacecraft in the label' WHEN event_type <> 'click' OR user_id % 4 = 3 THEN 'no spec for pds3/' || event_type || '/FC' || (user_id % 4) WHEN event_id % 3 = 2 THEN 'no format for ' || t END AS m
+FROM (SELECT *, 'out' || event_id || CASE event_id % 3 WHEN 0 THEN '.cub' WHEN 1 THEN '.TIF' ELSE '.dat' END AS t, {_rules_sql(',"TargetName":"Ceres"')} AS doc FROM events))""")
+def label_import(spark: SparkSession, d: str) -> DataFrame:
+    """Each product's output label, or what stood in its way."""
+    crafts = spark.createDataFrame([("click", "c", None, {"FC1": "one", "FC2": "one", "FC0": "one"})], "spacecraft string, craft_id string, instr_override string, instr_map map<string,string>")
+    spec_map = spark.createDataFrame([("c", "one", "pds3", "own"), ("c", "one", "pds4", "other")], "craft_id string, instr string, product string, spec string")
+    own = specs.load({"own": _SPEC, "base": _BASE_SPEC}.__getitem__, "own")
+    return specs.import_labels(_products(spark, d), crafts, spec_map, {"own": own, "other": _BASE_SPEC}, target="Ceres").select("label_id", "ok", "message", "format", "document")
+
+
 @query("SELECT event_id, greatest(0, event_id % 3000 - e - s - 1)::BIGINT AS samples, st::BIGINT AS start FROM (SELECT event_id, CASE WHEN m = 1 AND z THEN 37 WHEN m = 1 THEN 15 WHEN m = 2 AND z THEN 18 WHEN m = 2 THEN 7 ELSE 0 END AS e, CASE WHEN m = 1 AND z THEN 18 WHEN m = 2 AND z THEN 9 ELSE 0 END AS s, CASE WHEN m = 2 AND z THEN 7 ELSE 0 END AS st FROM (SELECT event_id, user_id % 4 AS m, event_id % 2 = 0 AS z FROM events))")
 def ctx_crop(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
