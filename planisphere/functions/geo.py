@@ -17,6 +17,20 @@ MARS = (3396190.0, 3376200.0)
 WGS84 = (6378137.0, 6356752.314245)
 
 
+def ellipsoid(a: float, c: float = 0.0) -> tuple[float, float]:
+    """(a, c) of an ellipsoid of revolution; a smaller radius that is not positive means a sphere; a larger one is an error."""
+    if not a > 0:
+        raise ValueError("the radii of an ellipsoid must be positive")
+    return float(a), float(c if c > 0 else a)
+
+
+def strict_ellipsoid(a: float, c: float) -> tuple[float, float]:
+    """(a, c), both of which must be positive."""
+    if not (a > 0 and c > 0):
+        raise ValueError("the radii of an ellipsoid must be positive")
+    return float(a), float(c)
+
+
 def surface_normal(p: Vec, a: float, b: float, c: float) -> Vec:
     return unit(Vec(p.x / (a * a), p.y / (b * b), p.z / (c * c)))
 
@@ -62,6 +76,16 @@ def ecef_to_geodetic(p: Vec, a: float, c: float, rounds: int = 5) -> tuple[Colum
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.atan2(p.z, flat), step), F.atan2(p.y, p.x)
 
 
+def geodetic(df, p: str, lat: str, lon: str, a: float, c: float, rounds: int = 5):
+    """df with the geodetic latitude and longitude of a column vector; each round is a column, so that all of them are compiled."""
+    v, e2 = Vec.of(p), 1 - (c * c) / (a * a)
+    df = df.withColumns({"flat_": F.sqrt(v.x * v.x + v.y * v.y)}).withColumn("lat_0", F.atan2(v.z, F.col("flat_")))
+    for k in range(rounds):
+        s = F.sin(f"lat_{k}")
+        df = df.withColumn(f"lat_{k + 1}", F.atan2(v.z + e2 * (F.lit(a) / F.sqrt(1 - e2 * s * s)) * s, F.col("flat_")))
+    return df.withColumns({lat: F.col(f"lat_{rounds}"), lon: F.atan2(v.y, v.x)}).drop("flat_", *(f"lat_{k}" for k in range(rounds + 1)))
+
+
 def bowring(p: Vec, a: float, c: float) -> tuple[Column, Column, Column]:
     """Latitude and longitude in degrees and height, in one step of Bowring's method; height fails at the poles."""
     e2, flat = 1 - (c * c) / (a * a), F.sqrt(p.x * p.x + p.y * p.y)
@@ -107,6 +131,7 @@ def shape_model(kind: str, lat: Column, lon: Column, height: float, a: float, b:
     """
     if kind != "constant":
         raise ValueError(f"no shape model {kind}")
+    strict_ellipsoid(a, c)
     return F.lit(float(height)), radius_at(F.radians(lat), F.radians(lon), a, b, c) + height
 
 
@@ -129,9 +154,17 @@ def ellipsoid_from_text(text: str) -> tuple[float, float, bool]:
     return *WGS84, "WGS84" in (text or "")
 
 
-def ellipsoid_columns(text: Column) -> tuple[Column, Column]:
-    """a and c of a WKT text column; null where it names no spheroid."""
-    pattern = r'(?i)(?:SPHEROID|ELLIPSOID)\s*\[\s*"[^"]*"\s*,\s*([-+0-9.eE]+)\s*,\s*([-+0-9.eE]+)'
-    a = F.expr("1").cast("double") * F.regexp_extract(text, pattern, 1).try_cast("double")
-    inv = F.regexp_extract(text, pattern, 2).try_cast("double")
-    return a, F.when(inv == 0, a).otherwise(a * (1 - 1 / F.nullif(inv, F.lit(0.0))))
+def ellipsoid_columns(text: Column) -> tuple[Column, Column, Column]:
+    """a, c and found of a text column, WKT or PROJ, as `ellipsoid_from_text` reads them: WGS84 and false where nothing is named."""
+    wkt = r'(?i)(?:SPHEROID|ELLIPSOID)\s*\[\s*"[^"]*"\s*,\s*([-+0-9.eE]+)\s*,\s*([-+0-9.eE]+)'
+    of = lambda pattern, k: F.regexp_extract(text, pattern, k).try_cast("double")
+    given = lambda name: of(rf"\+{name}=([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)", 1)
+    flat = lambda a, inv: F.when(inv == 0, a).otherwise(a * (1 - 1 / F.nullif(inv, F.lit(0.0))))
+    named, inverse, r, big = of(wkt, 1), of(wkt, 2), given("R"), given("a")
+    by_wkt = F.when(named.isNotNull() & inverse.isNotNull(), F.struct(named.alias("a"), flat(named, inverse).alias("c")))
+    sphere = F.when(r.isNotNull(), F.struct(r.alias("a"), r.alias("c")))
+    small = F.coalesce(given("b"), flat(big, F.nullif(given("rf"), F.lit(0.0))), big * (1 - F.coalesce(given("f"), F.lit(0.0))))
+    by_proj = F.when(big.isNotNull(), F.struct(big.alias("a"), small.alias("c")))
+    found = F.coalesce(by_wkt, sphere, by_proj)
+    known = found.isNotNull() | F.coalesce(text.contains("WGS84"), F.lit(False))
+    return F.coalesce(found["a"], F.lit(WGS84[0])), F.coalesce(found["c"], F.lit(WGS84[1])), known

@@ -55,26 +55,33 @@ def azimuth(v: Vec) -> Column:
 def spacecraft(df: DataFrame, a: float, c: float) -> DataFrame:
     """Nadir point, altitude, off-nadir angle and azimuth. look must be a column vector."""
     down = scale(Vec.of("pos"), -1.0)
-    df = geo.ray_ellipsoid(Vec.of("pos"), down, a, a, c).put(df, "nadir")
-    lat, lon = geo.ecef_to_geodetic(Vec.of("nadir"), a, c)
+    df = geo.geodetic(geo.ray_ellipsoid(Vec.of("pos"), down, a, a, c).put(df, "nadir"), "nadir", "sub_spacecraft_lat", "lon_", a, c)
     return df.withColumns({
-        "sub_spacecraft_lat": lat, "sub_spacecraft_lon": F.pmod(lon, F.lit(6.283185307179586)),
+        "sub_spacecraft_lon": F.pmod(F.col("lon_"), F.lit(6.283185307179586)),
         "spacecraft_altitude": distance(Vec.of("pos"), Vec.of("nadir")),
         "off_nadir": F.degrees(clamped_acos(dot(Vec.of("look"), unit(down)))),
         "spacecraft_azimuth": azimuth(Vec.of("pos").minus(Vec.of("ground"))),
-    })
+    }).drop("lon_")
 
 
 def sun(df: DataFrame, a: float, c: float, distance_au: float = 1.52) -> DataFrame:
     """Sun position (km), sub-solar point and azimuth; zeros without a sun."""
     df = unit(Vec.of("sun")).put(df, "sd")
-    df = geo.ray_ellipsoid(Vec.of("ground"), Vec.of("sd"), a, a, c).put(df, "subsolar")
-    lat, lon = geo.ecef_to_geodetic(Vec.of("subsolar"), a, c)
+    df = geo.geodetic(geo.ray_ellipsoid(Vec.of("ground"), Vec.of("sd"), a, a, c).put(df, "subsolar"), "subsolar", "lat_", "lon_", a, c)
     lit = F.col("sun_x").isNotNull()
     some = lambda v: F.when(lit, v).otherwise(F.lit(0.0))
     df = df.withColumns({f"sun_km_{k}": some(F.col(f"sd_{k}") * (distance_au * AU)) for k in "xyz"})
     to = Vec.of("subsolar").minus(Vec.of("ground"))
-    return df.withColumns({"sub_solar_lat": some(lat), "sub_solar_lon": some(F.pmod(lon, F.lit(6.283185307179586))), "solar_distance": some(F.lit(distance_au)), "sub_solar_azimuth": some(azimuth(to))})
+    return df.withColumns({"sub_solar_lat": some(F.col("lat_")), "sub_solar_lon": some(F.pmod(F.col("lon_"), F.lit(6.283185307179586))), "solar_distance": some(F.lit(distance_au)), "sub_solar_azimuth": some(azimuth(to))}).drop("lat_", "lon_")
+
+
+def azimuths(df: DataFrame) -> DataFrame:
+    """sun_azimuth, spacecraft_azimuth and north_azimuth (the same as the spacecraft's) in degrees, of the directions to_sun and to_sc.
+
+    The frame is the ground's own, from `normal`, which is of unit length.
+    """
+    df = local_frame(df)
+    return df.withColumns({"sun_azimuth": azimuth(Vec.of("to_sun")), "spacecraft_azimuth": azimuth(Vec.of("to_sc"))}).withColumn("north_azimuth", F.col("spacecraft_azimuth"))
 
 
 def resolution(df: DataFrame) -> DataFrame:
@@ -90,8 +97,8 @@ def camera_points(df: DataFrame, a: float, c: float, compat: bool = False) -> Da
     lat_geodetic and lat_centric are what they say; compat adds planetographic_lat,
     which converts a geodetic latitude once more, for comparison with older records.
     """
-    lat, lon = geo.ecef_to_geodetic(Vec.of("ground"), a, c)
-    df = df.withColumns({"lat_geodetic": lat, "lon_east": F.pmod(lon, F.lit(6.283185307179586)), "lat_centric": F.atan2(F.col("ground_z"), F.sqrt(F.col("ground_x") ** 2 + F.col("ground_y") ** 2))})
+    df = geo.geodetic(df, "ground", "lat_geodetic", "lon_", a, c)
+    df = df.withColumns({"lon_east": F.pmod(F.col("lon_"), F.lit(6.283185307179586)), "lat_centric": F.atan2(F.col("ground_z"), F.sqrt(F.col("ground_x") ** 2 + F.col("ground_y") ** 2))}).drop("lon_")
     if compat:
         df = df.withColumn("planetographic_lat", F.atan(F.tan("lat_geodetic") / F.lit((c / a) ** 2)))
     df = geo.surface_normal(Vec.of("ground"), a, a, c).put(df, "normal")

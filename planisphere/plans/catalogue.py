@@ -48,11 +48,33 @@ def net_counts(spark: SparkSession, d: str) -> DataFrame:
     return net.counts(*_net(spark, d))
 
 
-@query("SELECT p.point_idx, id, type, measure_ord, serialnumber, measure_type, sample, CASE WHEN coalesce(measure_ord, 0) = 0 THEN 6 ELSE 0 END AS n_covar FROM pts p LEFT JOIN mes m USING (point_idx)")
+_COVAR = "type || ',' || (type + 1) || ',' || (type + 2) || ',' || (type + 3) || ',' || (type + 4) || ',' || (type + 5)"
+
+
+def _listed(c: str):
+    """A list of whole doubles as text."""
+    return F.array_join(F.transform(c, lambda v: v.cast("int").cast("string")), ",")
+
+
+@query(f"SELECT 'stand-in' AS network, p.point_idx, id, type, measure_ord, serialnumber, measure_type, sample, CASE WHEN coalesce(measure_ord, 0) = 0 THEN {_COVAR} ELSE '' END AS covar FROM pts p LEFT JOIN mes m USING (point_idx)")
 def net_flat_rows(spark: SparkSession, d: str) -> DataFrame:
     pts, mes = _net(spark, d)
     flat = net.flatten(pts, mes, {"networkId": "stand-in"})
-    return flat.select("point_idx", "id", "type", "measure_ord", "serialnumber", "measure_type", "sample", F.size("aprioriCovar").alias("n_covar"))
+    return flat.select("point_idx", "id", "type", "measure_ord", "serialnumber", "measure_type", "sample", F.col("networkId").alias("network"), _listed("aprioriCovar").alias("covar"))
+
+
+@query(f"SELECT point_idx, {_COVAR} AS covar, n FROM pts JOIN (SELECT point_idx, count(*) AS n FROM mes WHERE line BETWEEN 10 AND 20 GROUP BY 1) USING (point_idx)")
+def net_where_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The points that a range query keeps, with their covariances, whichever of their measures match."""
+    pts, mes = net.where_range(*_net(spark, d), "line", 10, 20)
+    return pts.join(mes.groupBy("point_idx").agg(F.count("*").alias("n")), "point_idx").select("point_idx", _listed("aprioriCovar").alias("covar"), "n")
+
+
+@query("SELECT point_idx, id, first_row, n_rows FROM (SELECT point_idx, id, greatest(1, count(m.point_idx)) AS n_rows, (sum(greatest(1, count(m.point_idx))) OVER (ORDER BY point_idx) - greatest(1, count(m.point_idx)))::BIGINT AS first_row FROM pts LEFT JOIN mes m USING (point_idx) GROUP BY point_idx, id)")
+def net_point_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Where each point's rows begin, from the ids of flat rows alone."""
+    rows = net.flatten(*_net(spark, d)).select("point_idx", "id", F.coalesce("measure_ord", F.lit(0)).alias("nth"))
+    return facade.point_rows(net.ordinal(rows, "point_idx", "nth", name="row_ord"))
 
 
 @query("SELECT point_idx, measure_ord, serialnumber, sample FROM mes WHERE sample BETWEEN 1000 AND 20000")
@@ -131,12 +153,12 @@ def net_set_parity(spark: SparkSession, d: str) -> DataFrame:
     return bad.agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n_points, max(point_idx) AS last_idx, count(DISTINCT id) AS ids FROM (SELECT * FROM (SELECT point_idx, id FROM pts) UNION ALL SELECT point_idx + (SELECT count(*) FROM pts), id FROM pts)")
+@query("SELECT p.point_idx, id, n FROM (SELECT point_idx, id FROM pts UNION ALL SELECT point_idx + (SELECT count(*) FROM pts), id FROM pts) p LEFT JOIN (SELECT point_idx, count(*) AS n FROM (SELECT point_idx FROM mes UNION ALL SELECT point_idx + (SELECT count(*) FROM pts) FROM mes) GROUP BY 1) USING (point_idx)")
 def net_concatenate(spark: SparkSession, d: str) -> DataFrame:
     pts, mes = _net(spark, d)
     n = spark.read.parquet(f"{d}/orders.parquet").count()
-    both, _ = net.concatenate([(pts.select("point_idx", "id"), mes), (pts.select("point_idx", "id"), mes)], [n, n])
-    return both.agg(F.count("*").alias("n_points"), F.max("point_idx").alias("last_idx"), F.countDistinct("id").alias("ids"))
+    both, held = net.concatenate([(pts.select("point_idx", "id"), mes), (pts.select("point_idx", "id"), mes)], [n, n])
+    return both.join(held.groupBy("point_idx").agg(F.count("*").alias("n")), "point_idx", "left")
 
 
 # levels of detail
@@ -262,6 +284,19 @@ def mixture_sample(spark: SparkSession, d: str) -> DataFrame:
     return lod.mixture(_summary(spark, d, ("x", "y", "z")), 0.1)
 
 
+@query(f"WITH {stand_in.SQL}, {_SEG}, g AS (SELECT segment, count(x) AS weight FROM seg GROUP BY segment HAVING count(x) > 0) SELECT segment, greatest(1, round(weight * 20.0e0))::BIGINT AS n, true AS near, true AS wide FROM g")
+def mixture_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Of many points drawn from each segment: their number, whether the mean is near the segment's, and the spread like its."""
+    s = stage(_summary(spark, d, ("x", "y", "z")), "summary")
+    drawn = lod.mixture(s, 20.0).groupBy("segment").agg(F.count("*").alias("n"), *(F.avg(a).alias(f"m_{a}") for a in "xyz"), *(F.var_pop(a).alias(f"v_{a}") for a in "xyz"))
+    both = drawn.join(s, "segment")
+    near, wide = F.lit(True), F.lit(True)
+    for a, v in zip("xyz", ("s0", "s3", "s5")):  # six standard errors of a mean and of a variance
+        near = near & (F.abs(F.col(f"m_{a}") - F.col(f"mu_{a}")) <= 6 * F.sqrt(F.col(v) / F.col("n")) + 1e-6)
+        wide = wide & (F.abs(F.col(f"v_{a}") - F.col(v)) <= 6 * F.col(v) * F.sqrt(2 / F.col("n")) + 1e-6)
+    return both.select("segment", "n", near.alias("near"), wide.alias("wide"))
+
+
 _NEAR = 20_000.0
 _STEPS = "(SELECT unnest([-1, 0, 1]) AS {0})"
 
@@ -278,6 +313,16 @@ def filaments(spark: SparkSession, d: str) -> DataFrame:
     return lines.filaments(stand_in.points(spark, d))
 
 
+@query("SELECT count(x) AS n, count(x) AS members, 0::BIGINT AS far, count(DISTINCT CASE WHEN x IS NOT NULL THEN point_idx END) AS points FROM pts")
+def filament_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Every point with a position stands once in a chain, no farther than a cell from the one before it."""
+    pts = stage(stand_in.points(spark, d).select("point_idx", "x", "y", "z"), "points")
+    traced = lines.filaments(pts).join(pts, "point_idx")
+    by = Window.partitionBy("seed").orderBy("position")
+    gap = F.sqrt((F.col("x") - F.lag("x").over(by)) ** 2 + (F.col("y") - F.lag("y").over(by)) ** 2 + (F.col("z") - F.lag("z").over(by)) ** 2)
+    return traced.withColumn("gap", gap).agg(F.count("*").alias("n"), F.count("point_idx").alias("members"), F.count_if(F.col("gap") > lines.CELL).alias("far"), F.countDistinct("point_idx").alias("points"))
+
+
 @query()
 def lines_layer(spark: SparkSession, d: str) -> DataFrame:
     """Long filaments as windows of the reordered points, with their quantized vertices."""
@@ -352,9 +397,9 @@ def _apriori() -> Vec:
 
 @query(_inverse_sql())
 def ecef_inverse(spark: SparkSession, d: str) -> DataFrame:
-    p = _apriori()
-    lat, lon = geo.ecef_to_geodetic(p, A, C)
-    return stand_in.points(spark, d).select("point_idx", _r(lat, 9).alias("lat"), _r(lon, 9).alias("lon"), _r(F.degrees(F.atan2(p.z, F.sqrt(p.x * p.x + p.y * p.y))), 7).alias("lat_centric"))
+    p = Vec.of("p")
+    df = geo.geodetic(_apriori().put(stand_in.points(spark, d), "p"), "p", "geodetic", "east", A, C)
+    return df.select("point_idx", _r(F.col("geodetic"), 9).alias("lat"), _r(F.col("east"), 9).alias("lon"), _r(F.degrees(F.atan2(p.z, F.sqrt(p.x * p.x + p.y * p.y))), 7).alias("lat_centric"))
 
 
 @query(f"WITH {stand_in.SQL}, t AS (SELECT *, sqrt(ax*ax + ay*ay) AS flat, atan2(az * {A}e0, sqrt(ax*ax + ay*ay) * {C}e0) AS th FROM pts), u AS (SELECT *, atan2(az + {_E2!r}e0 * {C}e0 * pow(sin(th), 3), flat - {_E2!r}e0 * {A}e0 * pow(cos(th), 3)) AS la FROM t) SELECT point_idx, round(degrees(la), 7) AS lat, round(degrees(atan2(ay, ax)), 7) AS lon, CASE WHEN abs(lat) < 1.5 THEN round(flat / cos(la) - {A}e0 / sqrt(1 - {_E2!r}e0 * sin(la) * sin(la)), 2) END AS h FROM u")
@@ -422,14 +467,6 @@ def _states(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumns({"sun_x": F.when(~dark, F.lit(0.9)), "sun_y": F.when(~dark, F.lit(0.3)), "sun_z": F.when(~dark, F.lit(-0.2))})
 
 
-_CAMPT = ["lat_geodetic", "lon_east", "lat_centric", "emission", "incidence", "phase", "slant_distance", "target_center_distance", "local_radius", "spacecraft_altitude", "off_nadir", "spacecraft_azimuth", "sub_spacecraft_lat", "sub_spacecraft_lon", "sub_solar_lat", "sub_solar_lon", "sub_solar_azimuth", "solar_distance", "north_azimuth"]
-
-
-@query()
-def campt_record(spark: SparkSession, d: str) -> DataFrame:
-    return photometry.camera_points(_states(spark, d), A, C).select("point_idx", *(_r(F.col(c), 6).alias(c) for c in _CAMPT))
-
-
 _FRAME = """east AS (SELECT *, -ny / sqrt(nx*nx+ny*ny) AS ex, nx / sqrt(nx*nx+ny*ny) AS ey FROM {src}), loc AS (SELECT *, -nz * ey AS qx, nz * ex AS qy, nx * ey - ny * ex AS qz FROM east)"""
 _NORMAL = f"nrm AS (SELECT * EXCLUDE (n0x, n0y, n0z), n0x / m AS nx, n0y / m AS ny, n0z / m AS nz FROM (SELECT *, sqrt(n0x*n0x+n0y*n0y+n0z*n0z) AS m FROM (SELECT *, gx / {A * A!r}e0 AS n0x, gy / {A * A!r}e0 AS n0y, gz / {C * C!r}e0 AS n0z FROM {{src}})))".replace("e+", "e")
 
@@ -454,6 +491,49 @@ def sun_geometry(spark: SparkSession, d: str) -> DataFrame:
     return s.select("point_idx", *(_r(F.col(f"subsolar_{k}"), 1).alias(k) for k in "xyz"))
 
 
+def _lat_sql(src: str, v: str, out: str) -> str:
+    """CTEs from src to `out`, which adds {out}_la, the geodetic latitude of the vector v, in five rounds."""
+    made = f"{out}0 AS (SELECT *, sqrt({v}x*{v}x+{v}y*{v}y) AS fl_, atan2({v}z, sqrt({v}x*{v}x+{v}y*{v}y)) AS t0_ FROM {src})"
+    for k in range(1, 6):
+        made += f", {out}{k} AS (SELECT * EXCLUDE (t{k - 1}_), atan2({v}z + {_E2!r}e0 * ({A}e0 / sqrt(1 - {_E2!r}e0 * sin(t{k - 1}_) * sin(t{k - 1}_))) * sin(t{k - 1}_), fl_) AS t{k}_ FROM {out}{k - 1})"
+    return made + f", {out} AS (SELECT * EXCLUDE (fl_, t5_), t5_ AS {out}_la FROM {out}5)"
+
+
+def _campt_sql() -> str:
+    turn = lambda c: f"CASE WHEN {c} < 0 THEN {c} + 2 * pi() ELSE {c} END"
+    deg = lambda c: f"degrees({_acos(c)})"
+    return f"""WITH {stand_in.SQL}, {_RAYS}, s0 AS (SELECT *, -px AS dx, -py AS dy, -pz AS dz, point_idx % 7 <> 0 AS lit, 0.9e0/sqrt(0.94e0) AS ux, 0.3e0/sqrt(0.94e0) AS uy, -0.2e0/sqrt(0.94e0) AS uz FROM rays),
+{_hit_sql('s0', 'p', 'd', 'ha')}, s1 AS (SELECT * EXCLUDE (hx, hy, hz), hx AS kx, hy AS ky, hz AS kz FROM ha), {_hit_sql('s1', 'g', 'u', 'hc')}, s2 AS (SELECT * EXCLUDE (hx, hy, hz), hx AS sx, hy AS sy, hz AS sz FROM hc),
+{_lat_sql('s2', 'g', 'gd')}, {_lat_sql('gd', 'k', 'kd')}, {_lat_sql('kd', 's', 'sd')}, {_NORMAL.format(src='sd')}, {_FRAME.format(src='nrm')},
+v AS (SELECT *, px-gx AS tx, py-gy AS ty, pz-gz AS tz, sqrt((px-gx)**2+(py-gy)**2+(pz-gz)**2) AS sl, sx-gx AS wx, sy-gy AS wy, sz-gz AS wz FROM loc),
+w AS (SELECT *, {deg('(nx*tx+ny*ty+nz*tz)/sl')} AS em, CASE WHEN lit THEN {deg('nx*ux+ny*uy+nz*uz')} ELSE {deg('nz')} END AS inc, {_mod('degrees(atan2(tx*ex+ty*ey, tx*qx+ty*qy+tz*qz))')} AS az, {_mod('degrees(atan2(wx*ex+wy*ey, wx*qx+wy*qy+wz*qz))')} AS saz FROM v)
+SELECT point_idx, round(gd_la, 9) AS lat_geodetic, round({turn('atan2(gy, gx)')}, 9) AS lon_east, round(atan2(gz, sqrt(gx*gx+gy*gy)), 9) AS lat_centric, round(em, 5) AS emission, round(inc, 5) AS incidence,
+round(CASE WHEN lit THEN {deg('(tx*ux+ty*uy+tz*uz)/sl')} ELSE abs(em - inc) END, 5) AS phase, round(sl, 3) AS slant_distance, round(sqrt(px*px+py*py+pz*pz), 3) AS target_center_distance, round(sqrt(gx*gx+gy*gy+gz*gz), 3) AS local_radius,
+round(sqrt((px-kx)**2+(py-ky)**2+(pz-kz)**2), 3) AS spacecraft_altitude, round({deg('(lx*-px+ly*-py+lz*-pz)/(sqrt(lx*lx+ly*ly+lz*lz)*sqrt(px*px+py*py+pz*pz))')}, 5) AS off_nadir, round(az, 6) AS spacecraft_azimuth,
+round(kd_la, 9) AS sub_spacecraft_lat, round({turn('atan2(ky, kx)')}, 9) AS sub_spacecraft_lon, CASE WHEN lit THEN round(sd_la, 7) ELSE 0 END AS sub_solar_lat, CASE WHEN lit THEN round({turn('atan2(sy, sx)')}, 7) ELSE 0 END AS sub_solar_lon,
+CASE WHEN lit THEN round(saz, 4) ELSE 0 END AS sub_solar_azimuth, CASE WHEN lit THEN 1.52e0 ELSE 0 END AS solar_distance, round(az, 6) AS north_azimuth FROM w"""
+
+
+#: Columns of a camera point's record and the digits to compare.
+_CAMPT = {
+    "lat_geodetic": 9, "lon_east": 9, "lat_centric": 9, "emission": 5, "incidence": 5, "phase": 5, "slant_distance": 3, "target_center_distance": 3, "local_radius": 3, "spacecraft_altitude": 3, "off_nadir": 5,
+    "spacecraft_azimuth": 6, "sub_spacecraft_lat": 9, "sub_spacecraft_lon": 9, "sub_solar_lat": 7, "sub_solar_lon": 7, "sub_solar_azimuth": 4, "solar_distance": 6, "north_azimuth": 6,
+}
+
+
+@query(_campt_sql())
+def campt_record(spark: SparkSession, d: str) -> DataFrame:
+    return photometry.camera_points(_states(spark, d), A, C).select("point_idx", *(_r(F.col(c), n).alias(c) for c, n in _CAMPT.items()))
+
+
+@query(f"""WITH {stand_in.SQL}, {_RAYS}, {_NORMAL.format(src='rays')}, {_FRAME.format(src='nrm')}, v AS (SELECT *, px-gx AS tx, py-gy AS ty, pz-gz AS tz FROM loc)
+SELECT point_idx, round({_mod('degrees(atan2(0.9e0*ex+0.3e0*ey, 0.9e0*qx+0.3e0*qy-0.2e0*qz))')}, 6) AS sun_azimuth, round({_mod('degrees(atan2(tx*ex+ty*ey, tx*qx+ty*qy+tz*qz))')}, 6) AS north_azimuth FROM v""")
+def ground_azimuths(spark: SparkSession, d: str) -> DataFrame:
+    r = geo.surface_normal(Vec.of("ground"), A, A, C).put(_rays(spark, d), "normal")
+    r = Vec.lit(0.9, 0.3, -0.2).put(Vec.of("pos").minus(Vec.of("ground")).put(r, "to_sc"), "to_sun")
+    return photometry.azimuths(r).select("point_idx", _r(F.col("sun_azimuth"), 6).alias("sun_azimuth"), _r(F.col("north_azimuth"), 6).alias("north_azimuth"))
+
+
 @query("SELECT point_idx, round(e, 7) AS e360, round(CASE WHEN e > 180 THEN e - 360 ELSE e END, 7) AS e180, round(360 - e, 7) AS w360, round(CASE WHEN 360 - e > 180 THEN -e ELSE 360 - e END, 7) AS w180 FROM (SELECT point_idx, CASE WHEN degrees(lon) < 0 THEN degrees(lon) + 360 ELSE degrees(lon) END AS e FROM pts)")
 def lon_variants(spark: SparkSession, d: str) -> DataFrame:
     return stand_in.points(spark, d).select("point_idx", *(_r(c, 7).alias(k) for k, c in photometry.longitudes(F.col("lon")).items()))
@@ -501,12 +581,29 @@ def dem_lookup(spark: SparkSession, d: str) -> DataFrame:
     return found.select("point_idx", "px", "py", "height", _r(F.col("radius")).alias("radius"))
 
 
-@query()
+_R = "{a}e0 * {a}e0 * {c}e0 / sqrt(pow({a}e0 * {c}e0 * cos(la) * cos(lo), 2) + pow({a}e0 * {c}e0 * cos(la) * sin(lo), 2) + pow({a}e0 * {a}e0 * sin(la), 2))".format(a=A, c=C)
+
+
+@query(f"""WITH {stand_in.SQL}, {_RAYS}, {_CELLS}, {_hit_sql('rays', 'p', 'l', 'hit')}, spot AS (SELECT *, atan2(hz, sqrt(hx*hx+hy*hy)) AS la, atan2(hy, hx) AS lo, sqrt(hx*hx+hy*hy+hz*hz) AS m FROM hit),
+q AS (SELECT *, trunc((degrees(lo) + 180) / 7.2e0)::INT AS px_, trunc((degrees(la) - 90) / -4.5e0)::INT AS py_ FROM spot),
+f AS (SELECT q.*, {_R} + CASE WHEN value IS NULL OR value = -9999 THEN 0 ELSE value END AS r FROM q LEFT JOIN cells ON cells.px = px_ AND cells.py = py_)
+SELECT point_idx, round(hx * r / m, 2) AS x, round(hy * r / m, 2) AS y, round(hz * r / m, 2) AS z, round(r, 3) AS local_radius FROM f""")
 def dem_intersection(spark: SparkSession, d: str) -> DataFrame:
     hit = raster.intersect(_rays(spark, d), _cells(spark, d), _GT, _NODATA, A, C)
     return hit.select("point_idx", *(_r(F.col(f"hit_{k}"), 2).alias(k) for k in "xyz"), _r(F.col("local_radius")).alias("local_radius"))
 
 
+@query(f"""WITH {stand_in.SQL}, {_CELLS}, q AS (SELECT point_idx, lat AS la, lon AS lo, trunc((degrees(lon) + 180) / 7.2e0)::INT AS px, trunc((degrees(lat) - 90) / -4.5e0)::INT AS py FROM pts),
+f AS (SELECT q.*, {_R} AS r, CASE WHEN value IS NULL OR value = -9999 THEN NULL ELSE value + 3390000 END AS v FROM q LEFT JOIN cells USING (px, py))
+SELECT point_idx, round(coalesce(v - r, 0), 3) AS height, round(coalesce(v, r), 3) AS radius FROM f""")
+def dem_radii(spark: SparkSession, d: str) -> DataFrame:
+    """A raster of radii instead of heights."""
+    p = stand_in.points(spark, d).select("point_idx", F.degrees("lat").alias("lat"), F.degrees("lon").alias("lon"))
+    cells = _cells(spark, d).withColumn("value", F.when(F.col("value") == _NODATA, F.col("value")).otherwise(F.col("value") + 3390000))
+    found = raster.heights(raster.lookup(p, cells, _GT, _NODATA), _NODATA, A, C, kind="radius")
+    return found.select("point_idx", _r(F.col("height")).alias("height"), _r(F.col("radius")).alias("radius"))
+
+
 @query(f"WITH {_CELLS} SELECT min(value) AS low, max(value) AS high, count(*) AS n FROM cells WHERE value <> -9999")
 def raster_range(spark: SparkSession, d: str) -> DataFrame:
     return raster.value_range(_cells(spark, d), _NODATA)
@@ -641,10 +738,21 @@ def frame_codes(spark: SparkSession, d: str) -> DataFrame:
 def wkt_ellipsoid(spark: SparkSession, d: str) -> DataFrame:
     s = spark.read.parquet(f"{d}/supplier.parquet")
     text = F.concat(F.lit('GEOGCS["Mars",DATUM["D",SPHEROID["Mars", '), F.lit(3396190) + F.col("s_suppkey"), F.lit(", "), F.when(F.col("s_suppkey") % 3 == 0, F.lit("0")).otherwise(F.lit("169.8")), F.lit("]]]"))
-    a, c = geo.ellipsoid_columns(text)
+    a, c, _ = geo.ellipsoid_columns(text)
     return s.select("s_suppkey", a.alias("a"), _r(c).alias("c"))
 
 
+_TEXTS = ["+proj=longlat +a=3396190 +b=3376200", "+proj=eqc +a=1000 +rf=200", "+proj=eqc +a=1000 +f=0.01", "+proj=longlat +ellps=WGS84", "+proj=sinu +R=1737400", 'ELLIPSOID["Moon", 1737400, 0]', "", "+proj=eqc +a=1000"]
+
+
+@query("SELECT s_suppkey, [3396190, 1000, 1000, 6378137, 1737400, 1737400, 6378137, 1000][s_suppkey % 8 + 1]::DOUBLE AS a, [3376200, 995, 990, 6356752.314, 1737400, 1737400, 6356752.314, 1000][s_suppkey % 8 + 1]::DOUBLE AS c, s_suppkey % 8 <> 6 AS found FROM supplier")
+def text_ellipsoid(spark: SparkSession, d: str) -> DataFrame:
+    """Ellipsoids of WKT and PROJ texts, a text a row."""
+    text = F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("s_suppkey") % 8 + 1).cast("int"))
+    a, c, found = geo.ellipsoid_columns(text)
+    return spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", a.alias("a"), _r(c).alias("c"), found.alias("found"))
+
+
 @query("SELECT image, n, -50.0e0 AS x0, 0.5e0 AS xs, round(0.02e0 * (image % 5), 6) AS xl, 30.0e0 AS y0, 0.0e0 AS ys, -0.25e0 AS yl FROM (SELECT s_suppkey AS image, 36::BIGINT AS n FROM supplier)")
 def affine_fit(spark: SparkSession, d: str) -> DataFrame:
     images = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("image"), F.lit(100).alias("samples"), F.lit(200).alias("lines"))
@@ -655,15 +763,19 @@ def affine_fit(spark: SparkSession, d: str) -> DataFrame:
     return fit.select("image", "n", *(zero(F.col(c)).alias(c) for c in ("x0", "xs", "xl", "y0", "ys", "yl")))
 
 
-@query("WITH k AS (SELECT s_suppkey AS image, s_suppkey % 60 AS cut FROM supplier) SELECT image, 64 * 64 AS covered FROM k")
+_STATE = "CASE WHEN s0 >= cut THEN 'valid' WHEN s1 < cut AND (s0 + s1) // 2 < cut THEN 'invalid' WHEN l1 - l0 <= 4 OR s1 - s0 <= 4 THEN 'mixed' END"
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT s_suppkey AS image, s_suppkey % 60 AS cut, 0 AS l0, 64 AS l1, 0 AS s0, 64 AS s1 FROM supplier UNION ALL
+SELECT image, cut, CASE WHEN k < 2 THEN l0 ELSE (l0 + l1) // 2 END, CASE WHEN k < 2 THEN (l0 + l1) // 2 ELSE l1 END, CASE WHEN k % 2 = 0 THEN s0 ELSE (s0 + s1) // 2 END, CASE WHEN k % 2 = 0 THEN (s0 + s1) // 2 ELSE s1 END
+FROM q, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE ({_STATE}) IS NULL)
+SELECT image, l0::INT AS line0, l1::INT AS line1, s0::INT AS sample0, s1::INT AS sample1, {_STATE} AS state FROM q WHERE ({_STATE}) IS NOT NULL""")
 def validity_quadtree(spark: SparkSession, d: str) -> DataFrame:
-    """The leaves of each image's quadtree tile it."""
+    """The leaves of each image's quadtree; an image sees the surface from one sample on."""
     images = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("image"), F.lit(64).alias("lines"), F.lit(64).alias("samples"))
     line = images.select("image", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("line"))
     sees = line.select("image", "line", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("sample")).where(F.col("sample") >= F.col("image") % 60)
-    leaves = projection.quadtree(images, sees)
-    area = (F.col("line1") - F.col("line0")) * (F.col("sample1") - F.col("sample0"))
-    return leaves.groupBy("image").agg(F.sum(area).cast("int").alias("covered"))
+    return projection.quadtree(images, sees)
 
 
 @query("SELECT row, col, round(s * 2 - 1, 9) AS diff_x, round(sqrt((s * 2 - 1)**2 + (s * 1.5e0 - 0.75e0)**2), 9) AS size FROM (SELECT y AS row, x AS col, sin((-10 + 18.0e0 * y / 9) * 0.1e0) * cos((30 + 18.0e0 * x / 9) * 0.1e0) AS s FROM (SELECT unnest(range(10)) AS y) CROSS JOIN (SELECT unnest(range(10)) AS x))")
@@ -704,6 +816,26 @@ def url_validity(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.coalesce(F.get(bad, 0), F.lit("")).alias("problem"))
 
 
+@query("""SELECT page_id, CASE WHEN url IS NULL OR trim(url) = '' THEN 'empty' WHEN NOT regexp_matches(url, '(?i)^[a-z][a-z0-9+.-]*:') THEN 'no URL' WHEN NOT regexp_matches(url, '(?i)^https?:') THEN 'scheme'
+  WHEN NOT (contains(h, '.') OR h = 'localhost') THEN 'host' WHEN NOT (ends_with(p, '.html') OR ends_with(p, '/')) THEN 'ending' END AS error, regexp_matches(url, '(?i)^http:') AS plain
+FROM (SELECT *, lower(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h, lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)) AS p FROM pages)""")
+def url_checks(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    got = p.select("page_id", "url", documents.url_check(F.col("url"), (".html", "/")).alias("c"))
+    return got.select("page_id", F.col("c.error").alias("error"), F.col("url").rlike("(?i)^http:").alias("plain"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'no TIFF' WHEN p_partkey % 40 = 1 THEN CASE WHEN p_partkey % 3 > 0 THEN 'thumbnail first' ELSE 'one pixel' END END AS error,
+CASE WHEN p_partkey % 5 = 0 OR p_partkey % 40 = 1 THEN '' ELSE concat_ws(',', CASE WHEN p_partkey % 40 < 10 THEN 'very small' END, CASE WHEN p_partkey % 2 = 0 THEN 'compressed' END, CASE WHEN p_size > 40 THEN 'very large' WHEN p_size > 16 THEN 'large' END, CASE WHEN p_partkey % 3 > 0 THEN 'several images' END) END AS warnings
+FROM part WHERE p_partkey % 40 > 0""")
+def raster_checks(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 40 > 0")
+    head = F.unhex(F.when(F.col("p_partkey") % 5 == 0, "00000000").when(F.col("p_partkey") % 2 == 0, "49492A0008").otherwise("4D4D002A08"))
+    side = (F.col("p_partkey") % 40).cast("int")
+    got = documents.raster_check(head, side, side, F.col("p_size").cast("long") * 12_900_000, (F.col("p_partkey") % 3 + 1).cast("int"), F.when(F.col("p_partkey") % 2 == 0, 5).otherwise(1))
+    return p.select("p_partkey", got.alias("c")).select("p_partkey", F.col("c.error").alias("error"), F.array_join("c.warnings", ",").alias("warnings"))
+
+
 @query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'MARS' WHEN 1 THEN 'DEIMOS' WHEN 2 THEN 'MOON' ELSE 'EARTH' END AS body FROM supplier")
 def target_body(spark: SparkSession, d: str) -> DataFrame:
     k, none = F.col("s_suppkey") % 4, F.lit(None).cast("string")

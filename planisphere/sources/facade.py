@@ -14,6 +14,9 @@ from ..operators import lines, lod, net
 from ..operators.staging import stage
 from . import netpb
 
+_MORE = "measure_logType array<int>, measure_logValue array<double>"
+#: The columns of flat rows, in their order. Absent ones read as null.
+FLAT = ", ".join([*(f"{n} string" for n in net.HEADER), *(f"{n} {netpb._SQL[k]}" for n, k in (*netpb.POINT.values(), *netpb.MEASURE.values())), _MORE])
 LAYERS = ("points", "measures", "summary", "lines", "density")
 
 
@@ -23,9 +26,16 @@ def infer_format(path: str) -> str:
     return "parquet" if name.endswith(".parquet") else "bundle" if name.endswith((".stards", ".bundle")) else "net"
 
 
-def read_flat(spark: SparkSession, path: str, columns: list[str] | None = None, where: str | None = None) -> DataFrame:
-    """Flat rows; only the columns asked for (id always) are read, and the filter reaches the scan."""
-    rows = spark.read.parquet(path)
+def read_flat(spark: SparkSession, path: str, columns: list[str] | None = None, where: str | None = None, window: tuple[int, int] | None = None, declared: bool = False) -> DataFrame:
+    """Flat rows; only the columns asked for (id always) are read, and the filter reaches the scan.
+
+    window: (start, count) of rows in the order of points and measures; count 0 is all.
+    declared: rows of the schema FLAT and their ordinals, whatever the files lack or have besides.
+    """
+    rows = spark.read.schema(f"{FLAT}, point_idx long, measure_ord long").parquet(path) if declared else spark.read.parquet(path)
+    if window and window[1]:
+        ranked = rows if "row_ord" in rows.columns else net.ordinal(rows, "point_idx", F.coalesce("measure_ord", F.lit(0)), name="row_ord")
+        rows = net.slice_rows(ranked, *window)
     rows = rows.where(where) if where else rows
     return rows.select("id", *(c for c in columns if c != "id" and c in rows.columns)) if columns else rows
 
@@ -37,14 +47,26 @@ def read_flat_bytes(spark: SparkSession, raw: bytes, columns: list[str] | None =
     return spark.createDataFrame(found.read([c for c in held if not columns or c == "id" or c in columns]))
 
 
-def write_flat(rows: DataFrame, path: str, codec: str = "gzip") -> None:
-    """Rows ranged and sorted by point, so that files hold whole points and their statistics prune ranges."""
-    rows.repartitionByRange("point_idx").sortWithinPartitions("point_idx", "measure_ord").write.mode("overwrite").parquet(path, compression=codec)
+def write_flat(rows: DataFrame, path: str, codec: str = "gzip", target: int | None = None) -> None:
+    """Rows ranged and sorted by point, so that files hold whole points and their statistics prune ranges.
+
+    target: about so many rows a file.
+    """
+    parts = (max(1, -(-rows.count() // target)),) if target else ()
+    rows.repartitionByRange(*parts, "point_idx").sortWithinPartitions("point_idx", "measure_ord").write.mode("overwrite").parquet(path, compression=codec)
 
 
 def shape(rows: DataFrame) -> dict:
-    """Row count and present columns; the count comes from file footers."""
-    return {"rows": rows.count(), "columns": rows.columns}
+    """Row count (from file footers), present columns, and the header that all rows repeat."""
+    held = [c for c in net.HEADER if c in rows.columns]
+    first = rows.select(*held).first() if held else None
+    return {"rows": rows.count(), "columns": rows.columns, "header": {c: (first[c] if first else None) or "" for c in held}}
+
+
+def point_rows(rows: DataFrame) -> DataFrame:
+    """point_idx, id, first_row, n_rows: the points as runs of one id, read from two columns (id, row_ord) alone."""
+    found = net.runs(rows.select("row_ord", "id")).groupBy("run").agg(F.min("id").alias("id"), F.min("row_ord").alias("first_row"), F.count("*").alias("n_rows"))
+    return found.withColumnRenamed("run", "point_idx")
 
 
 def write_bundle(path: str, points: DataFrame, measures: DataFrame, header: dict[str, str] | None = None, segments: int = 0, by_tracks: bool = False, reordered: bool = False) -> None:
@@ -133,6 +155,11 @@ def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def xyz_extract(points: DataFrame, limit: int) -> DataFrame:
-    """Float coordinates of the adjusted points among the first `limit`, with the azimuth they are ordered by."""
-    some = net.slice_points(points, 0, limit).where("x is not null")
-    return lod.wedges(some).select("point_idx", "azimuth", *(F.col(c).cast("float").alias(c) for c in "xyz"))
+    """Float coordinates of the adjusted points among the first `limit`, with their azimuth and its rank."""
+    some = net.slice_points(points, 0, limit).where("x is not null").select("point_idx", "x", "y", "z")
+    return lod.azimuth_order(some).select("azimuth_rank", "point_idx", "azimuth", *(F.col(c).cast("float").alias(c) for c in "xyz"))
+
+
+def write_xyz(points: DataFrame, path: str, limit: int) -> None:
+    """The extract in the order of azimuths: files, and rows in them, follow one another."""
+    xyz_extract(points, limit).repartitionByRange("azimuth_rank").sortWithinPartitions("azimuth_rank").write.mode("overwrite").parquet(path, compression="gzip")
