@@ -165,16 +165,17 @@ def components(edges: DataFrame) -> DataFrame:
     while was[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m")), "smallest")
-        large = stage(both.join(low, F.col("a") == F.col("of")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = stage(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "of"), "smallest")
+        large = both.join(low, F.col("a") == F.col("of")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "of")  # a node has few smaller neighbours: no skew
         small = large.join(least, F.col("a") == F.col("of")).select("a", "b", "m")
-        after = stage(small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
-        discard(e, low, large, least)
+        pairs = F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.when(F.col("b") != F.col("m"), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        after = stage(small.select(F.explode(pairs).alias("p")).where("p is not null").select("p.*").distinct(), "edges")
+        discard(e, low)
         e, now = after, mark(after)
         if now == was:
             break
         was = now
-    out = stage(e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "components")
+    out = stage(e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))).alias("p")).select("p.*").distinct(), "components")
     discard(e)
     return out
 
@@ -256,9 +257,8 @@ def _confirm(percent: int):
     return confirm
 
 
-def unresolved(shared: DataFrame, links: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The cells left to compare: rows (cell, outer, cls, comp, n, sig), and the classes in them. shared: key, cls."""
-    found = components(links)
+def unresolved(shared: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """The cells left to compare: rows (cell, outer, cls, comp, n, sig). shared: key, cls; found: the components so far."""
     part = stage(classes.select("cls", "n", "sig").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("comp"), "n", "sig"), "parts")
     placed = shared.select("key", "cls").join(part.select("cls", "comp"), "cls")
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("h"))
@@ -272,8 +272,8 @@ def unresolved(shared: DataFrame, links: DataFrame, classes: DataFrame) -> tuple
     whole = rest.select("key", every(F.col("p_outer")).alias("i"), place(F.col("p_all")).alias("j"), F.lit(False).alias("outer"), "cls")
     cells = outer.unionByName(whole).select(F.concat_ws(":", "key", "i", "j").alias("cell"), "outer", "cls").join(part, "cls")
     cells = stage(cells.select("cell", "outer", "cls", "comp", "n", "sig"), "cells")
-    discard(found, part, open_, rest)
-    return cells, cells.select("cls").distinct()
+    discard(part, open_, rest)
+    return cells
 
 
 def near_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -305,7 +305,8 @@ def near_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Da
     links = stage(tested.where(_linked(F.size(F.array_intersect("ia", "ib")), F.col("na"), F.col("nb"), percent)).select("a", "b"), "links")
     discard(candidates, sets)
 
-    cells, _ = unresolved(shared, links, classes)
+    found = components(links)
+    cells = unresolved(shared, found, classes)
     member = F.struct(*(f.split()[0] for f in _MEMBER.split(", ")))
     need = stage(cells.groupBy("cell").agg(F.collect_list(member).alias("rows")).mapInArrow(_ask(percent), "cell string, cls binary"), "asked")
     sets = sets_of(need.select("cls").distinct(), "cell_sets")
@@ -314,11 +315,11 @@ def near_classes(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Da
     more = stage(filled.groupBy("cell").agg(F.collect_list(member).alias("rows")).mapInArrow(_confirm(percent), "a binary, b binary"), "more_links")
     discard(cells, need, sets, shared)
 
-    joined = components(links.unionByName(more))
+    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = classes.select("cls", "first").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     firsts = stage(named.groupBy("root").agg(F.min("first").alias("kept")), "firsts")
     label = stage(named.select("cls", "root").join(firsts, "root").select("cls", F.col("kept.doc_id").alias("component_id"), F.col("kept.th").alias("th_kept")), "labels")
-    discard(links, more, joined, firsts, classes)
+    discard(links, found, more, joined, firsts, classes)
     return signed.select("doc_id", "th", "n", "cls"), label
 
 
