@@ -6,8 +6,10 @@ parallel; the older one has a little-endian size before each point.
 
 `spark.dataSource.register(NetSource)`, then
 `spark.read.format("planisphere_net").load(path)` gives a row for each point, measures
-as an array. Files are read through Spark's binaryFile reader by `read_net`, which also
-works on stores that only Spark can open.
+as an array, from files of the local machine. `read_net` reads through Spark itself, so
+from any store that Spark can open, in pieces: Spark reads splits of the files, a task a
+file cuts them at points, a window of bounded size after another, and windows are then
+decoded in parallel.
 """
 
 from __future__ import annotations
@@ -17,10 +19,13 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..operators.staging import stage
+
 LABEL_BYTES = 65536
 #: Field numbers and names of the format, fixed values.
 HEADER = {1: "networkId", 2: "targetName", 3: "created", 4: "lastModified", 5: "description", 6: "userName"}
@@ -112,22 +117,25 @@ def point(raw: bytes) -> dict:
     return out | {"type": out["type"] or 0}
 
 
-def layout(raw: bytes) -> dict:
-    """header, start, size and (in the newer form) sizes of the points."""
-    if len(raw) < LABEL_BYTES:
+def extent(label: bytes) -> dict[str, int]:
+    """The places that a file's label names."""
+    if len(label) < LABEL_BYTES:
         raise ValueError("smaller than its label")
-    label = raw[:LABEL_BYTES].decode("latin-1")
-    number = {}
+    label, number = label[:LABEL_BYTES].decode("latin-1"), {}
     for key in ("HeaderStartByte", "HeaderBytes", "PointsStartByte", "PointsBytes"):
         m = re.search(rf"\b{key}\s*=\s*(-?\d+)", label)
         if not m:
             raise ValueError(f"label without {key}")
         number[key] = int(m[1])
-    start, size = number["PointsStartByte"], number["PointsBytes"]
-    if min(number.values()) < 0 or number["HeaderStartByte"] + number["HeaderBytes"] > len(raw) or start + size > len(raw):
+    if min(number.values()) < 0:
         raise ValueError("offsets exceed the file")
+    return number
+
+
+def header_of(raw: bytes) -> tuple[dict, list[int] | None]:
+    """The header message's texts and, in the newer form, the sizes of the points."""
     header, sizes = {}, None
-    for n, v in fields(raw[number["HeaderStartByte"] : number["HeaderStartByte"] + number["HeaderBytes"]]):
+    for n, v in fields(raw):
         if n in HEADER and isinstance(v, bytes):
             header[HEADER[n]] = v.decode("utf-8", "replace")
         elif n == 7 and isinstance(v, bytes):
@@ -135,6 +143,16 @@ def layout(raw: bytes) -> dict:
             while at < len(v):
                 one, at = _varint(v, at)
                 sizes.append(one)
+    return header, sizes
+
+
+def layout(raw: bytes) -> dict:
+    """header, start, size and (in the newer form) sizes of the points of a whole file."""
+    at = extent(raw)
+    start, size, head = at["PointsStartByte"], at["PointsBytes"], at["HeaderStartByte"]
+    if head + at["HeaderBytes"] > len(raw) or start + size > len(raw):
+        raise ValueError("offsets exceed the file")
+    header, sizes = header_of(raw[head : head + at["HeaderBytes"]])
     return {"header": header, "start": start, "size": size, "sizes": sizes}
 
 
@@ -159,13 +177,33 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    """Of a local file only the label, the header and, in the older form, the sizes before the points are read on the driver."""
+
     def __init__(self, path: str, per: int):
         self.path, self.per = path.removeprefix("file://"), per
 
-    def partitions(self) -> list[_Range]:
+    def _spans(self) -> list[tuple[int, int]]:
         with open(self.path, "rb") as f:
-            raw = f.read()
-        todo = spans(raw, layout(raw))
+            at = extent(f.read(LABEL_BYTES))
+            f.seek(at["HeaderStartByte"])
+            _, sizes = header_of(f.read(at["HeaderBytes"]))
+            place, end, out = at["PointsStartByte"], at["PointsStartByte"] + at["PointsBytes"], []
+            if sizes is not None:
+                for size in sizes:
+                    out.append((place, size))
+                    place += size
+                return out
+            while place + 4 <= end:
+                f.seek(place)
+                size = struct.unpack("<I", f.read(4))[0]
+                out.append((place + 4, size))
+                place += 4 + size
+        if place > end:
+            raise ValueError("a point exceeds the points' block")
+        return out
+
+    def partitions(self) -> list[_Range]:
+        todo = self._spans()
         return [_Range(self.path, k, todo[k : k + self.per]) for k in range(0, len(todo), self.per)] or [_Range(self.path, 0, [])]
 
     def read(self, part: _Range) -> Iterator[tuple]:
@@ -190,29 +228,159 @@ class NetSource(DataSource):
         return _Reader(self.options["path"], int(self.options.get("points", 50_000)))
 
 
+#: Bytes of a chunk of a file, and of a window of whole points.
+CHUNK = 1 << 20
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, block, rel, data: the lines of each split put together again, in pieces of about CHUNK bytes."""
+
+    def piece(key, rel, lines):
+        return pa.record_batch([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([rel], pa.int64()), pa.array([b"".join(lines)], pa.binary())], names=["path", "block", "rel", "data"])
+
+    key, rel, size, lines = None, 0, 0, []
+    for batch in batches:
+        for path, block, line in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if lines and ((path, block) != key or size >= CHUNK):
+                yield piece(key, rel, lines)
+                rel, size, lines = rel + size, 0, []
+            if (path, block) != key:
+                key, rel = (path, block), 0
+            lines += [line, b"\n"]
+            size += len(line) + 1
+    if lines:
+        yield piece(key, rel, lines)
+
+
+class _Cutter:
+    """Cuts a file's bytes, as they come, into windows of whole points."""
+
+    def __init__(self):
+        self.held, self.at, self.sizes, self.pending, self.todo, self.first = bytearray(), None, None, None, None, 0
+
+    def _ready(self) -> bool:
+        """Label and header are read, and what stands before the points is gone."""
+        if self.at is None and len(self.held) >= LABEL_BYTES:
+            self.at = extent(bytes(self.held[:LABEL_BYTES]))
+        if self.at is None:
+            return False
+        head, start = self.at["HeaderStartByte"], self.at["PointsStartByte"]
+        if self.todo is None and len(self.held) >= max(start, head + self.at["HeaderBytes"]):
+            _, sizes = header_of(bytes(self.held[head : head + self.at["HeaderBytes"]]))
+            self.sizes, self.todo = (iter(sizes) if sizes is not None else None), self.at["PointsBytes"]
+            del self.held[:start]
+        return self.todo is not None
+
+    def feed(self, data: bytes) -> Iterator[tuple[int, list[int], list[int], bytes]]:
+        """(first point, starts, sizes, raw) of each window that is complete."""
+        self.held += data
+        if not self._ready():
+            return
+        pad, used, starts, sizes = (0 if self.sizes is not None else 4), 0, [], []
+        while self.todo > 0:
+            if self.sizes is not None:
+                self.pending = size = next(self.sizes, None) if self.pending is None else self.pending
+                if size is None:
+                    raise ValueError("fewer sizes than points")
+            elif self.todo < 4:
+                self.todo = 0
+                break
+            elif used + 4 > len(self.held):
+                break
+            else:
+                size = struct.unpack_from("<I", self.held, used)[0]
+            if pad + size > self.todo:
+                raise ValueError("a point exceeds the points' block")
+            if used + pad + size > len(self.held):
+                break
+            starts.append(used + pad)
+            sizes.append(size)
+            used, self.todo, self.pending = used + pad + size, self.todo - pad - size, None
+            if used >= CHUNK:
+                yield self._window(starts, sizes, used)
+                used, starts, sizes = 0, [], []
+        if starts:
+            yield self._window(starts, sizes, used)
+
+    def _window(self, starts: list[int], sizes: list[int], used: int) -> tuple[int, list[int], list[int], bytes]:
+        out = (self.first, starts, sizes, bytes(self.held[:used]))
+        self.first += len(starts)
+        del self.held[:used]
+        return out
+
+    def finish(self) -> None:
+        if self.todo is None:
+            raise ValueError("smaller than its label" if self.at is None else "offsets exceed the file")
+        if self.todo > 0 and self.todo >= (0 if self.sizes is not None else 4):
+            raise ValueError("offsets exceed the file")
+
+
+_WINDOW = "path string, first long, starts array<long>, sizes array<long>, raw binary"
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of whole points from chunks in the order of path and offset."""
+    ints, now, cutter = pa.list_(pa.int64()), None, None
+    for batch in batches:
+        for path, data in zip(batch.column(0).to_pylist(), batch.column(2)):
+            if path != now:
+                if cutter:
+                    cutter.finish()
+                now, cutter = path, _Cutter()
+            for first, starts, sizes, raw in cutter.feed(data.as_py()):
+                yield pa.record_batch([pa.array([path], pa.string()), pa.array([first], pa.int64()), pa.array([starts], ints), pa.array([sizes], ints), pa.array([raw], pa.binary())], names=["path", "first", "starts", "sizes", "raw"])
+    if cutter:
+        cutter.finish()
+
+
+def file_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """path, offset, data: the bytes of all files of a path, read in splits by Spark, as a staged table.
+
+    The text reader with a line break as its only separator loses no byte: each line is
+    followed by one again. A split's place follows from the lengths of those before it.
+    """
+    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+    pieces = stage(text.mapInArrow(_chunks, "path string, block long, rel long, data binary"), "chunks")
+    per = pieces.groupBy("path", "block").agg(F.sum(F.length("data")).alias("n"))
+    ahead = per.select("path", "block", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("ahead"))  # a row a split
+    return pieces.join(ahead, ["path", "block"]).select("path", (F.col("ahead") + F.col("rel")).alias("offset"), "data")
+
+
 def read_net(spark: SparkSession, path: str) -> DataFrame:
-    """The points of the .net files of a path that Spark can read, a task for each file."""
+    """The points of the .net files of a path that Spark can read; point_idx counts on from file to file, in the order of their paths."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    chunks = file_chunks(spark, path)
+    windows = stage(chunks.repartition("path").sortWithinPartitions("path", "offset").mapInArrow(_windows, _WINDOW), "windows")
     schema = spark.createDataFrame([], SCHEMA).schema
     arrow = to_arrow_schema(schema)
 
     def each(batches):
         for batch in batches:
-            for content in batch.column(0):
-                raw = content.as_py()
-                todo = spans(raw, layout(raw))
-                for at in range(0, len(todo), 10_000):
-                    rows = [{"point_idx": at + k, **point(raw[s : s + n])} for k, (s, n) in enumerate(todo[at : at + 10_000])]
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            for ahead, first, starts, sizes, raw in zip(*(batch.column(k) for k in range(5))):
+                data, base = raw.as_py(), ahead.as_py() + first.as_py()
+                rows = [{"point_idx": base + k, **point(data[a : a + n])} for k, (a, n) in enumerate(zip(starts.as_py(), sizes.as_py()))]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return files.mapInArrow(each, schema)
+    counts = windows.groupBy("path").agg(F.sum(F.size("starts")).alias("n"))
+    before = counts.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("ahead"))  # a row a file
+    placed = windows.join(before, "path").select("ahead", "first", "starts", "sizes", "raw")
+    return placed.mapInArrow(each, schema)
 
 
 def read_header(spark: SparkSession, path: str) -> dict[str, str]:
-    row = spark.read.format("binaryFile").load(path).select("content").first()
-    return layout(bytes(row.content))["header"]
+    """The header of the first file of a path; only its first chunks come to the driver."""
+    chunks = file_chunks(spark, path)
+    first = chunks.agg(F.min("path")).first()[0]
+    if first is None:
+        raise ValueError(f"no file at {path}")
+    own = chunks.where(F.col("path") == first)
+    upto = lambda n: b"".join(bytes(r.data) for r in own.where(F.col("offset") < n).orderBy("offset").collect())
+    at = extent(upto(LABEL_BYTES))
+    raw = upto(at["HeaderStartByte"] + at["HeaderBytes"])
+    if len(raw) < at["HeaderStartByte"] + at["HeaderBytes"]:
+        raise ValueError("offsets exceed the file")
+    return header_of(raw[at["HeaderStartByte"] : at["HeaderStartByte"] + at["HeaderBytes"]])[0]
 
 
 def _tag(number: int, kind: int) -> bytes:

@@ -22,3 +22,8 @@ def read(spark: SparkSession, folder: str, schema, files_at_once: int = 1) -> Da
 def convert(stream: DataFrame, out: str, checkpoint: str, change=lambda df: df) -> StreamingQuery:
     """What has arrived so far, changed and written as Parquet; ends when it is done, and later calls go on from there."""
     return change(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def each_batch(stream: DataFrame, callback, checkpoint: str):
+    """Calls callback(batch, number) with each bounded batch of a stream, once what is there has been read it ends."""
+    return stream.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
