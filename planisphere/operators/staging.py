@@ -7,22 +7,27 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage by a Parquet table under spark.checkpoint.dir (in a local session that names none, a temporary folder)."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def folder(spark: SparkSession) -> str:
+    """A new path under spark.checkpoint.dir; in a local session that names none, under a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        master = df.sparkSession.conf.get("spark.master", "")
+        master = spark.conf.get("spark.master", "")
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="planisphere-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         base = _own[0]
-    path = f"{base.rstrip('/')}/staged/{uuid.uuid4().hex}/{name}"
+    return f"{base.rstrip('/')}/staged/{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage by a Parquet table in the shared folder."""
+    path = f"{folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, photometry, vec
 from ..functions.vec import Vec
 from ..operators import footprints, imports, labels, lines, lod, net, projection, raster, specs
-from ..operators.staging import stage
+from ..operators.staging import folder, stage
 from ..sources import documents, facade
 from ..streaming import windows
 from . import stand_in
@@ -866,6 +866,69 @@ def dictionary_decode(spark: SparkSession, d: str) -> DataFrame:
     return net.decode(codes, names).select("point_idx", "measure_ord", "value")
 
 
+# files: written to the shared folder and read again
+
+
+_BACK = "SELECT point_idx, id, type, n, round(far, 3) AS far FROM pts LEFT JOIN (SELECT point_idx, count(*) AS n, sum(sample) AS far FROM mes GROUP BY 1) USING (point_idx)"
+
+
+def _back(pts: DataFrame, mes: DataFrame) -> DataFrame:
+    per = mes.groupBy("point_idx").agg(F.count("*").alias("n"), _r(F.sum("sample")).alias("far"))
+    return pts.select("point_idx", "id", "type").join(per, "point_idx", "left")
+
+
+@query(_BACK)
+def flat_file_network(spark: SparkSession, d: str) -> DataFrame:
+    """Flat rows written as Parquet, read as rows of the declared schema and as a network again."""
+    pts, mes = _net(spark, d)
+    path = f"{folder(spark)}/net.parquet"
+    facade.write_flat(net.flatten(pts.select("point_idx", "id", "type", "aprioriCovar"), mes.select("point_idx", "measure_ord", "serialnumber", "measure_type", "sample", "line"), {"networkId": "n"}), path, target=20_000)
+    return _back(*facade.read_network(spark, path))
+
+
+@query(f"WITH {stand_in.SQL}, {_SEG}, b AS ({_BACK}), s AS (SELECT segment, count(x) AS weight, min(point_idx) AS range_start FROM seg GROUP BY segment HAVING count(x) > 0) SELECT b.point_idx, id, type, n, far, weight FROM b LEFT JOIN s ON s.range_start = b.point_idx")
+def bundle_network(spark: SparkSession, d: str) -> DataFrame:
+    """A network and its summary written as a bundle and read again."""
+    pts, mes = _net(spark, d)
+    path = f"{folder(spark)}/net.bundle"
+    facade.write_bundle(path, pts.select("point_idx", "id", "type", "x", "y", "z"), mes, {"networkId": "n"}, segments=_K)
+    summary = facade.read_layer(spark, path, "summary").select(F.col("range_start").alias("point_idx"), "weight")
+    return _back(*facade.read_network(spark, path)).join(summary, "point_idx", "left")
+
+
+def _label_text(kind: str):
+    """An event as a label, PVL or XML."""
+    k, v = F.col("event_id").cast("string"), F.col("event_type")
+    if kind == "pvl":
+        return F.concat(F.lit('PDS_VERSION_ID = PDS3\n/* made */\n^IMAGE = '), k, F.lit('\nSPACECRAFT_NAME = "'), v, F.lit('"\nEXPOSURE = '), k, F.lit(" <ms>\nGAINS = (1, "), k, F.lit(")\nOBJECT = IMAGE\n  LINES = "), k, F.lit("\nEND_OBJECT = IMAGE\nEND\n"))
+    return F.concat(F.lit('<a:Product xmlns:a="u"><x>1</x><x>'), k, F.lit('</x><time unit="s">'), k, F.lit("</time><who>"), v, F.lit("</who></a:Product>"))
+
+
+@query("SELECT event_id, event_type AS craft, event_id::VARCHAR AS exposure, event_id::VARCHAR AS lines, event_id::VARCHAR AS pointer, event_id::VARCHAR AS gain FROM events")
+def pvl_labels(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    df, at = documents.read_labels(e.select("event_id", _label_text("pvl").alias("text")), "text"), lambda p: labels.resolve(F.col("label"), p)
+    return df.select("event_id", at("SPACECRAFT_NAME").alias("craft"), at("EXPOSURE").alias("exposure"), at("IMAGE.LINES").alias("lines"), at("ptrIMAGE").alias("pointer"), at("GAINS.1").alias("gain"))
+
+
+@query("SELECT event_id, event_id::VARCHAR AS second, event_id::VARCHAR AS time, 's' AS unit, event_type AS who FROM events")
+def xml_labels(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    df, at = documents.read_labels(e.select("event_id", _label_text("xml").alias("text")), "text"), lambda p: labels.resolve(F.col("label"), f"Product.{p}")
+    return df.select("event_id", at("x.1").alias("second"), at("time").alias("time"), at("time.attrib_unit").alias("unit"), at("who").alias("who"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE value > 0 GROUP BY 1")
+def stream_convert(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream of files, filtered and written as they arrive, and read again."""
+    events, path = spark.read.parquet(f"{d}/events.parquet"), folder(spark)
+    events.write.parquet(f"{path}/in")
+    schema = events.schema
+    stream = windows.read(spark, f"{path}/in", schema)
+    windows.convert(stream, f"{path}/out", f"{path}/state", lambda df: df.where("value > 0")).awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/out").groupBy("event_type").agg(F.count("*").alias("n"), _r(F.sum("value"), 4).alias("value"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     got = windows.tumbling(spark.read.parquet(f"{d}/events.parquet"), "ts", "1 hour", "10 minutes", "event_type")
