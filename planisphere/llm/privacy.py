@@ -130,11 +130,12 @@ def vocabulary(text: Column) -> Column:
 def disclosing(docs: DataFrame, found: DataFrame, alpha: float, prior: float) -> DataFrame:
     """th, term, share: the terms of a text that disclose an entity in it, each once with its greatest share; a staged table.
 
-    found: th, text, base of each different text with entities.
+    found: th, text, base of each different text with entities. If there is no entity at all, the
+    texts' terms are not counted (an empty table stands for them), as nothing could be disclosed.
     """
     held = found.select("th", F.explode("base").alias("s")).select("th", entity(F.col("s.kind"), F.col("s.value")).alias("e")).distinct()
     held = stage(held, "held")
-    if held.isEmpty():  # no entity: no frequency is needed, and none changes the empty result
+    if held.isEmpty():
         docs = docs.limit(0)
     th = text_key(F.col("text")).alias("th")
     n = F.lit(float(max(1, docs.select(th).distinct().count())))

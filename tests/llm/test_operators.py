@@ -159,6 +159,20 @@ def test_leaks_against_plain(spark):
     assert got == want and (900, 50) in want and (901, None) in want
 
 
+def test_leaks_where_sketches_begin(spark):
+    """Items of which just so many shingles are asked that sketches are trusted, in documents that hold just so many."""
+    rng = np.random.default_rng(18)
+    vocab = [f"w{k}" for k in range(60_000)]
+    items = [(k, [str(w) for w in rng.choice(vocab, 14, replace=False)]) for k in range(400)]  # 10 shingles, 8 asked
+    rows = []
+    for k, w in items:
+        at, size = int(rng.integers(0, 3)), int(rng.choice([5, 60, 700, 4000]))
+        rows.append((k, " ".join([*rng.choice(vocab, size), *w[at : at + 12], *rng.choice(vocab, size)])))
+        rows.append((1000 + k, " ".join([*rng.choice(vocab, size), *w[at : at + 11], *rng.choice(vocab, size)])))
+    got = {(r.doc_id, r.item_id, r.n_found) for r in decontaminate.leaks(docs(spark, rows), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()}
+    assert got == {(k, k, 8) for k in range(400)} and decontaminate.SURE == 8
+
+
 def test_remove_leaks_keeps_columns(spark, corpus):
     bench = table(spark, SF, "benchmark")
     kept = decontaminate.remove_leaks(corpus, bench)
