@@ -12,7 +12,9 @@ os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONP
 def spark():
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
+        # many small jobs: generated code is kept, and compiled only as far as pays for them
+        .config("spark.sql.codegen.cache.maxEntries", "5000").config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
