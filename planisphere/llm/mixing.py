@@ -41,6 +41,8 @@ from .common import discard, n_words, stage
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Newton steps at most, the longest move of a variable, and the relative miss at which they end.
 STEPS, LONGEST_STEP, TOLERANCE = 60, 2.0, 1e-10
+#: How often a joint step is halved before it counts as none.
+HALVINGS = 10
 #: Groups of all margins but the first, at most.
 SMALL = 2000
 _RANGES_BITS, _HASH_BITS = 12, 52
@@ -146,7 +148,7 @@ def balance(cells: DataFrame, margins: list[tuple[str, str]], most: float = MOST
         moved = stage(_direction(now, margins), "moved")
         longest = float(moved.agg(F.max(F.abs("move"))).first()[0] or 0.0)
         size = 1.0 if len(margins) == 1 else min(1.0, LONGEST_STEP / (longest or 1.0))
-        for _ in range(30):  # a single margin's groups move apart, each by its own bounded step
+        for _ in range(HALVINGS):  # a single margin's groups move apart, each by its own bounded step
             step = F.greatest(F.lit(-LONGEST_STEP), F.least(F.lit(LONGEST_STEP), F.col("move"))) if len(margins) == 1 else F.col("move")
             after = stage(seen(moved.withColumn("eta", F.col("eta") + F.lit(size) * step)).drop("move"), "tilted")
             found = miss(after)
