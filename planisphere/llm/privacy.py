@@ -166,10 +166,13 @@ def find_spans(docs: DataFrame, alpha: float = ALPHA, prior: float = PRIOR) -> D
     told = disclosing(all_docs.select("text"), held, alpha, prior)
 
     # each word meets its text's terms by a join, so that a text with many of both takes no product of them
-    every = held.select("th", matches(blanked(F.col("text")), _WORD, len(PATTERNS)).alias("words"))
-    every = every.select("th", F.explode_outer("words").alias("s")).where("s is not null")
-    named = every.withColumn("term", F.lower("s.value")).join(told, ["th", "term"])
-    marks = named.groupBy("th").agg(F.sort_array(F.collect_list("s")).alias("terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("sure"))
+    some = held.select("th", "text").join(told.select("th").distinct(), "th", "left_semi")
+    every = some.select("th", matches(blanked(F.col("text")), _WORD, len(PATTERNS)).alias("words")).select("th", F.explode_outer("words").alias("s"))
+    every = every.select(F.col("th.a").alias("a"), F.col("th.b").alias("b"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value")).where("value is not null")
+    asked = told.select(F.col("th.a").alias("ta"), F.col("th.b").alias("tb"), "term", "share")
+    named = every.join(asked, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")) & (F.lower("value") == F.col("term")))
+    span = F.struct(F.lit(len(PATTERNS)).alias("kind"), "start", "end", "value")
+    marks = named.groupBy(F.struct("a", "b").alias("th")).agg(F.sort_array(F.collect_list(span)).alias("terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("sure"))
     marked = stage(held.select("th", "base").join(marks, "th", "left"), "spans")
     discard(held, told)
 
