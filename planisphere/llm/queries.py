@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, decontaminate, language, line_dedup, mixing, near_dedup, privacy, quality, url_trust
+from . import audio, chat, decontaminate, language, line_dedup, middle, mixing, near_dedup, privacy, quality, token_counts, url_trust, yinyang
 from .common import table
 from .sql import ORACLES
 
@@ -59,7 +59,24 @@ def op10_chroma_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", decode=audio.render)
 
 
-_ALL = (op1_link_trust, op2_containment, op3_zstd_quality, op4_entropy_mix, op5_centroid_language, op6_bbit_minhash, op7_prefix_chat, op8_line_runs, op9_disclosure_pii, op10_chroma_prints)
+def op11_lazy_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = middle.restore(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.report(yinyang.fit(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count(docs, str(public_tokenizers.path("word_bpe_49k.json"))).drop("text")
+
+
+_ALL = (op1_link_trust, op2_containment, op3_zstd_quality, op4_entropy_mix, op5_centroid_language, op6_bbit_minhash, op7_prefix_chat, op8_line_runs, op9_disclosure_pii, op10_chroma_prints, op11_lazy_middle, op12_yinyang, op13_token_counts)
 QUERIES = {f.__name__: f for f in _ALL}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, url_trust
+from . import decontaminate, line_dedup, middle, mixing, url_trust, yinyang
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -107,4 +107,42 @@ found AS (SELECT doc_id, item_id, count(*)::BIGINT AS n_found FROM held JOIN ask
 SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM found JOIN n USING (item_id) WHERE n_found >= {decontaminate.CONTAINED}::DOUBLE * n_shingles"""
 
 
-ORACLES = {"op1_link_trust": op1(), "op2_containment": op2(), "op4_entropy_mix": op4(), "op7_prefix_chat": op7(), "op8_line_runs": op8()}
+def op11() -> str:
+    """Lists of all units, which the operator never holds."""
+    h = lambda k: f"('0x' || substr(sha256('{middle.SEED}:' || coalesce(doc_id::VARCHAR, '')), {8 * k + 1}, 8))::BIGINT"
+    part = lambda a, b: f"array_to_string(u[{a} + 1:{b}], '')"
+    p, s, m = middle.PREFIX, middle.SUFFIX, middle.MIDDLE
+    return f"""
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, {", ".join(f"{h(k)} AS h{k + 1}" for k in range(4))} FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM drawn),
+cut AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS low, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS high,
+  CASE WHEN text = '' OR contains(text, '{p}') OR contains(text, '{s}') OR contains(text, '{m}') OR h3 % 100 >= {middle.RATE} THEN 'plain'
+    WHEN h4 % 100 < {middle.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM split),
+parts AS (SELECT *, {part("0", "low")} AS prefix, {part("low", "high")} AS middle, {part("high", "n")} AS suffix FROM cut)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{p}' || prefix || '{s}' || suffix || '{m}' || middle ELSE '{s}' || suffix || '{p}' || prefix || '{m}' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts"""
+
+
+def op12() -> str:
+    """Every round scans all centroids for every vector."""
+    y = yinyang
+    out = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({y.SCALE} * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = {y.DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {y.DIMS}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{y.SEED}:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS c, q FROM v QUALIFY c < {y.K})"""
+    for k in range(y.ROUNDS + 1):
+        out += f""",
+d{k} AS (SELECT r, c, list_sum(list_transform(list_zip(v.q, c{k}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{k}),
+a{k} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{k} GROUP BY r)"""
+        if k < y.ROUNDS:
+            out += f""",
+s{k} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{k} JOIN v USING (r)) GROUP BY c, i),
+m{k} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM s{k} GROUP BY c),
+c{k + 1} AS MATERIALIZED (SELECT c, coalesce(m{k}.q, c{k}.q) AS q FROM c{k} LEFT JOIN m{k} USING (c))"""
+    return out + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c{y.ROUNDS}.q, ',')) AS centroid_sha256 FROM a{y.ROUNDS} JOIN v USING (r) JOIN c{y.ROUNDS} USING (c)"""
+
+
+ORACLES = {"op1_link_trust": op1(), "op2_containment": op2(), "op4_entropy_mix": op4(), "op7_prefix_chat": op7(), "op8_line_runs": op8(), "op11_lazy_middle": op11(), "op12_yinyang": op12()}

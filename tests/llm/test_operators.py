@@ -749,7 +749,7 @@ def test_audio_alignment_is_complete_up_to_max_error():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "pages", "labels"):
+    for t in ("documents", "benchmark", "conversations", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = QUERIES[name](spark, SF)
     got = con.execute(ORACLES[name])
