@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,7 +29,19 @@ def folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage by a Parquet table in the shared folder."""
+    """Cuts the lineage by a Parquet table in the shared folder. `discard` deletes it."""
     path = f"{folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables that `stage` returned and nothing will read again."""
+    for df in staged:
+        path = _paths.pop(df, None)
+        if path:
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            at.getFileSystem(conf).delete(at, True)
