@@ -23,8 +23,8 @@ falls, so no task sees a whole source, and reruns agree. With further margins, e
 is rounded so by itself.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in
-order; without a doc_id a row is ordered by its text's hash; rows that repeat a doc_id and size
-are taken alike; sources without words have target 0; an empty table gives no rows.
+order; without a doc_id a row is ordered by its text's hash; of rows that repeat a doc_id (or,
+without one, a text) and a size, as many take one more copy as the target needs; sources without words have target 0; an empty table gives no rows.
 size, source_size, target, rate, copies and taken replace columns of these names in
 `mix`; `mix_copies` keeps the input's and gives its own another name.
 The list of sources is ranked in one task: it holds a row for each source.
@@ -32,6 +32,8 @@ The list of sources is ranked in one task: it holds a row for each source.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -178,11 +180,11 @@ def level(size: Column) -> Column:
 
 
 def stops(sized: DataFrame, cells: DataFrame) -> DataFrame:
-    """The cells' columns but mass and target, base and, for each level l, at_l and last_l, where its extra copies end.
+    """The cells' columns but mass and target, base and, for each level l, at_l, last_l, some_l and all_l, where its extra copies end.
 
     A document takes one more copy if its hash range is below its level's `at`, or is
-    `at` and its (hash, doc_id, size) is not above `last`. What a level misses is carried
-    to the next one.
+    `at` and its place, (hash, doc_id, size), is below `last`; of the `all` rows that stand
+    at `last`, `some` take one. What a level misses is carried to the next one.
     """
     plan = cells.withColumn("base", F.floor(F.col("rate") + 1e-9))
     plan = plan.withColumns({"extra": F.greatest(F.lit(0.0), F.col("target") - F.col("base") * F.col("mass")), "carry": F.lit(0.0)})
@@ -195,11 +197,17 @@ def stops(sized: DataFrame, cells: DataFrame) -> DataFrame:
         part = part.select("key", "at", want.alias("want"), (F.sum("words").over(by) - F.col("words")).alias("before"))
         at = part.where((F.col("before") <= F.col("want")) | (F.col("before") == 0)).groupBy("key").agg(F.max(F.struct("at", "before", "want")).alias("m")).select("key", "m.*")
         at = stage(at, "at")
-        inside = sized.where(F.col("level") == k).select("key", "u", "doc_id", "size", _span(F.col("u")).alias("at")).join(at, ["key", "at"])
-        within = one.orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        inside = inside.withColumn("upto", F.sum("size").over(within)).where(F.col("before") + F.col("upto") - F.col("size") / 2 <= F.col("want"))
-        last = inside.groupBy("key").agg(F.max(F.struct("u", "doc_id", "size")).alias(f"last_{k}"), F.max("upto").alias("upto"))
-        ends = at.join(last, "key", "left").select("key", F.col("at").alias(f"at_{k}"), f"last_{k}", (F.col("want") - F.col("before") - F.coalesce("upto", F.lit(0))).alias("left_over"))
+        # rows of one place are summed before any window sees them, however many they are
+        inside = sized.where(F.col("level") == k).groupBy("key", "u", "doc_id", "size", _span(F.col("u")).alias("at")).agg(F.count("*").alias("all")).join(at, ["key", "at"])
+        inside = inside.withColumn("ahead", F.sum(F.col("size") * F.col("all")).over(one.orderBy("u", "doc_id", "size")) - F.col("size") * F.col("all"))
+        room = F.floor((F.col("want") - F.col("before") - F.col("ahead")) / F.nullif(F.col("size"), F.lit(0)) + 0.5)
+        some = F.when(F.col("size") > 0, F.greatest(F.lit(0).cast("long"), F.least(F.col("all"), room))).when(F.col("before") + F.col("ahead") <= F.col("want"), F.col("all")).otherwise(F.lit(0).cast("long"))
+        fit = inside.withColumn("some", some).where("some > 0").withColumn("place", F.struct("u", "doc_id", "size"))
+        last = fit.groupBy("key").agg(F.max(F.struct("place", "some", "all", (F.col("ahead") + F.col("size") * F.col("some")).alias("upto"))).alias("l"))
+        ends = at.join(last, "key", "left").select(
+            "key", F.col("at").alias(f"at_{k}"), F.col("l.place").alias(f"last_{k}"), F.col("l.some").alias(f"some_{k}"), F.col("l.all").alias(f"all_{k}"),
+            (F.col("want") - F.col("before") - F.coalesce("l.upto", F.lit(0))).alias("left_over"),
+        )
         plan = plan.join(ends, "key", "left").withColumn("carry", F.coalesce("left_over", "carry")).drop("left_over")
         plan = stage(plan, "plan")
     return plan.drop("mass", "target", "extra", "carry")
@@ -232,12 +240,30 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...], most: int, margin: tuple[C
 
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.concat(key, F.lit("\n"), group).alias("key"), n_words(F.col("text")).alias("size"), order_hash(F.col("doc_id"), F.col("text")).alias("u"))
     place = F.struct(F.col("u"), F.col("d.doc_id").alias("doc_id"), F.col("size"))
-    ends = lambda k: (_span(F.col("u")) < F.col(f"at_{k}")) | ((_span(F.col("u")) == F.col(f"at_{k}")) & (place <= F.col(f"last_{k}")))
-    more = F.coalesce(*(F.when(level(F.col("size")) == k, ends(k)) for k in range(len(LEVELS) + 1)), F.lit(False))
-    both = whole.join(plan, "key", "left").withColumn("copies", F.least(F.lit(most), F.col("base") + more.cast("long")))
+    by_level = lambda of: F.coalesce(*(F.when(level(F.col("size")) == k, of(k)) for k in range(len(LEVELS) + 1)))
+    at_last = lambda k: F.coalesce(place == F.col(f"last_{k}"), F.lit(False))
+    ends = lambda k: (_span(F.col("u")) < F.col(f"at_{k}")) | ((_span(F.col("u")) == F.col(f"at_{k}")) & F.coalesce((place < F.col(f"last_{k}")) | at_last(k), F.lit(False)))
+    more = F.coalesce(by_level(ends), F.lit(False))
+    part = F.coalesce(by_level(lambda k: F.when(at_last(k), F.col(f"some_{k}") < F.col(f"all_{k}"))), F.lit(False))
+    both = whole.join(plan, "key", "left").withColumns({"more": more.cast("long"), "part": part})
+    if not plan.where(reduce(Column.__or__, (F.col(f"some_{k}") < F.col(f"all_{k}") for k in range(len(LEVELS) + 1)))).isEmpty():
+        some = by_level(lambda k: F.col(f"some_{k}"))
+        held = both.where("part").withColumns({"some": some, "lv": level(F.col("size"))})
+        both = both.where("not part").unionByName(_numbered(held).withColumn("more", (F.col("nth") < F.col("some")).cast("long")).select(*both.columns))
+    both = both.withColumn("copies", F.least(F.lit(most), F.col("base") + F.col("more")))
     return both.select("d", "size", "source_size", F.col("source_target").alias("target"), "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows, staged, with nth, from 0 within (key, lv), in the order of their staging; no task sees more than one file's rows."""
+    dealt = stage(rows.withColumn("id_", F.monotonically_increasing_id()), "tied").withColumn("file_", F.shiftright("id_", 33))
+    group = ["key", "lv"]
+    counts = dealt.groupBy(*group, "file_").agg(F.count("*").alias("n_"))
+    before = counts.select(*group, "file_", (F.sum("n_").over(Window.partitionBy(*group).orderBy("file_")) - F.col("n_")).alias("before_"))
+    place = F.row_number().over(Window.partitionBy(*group, "file_").orderBy("id_")) - 1
+    return dealt.withColumn("place_", place).join(before, [*group, "file_"]).withColumn("nth", F.col("before_") + F.col("place_"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, margin: tuple[Column, DataFrame] | None = None) -> DataFrame:
     """The documents with size, source_size, target (their source's), rate, copies and taken (size times copies).
 

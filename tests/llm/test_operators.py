@@ -301,6 +301,23 @@ def test_language_against_plain(spark, corpus):
     assert np.linalg.norm(model.centroids, axis=1) == pytest.approx(1, abs=1e-4) and len(model.centroids) == 3 * len(model.langs)
 
 
+def test_language_rejects_strangers_at_every_length(spark):
+    """Thresholds never fall with length: what is rejected as random letters when short is so when long."""
+    model = language.fit(table(spark, "/root/testdata/sf0.01", "documents"))
+    assert (np.diff(model.least) >= 0).all() and model.least[13] > 0
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz     "))
+    syllables = ["ka", "lo", "mi", "pu", "ha", "na", "ke", "wi", "ono", "ala"]  # of no learned language
+    for size in (2**k for k in range(6, 15)):
+        noise = ["".join(rng.choice(letters, size)) for _ in range(20)]
+        strange = [" ".join("".join(rng.choice(syllables, 3)) for _ in range(size // 6))[:size] for _ in range(20)]
+        for texts in (noise, strange):
+            kept = sum(not language.judge(t, model)[2] for t in texts)
+            assert kept <= (0 if size >= 1024 else 4), (size, kept)
+    clean = [r.text for r in table(spark, SF, "documents").where("lang is not null and length(text) > 60").collect()]
+    assert np.mean([language.judge(t, model)[2] for t in clean]) < 0.02
+
+
 def test_language_learns_repeats_once(spark):
     same = [(None, "the same english words again and again")] * 300 + [(1, "the same english words again and again")] * 300
     rows = same + [(k, f"ein deutscher Satz mit der Nummer {k}", "de") for k in range(40)]
@@ -372,6 +389,16 @@ def test_mix_edges_and_reruns(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_mix_meets_targets_where_rows_tie(spark):
+    rows = [(None, "one two three four five", "en", "x")] * 400 + [(7, "six seven eight", "en", "y")] * 400 + [(1000 + k, "nine ten", "en", "z") for k in range(400)]
+    got = mixing.mix(docs(spark, rows)).toPandas()
+    assert len(got) == 1200 and got.copies.max() <= 3
+    by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "max"))
+    assert (abs(by.taken - by.target) <= by["size"] / 2).all()
+    again = mixing.mix(docs(spark, rows).repartition(5)).toPandas()
+    assert sorted(zip(got.source, got.copies)) == sorted(zip(again.source, again.copies))
+
+
 # 6, near copies
 
 
