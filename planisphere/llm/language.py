@@ -5,8 +5,8 @@ A text's letters, lower-cased, give counts of one to three letters in a row, has
 to length 1. Each language has up to three centroids (spherical k-means); the nearest
 one by cosine names the language. A text whose best cosine is far below what texts of
 its length show in training is rejected: `rejected` says so, lang_pred still names the
-nearest language. Other scripts are told at any length; Latin text that is of no learned
-language needs some thousand letters, as shorter texts of learned ones score as low.
+nearest language. A threshold never falls with length, as cosines grow with it: a few odd
+training texts of one length cannot open it to random letters of that length.
 
 Fitting uses a bounded sample, the only bound: about PER_LANG different documents of
 each language, chosen by a hash, their texts whole. Counting and clustering run in
@@ -37,8 +37,8 @@ from .common import discard, held_out, stage
 
 PER_LANG = 400
 PLACES_BITS, CENTROIDS, ROUNDS = 12, 3, 12
-#: A text is rejected below this share of the lowest thousandth of the training cosines at its length.
-REJECT = 0.85
+#: A text is rejected below this share of this quantile of the training cosines at its length or any shorter one.
+REJECT, LOWEST = 0.85, 0.005
 #: So many cosines of a length at least; with fewer the threshold of the next shorter length holds.
 ENOUGH = 300
 _PLACES = 1 << PLACES_BITS
@@ -150,10 +150,11 @@ def fit(docs: DataFrame) -> Model | None:
                             out.append((_bucket(n), float((centroids @ vector(n, idf)).max())))
             yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64())], names=["b", "cos"])
 
-    low = texts.select("text").mapInArrow(shown, "b long, cos double").groupBy("b").agg(F.count("*").alias("n"), F.percentile("cos", 0.001).alias("q")).collect()
+    low = texts.select("text").mapInArrow(shown, "b long, cos double").groupBy("b").agg(F.count("*").alias("n"), F.percentile("cos", LOWEST).alias("q")).collect()
     by, least, last = {r.b: r for r in low}, np.zeros(32), 0.0
     for b in range(32):
-        last = REJECT * by[b].q if b in by and by[b].n >= ENOUGH else last
+        # cosines grow with length, so a threshold never falls: an odd text of a length must not open it for all of that length
+        last = max(last, REJECT * by[b].q) if b in by and by[b].n >= ENOUGH else last
         least[b] = last
     discard(texts, found)
     return Model(langs, centroids, owner, idf, least)
