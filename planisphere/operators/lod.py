@@ -111,11 +111,18 @@ def cholesky(s: list[Column]) -> list[Column]:
     return [l00, l10, l11, l20, l21, root(zz - l20 * l20 - l21 * l21)]
 
 
+def normal(counter: Column) -> Column:
+    """A standard normal number that depends on the counter's text alone: two uniform numbers of its digest, by Box and Muller."""
+    digest = F.md5(counter)
+    word = lambda at: F.conv(F.substring(digest, at, 13), 16, 10).cast("long")
+    return F.sqrt(-2 * F.log((word(1) + 0.5) / 2.0**52)) * F.cos(2 * math.pi * (word(14) / 2.0**52))
+
+
 def mixture(summary: DataFrame, per_weight: float, seed: int = 7) -> DataFrame:
-    """Points drawn from each segment's Gaussian: mu + L z."""
+    """Points drawn from each segment's Gaussian: mu + L z. A point depends on seed, segment and nth, not on partitions or order."""
     low = cholesky([F.col(f"s{i}") for i in range(6)])
     df = summary.withColumns({f"l{i}": c for i, c in enumerate(low)}).withColumn("nth", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round(F.col("weight") * per_weight).cast("int")))))
-    df = df.withColumns({f"g{i}": F.randn(seed + i) for i in range(3)})
+    df = df.withColumns({f"g{i}": normal(F.concat_ws(":", F.lit(str(seed)), F.col("segment").cast("string"), F.col("nth").cast("string"), F.lit(str(i)))) for i in range(3)})
     g = [F.col(f"g{i}") for i in range(3)]
     q = [F.col(f"l{i}") for i in range(6)]
     return df.select("segment", "nth", (F.col("mu_x") + q[0] * g[0]).alias("x"), (F.col("mu_y") + q[1] * g[0] + q[2] * g[1]).alias("y"), (F.col("mu_z") + q[3] * g[0] + q[4] * g[1] + q[5] * g[2]).alias("z"))

@@ -266,11 +266,23 @@ def weighted_allotment(spark: SparkSession, d: str) -> DataFrame:
     return lod.allotment(s, 100_000)
 
 
-def _cholesky_sql() -> str:
+def _cholesky_ctes() -> str:
     over = lambda v, p: f"CASE WHEN {p} > 1e-9 THEN ({v}) / {p} ELSE 0.0e0 END"
-    src = f"WITH {stand_in.SQL}, {_SEG}, g AS (SELECT segment, " + ", ".join(f"covar_pop({a}, {b}) AS s{i}" for i, (a, b) in enumerate([("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")])) + " FROM seg WHERE x IS NOT NULL GROUP BY segment)"
+    src = f"WITH {stand_in.SQL}, {_SEG}, g AS (SELECT segment, count(x) AS weight, avg(x) AS mu_x, avg(y) AS mu_y, avg(z) AS mu_z, " + ", ".join(f"covar_pop({a}, {b}) AS s{i}" for i, (a, b) in enumerate([("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")])) + " FROM seg WHERE x IS NOT NULL GROUP BY segment)"
     src += f", a AS (SELECT *, sqrt(greatest(s0, 0)) AS l0 FROM g), b AS (SELECT *, {over('s1', 'l0')} AS l1, {over('s2', 'l0')} AS l3 FROM a), c AS (SELECT *, sqrt(greatest(s3 - l1 * l1, 0)) AS l2 FROM b), e AS (SELECT *, {over('s4 - l3 * l1', 'l2')} AS l4 FROM c)"
-    return src + " SELECT segment, round(l0, 2) AS l0, round(l1, 2) AS l1, round(l2, 2) AS l2, round(l3, 2) AS l3, round(l4, 2) AS l4, round(sqrt(greatest(s5 - l3 * l3 - l4 * l4, 0)), 2) AS l5 FROM e"
+    return src + ", low AS (SELECT *, sqrt(greatest(s5 - l3 * l3 - l4 * l4, 0)) AS l5 FROM e)"
+
+
+def _cholesky_sql() -> str:
+    return _cholesky_ctes() + " SELECT segment, " + ", ".join(f"round(l{i}, 2) AS l{i}" for i in range(6)) + " FROM low"
+
+
+def _mixture_sql(per_weight: float, seed: int = 7) -> str:
+    """The same counters through the same digest."""
+    word = lambda k, at: f"('0x' || substr(md5('{seed}:' || segment || ':' || nth || ':{k}'), {at}, 13))::BIGINT"
+    normal = lambda k: f"sqrt(-2 * ln(({word(k, 1)} + 0.5e0) / {2.0**52!r}e0)) * cos(2 * pi() * ({word(k, 14)} / {2.0**52!r}e0))"
+    drawn = f", n AS (SELECT *, unnest(range(1, greatest(1, round(weight * {per_weight}e0))::BIGINT + 1)) AS nth FROM low), d AS (SELECT *, " + ", ".join(f"{normal(k)} AS g{k}" for k in range(3)) + " FROM n)"
+    return _cholesky_ctes() + drawn + " SELECT segment, nth::INT AS nth, round(mu_x + l0 * g0, 2) AS x, round(mu_y + l1 * g0 + l2 * g1, 2) AS y, round(mu_z + l3 * g0 + l4 * g1 + l5 * g2, 2) AS z FROM d"
 
 
 @query(_cholesky_sql())
@@ -279,9 +291,10 @@ def cholesky(spark: SparkSession, d: str) -> DataFrame:
     return _summary(spark, d, ("x", "y", "z")).select("segment", *(_r(c, 2).alias(f"l{i}") for i, c in enumerate(low)))
 
 
-@query()
+@query(_mixture_sql(0.1))
 def mixture_sample(spark: SparkSession, d: str) -> DataFrame:
-    return lod.mixture(_summary(spark, d, ("x", "y", "z")), 0.1)
+    drawn = lod.mixture(_summary(spark, d, ("x", "y", "z")), 0.1)
+    return drawn.select("segment", "nth", *(_r(F.col(c), 2).alias(c) for c in "xyz"))
 
 
 @query(f"WITH {stand_in.SQL}, {_SEG}, g AS (SELECT segment, count(x) AS weight FROM seg GROUP BY segment HAVING count(x) > 0) SELECT segment, greatest(1, round(weight * 20.0e0))::BIGINT AS n, true AS near, true AS wide FROM g")
@@ -545,17 +558,21 @@ def ground_azimuth(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {stand_in.SQL}, {_RAYS}, k AS (SELECT *, sqrt(gx*gx+gy*gy+gz*gz) AS ma, sqrt(lx*lx+ly*ly+lz*lz) AS mb, gx*lx+gy*ly+gz*lz AS ab FROM rays)
-SELECT point_idx, round(ma, 3) AS mag, round(sqrt((gx-lx)**2+(gy-ly)**2+(gz-lz)**2), 3) AS dist, round({_acos('ab/(ma*mb)')}, 6) AS sep, round(gx/ma, 9) AS ux, round((gy*lz-gz*ly)/1e6, 3) AS cx, round(ab/1e6, 3) AS dotp, round(lx - ab/(ma*ma)*gx, 2) + 0.0e0 AS perp, round(greatest(abs(gx-lx), abs(gy-ly), abs(gz-lz)), 3) AS cheb FROM k""")
+SELECT point_idx, round(ma, 3) AS mag, round(sqrt((gx-lx)**2+(gy-ly)**2+(gz-lz)**2), 3) AS dist, round({_acos('ab/(ma*mb)')}, 6) AS sep, round(gx/ma, 9) AS ux, round(gy/ma, 9) AS uy, round(gz/ma, 9) AS uz, round((gy*lz-gz*ly)/1e6, 3) AS cx, round((gz*lx-gx*lz)/1e6, 3) AS cy, round((gx*ly-gy*lx)/1e6, 3) AS cz, round(ab/1e6, 3) AS dotp, round(lx - ab/(ma*ma)*gx, 2) + 0.0e0 AS perp, round(ly - ab/(ma*ma)*gy, 2) + 0.0e0 AS perp_y, round(lz - ab/(ma*ma)*gz, 2) + 0.0e0 AS perp_z, round(greatest(abs(gx-lx), abs(gy-ly), abs(gz-lz)), 3) AS cheb FROM k""")
 def vector_ops(spark: SparkSession, d: str) -> DataFrame:
     a, b = Vec.of("ground"), Vec.of("look")
-    return _rays(spark, d).select("point_idx", _r(vec.magnitude(a)).alias("mag"), _r(vec.distance(a, b)).alias("dist"), _r(vec.separation_angle(a, b), 6).alias("sep"), _r(vec.unit(a).x, 9).alias("ux"), _r(vec.cross(a, b).x / 1e6).alias("cx"), _r(vec.dot(a, b) / 1e6).alias("dotp"), _r(vec.perpendicular(a, b).x, 2).alias("perp"), _r(geo.chebyshev(a, b)).alias("cheb"))
+    u, c, p = vec.unit(a), vec.cross(a, b), vec.perpendicular(a, b)
+    return _rays(spark, d).select(
+        "point_idx", _r(vec.magnitude(a)).alias("mag"), _r(vec.distance(a, b)).alias("dist"), _r(vec.separation_angle(a, b), 6).alias("sep"), _r(vec.dot(a, b) / 1e6).alias("dotp"), _r(geo.chebyshev(a, b)).alias("cheb"),
+        *(_r(k, 9).alias(f"u{n}") for n, k in zip("xyz", u)), *(_r(k / 1e6).alias(f"c{n}") for n, k in zip("xyz", c)), *((_r(k, 2) + 0.0).alias(n) for n, k in zip(("perp", "perp_y", "perp_z"), p)),
+    )
 
 
-@query("SELECT point_idx, round(asin(az / r), 9) AS lat, round(atan2(ay, ax), 9) AS lon, round(r, 3) AS radius, round(ax, 3) AS x FROM (SELECT *, sqrt(ax*ax+ay*ay+az*az) AS r FROM pts)")
+@query("SELECT point_idx, round(asin(az / r), 9) AS lat, round(atan2(ay, ax), 9) AS lon, round(r, 3) AS radius, round(ax, 3) AS x, round(ay, 3) AS y, round(az, 3) AS z FROM (SELECT *, sqrt(ax*ax+ay*ay+az*az) AS r FROM pts)")
 def spherical_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     lat, lon, r = vec.rect_to_spherical(_apriori())
     p = stand_in.points(spark, d).select("point_idx", lat.alias("la"), lon.alias("lo"), r.alias("r"))
-    return p.select("point_idx", _r(F.col("la"), 9).alias("lat"), _r(F.col("lo"), 9).alias("lon"), _r(F.col("r")).alias("radius"), _r(vec.spherical_to_rect(F.col("la"), F.col("lo"), F.col("r")).x).alias("x"))
+    return p.select("point_idx", _r(F.col("la"), 9).alias("lat"), _r(F.col("lo"), 9).alias("lon"), _r(F.col("r")).alias("radius"), *(_r(c).alias(n) for n, c in zip("xyz", vec.spherical_to_rect(F.col("la"), F.col("lo"), F.col("r")))))
 
 
 # rasters: part keys are cells of a 50-column raster of degrees
@@ -883,7 +900,7 @@ def flat_file_network(spark: SparkSession, d: str) -> DataFrame:
     pts, mes = _net(spark, d)
     path = f"{folder(spark)}/net.parquet"
     facade.write_flat(net.flatten(pts.select("point_idx", "id", "type", "aprioriCovar"), mes.select("point_idx", "measure_ord", "serialnumber", "measure_type", "sample", "line"), {"networkId": "n"}), path, target=20_000)
-    return _back(*facade.read_network(spark, path))
+    return _back(*facade.read_network(spark, path, declared=True))
 
 
 @query(f"WITH {stand_in.SQL}, {_SEG}, b AS ({_BACK}), s AS (SELECT segment, count(x) AS weight, min(point_idx) AS range_start FROM seg GROUP BY segment HAVING count(x) > 0) SELECT b.point_idx, id, type, n, far, weight FROM b LEFT JOIN s ON s.range_start = b.point_idx")

@@ -135,8 +135,8 @@ def read_layer(spark: SparkSession, path: str, layer: str, schema: str | None =
         return spark.createDataFrame([], schema or "point_idx long")
 
 
-def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """points and measures of any of the formats."""
+def read_network(spark: SparkSession, path: str, declared: bool = False) -> tuple[DataFrame, DataFrame]:
+    """points and measures of any of the formats. declared: flat rows are read by the schema FLAT, whatever the files hold."""
     kind = infer_format(path)
     if kind == "bundle":
         return read_layer(spark, path, "points"), read_layer(spark, path, "measures")
@@ -144,7 +144,7 @@ def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         p = netpb.read_net(spark, path)
         m = p.select("point_idx", F.posexplode("measures").alias("measure_ord", "m")).select("point_idx", F.col("measure_ord").cast("long"), "m.*")
         return p.drop("measures"), m
-    rows = spark.read.parquet(path)
+    rows = read_flat(spark, path, declared=declared)
     if "point_idx" not in rows.columns:
         raise ValueError("flat rows need point_idx: scans have no order")
     inner = [c for c in rows.columns if c.startswith("measure_") or c in {n for n, _ in netpb.MEASURE.values()}]
