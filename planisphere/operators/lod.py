@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .net import ordinal
+from .staging import discard, stage
 
 
 def segment(idx: Column, n: Column, k: int) -> Column:
@@ -60,17 +61,20 @@ def azimuth_order(points: DataFrame, digits: int | None = None) -> DataFrame:
     return ordinal(turned, "azimuth", "point_idx", name="azimuth_rank")
 
 
-def coalesce_windows(windows: DataFrame, budget: int) -> DataFrame:
-    """Adjacent (range_start, range_count) windows of a group merged while a merged one stays within budget.
+def coalesce_windows(windows: DataFrame, budget: int, longest: int = 100_000) -> DataFrame:
+    """Adjacent (range_start, range_count) windows of a group merged, from the first on, while a merged one stays within budget.
 
-    Windows are first cut at gaps into runs, by ordinals of all windows, so that a large
-    group is spread; the greedy fold is a pass over each run's sorted rows.
+    Windows are first cut at gaps into runs, by ordinals of all windows. If no run is longer than `longest`, a task folds each run's
+    sorted rows; otherwise `_jumps` folds them in pieces of that many windows, with the same result. Counts are not negative.
     """
-    ranked = ordinal(windows.select("grp", "range_start", "range_count"), "grp", "range_start", "range_count", name="at")
+    ranked = ordinal(windows.select("grp", "range_start", "range_count"), "grp", "range_start", "range_count", name="at", running="range_count", into="ahead")
     before = ranked.select((F.col("at") + 1).alias("at"), F.col("grp").alias("grp_before"), (F.col("range_start") + F.col("range_count")).alias("end_before"))
     joined = F.col("grp").eqNullSafe(F.col("grp_before")) & F.col("range_start").eqNullSafe(F.col("end_before"))
     marked = ranked.join(before, "at", "left").withColumn("starts", F.when(joined, 0).otherwise(1)).drop("grp_before", "end_before")
-    runs = ordinal(marked, "at", name="nth", running="starts", into="run").withColumn("run", F.col("run") + F.col("starts"))
+    runs = stage(ordinal(marked, "at", name="nth", running="starts", into="run").withColumn("run", F.col("run") + F.col("starts")), "runs")
+    ends = runs.groupBy("run").agg(F.count("*").alias("n"), (F.max("at") + 1).alias("end"))
+    if (ends.agg(F.max("n")).first()[0] or 0) > longest:
+        return _jumps(runs, ends, budget, longest).select(*(F.col(c).cast(t).alias(c) for c, t in windows.select("grp", "range_start", "range_count").dtypes))
 
     def fold(batches):
         last = None
@@ -91,6 +95,58 @@ def coalesce_windows(windows: DataFrame, budget: int) -> DataFrame:
     return runs.select("run", "at", "grp", "range_start", "range_count").repartition("run").sortWithinPartitions("run", "at").mapInPandas(fold, schema)
 
 
+def _jumps(runs: DataFrame, ends: DataFrame, budget: int, piece: int) -> DataFrame:
+    """The fold of long runs: where each window's merged window would end is known from running sums alone; then only the path of these
+    jumps from each run's first window has to be found, inside pieces by a task each and from piece to piece by doubled jumps.
+    """
+    # the first window that no longer fits: so many ends lie within the budget from a window's own start
+    value, least = F.col("ahead") + F.col("range_count"), runs.select("at", (F.col("ahead") + budget).alias("value"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("is_end"))
+    events = least.unionByName(runs.select("at", value.alias("value"), F.lit(0).alias("kind"), F.lit(1).cast("long").alias("is_end")))
+    found = ordinal(events, "value", "kind", "at", name="nth_", running="is_end", into="within").where("kind = 1").select("at", "within")
+    steps = runs.join(found, "at").join(ends.select("run", "end"), "run")
+    steps = steps.withColumn("next", F.least("end", F.greatest(F.col("at") + 1, "within"))).withColumn("last", F.col("next") >= F.col("end"))
+    steps = stage(steps.select("at", "grp", "range_start", "ahead", "next", "last", F.col("starts").alias("head"), F.floor(F.col("at") / piece).alias("piece")), "steps")
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        low, at, nxt, last = int(pdf["at"].iloc[0]), pdf["at"].tolist(), pdf["next"].tolist(), pdf["last"].tolist()
+        out: list[int | None] = [None] * len(at)
+        for k in reversed(range(len(at))):
+            if not last[k]:
+                out[k] = nxt[k] if nxt[k] - low >= len(at) else out[nxt[k] - low]
+        return pd.DataFrame({"at": at, "to": pd.array(out, dtype="Int64")})
+
+    # jumps out of the piece, doubled until none is left
+    far = [stage(steps.groupBy("piece").applyInPandas(leave, "at long, to long").where("to is not null"), "jumps")]
+    while not far[-1].isEmpty():
+        again = far[-1].select(F.col("at").alias("to"), F.col("to").alias("further"))
+        far.append(stage(far[-1].join(again, "to").select("at", F.col("further").alias("to")), "jumps"))
+    reached = stage(steps.where("head = 1").select("at"), "reached")
+    for jumps in reversed(far[:-1]):
+        more = reached.join(jumps, "at").select(F.col("to").alias("at"))
+        was, reached = reached, stage(reached.unionByName(more).distinct(), "reached")
+        discard(was)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        low, at, nxt, last = int(pdf["at"].iloc[0]), pdf["at"].tolist(), pdf["next"].tolist(), pdf["last"].tolist()
+        out = []
+        for k in pdf["entry"].to_numpy().nonzero()[0].tolist():
+            while True:
+                out.append((at[k], nxt[k]))
+                if last[k] or nxt[k] - low >= len(at):
+                    break
+                k = nxt[k] - low
+        return pd.DataFrame(out, columns=["at", "next"])
+
+    entered = steps.join(reached.withColumn("entry", F.lit(True)), "at", "left").select("at", "next", "last", "piece", F.coalesce("entry", F.lit(False)).alias("entry"))
+    starts = entered.groupBy("piece").applyInPandas(walk, "at long, next long")
+    total = runs.agg(F.sum("range_count")).first()[0]
+    upto = steps.select(F.col("at").alias("next"), F.col("ahead").alias("upto"))
+    whole = starts.join(upto, "next", "left").join(steps.select("at", "grp", "range_start", "ahead"), "at")
+    return whole.select("grp", "range_start", (F.coalesce("upto", F.lit(total)) - F.col("ahead")).alias("range_count"))
+
+
 def allotment(weights: DataFrame, total: int) -> DataFrame:
     """idx, share: total dealt by weight, as differences of the rounded running sum."""
     every = float(weights.agg(F.sum("weight")).first()[0] or 0.0) or 1.0

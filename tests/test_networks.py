@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planisphere.operators import equality, inversion, lines, net, tracing
+from planisphere.operators import equality, inversion, lines, lod, net, tracing
 from planisphere.sources import csr
 
 POINT = "point_idx long, id string, x double, aprioriCovar array<double>"
@@ -218,3 +218,33 @@ def test_snap_of_a_network_without_offsets_is_the_same(stored, spark):
     s, counts = stored
     pts, mes = network(spark, counts)
     assert sorted(r.point_idx for r in net.snap(pts, mes, 300, 40).collect()) == sorted(r.point_idx for r in s.snap(300, 40).collect())
+
+
+# windows
+
+
+def fold(rows, budget):
+    out = []
+    for g, start, n in sorted(rows, key=lambda r: (r[0] is not None, r)):
+        if out and out[-1][0] == g and out[-1][1] + out[-1][2] == start and out[-1][2] + n <= budget:
+            out[-1][2] += n
+        else:
+            out.append([g, start, n])
+    return sorted(map(tuple, out), key=lambda r: (r[0] is not None, r))
+
+
+def test_long_runs_of_windows_are_folded_in_pieces(spark):
+    rng, rows = np.random.default_rng(8), []
+    for g, many in ((1, 300), (2, 40), (None, 60), (3, 1)):
+        at = 0
+        for _ in range(many):
+            n = int(rng.integers(0, 9)) if rng.random() > 0.05 else 50  # some alone exceed the budget
+            rows.append((g, at, n))
+            at += n + (7 if rng.random() < 0.02 else 0)
+    rows = list(dict.fromkeys(rows))
+    df = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "grp int, range_start long, range_count int")
+    want = fold(rows, 25)
+    for longest in (7, 10_000):
+        got = lod.coalesce_windows(df, 25, longest)
+        assert got.dtypes == df.dtypes
+        assert sorted(map(tuple, got.collect()), key=lambda r: (r[0] is not None, r)) == want
