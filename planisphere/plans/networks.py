@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.vec import Vec, cross, scale, unit
 from ..operators import equality, inversion, net
 from ..operators.staging import folder, stage
-from ..sources import csr
+from ..sources import csr, facade, netpb
 from . import stand_in
-from .catalogue import _net, query
+from .catalogue import _BACK, _back, _net, query
 from .stand_in import A
 
 # stored offsets
@@ -108,3 +108,17 @@ def ground_to_pixel(spark: SparkSession, d: str) -> DataFrame:
     ground = stage(inversion.image_to_ground(pixels, grid), "ground").drop("sample", "line")
     found = inversion.ground_to_image(ground, grid)
     return found.select("l_orderkey", "l_linenumber", "image", *((F.round(c, 5) + 0.0).alias(c) for c in ("sample", "line")))
+
+
+# network files
+
+
+@query(_BACK)
+def net_file(spark: SparkSession, d: str) -> DataFrame:
+    """A network written as one .net file by many tasks and read again in splits."""
+    pts, mes = _net(spark, d)
+    path = f"{folder(spark)}/whole.net"
+    inner = F.struct("measure_ord", "serialnumber", F.col("measure_type").cast("int").alias("measure_type"), F.col("sample").cast("double").alias("sample"), F.col("line").cast("double").alias("line"))
+    lists = mes.groupBy("point_idx").agg(F.array_sort(F.collect_list(inner)).alias("measures"))
+    netpb.write_net(pts.select("point_idx", "id", "type", "aprioriX", "aprioriY", "aprioriZ", "aprioriCovar").join(lists, "point_idx", "left"), path, {"networkId": "n", "targetName": "Mars"})
+    return _back(*facade.read_network(spark, path))

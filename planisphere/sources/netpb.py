@@ -14,6 +14,7 @@ decoded in parallel.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..operators.staging import stage
+from ..operators.staging import discard, stage
 
 LABEL_BYTES = 65536
 #: Field numbers and names of the format, fixed values.
@@ -422,22 +423,71 @@ def encode_point(p: dict) -> bytes:
     return out
 
 
+#: Bytes of encoded points that a task holds at once.
+BLOB = 1 << 22
+
+
+def _posix(path: str) -> str:
+    """The path of a file that driver and executors can open in place."""
+    plain = re.sub(r"^file:(//(?=/))?", "", path)
+    if "://" in plain:
+        raise ValueError(f"{path}: one .net file is written in place by many tasks, which needs a folder that all machines mount")
+    return plain
+
+
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, rel, n, data: the partition's points, encoded, in blobs of about BLOB bytes."""
+    from pyspark import TaskContext
+
+    part, rel, n, held = TaskContext.get().partitionId(), 0, 0, bytearray()
+
+    def blob() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([part], pa.int64()), pa.array([rel], pa.int64()), pa.array([n], pa.int64()), pa.array([bytes(held)], pa.binary())], names=["part", "rel", "n", "data"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            raw = encode_point(row)
+            held += struct.pack("<I", len(raw)) + raw
+            n += 1
+            if len(held) >= BLOB:
+                yield blob()
+                rel, n, held = rel + len(held), 0, bytearray()
+    if held:
+        yield blob()
+
+
 def write_net(points: DataFrame, path: str, header: dict[str, str]) -> int:
     """One .net file from rows of SCHEMA, in the older form; returns the number of points.
 
-    A single ordered file is written by the driver from a stream of rows, a partition
-    at a time.
+    Tasks encode ranges of points; the sizes of their parts, a row each, give every blob its place in the file, and tasks write
+    the blobs there, all at once. A task that runs again writes the same bytes to the same place. The driver writes label and
+    header, which need counts alone. `path` is in a folder that all machines mount.
     """
+    target = _posix(path)
+    dealt = points.repartitionByRange("point_idx").sortWithinPartitions("point_idx")
+    blobs = stage(dealt.mapInArrow(_blobs, "part long, rel long, n long, data binary"), "blobs")
+    sizes = blobs.groupBy("part").agg(F.sum(F.length("data")).alias("size"), F.sum("n").alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    ahead = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("ahead"))  # a row a partition
     head = b"".join(_tag(n, 2) + _put(len(v.encode())) + v.encode() for n, name in HEADER.items() if (v := header.get(name)))
-    head += _tag(7, 0) + _put(points.count())
-    start, n = LABEL_BYTES + len(head), 0
-    with open(path, "wb") as f:
-        f.write(b" " * LABEL_BYTES + head)
-        for r in points.orderBy("point_idx").toLocalIterator():
-            raw = encode_point(r.asDict(recursive=True))
-            f.write(struct.pack("<I", len(raw)) + raw)
-            n += 1
-        size = f.tell() - start
-        f.seek(0)
-        f.write(f"Object = ProtoBuffer\n  HeaderStartByte = {LABEL_BYTES}\n  HeaderBytes = {len(head)}\n  PointsStartByte = {start}\n  PointsBytes = {size}\nEnd_Object\nEnd\n".encode())
-    return n
+    head += _tag(7, 0) + _put(total.n)
+    start = LABEL_BYTES + len(head)
+    label = f"Object = ProtoBuffer\n  HeaderStartByte = {LABEL_BYTES}\n  HeaderBytes = {len(head)}\n  PointsStartByte = {start}\n  PointsBytes = {total['size']}\nEnd_Object\nEnd\n".encode()
+    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+    with open(target, "wb") as f:
+        f.write(label.ljust(LABEL_BYTES) + head)
+        f.truncate(start + total["size"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(target, "r+b") as f:
+            for batch in batches:
+                for at, data in zip(*(batch.column(c) for c in ("at", "data"))):
+                    f.seek(at.as_py())
+                    f.write(data.as_py())
+            os.fsync(f.fileno())
+        yield pa.record_batch([pa.array([1], pa.int64())], names=["done"])
+
+    placed = blobs.join(ahead, "part").select((F.col("ahead") + F.col("rel") + start).alias("at"), "data")
+    placed.mapInArrow(place, "done long").agg(F.sum("done")).collect()
+    discard(blobs)
+    return total.n

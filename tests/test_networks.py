@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planisphere.operators import equality, inversion, lines, lod, net, tracing
-from planisphere.sources import csr
+from planisphere.sources import csr, netpb
 
 POINT = "point_idx long, id string, x double, aprioriCovar array<double>"
 MEASURE = "point_idx long, measure_ord long, serialnumber string, measure_type int, sample double, line double"
@@ -248,3 +248,23 @@ def test_long_runs_of_windows_are_folded_in_pieces(spark):
         got = lod.coalesce_windows(df, 25, longest)
         assert got.dtypes == df.dtypes
         assert sorted(map(tuple, got.collect()), key=lambda r: (r[0] is not None, r)) == want
+
+
+# network files
+
+
+def test_parts_of_a_file_are_written_in_place(spark, tmp_path, monkeypatch):
+    """Byte for byte the file that one writer would make."""
+    monkeypatch.setattr(netpb, "BLOB", 300)
+    rows = [(k, f"p{k}", 1, [("S", 1, float(k), 2.0)] * (k % 4)) for k in range(500)]
+    df = spark.createDataFrame(rows, "point_idx long, id string, type int, measures array<struct<serialnumber:string,measure_type:int,sample:double,line:double>>")
+    header = {"networkId": "n", "targetName": "Mars"}
+    assert netpb.write_net(df.repartition(5), f"file://{tmp_path}/deep/a.net", header) == 500
+    encoded = b"".join(len(raw).to_bytes(4, "little") + raw for r in df.orderBy("point_idx").collect() if (raw := netpb.encode_point(r.asDict(recursive=True))) is not None)
+    whole = (tmp_path / "deep/a.net").read_bytes()
+    assert whole.endswith(encoded) and netpb.header_of(whole[netpb.LABEL_BYTES : len(whole) - len(encoded)])[0]["networkId"] == "n"
+    back = netpb.read_net(spark, f"{tmp_path}/deep/a.net")
+    assert [(r.point_idx, r.id, len(r.measures)) for r in back.orderBy("point_idx").collect()] == [(k, i, len(m)) for k, i, _, m in rows]
+    assert netpb.write_net(df.limit(0), f"{tmp_path}/none.net", {}) == 0 and netpb.read_net(spark, f"{tmp_path}/none.net").count() == 0
+    with pytest.raises(ValueError):
+        netpb.write_net(df, "hdfs://x/y.net", {})
