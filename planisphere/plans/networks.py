@@ -11,6 +11,7 @@ from ..functions.vec import Vec, cross, scale, unit
 from ..operators import equality, inversion, net
 from ..operators.staging import folder, stage
 from ..sources import csr, facade, netpb
+from ..streaming import windows
 from . import stand_in
 from .catalogue import _BACK, _back, _net, query
 from .stand_in import A
@@ -113,12 +114,27 @@ def ground_to_pixel(spark: SparkSession, d: str) -> DataFrame:
 # network files
 
 
-@query(_BACK)
-def net_file(spark: SparkSession, d: str) -> DataFrame:
-    """A network written as one .net file by many tasks and read again in splits."""
+def _net_file(spark: SparkSession, d: str) -> str:
     pts, mes = _net(spark, d)
     path = f"{folder(spark)}/whole.net"
     inner = F.struct("measure_ord", "serialnumber", F.col("measure_type").cast("int").alias("measure_type"), F.col("sample").cast("double").alias("sample"), F.col("line").cast("double").alias("line"))
     lists = mes.groupBy("point_idx").agg(F.array_sort(F.collect_list(inner)).alias("measures"))
     netpb.write_net(pts.select("point_idx", "id", "type", "aprioriX", "aprioriY", "aprioriZ", "aprioriCovar").join(lists, "point_idx", "left"), path, {"networkId": "n", "targetName": "Mars"})
-    return _back(*facade.read_network(spark, path))
+    return path
+
+
+@query(_BACK)
+def net_file(spark: SparkSession, d: str) -> DataFrame:
+    """A network written as one .net file by many tasks and read again in splits."""
+    return _back(*facade.read_network(spark, _net_file(spark, d)))
+
+
+@query(_BACK)
+def net_file_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same file as a stream of bounded batches, written as they arrive and read again."""
+    path, at = _net_file(spark, d), folder(spark)
+    netpb.cut_net(spark, path, f"{at}/cut", windows_per_file=4)
+    stream = netpb.stream_net(spark, f"{at}/cut")
+    windows.convert(stream, f"{at}/points", f"{at}/state").awaitTermination()
+    p = spark.read.schema(stream.schema).parquet(f"{at}/points")
+    return _back(p, p.select("point_idx", F.explode("measures").alias("m")).select("point_idx", "m.*"))

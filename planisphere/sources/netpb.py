@@ -347,13 +347,23 @@ def file_chunks(spark: SparkSession, path: str) -> DataFrame:
     return pieces.join(ahead, ["path", "block"]).select("path", (F.col("ahead") + F.col("rel")).alias("offset"), "data")
 
 
-def read_net(spark: SparkSession, path: str) -> DataFrame:
-    """The points of the .net files of a path that Spark can read; point_idx counts on from file to file, in the order of their paths."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+_PLACED = "ahead long, first long, starts array<long>, sizes array<long>, raw binary"
 
+
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Windows of whole points of all files of a path; ahead: the points of the files before, first: those of the file before the window."""
     chunks = file_chunks(spark, path)
     windows = stage(chunks.repartition("path").sortWithinPartitions("path", "offset").mapInArrow(_windows, _WINDOW), "windows")
-    schema = spark.createDataFrame([], SCHEMA).schema
+    counts = windows.groupBy("path").agg(F.sum(F.size("starts")).alias("n"))
+    before = counts.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("ahead"))  # a row a file
+    return windows.join(before, "path").select("ahead", "first", "starts", "sizes", "raw")
+
+
+def decoded(windows: DataFrame) -> DataFrame:
+    """The points of windows, a table or a stream of them."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = windows.sparkSession.createDataFrame([], SCHEMA).schema
     arrow = to_arrow_schema(schema)
 
     def each(batches):
@@ -363,10 +373,26 @@ def read_net(spark: SparkSession, path: str) -> DataFrame:
                 rows = [{"point_idx": base + k, **point(data[a : a + n])} for k, (a, n) in enumerate(zip(starts.as_py(), sizes.as_py()))]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    counts = windows.groupBy("path").agg(F.sum(F.size("starts")).alias("n"))
-    before = counts.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("ahead"))  # a row a file
-    placed = windows.join(before, "path").select("ahead", "first", "starts", "sizes", "raw")
-    return placed.mapInArrow(each, schema)
+    return windows.mapInArrow(each, schema)
+
+
+def read_net(spark: SparkSession, path: str) -> DataFrame:
+    """The points of the .net files of a path that Spark can read; point_idx counts on from file to file, in the order of their paths."""
+    return decoded(_placed(spark, path))
+
+
+def cut_net(spark: SparkSession, path: str, out: str, windows_per_file: int = 64) -> None:
+    """Cut .net files into a folder of windows of whole points (about a megabyte each), for `stream_net`. Written once, or not at all."""
+    _placed(spark, path).write.mode("errorifexists").option("maxRecordsPerFile", windows_per_file).parquet(out)
+
+
+def stream_net(spark: SparkSession, cut: str, files_at_once: int = 1) -> DataFrame:
+    """The points of a folder that `cut_net` made, as a stream of bounded batches.
+
+    A batch is `files_at_once` files, so at most that many times `windows_per_file` windows. The query's checkpoint tells which
+    files were read: a query that was stopped goes on with the next one, and each point comes once.
+    """
+    return decoded(spark.readStream.schema(_PLACED).option("maxFilesPerTrigger", files_at_once).parquet(cut))
 
 
 def read_header(spark: SparkSession, path: str) -> dict[str, str]:

@@ -268,3 +268,28 @@ def test_parts_of_a_file_are_written_in_place(spark, tmp_path, monkeypatch):
     assert netpb.write_net(df.limit(0), f"{tmp_path}/none.net", {}) == 0 and netpb.read_net(spark, f"{tmp_path}/none.net").count() == 0
     with pytest.raises(ValueError):
         netpb.write_net(df, "hdfs://x/y.net", {})
+
+
+def test_a_stopped_stream_of_points_goes_on(spark, tmp_path):
+    """The second batch fails; a new query with the same checkpoint gives each point once."""
+    from planisphere.streaming import windows
+
+    rows = [(k, f"p{k}", 1, f"{k}" * 400, []) for k in range(3000)]
+    df = spark.createDataFrame(rows, "point_idx long, id string, type int, chooserName string, measures array<struct<serialnumber:string>>")
+    netpb.write_net(df, f"{tmp_path}/a.net", {})
+    netpb.cut_net(spark, f"{tmp_path}/a.net", f"{tmp_path}/cut", windows_per_file=1)
+    stream, seen = netpb.stream_net(spark, f"{tmp_path}/cut"), []
+
+    def take(fail):
+        def each(batch, number):
+            if fail and number == 1:
+                raise RuntimeError("stopped")
+            seen.append([r.point_idx for r in batch.select("point_idx").collect()])
+
+        return each
+
+    with pytest.raises(Exception, match="stopped"):
+        windows.each_batch(stream, take(True), f"{tmp_path}/state").awaitTermination()
+    assert len(seen) == 1 and 0 < len(seen[0]) < 3000
+    windows.each_batch(stream, take(False), f"{tmp_path}/state").awaitTermination()
+    assert len(seen) >= 3 and sorted(i for batch in seen for i in batch) == list(range(3000))
