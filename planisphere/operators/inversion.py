@@ -44,8 +44,8 @@ def _bilinear(u: Column, v: Column, corner) -> Column:
 def image_to_ground(pixels: DataFrame, grid: DataFrame) -> DataFrame:
     """pixels (image, sample, line) with x, y, z between the nodes around them; pixels outside the grid go.
 
-    Rasters are regular, so a pixel's quad follows from the image's first node and steps; a pixel on an edge takes the quad
-    before it where there is none after it.
+    Rasters are regular, so a pixel's quad follows from the image's first node and steps; a pixel of the last
+    sample or line takes the quad before it, others that after their node.
     """
     q = quads(grid)
     steps = grid.groupBy("image").agg(*(f(c).alias(f"{n}_{c}") for c in ("sample", "line", "i", "j") for n, f in (("low", F.min), ("high", F.max))))

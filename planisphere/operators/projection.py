@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
+from ..functions.vec import Vec
+from . import footprints, inversion
 from .staging import stage
 
 SMALLEST, DEPTH = 4, 10
@@ -75,3 +78,34 @@ def sample_differences(grid: DataFrame) -> DataFrame:
     seed = F.sin(F.degrees("lat") * 0.1) * F.cos(F.degrees("lon") * 0.1)
     g = grid.withColumns({"diff_x": seed * 2 - 1, "diff_y": seed * 1.5 - 0.75})
     return g.withColumn("size", F.sqrt(F.col("diff_x") ** 2 + F.col("diff_y") ** 2))
+
+
+def boundary(images: DataFrame, grid: DataFrame, a: float, c: float, n: int = 50) -> DataFrame:
+    """image, nth, x, y, z, lat, lon (degrees) of an image's outline, clockwise from the upper left; pixels that see no ground are skipped.
+
+    images: image, samples, lines. grid: the nodes of `inversion`, of a body with the radii a and c.
+    """
+    seen = inversion.image_to_ground(footprints.edge_pixels(images, n), grid)
+    lat, lon = geo.ecef_to_geodetic(Vec(*(F.col(k) for k in "xyz")), a, c)
+    return seen.select("image", "nth", "x", "y", "z", F.degrees(lat).alias("lat"), F.degrees(lon).alias("lon"))
+
+
+def resample(targets: DataFrame, grid: DataFrame, cells: DataFrame, nodata: float, scale: float = 1.0) -> DataFrame:
+    """targets (image, x, y, z of output pixels and what else they have) with `value`, bilinear between the image's cells around them.
+
+    cells: image, px, py, value; a cell's centre is at sample px * scale and line py * scale. Cells without data, or not there, have
+    no weight, and the others' weights are brought to 1; a target without any, or that its image does not see, is nodata. Each target
+    asks for four cells, an equi-join on (image, px, py); equal targets ask once.
+    """
+    key = ["image", "x", "y", "z"]
+    found = inversion.ground_to_image(targets.select(*key).distinct(), grid).withColumns({"s": F.col("sample") / scale, "l": F.col("line") / scale})
+    # a pixel within rounding of a centre is at that centre
+    at = {c: F.when(F.abs(F.col(c) - F.round(c)) < 1e-7, F.round(c)).otherwise(F.col(c)) for c in ("s", "l")}
+    found = found.withColumns(at).withColumns({"s0": F.floor("s"), "l0": F.floor("l")})
+    u, v = F.col("s") - F.col("s0"), F.col("l") - F.col("l0")
+    corners = F.array(*(F.struct((F.col("s0") + i).alias("px"), (F.col("l0") + j).alias("py"), ((u if i else 1 - u) * (v if j else 1 - v)).alias("w")) for i in (0, 1) for j in (0, 1)))
+    asked = found.select(*key, F.explode(corners).alias("c")).select(*key, "c.px", "c.py", "c.w").where("w > 0")
+    held = cells.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs(F.col("value") - nodata) >= 1e-6)).select("image", F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), F.col("value").alias("v_"))
+    made = asked.join(held, ["image", "px", "py"]).groupBy(*key).agg((F.sum(F.col("w") * F.col("v_")) / F.sum("w")).alias("made_"))
+    kept = targets.drop("value")
+    return kept.join(made, key, "left").withColumn("value", F.coalesce("made_", F.lit(float(nodata)))).drop("made_")

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vec import Vec, cross, scale, unit
-from ..operators import equality, inversion, net
+from ..operators import equality, inversion, net, projection
 from ..operators.staging import folder, stage
 from ..sources import csr, facade, netpb
 from ..streaming import windows
 from . import stand_in
 from .catalogue import _BACK, _back, _net, query
-from .stand_in import A
+from .stand_in import A, C
 
 # stored offsets
 
@@ -102,13 +102,47 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey AS image, (round(l_extendedprice * 100)::BIGINT % {_PIXELS * 100}) / 100.0 AS sample, (l_quantity - 1) * 16 + l_linenumber AS line FROM lineitem) SELECT l_orderkey, l_linenumber, image, round(sample, 5) AS sample, round(line, 5) AS line FROM p")
 def ground_to_pixel(spark: SparkSession, d: str) -> DataFrame:
     """Every lineitem's pixel of its supplier's camera to the ground, and the ground found again in the image."""
+    grid = stage(_grid(spark, d), "grid")
+    ground = _targets(spark, d, grid)
+    found = inversion.ground_to_image(ground, grid)
+    return found.select("l_orderkey", "l_linenumber", "image", *((F.round(c, 5) + 0.0).alias(c) for c in ("sample", "line")))
+
+
+_PX = f"(round(l_extendedprice * 100)::BIGINT % {_PIXELS * 100}) / 100.0e0"
+
+
+def _targets(spark: SparkSession, d: str, grid: DataFrame) -> DataFrame:
     item = spark.read.parquet(f"{d}/lineitem.parquet")
     sample, line = F.round(F.col("l_extendedprice") * 100).cast("long") % (_PIXELS * 100) / 100.0, (F.col("l_quantity") - 1) * 16.0 + F.col("l_linenumber")
     pixels = item.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("image"), sample.alias("sample"), line.alias("line"))
+    return stage(inversion.image_to_ground(pixels, grid), "ground").drop("sample", "line")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_suppkey AS image, CASE WHEN l_suppkey % 10 = 3 THEN -9999.0e0 ELSE round(2 * {_PX} + 3 * ((l_quantity - 1) * 16 + l_linenumber) + l_suppkey, 4) END AS value FROM lineitem")
+def camera_resample(spark: SparkSession, d: str) -> DataFrame:
+    """Values of every supplier's image, linear in sample and line, at the ground that lineitems see; one image in ten has no data."""
     grid = stage(_grid(spark, d), "grid")
-    ground = stage(inversion.image_to_ground(pixels, grid), "ground").drop("sample", "line")
-    found = inversion.ground_to_image(ground, grid)
-    return found.select("l_orderkey", "l_linenumber", "image", *((F.round(c, 5) + 0.0).alias(c) for c in ("sample", "line")))
+    size, step = 33, _PIXELS / 32
+    cells = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("k"))
+    cells = cells.withColumns({"px": F.col("k") % size, "py": F.floor(F.col("k") / size)})
+    value = F.when(F.col("image") % 10 == 3, -9999.0).otherwise(2 * step * F.col("px") + 3 * step * F.col("py") + F.col("image"))
+    found = projection.resample(_targets(spark, d, grid), grid, cells.withColumn("value", value), -9999.0, step)
+    return found.select("l_orderkey", "l_linenumber", "image", F.round("value", 4).alias("value"))
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS image, radians(s_suppkey * 37 % 181 - 90.0e0) AS lat, radians(s_suppkey * 73 % 360 - 180.0e0) AS lon, radians(s_acctbal) AS tw FROM supplier),
+e AS (SELECT *, nth // {_NODES} AS side, (nth % {_NODES}) / {_NODES}.0e0 AS t FROM s, (SELECT unnest(range({4 * _NODES})) AS nth)),
+p AS (SELECT *, CASE side WHEN 0 THEN t WHEN 1 THEN 1 WHEN 2 THEN 1 - t ELSE 0 END AS fs, CASE side WHEN 0 THEN 0 WHEN 1 THEN t WHEN 2 THEN 1 ELSE 1 - t END AS fl FROM e),
+q AS (SELECT *, (fs - 0.5e0) * {_PIXELS * 4e-4!r}e0 AS p, (fl - 0.5e0) * {_PIXELS * 4e-4!r}e0 AS q FROM p),
+r AS (SELECT *, p * cos(tw) - q * sin(tw) + 0.3e0 * p * q AS ea, p * sin(tw) + q * cos(tw) - 0.2e0 * p * p AS no FROM q),
+v AS (SELECT *, cos(lat) * cos(lon) - ea * sin(lon) - no * sin(lat) * cos(lon) AS vx, cos(lat) * sin(lon) + ea * cos(lon) - no * sin(lat) * sin(lon) AS vy, sin(lat) + no * cos(lat) AS vz FROM r),
+m AS (SELECT *, ({A}e0 + fs * {_NODES * 100}) / sqrt(vx * vx + vy * vy + vz * vz) AS f FROM v)
+SELECT image, nth::INT AS nth, round(vx * f, 2) + 0.0e0 AS x, round(vy * f, 2) + 0.0e0 AS y, round(vz * f, 2) + 0.0e0 AS z, round(degrees(atan2(vy, vx)), 6) + 0.0e0 AS lon FROM m""")
+def camera_boundary(spark: SparkSession, d: str) -> DataFrame:
+    """The outline of every supplier's image on the ground."""
+    images = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("image"), F.lit(_PIXELS + 1).alias("samples"), F.lit(_PIXELS + 1).alias("lines"))
+    seen = projection.boundary(images, stage(_grid(spark, d), "grid"), A, C, _NODES + 1)
+    return seen.select("image", "nth", *((F.round(c, 2) + 0.0).alias(c) for c in "xyz"), (F.round("lon", 6) + 0.0).alias("lon"))
 
 
 # network files

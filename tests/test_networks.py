@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planisphere.operators import equality, inversion, lines, lod, net, tracing
+from planisphere.operators import equality, inversion, lines, lod, net, projection, tracing
 from planisphere.sources import csr, netpb
 
 POINT = "point_idx long, id string, x double, aprioriCovar array<double>"
@@ -159,6 +159,27 @@ def test_ground_that_no_image_sees(spark):
     assert inversion.ground_to_image(twice, grid).count() == 2
 
 
+def test_resampling_with_and_without_data(spark):
+    grid = grid_of(spark, "a", (1, 2, 3))
+    pixels = [(1, 60.0, 60.0), (2, 70.0, 60.0), (3, 70.0, 85.0), (4, 110.0, 110.0), (5, 250.0, 250.0)]
+    ground = inversion.image_to_ground(spark.createDataFrame([(k, "a", s, v) for k, s, v in pixels], "key long, image string, sample double, line double"), grid).withColumn("value", F.lit("mine"))
+    beyond = spark.createDataFrame([(6, "a", 0.0, 0.0, -1.0)], "key long, image string, x double, y double, z double").selectExpr("key", "image", "0D sample", "0D line", "x", "y", "z", "'mine' value")
+    cells = spark.createDataFrame([("a", 1, 1, 10.0), ("a", 2, 1, 30.0), ("a", 1, 2, -1.0), ("a", 2, 2, 50.0), ("a", 9, 9, 7.0)], "image string, px int, py int, value double")
+    got = {r.key: r.value for r in projection.resample(ground.select(*beyond.columns).unionByName(beyond), grid, cells, -1.0, 50.0).collect()}
+    # bilinear in units of 50: (1.2, 1.2), (1.4, 1.2), (1.4, 1.7), (2.2, 2.2), (5, 5); the cell (1, 2) has no data
+    blend = lambda u, v: ((1 - u) * (1 - v) * 10 + u * (1 - v) * 30 + u * v * 50) / (1 - (1 - u) * v)
+    assert got[1] == pytest.approx(blend(0.2, 0.2)) and got[2] == pytest.approx(blend(0.4, 0.2)) and got[3] == pytest.approx(blend(0.4, 0.7))
+    assert got[4] == pytest.approx(50.0) and got[5] == got[6] == -1.0
+
+
+def test_boundary_skips_what_sees_no_ground(spark):
+    grid = grid_of(spark, "a", (1, 2, 3), hole={(3, 0)})
+    images = spark.createDataFrame([("a", 261, 261)], "image string, samples int, lines int")
+    shifted = grid.withColumns({c: (F.col(c) - 10) * 1.04 for c in ("sample", "line")})
+    seen = projection.boundary(images, shifted, 1000.0, 1000.0, 6).orderBy("nth").collect()
+    assert [r.nth for r in seen] == [k for k in range(20) if k not in (2, 3)] and all(abs(r.lat) <= 90 for r in seen)
+
+
 # chains
 
 
