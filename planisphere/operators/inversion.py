@@ -18,10 +18,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binding import let
 from ..functions.vec import Vec, cross, dot, magnitude, unit
 
-STEPS, EDGE = 12, 1e-9
+STEPS, EDGE = 8, 1e-9
 _CORNERS = list(product((0, 1), repeat=2))
 
 
@@ -72,54 +71,30 @@ def _directions(q: DataFrame) -> DataFrame:
     return q.withColumn("wide", F.sqrt(sum(((F.col(f"high_{c}") - F.col(f"low_{c}")) ** 2 for c in "yz"), (F.col("high_x") - F.col("low_x")) ** 2)))
 
 
-def _vec(v: Column) -> Vec:
-    return Vec(v[0], v[1], v[2])
+def _invert(met: DataFrame) -> DataFrame:
+    """met (t_x, t_y, t_z, a direction, and a quad) with u, v of the quad's point in the direction, by Newton steps from the middle.
 
-
-def _invert(target: Vec) -> Column:
-    """(line, sample) at which the quad of the row is seen in a target's direction; null if it isn't.
-
-    One expression, whose parts are bound once a row: columns in steps would be inlined into each other by the optimizer.
+    Each step is a projection of its own, so that all of them are compiled. No filter may follow on what is made here: the optimizer
+    would push it down and write the steps into each other.
     """
-    corner = lambda a, b: Vec.of(f"p{a}{b}")
-
-    def in_plane(t: Column, e: Column, n: Column) -> Column:
-        # the plane's coordinates as m0 + m1 u + m2 v + m3 u v, then the target's direction
-        f = {(k, a, b): dot(corner(a, b), _vec(axis)) for k, axis in ((0, e), (1, n)) for a, b in _CORNERS}
-        coded = F.array(*(x for k in (0, 1) for x in (f[k, 0, 0], f[k, 1, 0] - f[k, 0, 0], f[k, 0, 1] - f[k, 0, 0], f[k, 0, 0] - f[k, 1, 0] - f[k, 0, 1] + f[k, 1, 1])))
-        return let(coded, lambda m: let(_solve(m), lambda s: _seen(s, t)))
-
-    def axes(t: Column) -> Column:
-        some = F.abs(t[0]) < 0.6
-        helper = Vec(F.when(some, 1.0).otherwise(0.0), F.when(some, 0.0).otherwise(1.0), F.lit(0.0))
-        return let(F.array(*unit(cross(_vec(t), helper))), lambda e: let(F.array(*cross(_vec(t), _vec(e))), lambda n: in_plane(t, e, n)))
-
-    return let(F.array(*unit(target)), axes)
-
-
-def _solve(m: Column) -> Column:
-    """u, v where a bilinear map of the plane is zero, by Newton steps from the middle."""
-
-    def step(s: Column, _: Column) -> Column:
-        u, v = s["u"], s["v"]
-        f, g = (m[4 * k] + m[4 * k + 1] * u + m[4 * k + 2] * v + m[4 * k + 3] * u * v for k in (0, 1))
-        fu, gu = (m[4 * k + 1] + m[4 * k + 3] * v for k in (0, 1))
-        fv, gv = (m[4 * k + 2] + m[4 * k + 3] * u for k in (0, 1))
-        det = F.nullif(fu * gv - fv * gu, F.lit(0.0))
-        # steps stay near the quad, so that a bad one does not leave for another branch
-        near = lambda x: F.greatest(F.lit(-2.0), F.least(F.lit(3.0), x))
-        return F.struct(near(u - (f * gv - g * fv) / det).alias("u"), near(v - (g * fu - f * gu) / det).alias("v"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.5).alias("u"), F.lit(0.5).alias("v")), step)
-
-
-def _seen(s: Column, t: Column) -> Column:
-    u, v = s["u"], s["v"]
-    point = F.array(*(_bilinear(u, v, lambda a, b, c=c: F.col(f"p{a}{b}_{c}")) for c in "xyz"))
-    inside = u.between(-EDGE, 1 + EDGE) & v.between(-EDGE, 1 + EDGE)
-    ahead = let(point, lambda g: (dot(_vec(g), _vec(t)) > 0) & (magnitude(cross(unit(_vec(g)), _vec(t))) < 1e-9))
-    pixel = F.struct((F.col("line0") + v * (F.col("line1") - F.col("line0"))).alias("line"), (F.col("sample0") + u * (F.col("sample1") - F.col("sample0"))).alias("sample"))
-    return F.when(inside & ahead, pixel)
+    t, some = Vec.of("t"), F.abs(F.col("t_x")) < 0.6
+    helper = Vec(F.when(some, 1.0).otherwise(0.0), F.when(some, 0.0).otherwise(1.0), F.lit(0.0))
+    met = cross(t, helper).put(met, "e")  # of any length, but at right angles to t
+    met = cross(t, Vec.of("e")).put(met, "n")
+    # the plane's coordinates: m0 + m1 u + m2 v + m3 u v
+    flat = {f"f{k}{a}{b}": dot(Vec.of(f"p{a}{b}"), Vec.of(e)) for k, e in ((0, "e"), (1, "n")) for a, b in _CORNERS}
+    f, m = lambda k, a, b: F.col(f"f{k}{a}{b}"), lambda k, i: F.col(f"m{k}{i}")
+    parts = [(f(k, 0, 0), f(k, 1, 0) - f(k, 0, 0), f(k, 0, 1) - f(k, 0, 0), f(k, 0, 0) - f(k, 1, 0) - f(k, 0, 1) + f(k, 1, 1)) for k in (0, 1)]
+    met = met.withColumns(flat).withColumns({f"m{k}{i}": c for k in (0, 1) for i, c in enumerate(parts[k])})
+    met = met.drop(*flat, *(f"{a}_{c}" for a in "en" for c in "xyz")).withColumns({"u": F.lit(0.5), "v": F.lit(0.5)})
+    u, v = F.col("u"), F.col("v")
+    near = lambda x: F.greatest(F.lit(-2.0), F.least(F.lit(3.0), x))  # noqa: E731  (steps stay near the quad, on their branch)
+    for _ in range(STEPS):
+        met = met.withColumns({n: c for k in (0, 1) for n, c in ((f"g{k}", m(k, 0) + m(k, 1) * u + m(k, 2) * v + m(k, 3) * u * v), (f"gu{k}", m(k, 1) + m(k, 3) * v), (f"gv{k}", m(k, 2) + m(k, 3) * u))})
+        g, gu, gv = ([F.col(f"{n}{k}") for k in (0, 1)] for n in ("g", "gu", "gv"))
+        met = met.withColumn("det", F.nullif(gu[0] * gv[1] - gv[0] * gu[1], F.lit(0.0)))
+        met = met.withColumns({"u": near(u - (g[0] * gv[1] - g[1] * gv[0]) / F.col("det")), "v": near(v - (g[1] * gu[0] - g[0] * gu[1]) / F.col("det"))})
+    return met.drop("det", *(f"{n}{k}" for n in ("g", "gu", "gv") for k in (0, 1)), *(f"m{k}{i}" for k in (0, 1) for i in range(4)))
 
 
 def ground_to_image(targets: DataFrame, grid: DataFrame) -> DataFrame:
@@ -134,11 +109,20 @@ def ground_to_image(targets: DataFrame, grid: DataFrame) -> DataFrame:
     for c in "xyz":
         low, high = (F.floor((F.col(f"{n}_{c}") + sign * pad) / F.col("cell")) for n, sign in (("low", -1), ("high", 1)))
         entered = entered.withColumn(f"cell_{c}", F.explode(F.sequence(low, high)))
-    entered = entered.drop("wide", "cell", *(f"{n}_{c}" for c in "xyz" for n in ("low", "high")))
+    entered = entered.withColumn("pad", pad).drop("wide", "cell")
     key = ["image", "x", "y", "z"]
     asked = targets.select(*key).where("x is not null and y is not null and z is not null").distinct().join(sizes, "image")
-    asked = asked.withColumns({f"cell_{c}": F.floor(k / F.col("cell")) for c, k in zip("xyz", unit(Vec(*(F.col(k) for k in "xyz"))))}).drop("cell")
+    asked = unit(Vec(*(F.col(c) for c in "xyz"))).put(asked, "t")
+    asked = asked.withColumns({f"cell_{c}": F.floor(F.col(f"t_{c}") / F.col("cell")) for c in "xyz"}).drop("cell")
     met = asked.join(entered, ["image", "cell_x", "cell_y", "cell_z"])
-    best = met.groupBy(*key).agg(F.min(_invert(Vec(*(F.col(c) for c in "xyz")))).alias("best"))  # pixels not seen are null
+    for c in "xyz":  # the quad's own box
+        met = met.where(F.col(f"t_{c}").between(F.col(f"low_{c}") - F.col("pad"), F.col(f"high_{c}") + F.col("pad")))
+    met = _invert(met.drop("pad", *(f"{n}_{c}" for c in "xyz" for n in ("low", "high", "cell"))))
+    u, v = F.col("u"), F.col("v")
+    met = Vec(*(_bilinear(u, v, lambda a, b, c=c: F.col(f"p{a}{b}_{c}")) for c in "xyz")).put(met, "g")
+    met = cross(Vec.of("g"), Vec.of("t")).put(met, "w")
+    inside = u.between(-EDGE, 1 + EDGE) & v.between(-EDGE, 1 + EDGE) & (dot(Vec.of("g"), Vec.of("t")) > 0) & (magnitude(Vec.of("w")) <= 1e-9 * magnitude(Vec.of("g")))
+    pixel = F.struct((F.col("line0") + v * (F.col("line1") - F.col("line0"))).alias("line"), (F.col("sample0") + u * (F.col("sample1") - F.col("sample0"))).alias("sample"))
+    best = met.groupBy(*key).agg(F.min(F.when(inside, pixel)).alias("best"))  # pixels not seen are null
     kept = targets.drop("sample", "line")
     return kept.join(best.where("best is not null"), key).select(*kept.columns, F.col("best.sample").alias("sample"), F.col("best.line").alias("line"))
