@@ -26,7 +26,8 @@ def quadtree(images: DataFrame, sees: DataFrame, depth: int = DEPTH) -> DataFram
     node = images.select("image", F.lit(0).alias("line0"), F.col("lines").alias("line1"), F.lit(0).alias("sample0"), F.col("samples").alias("sample1"))
     leaves = None
     half = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2).cast("int")
-    hit = sees.select("image", F.col("line").alias("l"), F.col("sample").alias("s"), F.lit(1).alias("hit")).distinct()
+    # staged once for all levels; always merged, as pixels are many however small Catalyst takes them to be
+    hit = stage(sees.select("image", F.col("line").alias("l"), F.col("sample").alias("s")).distinct(), "hit").withColumn("hit", F.lit(1)).hint("merge")
     for level in range(depth + 1):
         node = node.withColumns({"lm": half("line0", "line1"), "sm": half("sample0", "sample1")})
         probes = F.array(*(F.struct(F.col(a).alias("l"), F.col(b).alias("s"), F.lit(c).alias("corner")) for a, b, c in (("line0", "sample0", 1), ("line0", "sample1", 1), ("line1", "sample0", 1), ("line1", "sample1", 1), ("lm", "sm", 0))))
