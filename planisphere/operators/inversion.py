@@ -13,12 +13,17 @@ the smallest line, then sample.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.vec import Vec, cross, dot, magnitude, unit
+from ..functions.vec import Vec, unit
+from .staging import stage
 
 STEPS, EDGE = 8, 1e-9
 _CORNERS = list(product((0, 1), repeat=2))
@@ -71,30 +76,51 @@ def _directions(q: DataFrame) -> DataFrame:
     return q.withColumn("wide", F.sqrt(sum(((F.col(f"high_{c}") - F.col(f"low_{c}")) ** 2 for c in "yz"), (F.col("high_x") - F.col("low_x")) ** 2)))
 
 
-def _invert(met: DataFrame) -> DataFrame:
-    """met (t_x, t_y, t_z, a direction, and a quad) with u, v of the quad's point in the direction, by Newton steps from the middle.
+def _pixels(t: list[np.ndarray], p: dict, low: tuple, high: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """line, sample of each quad's point in the direction t, by Newton steps from the quad's middle; NaN where it has none.
 
-    Each step is a projection of its own, so that all of them are compiled. No filter may follow on what is made here: the optimizer
-    would push it down and write the steps into each other.
+    Whole batches at once: compiled into one generated method, the steps were too long for the JVM to compile further.
     """
-    t, some = Vec.of("t"), F.abs(F.col("t_x")) < 0.6
-    helper = Vec(F.when(some, 1.0).otherwise(0.0), F.when(some, 0.0).otherwise(1.0), F.lit(0.0))
-    met = cross(t, helper).put(met, "e")  # of any length, but at right angles to t
-    met = cross(t, Vec.of("e")).put(met, "n")
+    cross_ = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    dot_ = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    some = np.abs(t[0]) < 0.6
+    e = cross_(t, [np.where(some, 1.0, 0.0), np.where(some, 0.0, 1.0), 0.0])  # of any length, but at right angles to t
     # the plane's coordinates: m0 + m1 u + m2 v + m3 u v
-    flat = {f"f{k}{a}{b}": dot(Vec.of(f"p{a}{b}"), Vec.of(e)) for k, e in ((0, "e"), (1, "n")) for a, b in _CORNERS}
-    f, m = lambda k, a, b: F.col(f"f{k}{a}{b}"), lambda k, i: F.col(f"m{k}{i}")
-    parts = [(f(k, 0, 0), f(k, 1, 0) - f(k, 0, 0), f(k, 0, 1) - f(k, 0, 0), f(k, 0, 0) - f(k, 1, 0) - f(k, 0, 1) + f(k, 1, 1)) for k in (0, 1)]
-    met = met.withColumns(flat).withColumns({f"m{k}{i}": c for k in (0, 1) for i, c in enumerate(parts[k])})
-    met = met.drop(*flat, *(f"{a}_{c}" for a in "en" for c in "xyz")).withColumns({"u": F.lit(0.5), "v": F.lit(0.5)})
-    u, v = F.col("u"), F.col("v")
-    near = lambda x: F.greatest(F.lit(-2.0), F.least(F.lit(3.0), x))  # noqa: E731  (steps stay near the quad, on their branch)
+    m = []
+    for axis in (e, cross_(t, e)):
+        f = {k: dot_(p[k], axis) for k in _CORNERS}
+        m.append((f[0, 0], f[1, 0] - f[0, 0], f[0, 1] - f[0, 0], f[0, 0] - f[1, 0] - f[0, 1] + f[1, 1]))
+    u, v = np.full(len(t[0]), 0.5), np.full(len(t[0]), 0.5)
     for _ in range(STEPS):
-        met = met.withColumns({n: c for k in (0, 1) for n, c in ((f"g{k}", m(k, 0) + m(k, 1) * u + m(k, 2) * v + m(k, 3) * u * v), (f"gu{k}", m(k, 1) + m(k, 3) * v), (f"gv{k}", m(k, 2) + m(k, 3) * u))})
-        g, gu, gv = ([F.col(f"{n}{k}") for k in (0, 1)] for n in ("g", "gu", "gv"))
-        met = met.withColumn("det", F.nullif(gu[0] * gv[1] - gv[0] * gu[1], F.lit(0.0)))
-        met = met.withColumns({"u": near(u - (g[0] * gv[1] - g[1] * gv[0]) / F.col("det")), "v": near(v - (g[1] * gu[0] - g[0] * gu[1]) / F.col("det"))})
-    return met.drop("det", *(f"{n}{k}" for n in ("g", "gu", "gv") for k in (0, 1)), *(f"m{k}{i}" for k in (0, 1) for i in range(4)))
+        g = [k[0] + k[1] * u + k[2] * v + k[3] * u * v for k in m]
+        gu, gv = [k[1] + k[3] * v for k in m], [k[2] + k[3] * u for k in m]
+        det = gu[0] * gv[1] - gv[0] * gu[1]
+        det = np.where(det == 0, np.nan, det)
+        # steps stay near the quad, on their branch
+        u, v = np.clip(u - (g[0] * gv[1] - g[1] * gv[0]) / det, -2.0, 3.0), np.clip(v - (g[1] * gu[0] - g[0] * gu[1]) / det, -2.0, 3.0)
+    at = [p[0, 0][k] * (1 - u) * (1 - v) + p[1, 0][k] * u * (1 - v) + p[0, 1][k] * (1 - u) * v + p[1, 1][k] * u * v for k in range(3)]
+    off = cross_(at, t)
+    inside = (u >= -EDGE) & (u <= 1 + EDGE) & (v >= -EDGE) & (v <= 1 + EDGE) & (dot_(at, t) > 0) & (np.sqrt(dot_(off, off)) <= 1e-9 * np.sqrt(dot_(at, at)))
+    return tuple(np.where(inside, a + w * (b - a), np.nan) for a, b, w in zip(low, high, (v, u)))
+
+
+def _solved(met: DataFrame, key: list[str]) -> DataFrame:
+    """key and the line and sample of each met row (t_x, t_y, t_z and a quad) whose quad holds its direction."""
+    ends = ["line0", "sample0", "line1", "sample1"]
+    numbers = [f"t_{c}" for c in "xyz"] + [f"p{a}{b}_{c}" for a, b in _CORNERS for c in "xyz"] + ends
+    met = met.select(*key, *numbers)  # no new names: Catalyst would carry each filter over to each of them
+    schema = StructType([*(met.schema[k] for k in key), StructField("line", DoubleType()), StructField("sample", DoubleType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in numbers}
+            corners = {(a, b): [n[f"p{a}{b}_{c}"] for c in "xyz"] for a, b in _CORNERS}
+            with np.errstate(all="ignore"):
+                line, sample = _pixels([n[f"t_{c}"] for c in "xyz"], corners, (n["line0"], n["sample0"]), (n["line1"], n["sample1"]))
+            out = pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(line), pa.array(sample)], names=[*key, "line", "sample"])
+            yield out.filter(pa.array(~np.isnan(line) & ~np.isnan(sample)))
+
+    return met.mapInArrow(each, schema)
 
 
 def ground_to_image(targets: DataFrame, grid: DataFrame) -> DataFrame:
@@ -102,7 +128,7 @@ def ground_to_image(targets: DataFrame, grid: DataFrame) -> DataFrame:
 
     Equal targets share one result; of columns named sample or line the result takes the place.
     """
-    q = _directions(quads(grid))
+    q = stage(_directions(quads(grid)), "quads")  # planned by itself: filters below would be inferred through all of it
     sizes = q.groupBy("image").agg(F.nullif(F.max("wide"), F.lit(0.0)).alias("cell"))
     pad = F.col("wide") * F.col("wide") + 1e-9  # the sphere's bulge over a quad, and rounding
     entered = q.join(sizes, "image")
@@ -117,12 +143,6 @@ def ground_to_image(targets: DataFrame, grid: DataFrame) -> DataFrame:
     met = asked.join(entered, ["image", "cell_x", "cell_y", "cell_z"])
     for c in "xyz":  # the quad's own box
         met = met.where(F.col(f"t_{c}").between(F.col(f"low_{c}") - F.col("pad"), F.col(f"high_{c}") + F.col("pad")))
-    met = _invert(met.drop("pad", *(f"{n}_{c}" for c in "xyz" for n in ("low", "high", "cell"))))
-    u, v = F.col("u"), F.col("v")
-    met = Vec(*(_bilinear(u, v, lambda a, b, c=c: F.col(f"p{a}{b}_{c}")) for c in "xyz")).put(met, "g")
-    met = cross(Vec.of("g"), Vec.of("t")).put(met, "w")
-    inside = u.between(-EDGE, 1 + EDGE) & v.between(-EDGE, 1 + EDGE) & (dot(Vec.of("g"), Vec.of("t")) > 0) & (magnitude(Vec.of("w")) <= 1e-9 * magnitude(Vec.of("g")))
-    pixel = F.struct((F.col("line0") + v * (F.col("line1") - F.col("line0"))).alias("line"), (F.col("sample0") + u * (F.col("sample1") - F.col("sample0"))).alias("sample"))
-    best = met.groupBy(*key).agg(F.min(F.when(inside, pixel)).alias("best"))  # pixels not seen are null
+    best = _solved(met, key).groupBy(*key).agg(F.min(F.struct("line", "sample")).alias("best"))
     kept = targets.drop("sample", "line")
-    return kept.join(best.where("best is not null"), key).select(*kept.columns, F.col("best.sample").alias("sample"), F.col("best.line").alias("line"))
+    return kept.join(best, key).select(*kept.columns, F.col("best.sample").alias("sample"), F.col("best.line").alias("line"))

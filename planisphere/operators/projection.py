@@ -107,6 +107,7 @@ def resample(targets: DataFrame, grid: DataFrame, cells: DataFrame, nodata: floa
     corners = F.array(*(F.struct((F.col("s0") + i).alias("px"), (F.col("l0") + j).alias("py"), ((u if i else 1 - u) * (v if j else 1 - v)).alias("w")) for i in (0, 1) for j in (0, 1)))
     asked = found.select(*key, F.explode(corners).alias("c")).select(*key, "c.px", "c.py", "c.w").where("w > 0")
     held = cells.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs(F.col("value") - nodata) >= 1e-6)).select("image", F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), F.col("value").alias("v_"))
-    made = asked.join(held, ["image", "px", "py"]).groupBy(*key).agg((F.sum(F.col("w") * F.col("v_")) / F.sum("w")).alias("made_"))
+    # always merged: cells are many, however small Catalyst takes them to be
+    made = asked.join(held.hint("merge"), ["image", "px", "py"]).groupBy(*key).agg((F.sum(F.col("w") * F.col("v_")) / F.sum("w")).alias("made_"))
     kept = targets.drop("value")
     return kept.join(made, key, "left").withColumn("value", F.coalesce("made_", F.lit(float(nodata)))).drop("made_")
