@@ -12,6 +12,10 @@ from .net import ordinal
 from .staging import discard, stage
 
 
+#: Points of a mixture that are counted out from one row.
+BLOCK = 20_000
+
+
 def segment(idx: Column, n: Column, k: int) -> Column:
     """The segment of an ordinal: boundaries floor(s * n / k), for min(k, n) segments."""
     least = F.least(F.lit(k), n)
@@ -177,7 +181,11 @@ def normal(counter: Column) -> Column:
 def mixture(summary: DataFrame, per_weight: float, seed: int = 7) -> DataFrame:
     """Points drawn from each segment's Gaussian: mu + L z. A point depends on seed, segment and nth, not on partitions or order."""
     low = cholesky([F.col(f"s{i}") for i in range(6)])
-    df = summary.withColumns({f"l{i}": c for i, c in enumerate(low)}).withColumn("nth", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round(F.col("weight") * per_weight).cast("int")))))
+    # numbers in blocks, dealt to all tasks before they are counted out: segments are few, and as large as the network
+    many = F.greatest(F.lit(1), F.round(F.col("weight") * per_weight).cast("int"))
+    df = summary.withColumns({f"l{i}": c for i, c in enumerate(low)}).withColumn("many", many).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("many") - 1) / BLOCK).cast("int"))))
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "segment", "block")
+    df = df.withColumn("nth", F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least("many", (F.col("block") + 1) * BLOCK))))
     df = df.withColumns({f"g{i}": normal(F.concat_ws(":", F.lit(str(seed)), F.col("segment").cast("string"), F.col("nth").cast("string"), F.lit(str(i)))) for i in range(3)})
     g = [F.col(f"g{i}") for i in range(3)]
     q = [F.col(f"l{i}") for i in range(6)]
