@@ -141,7 +141,7 @@ def read_network(spark: SparkSession, path: str, declared: bool = False) -> tupl
     if kind == "bundle":
         return read_layer(spark, path, "points"), read_layer(spark, path, "measures")
     if kind == "net":
-        p = netpb.read_net(spark, path)
+        p = stage(netpb.read_net(spark, path), "decoded")  # once, for points and measures
         m = p.select("point_idx", F.posexplode("measures").alias("measure_ord", "m")).select("point_idx", F.col("measure_ord").cast("long"), "m.*")
         return p.drop("measures"), m
     rows = read_flat(spark, path, declared=declared)

@@ -359,6 +359,11 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
     return windows.join(before, "path").select("ahead", "first", "starts", "sizes", "raw")
 
 
+def dealt(windows: DataFrame) -> DataFrame:
+    """Windows spread over all tasks: one task cut a file, and its output may be a single split."""
+    return windows.repartition(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ahead", "first")
+
+
 def decoded(windows: DataFrame) -> DataFrame:
     """The points of windows, a table or a stream of them."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -378,7 +383,7 @@ def decoded(windows: DataFrame) -> DataFrame:
 
 def read_net(spark: SparkSession, path: str) -> DataFrame:
     """The points of the .net files of a path that Spark can read; point_idx counts on from file to file, in the order of their paths."""
-    return decoded(_placed(spark, path))
+    return decoded(dealt(_placed(spark, path)))
 
 
 def cut_net(spark: SparkSession, path: str, out: str, windows_per_file: int = 64) -> None:
@@ -490,8 +495,9 @@ def write_net(points: DataFrame, path: str, header: dict[str, str]) -> int:
     header, which need counts alone. `path` is in a folder that all machines mount.
     """
     target = _posix(path)
-    dealt = points.repartitionByRange("point_idx").sortWithinPartitions("point_idx")
-    blobs = stage(dealt.mapInArrow(_blobs, "part long, rel long, n long, data binary"), "blobs")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or small rows would be put together in a few
+    ranged = points.repartitionByRange(tasks, "point_idx").sortWithinPartitions("point_idx")
+    blobs = stage(ranged.mapInArrow(_blobs, "part long, rel long, n long, data binary"), "blobs")
     sizes = blobs.groupBy("part").agg(F.sum(F.length("data")).alias("size"), F.sum("n").alias("n"))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     ahead = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("ahead"))  # a row a partition
