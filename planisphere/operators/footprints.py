@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 
 def edge_pixels(images: DataFrame, n: int = 50) -> DataFrame:
     """image, nth, line, sample: the outline clockwise from the upper left, n points a side, corners once."""
@@ -38,5 +40,24 @@ def bounds(points: DataFrame) -> DataFrame:
     return points.where("x is not null and y is not null").groupBy("image").agg(*(f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))))
 
 
+def _millimetres(v: Column) -> Column:
+    """v with three decimals, as C prints it: to the nearest, by the double's exact value, ties to even.
+
+    Java's formatter rounds the shortest decimal text of a double instead. 2000 v is p + e exactly (a product's error by splitting v).
+    """
+
+    def text(v: Column) -> Column:
+        p, big = v * 2000.0, v * 134217729.0
+        high = big - (big - v)
+        e = (high * 2000.0 - p) + (v - high) * 2000.0
+        q = F.floor(p / 2.0)
+        over = p - 2.0 * q.cast("double") - 1.0
+        n = q + F.when((over > -e) | ((over == -e) & (q % 2 != 0)), 1).otherwise(0)
+        sign = F.when((v < 0) | (F.signum(v).cast("string") == "-0.0"), "-").otherwise("")
+        return F.concat(sign, F.floor(F.abs(n) / F.lit(1000)).cast("string"), F.lit("."), F.lpad((F.abs(n) % 1000).cast("string"), 3, "0"))
+
+    return F.when(F.abs(v) < 1e12, let(v, text)).otherwise(F.format_string("%.3f", v))
+
+
 def ecef_wkt(x: Column, y: Column, z: Column) -> Column:
-    return F.format_string("POINT Z(%.3f %.3f %.3f)", x, y, z)
+    return F.concat(F.lit("POINT Z("), F.concat_ws(" ", *(_millimetres(c) for c in (x, y, z))), F.lit(")"))
