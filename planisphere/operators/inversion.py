@@ -18,7 +18,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -30,15 +30,18 @@ _CORNERS = list(product((0, 1), repeat=2))
 
 
 def quads(grid: DataFrame) -> DataFrame:
-    """image, i, j, sample0, sample1, line0, line1 and the corners p00_x ... p11_z (sample, then line), in one shuffle."""
-    corner = F.array(*(F.struct((F.col("i") - di).alias("qi"), (F.col("j") - dj).alias("qj"), F.lit(2 * di + dj).alias("k")) for di, dj in _CORNERS))
-    node = grid.where("x is not null and y is not null and z is not null").withColumn("c", F.explode(corner))
-    at = lambda k, c: F.max(F.when(F.col("c.k") == k, F.col(c)))
-    made = node.groupBy("image", F.col("c.qi").alias("i"), F.col("c.qj").alias("j")).agg(
-        F.count("*").alias("n"), at(0, "sample").alias("sample0"), at(3, "sample").alias("sample1"), at(0, "line").alias("line0"), at(3, "line").alias("line1"),
-        *(at(2 * di + dj, c).alias(f"p{di}{dj}_{c}") for di, dj in _CORNERS for c in "xyz"),
-    )
-    return made.where("n = 4").drop("n")
+    """image, i, j, sample0, sample1, line0, line1 and the corners p00_x ... p11_z (sample, then line).
+
+    A node looks at the next of its samples and then of its lines, each in sorted rows, so no map of quads is held in memory.
+    """
+    at = ["sample", "line", *"xyz"]
+    node = grid.where("x is not null and y is not null and z is not null").select("image", "i", "j", F.struct(*at).alias("a"))
+    along = node.withColumn("b", F.lead(F.struct("j", "a")).over(Window.partitionBy("image", "i").orderBy("j"))).where("b.j = j + 1")
+    along = along.select("image", "i", "j", "a", F.col("b.a").alias("b"))
+    made = along.withColumn("c", F.lead(F.struct("i", "a", "b")).over(Window.partitionBy("image", "j").orderBy("i"))).where("c.i = i + 1")
+    node_at = {(0, 0): "a", (0, 1): "b", (1, 0): "c.a", (1, 1): "c.b"}
+    ends = [F.col(f"{node_at[k, k]}.{c}").alias(f"{c}{k}") for c in ("sample", "line") for k in (0, 1)]
+    return made.select("image", "i", "j", *ends, *(F.col(f"{node_at[k]}.{c}").alias(f"p{k[0]}{k[1]}_{c}") for k in _CORNERS for c in "xyz"))
 
 
 def _bilinear(u: Column, v: Column, corner) -> Column:
@@ -53,7 +56,7 @@ def image_to_ground(pixels: DataFrame, grid: DataFrame) -> DataFrame:
     """
     q = quads(grid)
     steps = grid.groupBy("image").agg(*(f(c).alias(f"{n}_{c}") for c in ("sample", "line", "i", "j") for n, f in (("low", F.min), ("high", F.max))))
-    at = pixels.join(steps, "image")
+    at = pixels.join(steps.hint("merge"), "image")  # pixels may be exploded from few images: never broadcast
     for c, k in (("sample", "i"), ("line", "j")):
         size = (F.col(f"high_{c}") - F.col(f"low_{c}")) / F.nullif(F.col(f"high_{k}") - F.col(f"low_{k}"), F.lit(0))
         nth = F.floor((F.col(c) - F.col(f"low_{c}")) / size) + F.col(f"low_{k}")
