@@ -18,9 +18,10 @@ HEADER = ["networkId", "targetName", "created", "lastModified", "description", "
 SEPARATOR = "\x1f"
 
 
-def ordinal(df: DataFrame, *order: Column | str, name: str = "ord", running: str | None = None, into: str | None = None) -> DataFrame:
+def ordinal(df: DataFrame, *order: Column | str, name: str = "ord", running: str | None = None, into: str | None = None, also: dict[str, str] | None = None) -> DataFrame:
     """df with its rank from 0 in a total order and, if asked, `into`: the sum of `running` over all rows before.
 
+    also: further columns of whole numbers and the names of their sums.
     Rows are range-partitioned and sorted, and numbered as they are staged: a row's
     number holds its partition and its place there, so ranks take one shuffle. The
     partitions' counts, one row each (hence the broadcast), give the offsets.
@@ -28,16 +29,21 @@ def ordinal(df: DataFrame, *order: Column | str, name: str = "ord", running: str
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = stage(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()), "ordered")
     part, value = F.shiftright("at_", 33), F.col(running) if running else F.lit(0)
-    counts = dealt.groupBy(part.alias("part_")).agg(F.count("*").alias("n_"), F.sum(value).alias("all_"))
+    more = also or {}
+    counts = dealt.groupBy(part.alias("part_")).agg(F.count("*").alias("n_"), F.sum(value).alias("all_"), *(F.sum(c).alias(f"all_{c}_") for c in more))
     ahead = Window.orderBy("part_")
-    before = counts.select("part_", (F.sum("n_").over(ahead) - F.col("n_")).alias("before_"), (F.sum("all_").over(ahead) - F.col("all_")).alias("upto_"))
+    before = counts.select("part_", (F.sum("n_").over(ahead) - F.col("n_")).alias("before_"), (F.sum("all_").over(ahead) - F.col("all_")).alias("upto_"), *((F.sum(f"all_{c}_").over(ahead) - F.col(f"all_{c}_")).alias(f"upto_{c}_") for c in more))
     made = {name: (F.col("before_") + F.col("at_").bitwiseAND(F.lit(2**33 - 1))).cast("long")}
     inside = dealt.withColumn("part_", part)
     if into:
         w = Window.partitionBy("part_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
         inside = inside.withColumn("sum_", F.coalesce(F.sum(value).over(w), F.lit(0)))
         made[into] = (F.col("upto_") + F.col("sum_")).cast("double" if dict(df.dtypes)[running] in ("double", "float") else "long")
-    return inside.join(F.broadcast(before), "part_").withColumns(made).drop("part_", "at_", "sum_", "before_", "upto_")
+    if more:
+        w = Window.partitionBy("part_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
+        inside = inside.withColumns({f"sum_{c}_": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in more})
+        made |= {n: (F.col(f"upto_{c}_") + F.col(f"sum_{c}_")).cast("long") for c, n in more.items()}
+    return inside.join(F.broadcast(before), "part_").withColumns(made).drop("part_", "at_", "sum_", "before_", "upto_", *(f"{k}_{c}_" for c in more for k in ("sum", "upto")))
 
 
 def counts(points: DataFrame, measures: DataFrame) -> DataFrame:

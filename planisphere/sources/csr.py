@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import net
-from ..operators.staging import stage
+from ..operators.staging import discard, stage
 
 ROWS_PER_FILE = 1_000_000
 _INDEX = "layer string, file string, n long, point_low long, point_high long, measure_low long, measure_high long, row_low long, row_high long"
@@ -29,12 +29,16 @@ _INDEX = "layer string, file string, n long, point_low long, point_high long, me
 
 def write(path: str, points: DataFrame, measures: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Store a network. Points are numbered densely from 0; measures of one point may be spread over files."""
-    per = net.with_counts(points, measures).withColumn("n_rows", F.greatest(F.lit(1), "n_measures"))
-    placed = net.ordinal(per, "point_idx", name="nth_", running="n_measures", into="measure_start").drop("nth_")
-    placed = stage(net.ordinal(placed, "point_idx", name="nth_", running="n_rows", into="row_start").drop("nth_", "n_rows"), "placed")
-    numbered = measures.join(placed.select("point_idx", "measure_start"), "point_idx").withColumn("measure_idx", F.col("measure_start") + F.col("measure_ord")).drop("measure_start")
+    n = measures.groupBy("point_idx").agg(F.count("*").alias("n_measures"))
+    per = points.select("point_idx").join(n, "point_idx", "left").withColumn("n_measures", F.coalesce("n_measures", F.lit(0)).cast("long"))
+    # offsets are numbered over counts alone; a point's rows are its measures, or one: points without any before it make the difference
+    placed = net.ordinal(per.withColumn("bare", (F.col("n_measures") == 0).cast("long")), "point_idx", name="nth_", running="n_measures", into="measure_start", also={"bare": "bare_before"})
+    offsets = stage(placed.select("point_idx", "n_measures", "measure_start", (F.col("measure_start") + F.col("bare_before")).alias("row_start")), "offsets")
+    placed = points.join(offsets, "point_idx")
+    numbered = measures.join(offsets.select("point_idx", "measure_start"), "point_idx").withColumn("measure_idx", F.col("measure_start") + F.col("measure_ord")).drop("measure_start")
     for layer, df, order in (("points", placed, ["point_idx"]), ("measures", numbered, ["measure_idx"])):
         df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/{layer}")
+    discard(offsets)
     _index(points.sparkSession, path).coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
 
 
