@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -28,14 +28,15 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("aprioriCovar", F.array(*(F.lit(float(k)) + F.col("type") for k in range(6))))
 
 
-def measures(spark: SparkSession, sf_dir: str, pts: DataFrame | None = None) -> DataFrame:
-    """point_idx, measure_ord, serialnumber, measure_type, sample, line, residual, sigma, ignore."""
+def measures(spark: SparkSession, sf_dir: str, pts: DataFrame | None = None, *also: str | Column) -> DataFrame:
+    """point_idx, measure_ord, serialnumber, measure_type, sample, line, residual, sigma, ignore; also: columns of the points."""
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ITEM)) - 1
     m = _read(spark, sf_dir, "lineitem").withColumn("measure_ord", nth.cast("long"))
     kind = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     m = m.select("l_orderkey", "measure_ord", F.concat(F.lit("SN"), "l_suppkey").alias("serialnumber"), kind.alias("measure_type"), F.col("l_extendedprice").alias("sample"), F.col("l_quantity").alias("line"), F.col("l_discount").alias("sampleResidual"), F.col("l_tax").alias("samplesigma"), (F.col("l_linestatus") == "F").cast("int").alias("measure_ignore"))
     pts = points(spark, sf_dir) if pts is None else pts
-    return m.join(pts.select("point_idx", "key"), F.col("l_orderkey") == F.col("key")).drop("l_orderkey", "key")
+    of = pts.select("point_idx", F.col("key").alias("l_orderkey"), *also)
+    return m.join(of, "l_orderkey").drop("l_orderkey")
 
 
 #: The same two tables for DuckDB.
