@@ -84,8 +84,9 @@ DARK = {("1", True): (0, 37, 18), ("1", False): (0, 15, 0), ("2", True): (7, 18,
 
 def crop(samples: Column, summing: Column, mode: Column) -> Column:
     """struct(samples, start) of an image line without its dark columns; samples at least 0."""
-    pick = lambda k: F.coalesce(*(F.when((summing == s) & ((F.coalesce(mode, F.lit("")) == "0") == zero), F.lit(v[k])) for (s, zero), v in DARK.items()), F.lit(0))
-    return F.struct(F.greatest(F.lit(0), samples - pick(1) - pick(2) - 1).cast("long").alias("samples"), pick(0).cast("long").alias("start"))
+    key = F.concat_ws("|", summing, (F.coalesce(mode, F.lit("")) == "0").cast("string"))  # worked out once for a look-up
+    pick = lambda of: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for (s, zero), v in DARK.items() for x in (f"{s}|{str(zero).lower()}", of(v)))), key), F.lit(0))
+    return F.struct(F.greatest(F.lit(0), samples - pick(lambda v: v[1] + v[2]) - 1).cast("long").alias("samples"), pick(lambda v: v[0]).cast("long").alias("start"))
 
 
 def _text(label: Column, *paths: str) -> Column:

@@ -5,9 +5,10 @@ A spec is a dict: `groups`, each with `name`, `parent` (ROOT by default) and `ke
 keyword rule has `out` and any of const, from, fallback_from, transform,
 transform_args, default, enum, type (int, double, string) and unit.
 
-Rules are parameters and a label is a variant column, so a spec becomes one expression a
+Rules are parameters and a label is a variant column, so a spec becomes expressions of a
 row: no shuffle, however many keywords. A value is held as a struct of its text, whether
-it is a JSON string, and its items if it is an array.
+it is a JSON string, and its items if it is an array. Over a table, what a rule uses more
+than once becomes a column, so that Spark compiles it; a single expression binds it by `let`.
 """
 
 from __future__ import annotations
@@ -58,25 +59,43 @@ def _none() -> Column:
     return F.lit(None).cast(_VALUE)
 
 
-def _scalar(v: Column) -> Column:
+class _Columns:
+    """Binds values, in place of `let`, as columns of a table: the n-th of a rule in the n-th of the steps that make them."""
+
+    def __init__(self, prefix: str = ""):
+        self.prefix, self.steps, self.at = prefix, [], 0
+
+    def __call__(self, value: Column, body: Callable[[Column], Column]) -> Column:
+        self.steps += [{}] * (self.at + 1 - len(self.steps))
+        name = f"spec_{self.prefix}_{self.at}_{len(self.steps[self.at])}_"
+        self.steps[self.at] = {**self.steps[self.at], name: value}
+        self.at += 1
+        return body(F.col(name))
+
+    def on(self, df: DataFrame) -> DataFrame:
+        for step in self.steps:
+            df = df.withColumns(step)
+        return df
+
+
+def _scalar(v: Column, kind: Column | None = None) -> Column:
     """A variant's text, trimmed if it is a string."""
-    is_text = F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+    is_text = F.coalesce((F.schema_of_variant(v) if kind is None else kind) == "STRING", F.lit(False))
     return F.struct(F.when(is_text, labels.clean(F.try_variant_get(v, "$", "string"))).otherwise(F.to_json(v)).alias("text"), is_text.alias("quoted"))
 
 
-def value(label: Column, path: str) -> Column:
+def value(label: Column, path: str, bind: Callable = let) -> Column:
     """The value at a dotted path: itself, its `value` or its `_text`; items of an array lose their own units; null if missing."""
     got = lambda v, p: F.try_variant_get(v, p, "variant")
-    items = lambda v: F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: let(F.coalesce(got(e, "$.value"), e), _scalar))
+    items = lambda v: F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: let(F.coalesce(got(e, "$.value"), e), lambda x: _scalar(x)))
     array = lambda v: F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("quoted"), items(v).alias("items")).cast(_VALUE)
-    single = lambda v: let(_scalar(v), lambda x: F.struct(x["text"].alias("text"), x["quoted"].alias("quoted"), F.lit(None).cast(f"array<{_ITEM}>").alias("items")).cast(_VALUE))
+    single = lambda v, kind: bind(_scalar(v, kind), lambda x: F.struct(x["text"].alias("text"), x["quoted"].alias("quoted"), F.lit(None).cast(f"array<{_ITEM}>").alias("items")).cast(_VALUE))
 
     def of(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        return F.when(v.isNotNull() & (kind != "VOID"), F.when(kind.startswith("ARRAY"), array(v)).otherwise(single(v)))
+        return bind(F.schema_of_variant(v), lambda kind: F.when(v.isNotNull() & (kind != "VOID"), F.when(kind.startswith("ARRAY"), array(v)).otherwise(single(v, kind))))
 
     base = labels.variant_path(path)
-    return let(F.coalesce(got(label, base + ".value"), got(label, base + "._text"), got(label, base)), of)
+    return bind(F.coalesce(got(label, base + ".value"), got(label, base + "._text"), got(label, base)), of)
 
 
 def written(v: Column) -> Column:
@@ -89,19 +108,19 @@ def _single(text: Column, quoted: bool) -> Column:
     return F.struct(text.alias("text"), F.lit(quoted).alias("quoted"), F.lit(None).cast(f"array<{_ITEM}>").alias("items")).cast(_VALUE)
 
 
-def numeric_if_possible(v: Column) -> Column:
+def numeric_if_possible(v: Column, bind: Callable = let) -> Column:
     """A string that is a whole number, or else a decimal one that begins with a digit, as that number."""
     whole, decimal = r"^\s*[-+]?\d+$", r"^\s*[-+]?\d+(\.\d*)?([eE][-+]?\d+)?$"
     text = v["text"]
     number = F.when(text.rlike(whole), text.try_cast("long").cast("string")).when(text.rlike(decimal), text.try_cast("double").cast("string"))
-    return F.when(v["quoted"] & v["items"].isNull(), let(number, lambda n: F.when(n.isNotNull(), _single(n, False)).otherwise(v))).otherwise(v)
+    return F.when(v["quoted"] & v["items"].isNull(), bind(number, lambda n: F.when(n.isNotNull(), _single(n, False)).otherwise(v))).otherwise(v)
 
 
-def _coerce(v: Column, kind: str) -> Column:
+def _coerce(v: Column, kind: str, bind: Callable = let) -> Column:
     if kind == "string":
         return F.when(v.isNotNull(), _single(F.when(v["items"].isNotNull(), written(v)).otherwise(v["text"]), True))
     number = F.when(v["items"].isNull(), labels.number(v["text"], kind))
-    return let(number, lambda n: F.when(n.isNotNull(), _single(n, False)).otherwise(v))
+    return bind(number, lambda n: F.when(n.isNotNull(), _single(n, False)).otherwise(v))
 
 
 def _enum(v: Column, values: dict) -> Column:
@@ -111,7 +130,7 @@ def _enum(v: Column, values: dict) -> Column:
     return F.when(v.isNotNull(), F.coalesce(F.element_at(table, key), F.element_at(table, F.lit("*")), v))
 
 
-def keyword(label: Column, rule: dict) -> Column:
+def keyword(label: Column, rule: dict, bind: Callable = let) -> Column:
     """struct(keyword, value as JSON text, unit) by a rule; null if the rule leaves it out.
 
     const beats from, from beats fallback_from; then transform, default (where there is no
@@ -121,62 +140,82 @@ def keyword(label: Column, rule: dict) -> Column:
     if "const" in rule:
         v = _literal(rule["const"])
     else:
-        v = F.coalesce(*(value(label, rule[k]) for k in (("from", "fallback_from") if rule.get("from") else ()) if rule.get(k)), _none())
+        v = F.coalesce(*(value(label, rule[k], bind) for k in (("from", "fallback_from") if rule.get("from") else ()) if rule.get(k)), _none())
     if name := rule.get("transform"):
         apply = labels.transform(name)
         made = lambda v: apply(v["text"], label, rule.get("transform_args")).cast("string")
-        steps.append(lambda v: let(made(v), lambda t: F.when(t.isNotNull(), _single(t, name not in labels.NUMERIC))))
+        steps.append(lambda v: bind(made(v), lambda t: F.when(t.isNotNull(), _single(t, name not in labels.NUMERIC))))
     if "default" in rule:
         steps.append(lambda v: F.coalesce(v, _literal(rule["default"])))
     if rule.get("enum"):
         steps.append(lambda v: _enum(v, rule["enum"]))
     if rule.get("type", "auto") in ("int", "double", "string"):
-        steps.append(lambda v: _coerce(v, rule["type"]))
+        steps.append(lambda v: _coerce(v, rule["type"], bind))
     if unit:
-        steps.append(numeric_if_possible)
+        steps.append(lambda v: numeric_if_possible(v, bind))
     for step in steps:
-        v = let(v, step)
+        v = bind(v, step)
     with_unit = lambda v: F.when(v["items"].isNull(), F.lit(unit)) if unit else F.lit(None).cast("string")
-    return let(v, lambda v: F.when(v.isNotNull(), F.struct(F.lit(rule["out"]).alias("keyword"), written(v).alias("value"), with_unit(v).alias("unit"))))
+    return bind(v, lambda v: F.when(v.isNotNull(), F.struct(F.lit(rule["out"]).alias("keyword"), written(v).alias("value"), with_unit(v).alias("unit"))))
 
 
-def _groups(label: Column, spec: dict) -> list[tuple[str, str, Column]]:
+def _groups(label: Column, spec: dict, bind: Callable = let) -> list[tuple[str, str, list[tuple[str, Column]]]]:
+    """Parent, name and rules of each group: their keyword and what they give."""
     core = spec.get("core", {}).get("transform")
     if core:
         labels.transform(core)  # an unknown name raises
-    made = []
-    for g in spec.get("groups", []):
-        rules = [keyword(label, r) for r in g.get("keywords", [])]
-        entries = F.array(*rules) if rules else F.array().cast("array<struct<keyword:string,value:string,unit:string>>")
-        made.append((g.get("parent", ROOT), g["name"], F.filter(entries, lambda e: e.isNotNull())))
-    return made
+
+    def made(rule: dict) -> tuple[str, Column]:
+        if bind is not let:
+            bind.at = 0
+        return rule["out"], bind(keyword(label, rule, bind), lambda e: e) if bind is not let else keyword(label, rule)
+
+    return [(g.get("parent", ROOT), g["name"], [made(r) for r in g.get("keywords", [])]) for g in spec.get("groups", [])]
 
 
 def translate(labels_df: DataFrame, spec: dict) -> DataFrame:
     """label_id, grp, parent, group, ord, keyword, value (JSON text), unit: a row for each keyword, in the spec's order."""
-    groups = _groups(F.col("label"), spec)
-    each = F.array(*(F.struct(F.lit(k).alias("grp"), F.lit(parent).alias("parent"), F.lit(name).alias("group"), entries.alias("e")) for k, (parent, name, entries) in enumerate(groups)))
-    rows = labels_df.select("label_id", F.explode(each).alias("g")).select("label_id", "g.grp", "g.parent", "g.group", F.posexplode("g.e").alias("ord", "k"))
+    bind = _Columns()
+    groups = _groups(F.col("label"), spec, bind)
+    entries = lambda es: F.filter(F.array(*(e for _, e in es)), lambda e: e.isNotNull()) if es else F.array().cast("array<struct<keyword:string,value:string,unit:string>>")
+    each = F.array(*(F.struct(F.lit(k).alias("grp"), F.lit(parent).alias("parent"), F.lit(name).alias("group"), entries(es).alias("e")) for k, (parent, name, es) in enumerate(groups)))
+    rows = bind.on(labels_df).select("label_id", F.explode(each).alias("g")).select("label_id", "g.grp", "g.parent", "g.group", F.posexplode("g.e").alias("ord", "k"))
     return rows.select("label_id", "grp", "parent", "group", "ord", "k.keyword", "k.value", "k.unit")
 
 
-def document(label: Column, spec: dict, target: Column | None = None) -> Column:
+def _entry(out: str, e: Column) -> Column:
+    """A keyword's struct as JSON text, with its unit if it has one."""
+    with_unit = F.concat(F.lit('{"value":'), e["value"], F.lit(',"unit":'), _quote(e["unit"]), F.lit("}"))
+    return F.concat(_quote(F.lit(out)), F.lit(":"), F.when(e["unit"].isNotNull(), with_unit).otherwise(e["value"]))
+
+
+def document(label: Column, spec: dict, target: Column | None = None, bind: Callable = let) -> Column:
     """The output label as JSON text: parents, their groups, their keywords, all in the spec's order.
 
     target, where it is not null or empty, replaces TargetName in the root's Instrument group.
     """
-    text = lambda e: F.concat(_quote(e["keyword"]), F.lit(":"), F.when(e["unit"].isNotNull(), F.concat(F.lit('{"value":'), e["value"], F.lit(',"unit":'), _quote(e["unit"]), F.lit("}"))).otherwise(e["value"]))
     parents: dict[str, list[Column]] = {ROOT: []}
-    for parent, name, entries in _groups(label, spec):
+    for parent, name, rules in _groups(label, spec, bind):
+        texts = []
+        for out, e in rules:
+            texts.append((out, let(e, lambda e: _entry(out, e)) if bind is let else _entry(out, e)))  # noqa: B023 (called at once)
         if target is not None and (parent, name) == (ROOT, "Instrument"):
-            new = F.struct(F.lit("TargetName").alias("keyword"), _quote(target).alias("value"), F.lit(None).cast("string").alias("unit"))
-            replaced = lambda es: F.transform(es, lambda e: F.when(e["keyword"] == "TargetName", new).otherwise(e))
-            there = lambda es: F.exists(es, lambda e: e["keyword"] == "TargetName")
-            entries = let(entries, lambda es: F.when(F.coalesce(target, F.lit("")) == "", es).when(there(es), replaced(es)).otherwise(F.array_append(es, new)))
-        body = F.array_join(F.concat(F.array(F.lit('"_type":"group"')), F.transform(entries, text)), ",")
+            new, given = F.concat(F.lit('"TargetName":'), _quote(target)), F.coalesce(target, F.lit("")) != ""
+            there = reduce(lambda x, y: x | y, (t.isNotNull() for out, t in texts if out == "TargetName"), F.lit(False))
+            texts = [(out, F.when(given & t.isNotNull(), new).otherwise(t) if out == "TargetName" else t) for out, t in texts] + [("TargetName", F.when(given & ~there, new))]
+        body = F.concat_ws(",", F.lit('"_type":"group"'), *(t for _, t in texts))
         parents.setdefault(parent, []).append(F.concat(F.lit(json.dumps(name) + ":{"), body, F.lit("}")))
     whole = [F.concat(F.lit(json.dumps(parent) + ':{"_type":"object"'), *(F.concat(F.lit(","), g) for g in groups), F.lit("}")) for parent, groups in parents.items()]
-    return F.concat(F.lit("{"), F.array_join(F.array(*whole), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.concat_ws(",", *whole), F.lit("}"))
+
+
+def with_document(df: DataFrame, name: str, spec: dict, label: Column, target: Column | None = None) -> DataFrame:
+    """df with the document of a label; null where there is no label."""
+    bind = _Columns(name)
+    of = f"spec_{name}_label_"
+    made = document(F.col(of), spec, target, bind)
+    out = bind.on(df.withColumn(of, label)).withColumn(name, F.when(F.col(of).isNotNull(), made))
+    return out.select(*(c for c in df.columns if c != name), name)
 
 
 def import_labels(products: DataFrame, crafts: DataFrame, spec_map: DataFrame, specs: dict[str, dict], template: str | None = None, target: str | None = None, form: str = "auto") -> DataFrame:
@@ -199,6 +238,8 @@ def import_labels(products: DataFrame, crafts: DataFrame, spec_map: DataFrame, s
     ]
     message = reduce(lambda rest, step: F.when(F.coalesce(step[0], F.lit(True)), step[1]).otherwise(rest), reversed(steps), F.lit(None).cast("string"))
     out = out.withColumn("message", message)
-    made = F.coalesce(*(F.when(F.col("spec") == n, document(F.col("label"), s, F.lit(target) if target else None)) for n, s in specs.items()), F.lit(None).cast("string"))
     done = F.col("message").isNull()
+    for k, (n, s) in enumerate(specs.items()):  # a label is there only for its own spec
+        out = with_document(out, f"document_{k}_", s, F.when(done & (F.col("spec") == n), F.col("label")), F.lit(target) if target else None)
+    made = F.coalesce(*(F.col(f"document_{k}_") for k in range(len(specs))), F.lit(None).cast("string"))
     return out.select("label_id", done.alias("ok"), F.coalesce("message", F.concat(F.lit("imported to "), F.col("to"))).alias("message"), "spec", F.when(done, F.col("format")).alias("format"), F.when(done, made).alias("document"))
