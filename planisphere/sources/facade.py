@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.vec import Vec, magnitude
 from ..operators import lines, lod, net
-from ..operators.staging import stage
+from ..operators.staging import discard, stage
 from . import netpb
 
 _MORE = "measure_logType array<int>, measure_logValue array<double>"
@@ -50,10 +50,12 @@ def read_flat_bytes(spark: SparkSession, raw: bytes, columns: list[str] | None =
 def write_flat(rows: DataFrame, path: str, codec: str = "gzip", target: int | None = None) -> None:
     """Rows ranged and sorted by point, so that files hold whole points and their statistics prune ranges.
 
-    target: about so many rows a file.
+    target: about so many rows a file. Rows are worked out once, into a staged table that is counted, sampled and dealt.
     """
-    parts = (max(1, -(-rows.count() // target)),) if target else ()
-    rows.repartitionByRange(*parts, "point_idx").sortWithinPartitions("point_idx", "measure_ord").write.mode("overwrite").parquet(path, compression=codec)
+    staged = stage(rows, "rows")
+    parts = (max(1, -(-staged.count() // target)),) if target else ()
+    staged.repartitionByRange(*parts, "point_idx").sortWithinPartitions("point_idx", "measure_ord").write.mode("overwrite").parquet(path, compression=codec)
+    discard(staged)
 
 
 def shape(rows: DataFrame) -> dict:
@@ -149,7 +151,8 @@ def read_network(spark: SparkSession, path: str, declared: bool = False) -> tupl
         raise ValueError("flat rows need point_idx: scans have no order")
     inner = [c for c in rows.columns if c.startswith("measure_") or c in {n for n, _ in netpb.MEASURE.values()}]
     outer = [c for c in rows.columns if c not in inner and c != "point_idx"]
-    first = rows.groupBy("point_idx").agg(F.min_by(F.struct(*outer), F.coalesce("measure_ord", F.lit(0))).alias("p")).select("point_idx", "p.*")
+    nth = F.coalesce("measure_ord", F.lit(0))  # a column each, so that only those asked for are read and carried
+    first = rows.groupBy("point_idx").agg(*(F.min_by(c, nth).alias(c) for c in outer))
     real = rows.where("serialnumber is not null or measure_type is not null").select("point_idx", *inner)
     return first, real
 
