@@ -14,7 +14,9 @@ the smallest line, then sample.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import product
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -107,45 +109,78 @@ def _pixels(t: list[np.ndarray], p: dict, low: tuple, high: tuple) -> tuple[np.n
     return tuple(np.where(inside, a + w * (b - a), np.nan) for a, b, w in zip(low, high, (v, u)))
 
 
-def _solved(met: DataFrame, key: list[str]) -> DataFrame:
-    """key and the line and sample of each met row (t_x, t_y, t_z and a quad) whose quad holds its direction."""
+def _solved(met: DataFrame, kept: list[str], unseen: bool) -> DataFrame:
+    """kept, sample and line of each target whose direction t one of its quads holds; with `unseen`, also of others, null.
+
+    met: rows of one target follow one another; nth is 0 or null (no quad at all) where the next target begins. Of several quads
+    the pixel of the smallest line, then sample, is taken; a target's rows may reach over batches, so the last one waits.
+    """
     ends = ["line0", "sample0", "line1", "sample1"]
-    numbers = [f"t_{c}" for c in "xyz"] + [f"p{a}{b}_{c}" for a, b in _CORNERS for c in "xyz"] + ends
-    met = met.select(*key, *numbers)  # no new names: Catalyst would carry each filter over to each of them
-    schema = StructType([*(met.schema[k] for k in key), StructField("line", DoubleType()), StructField("sample", DoubleType())])
+    corners = [f"p{a}{b}_{c}" for a, b in _CORNERS for c in "xyz"]
+    met = met.select(*kept, "nth", *(f"t_{c}" for c in "xyz"), *(F.col(f"quad.{c}").alias(c) for c in [*corners, *ends]))
+    fields = [met.schema[k] for k in kept]
+    schema = StructType([*fields, StructField("sample", DoubleType()), StructField("line", DoubleType())])
+
+    def told(rows: list[pa.Table], sample, line) -> pa.RecordBatch:
+        columns = [pa.concat_arrays([r.column(k) for r in rows]) for k in range(len(kept))]
+        out = pa.RecordBatch.from_arrays([*columns, pa.array(sample, mask=np.isnan(sample)), pa.array(line, mask=np.isnan(sample))], names=[*kept, "sample", "line"])
+        return out if unseen else out.filter(pa.array(~np.isnan(sample)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait = None  # the last target so far: its row, sample and line
         for batch in batches:
-            n = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in numbers}
-            corners = {(a, b): [n[f"p{a}{b}_{c}"] for c in "xyz"] for a, b in _CORNERS}
+            if not batch.num_rows:
+                continue
+            n = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in [*(f"t_{c}" for c in "xyz"), *corners, *ends]}
+            at = {(a, b): [n[f"p{a}{b}_{c}"] for c in "xyz"] for a, b in _CORNERS}
             with np.errstate(all="ignore"):
-                line, sample = _pixels([n[f"t_{c}"] for c in "xyz"], corners, (n["line0"], n["sample0"]), (n["line1"], n["sample1"]))
-            out = pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(line), pa.array(sample)], names=[*key, "line", "sample"])
-            yield out.filter(pa.array(~np.isnan(line) & ~np.isnan(sample)))
+                line, sample = _pixels([n[f"t_{c}"] for c in "xyz"], at, (n["line0"], n["sample0"]), (n["line1"], n["sample1"]))
+            none = np.isnan(line) | np.isnan(sample)
+            line, sample = np.where(none, np.nan, line), np.where(none, np.nan, sample)
+            first = batch.column("nth").fill_null(0).to_numpy(zero_copy_only=False) == 0
+            rows = batch.select(kept)
+            if wait is not None and not first[0]:  # goes on with the target that waits
+                line, sample, first = np.r_[wait[2], line], np.r_[wait[1], sample], np.r_[True, first]
+                rows = [wait[0], rows]
+            elif wait is not None:
+                yield told([wait[0]], np.array([wait[1]]), np.array([wait[2]]))
+                rows = [rows]
+            else:
+                first[0], rows = True, [rows]
+            starts, target = np.flatnonzero(first), np.cumsum(first) - 1
+            order = np.lexsort((sample, line, target))  # NaN comes last
+            best = order[np.searchsorted(target[order], np.arange(len(starts)))]
+            held = pa.Table.from_batches(rows).take(pa.array(starts)).combine_chunks().to_batches()[0]
+            wait = held.slice(len(starts) - 1), float(sample[best[-1]]), float(line[best[-1]])
+            if len(starts) > 1:
+                yield told([held.slice(0, len(starts) - 1)], sample[best[:-1]], line[best[:-1]])
+        if wait is not None:
+            yield told([wait[0]], np.array([wait[1]]), np.array([wait[2]]))
 
     return met.mapInArrow(each, schema)
 
 
-def ground_to_image(targets: DataFrame, grid: DataFrame) -> DataFrame:
+def ground_to_image(targets: DataFrame, grid: DataFrame, unseen: bool = False) -> DataFrame:
     """targets (image, x, y, z and what else they have) with the sample and line at which their image sees their direction.
 
-    Equal targets share one result; of columns named sample or line the result takes the place.
+    With `unseen`, targets that it does not see stay, with nulls. Of columns named sample or line the result takes the place.
+    A target is sent once, to its cell of the sphere, where the quads about that cell stand in one row.
     """
     q = stage(_directions(quads(grid)), "quads")  # planned by itself: filters below would be inferred through all of it
-    sizes = q.groupBy("image").agg(F.nullif(F.max("wide"), F.lit(0.0)).alias("cell"))
+    sizes = stage(q.groupBy("image").agg(F.nullif(F.max("wide"), F.lit(0.0)).alias("cell")), "sizes")  # its size is known, so few images are not shuffled for
     pad = F.col("wide") * F.col("wide") + 1e-9  # the sphere's bulge over a quad, and rounding
     entered = q.join(sizes, "image")
     for c in "xyz":
         low, high = (F.floor((F.col(f"{n}_{c}") + sign * pad) / F.col("cell")) for n, sign in (("low", -1), ("high", 1)))
         entered = entered.withColumn(f"cell_{c}", F.explode(F.sequence(low, high)))
-    entered = entered.withColumn("pad", pad).drop("wide", "cell")
-    key = ["image", "x", "y", "z"]
-    asked = targets.select(*key).where("x is not null and y is not null and z is not null").distinct().join(sizes, "image")
+    cell = ["image", "cell_x", "cell_y", "cell_z"]
+    inner = [c for c in q.columns if c not in ("image", "i", "j", "wide")]
+    there = entered.groupBy(*cell).agg(F.collect_list(F.struct(*inner, pad.alias("pad"))).alias("quads"))
+    kept = targets.drop("sample", "line")
+    asked = kept.join(sizes, "image", "left" if unseen else "inner")
     asked = unit(Vec(*(F.col(c) for c in "xyz"))).put(asked, "t")
     asked = asked.withColumns({f"cell_{c}": F.floor(F.col(f"t_{c}") / F.col("cell")) for c in "xyz"}).drop("cell")
-    met = asked.join(entered, ["image", "cell_x", "cell_y", "cell_z"])
-    for c in "xyz":  # the quad's own box
-        met = met.where(F.col(f"t_{c}").between(F.col(f"low_{c}") - F.col("pad"), F.col(f"high_{c}") + F.col("pad")))
-    best = _solved(met, key).groupBy(*key).agg(F.min(F.struct("line", "sample")).alias("best"))
-    kept = targets.drop("sample", "line")
-    return kept.join(best, key).select(*kept.columns, F.col("best.sample").alias("sample"), F.col("best.line").alias("line"))
+    met = asked.join(there.hint("merge"), cell, "left" if unseen else "inner")
+    within = lambda b: reduce(and_, (F.col(f"t_{c}").between(b[f"low_{c}"] - b["pad"], b[f"high_{c}"] + b["pad"]) for c in "xyz"))
+    met = met.select(*kept.columns, *(f"t_{c}" for c in "xyz"), F.posexplode_outer(F.filter("quads", within)).alias("nth", "quad"))  # the quad's own box
+    return _solved(met, kept.columns, unseen)

@@ -91,23 +91,36 @@ def boundary(images: DataFrame, grid: DataFrame, a: float, c: float, n: int = 50
     return seen.select("image", "nth", "x", "y", "z", F.degrees(lat).alias("lat"), F.degrees(lon).alias("lon"))
 
 
+#: Cells on a side of a tile.
+TILE = 8
+
+
 def resample(targets: DataFrame, grid: DataFrame, cells: DataFrame, nodata: float, scale: float = 1.0) -> DataFrame:
     """targets (image, x, y, z of output pixels and what else they have) with `value`, bilinear between the image's cells around them.
 
     cells: image, px, py, value; a cell's centre is at sample px * scale and line py * scale. Cells without data, or not there, have
-    no weight, and the others' weights are brought to 1; a target without any, or that its image does not see, is nodata. Each target
-    asks for four cells, an equi-join on (image, px, py); equal targets ask once.
+    no weight, and the others' weights are brought to 1; a target without any, or that its image does not see, is nodata. Cells are
+    put into tiles, those on an edge into each tile that may ask for them, so a target is sent once, to the tile of its first cell.
     """
-    key = ["image", "x", "y", "z"]
-    found = inversion.ground_to_image(targets.select(*key).distinct(), grid).withColumns({"s": F.col("sample") / scale, "l": F.col("line") / scale})
+    kept = [c for c in targets.columns if c != "value"]
+    hidden = {c: f"{c}_kept_" for c in ("sample", "line") if c in kept}  # of these names the targets' own go through
+    found = inversion.ground_to_image(targets.select(*(F.col(c).alias(hidden.get(c, c)) for c in kept)), grid, unseen=True)
+    found = found.withColumns({"s_": F.col("sample") / scale, "l_": F.col("line") / scale}).drop("sample", "line")
     # a pixel within rounding of a centre is at that centre
-    at = {c: F.when(F.abs(F.col(c) - F.round(c)) < 1e-7, F.round(c)).otherwise(F.col(c)) for c in ("s", "l")}
-    found = found.withColumns(at).withColumns({"s0": F.floor("s"), "l0": F.floor("l")})
-    u, v = F.col("s") - F.col("s0"), F.col("l") - F.col("l0")
-    corners = F.array(*(F.struct((F.col("s0") + i).alias("px"), (F.col("l0") + j).alias("py"), ((u if i else 1 - u) * (v if j else 1 - v)).alias("w")) for i in (0, 1) for j in (0, 1)))
-    asked = found.select(*key, F.explode(corners).alias("c")).select(*key, "c.px", "c.py", "c.w").where("w > 0")
-    held = cells.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs(F.col("value") - nodata) >= 1e-6)).select("image", F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), F.col("value").alias("v_"))
+    found = found.withColumns({c: F.when(F.abs(F.col(c) - F.round(c)) < 1e-7, F.round(c)).otherwise(F.col(c)) for c in ("s_", "l_")})
+    found = found.withColumns({"tx_": F.floor(F.floor("s_") / TILE), "ty_": F.floor(F.floor("l_") / TILE)})
+    held = cells.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs(F.col("value") - nodata) >= 1e-6)).select("image", F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), F.col("value").alias("v"))
+    for t, p in (("tx_", "px"), ("ty_", "py")):
+        held = held.withColumn(t, F.explode(F.array_distinct(F.array(F.floor(F.col(p) / TILE), F.floor((F.col(p) - 1) / TILE)))))
+    tile = ["image", "tx_", "ty_"]
+    nth = lambda x, y: ((x - F.col("tx_") * TILE) * (TILE + 1) + y - F.col("ty_") * TILE).cast("int")
+    # dealt once, by tiles: a cell may be there several times, and each counts
+    each = held.repartition(*tile).groupBy(*tile, nth(F.col("px"), F.col("py")).alias("k")).agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    tiles = each.groupBy(*tile).agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("v", "n")))).alias("tile_"))
     # always merged: cells are many, however small Catalyst takes them to be
-    made = asked.join(held.hint("merge"), ["image", "px", "py"]).groupBy(*key).agg((F.sum(F.col("w") * F.col("v_")) / F.sum("w")).alias("made_"))
-    kept = targets.drop("value")
-    return kept.join(made, key, "left").withColumn("value", F.coalesce("made_", F.lit(float(nodata)))).drop("made_")
+    near = found.join(tiles.hint("merge"), tile, "left").withColumns({"s0_": F.floor("s_"), "l0_": F.floor("l_")}).withColumns({"u_": F.col("s_") - F.col("s0_"), "v_": F.col("l_") - F.col("l0_")})
+    near = near.withColumns({f"c{i}{j}_": F.col("tile_")[nth(F.col("s0_") + i, F.col("l0_") + j)] for i in (0, 1) for j in (0, 1)})
+    w = {(i, j): (F.col("u_") if i else 1 - F.col("u_")) * (F.col("v_") if j else 1 - F.col("v_")) for i in (0, 1) for j in (0, 1)}
+    total = lambda c: sum((F.coalesce(w[k] * F.col(f"c{k[0]}{k[1]}_.{c}"), F.lit(0.0)) for k in w), F.lit(0.0))
+    made = total("v") / F.nullif(total("n"), F.lit(0.0))
+    return near.select(*(F.col(hidden.get(c, c)).alias(c) for c in kept), F.coalesce(made, F.lit(float(nodata))).alias("value"))
