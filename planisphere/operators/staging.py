@@ -28,10 +28,10 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/staged/{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage by a Parquet table in the shared folder. `discard` deletes it."""
+def stage(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
+    """Cuts the lineage by a Parquet table in the shared folder. `discard` deletes it. rows_per_file: at most, if any."""
     path = f"{folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out

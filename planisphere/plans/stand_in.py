@@ -35,8 +35,10 @@ def measures(spark: SparkSession, sf_dir: str, pts: DataFrame | None = None, *al
     kind = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     m = m.select("l_orderkey", "measure_ord", F.concat(F.lit("SN"), "l_suppkey").alias("serialnumber"), kind.alias("measure_type"), F.col("l_extendedprice").alias("sample"), F.col("l_quantity").alias("line"), F.col("l_discount").alias("sampleResidual"), F.col("l_tax").alias("samplesigma"), (F.col("l_linestatus") == "F").cast("int").alias("measure_ignore"))
     pts = points(spark, sf_dir) if pts is None else pts
-    of = pts.select("point_idx", F.col("key").alias("l_orderkey"), *also)
-    return m.join(of, "l_orderkey").drop("l_orderkey")
+    keyed = any(isinstance(c, str) and c == "key" for c in also)
+    of = pts.select("point_idx", F.col("key").alias("l_orderkey"), *(c for c in also if not (isinstance(c, str) and c == "key")))
+    m = m.join(of, "l_orderkey")
+    return m.withColumnRenamed("l_orderkey", "key") if keyed else m.drop("l_orderkey")  # as key, rows are known to be dealt by it
 
 
 #: The same two tables for DuckDB.

@@ -18,6 +18,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -90,16 +91,32 @@ def _value(kind: str, v):
 
 
 def _record(raw: bytes, names: dict) -> tuple[dict, list]:
-    out, rest = {n: [] if k == "doubles" else None for n, k in names.values()}, []
-    for number, v in fields(raw):
-        if number in names:
-            name, kind = names[number]
-            if kind == "doubles" and len(v) == 8 and out[name]:
-                out[name] += _value(kind, v)
-            else:
-                out[name] = _value(kind, v)
+    """The named fields of a message and the others; the loop of `fields`, with bytes below 128 taken at once."""
+    out, rest, at, end = {n: [] if k == "doubles" else None for n, k in names.values()}, [], 0, len(raw)
+    while at < end:
+        tag, at = (raw[at], at + 1) if raw[at] < 128 else _varint(raw, at)
+        wire, number = tag & 7, tag >> 3
+        if wire == 0:
+            v, at = (raw[at], at + 1) if raw[at] < 128 else _varint(raw, at)
+        elif wire == 1:
+            v, at = raw[at : at + 8], at + 8
+        elif wire == 2:
+            size, at = (raw[at], at + 1) if raw[at] < 128 else _varint(raw, at)
+            if at + size > end:
+                raise ValueError("a field exceeds its message")
+            v, at = raw[at : at + size], at + size
+        elif wire == 5:
+            v, at = raw[at : at + 4], at + 4
         else:
+            raise ValueError(f"wire type {wire}")
+        if number not in names:
             rest.append((number, v))
+            continue
+        name, kind = names[number]
+        if kind == "doubles" and len(v) == 8 and out[name]:
+            out[name] += _value(kind, v)
+        else:
+            out[name] = _value(kind, v)
     return out, rest
 
 
@@ -229,6 +246,8 @@ class NetSource(DataSource):
         return _Reader(self.options["path"], int(self.options.get("points", 50_000)))
 
 
+#: Files of a stream's batch for each task.
+FILES = 4
 #: Bytes of a chunk of a file, and of a window of whole points.
 CHUNK = 1 << 20
 
@@ -334,36 +353,54 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter.finish()
 
 
-def file_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """path, offset, data: the bytes of all files of a path, read in splits by Spark, as a staged table.
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """path, block, rel, data: the bytes of all files of a path, read in splits by Spark.
 
-    The text reader with a line break as its only separator loses no byte: each line is
-    followed by one again. A split's place follows from the lengths of those before it.
+    The text reader with a line break as its only separator loses no byte: each line is followed by one again.
     """
     text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
-    pieces = stage(text.mapInArrow(_chunks, "path string, block long, rel long, data binary"), "chunks")
+    return text.mapInArrow(_chunks, "path string, block long, rel long, data binary")
+
+
+def file_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """path, offset, data of `_pieces` as a staged table: a split's place follows from the lengths of those before it."""
+    pieces = stage(_pieces(spark, path), "chunks")
     per = pieces.groupBy("path", "block").agg(F.sum(F.length("data")).alias("n"))
     ahead = per.select("path", "block", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("ahead"))  # a row a split
     return pieces.join(ahead, ["path", "block"]).select("path", (F.col("ahead") + F.col("rel")).alias("offset"), "data")
 
 
 _PLACED = "ahead long, first long, starts array<long>, sizes array<long>, raw binary"
+#: Windows of a file that one task reads, so that all tasks have some: one task cuts a file.
+WINDOWS = 8
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
-    """Windows of whole points of all files of a path; ahead: the points of the files before, first: those of the file before the window."""
-    chunks = file_chunks(spark, path)
-    windows = stage(chunks.repartition("path").sortWithinPartitions("path", "offset").mapInArrow(_windows, _WINDOW), "windows")
+    """Windows of whole points of all files of a path; ahead: the points of the files before, first: those of the file before the window.
+
+    Pieces of a file are in order by split and place in it, so its bytes are sent once, to be cut, and written once.
+    """
+    pieces = _pieces(spark, path).repartition("path").sortWithinPartitions("path", "block", "rel").select("path", F.lit(0).alias("at"), "data")
+    windows = stage(pieces.mapInArrow(_windows, _WINDOW), "windows", WINDOWS)
     counts = windows.groupBy("path").agg(F.sum(F.size("starts")).alias("n"))
     before = counts.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("ahead"))  # a row a file
-    return windows.join(before, "path").select("ahead", "first", "starts", "sizes", "raw")
+    return windows.join(F.broadcast(before), "path").select("ahead", "first", "starts", "sizes", "raw")
 
 
 def dealt(windows: DataFrame) -> DataFrame:
-    """Windows spread over all tasks: one task cut a file, and its output may be a single split."""
+    """Windows spread over all tasks, for those that come from one task and are not staged in files of a few."""
     return windows.repartition(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ahead", "first")
 
 
+def _columns(points: list[dict], base: int, arrow: pa.Schema) -> pa.RecordBatch:
+    """Decoded points as a batch, each field of points and measures a column at once."""
+    each, kind = [m for p in points for m in p["measures"]], arrow.field("measures").type.value_type
+    inner = pa.StructArray.from_arrays([pa.array([m[f.name] for m in each], f.type) for f in kind], fields=list(kind))
+    ends = pa.array(accumulate((len(p["measures"]) for p in points), initial=0), pa.int32())
+    made = {"point_idx": pa.array(range(base, base + len(points)), pa.int64()), "measures": pa.ListArray.from_arrays(ends, inner, type=arrow.field("measures").type)}
+    return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.array([p[f.name] for p in points], f.type) for f in arrow], schema=arrow)
+
+
 def decoded(windows: DataFrame) -> DataFrame:
     """The points of windows, a table or a stream of them."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -375,15 +412,14 @@ def decoded(windows: DataFrame) -> DataFrame:
         for batch in batches:
             for ahead, first, starts, sizes, raw in zip(*(batch.column(k) for k in range(5))):
                 data, base = raw.as_py(), ahead.as_py() + first.as_py()
-                rows = [{"point_idx": base + k, **point(data[a : a + n])} for k, (a, n) in enumerate(zip(starts.as_py(), sizes.as_py()))]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                yield _columns([point(data[a : a + n]) for a, n in zip(starts.as_py(), sizes.as_py())], base, arrow)
 
     return windows.mapInArrow(each, schema)
 
 
 def read_net(spark: SparkSession, path: str) -> DataFrame:
     """The points of the .net files of a path that Spark can read; point_idx counts on from file to file, in the order of their paths."""
-    return decoded(dealt(_placed(spark, path)))
+    return decoded(_placed(spark, path))
 
 
 def cut_net(spark: SparkSession, path: str, out: str, windows_per_file: int = 64) -> None:
@@ -391,10 +427,15 @@ def cut_net(spark: SparkSession, path: str, out: str, windows_per_file: int = 64
     _placed(spark, path).write.mode("errorifexists").option("maxRecordsPerFile", windows_per_file).parquet(out)
 
 
+def files_for_all(spark: SparkSession) -> int:
+    """Files of a batch that all tasks decode, a few each: of a batch of one file all tasks but one wait."""
+    return FILES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stream_net(spark: SparkSession, cut: str, files_at_once: int = 1) -> DataFrame:
     """The points of a folder that `cut_net` made, as a stream of bounded batches.
 
-    A batch is `files_at_once` files, so at most that many times `windows_per_file` windows. The query's checkpoint tells which
+    A batch is `files_at_once` files (`files_for_all` gives every task some), so at most that many times `windows_per_file` windows. The query's checkpoint tells which
     files were read: a query that was stopped goes on with the next one, and each point comes once.
     """
     return decoded(spark.readStream.schema(_PLACED).option("maxFilesPerTrigger", files_at_once).parquet(cut))
@@ -454,6 +495,51 @@ def encode_point(p: dict) -> bytes:
     return out
 
 
+def _messages(columns: dict[str, list], names: dict, n: int) -> list[bytes]:
+    """`_message` of each of n records whose fields are columns."""
+    parts = []
+    for number, (name, kind) in names.items():
+        values = columns.get(name)
+        if values is None:
+            continue
+        if kind == "int":
+            tag = _tag(number, 0)
+            parts.append([b"" if v is None else tag + _put(int(v)) for v in values])
+        elif kind == "double":
+            tag, pack = _tag(number, 1), struct.Struct("<d").pack
+            parts.append([b"" if v is None else tag + pack(v) for v in values])
+        else:
+            tag = _tag(number, 2)
+            raw = [(v.encode() if kind == "string" else struct.pack(f"<{len(v)}d", *v)) if v else b"" for v in values]
+            parts.append([tag + _put(len(r)) + r if r else b"" for r in raw])
+    return [b"".join(p) for p in zip(*parts)] if parts else [b""] * n
+
+
+def _encoded(batch: pa.RecordBatch) -> list[bytes]:
+    """`encode_point` of each row of a batch, a column at once."""
+    held = {name: batch.column(name).to_pylist() for name, _ in POINT.values() if name in batch.schema.names}
+    out = _messages(held, POINT, batch.num_rows)
+    if "measures" not in batch.schema.names:
+        return out
+    lists = batch.column("measures")
+    if not isinstance(lists, pa.ListArray):
+        return [encode_point(row) for row in batch.to_pylist()]
+    each = lists.flatten()
+    fields_ = {f.name: c.to_pylist() for f, c in zip(each.type, each.flatten())}
+    raw = _messages(fields_, MEASURE, len(each))
+    if "measure_logType" in fields_ and "measure_logValue" in fields_:
+        for k, (types, values) in enumerate(zip(fields_["measure_logType"], fields_["measure_logValue"])):
+            for t, v in zip(types or [], values or []):
+                log = _tag(1, 0) + _put(t) + _tag(2, 1) + struct.pack("<d", v)
+                raw[k] += _tag(LOGS, 2) + _put(len(log)) + log
+    tag, at = _tag(MEASURES, 2), 0
+    raw = [tag + _put(len(r)) + r for r in raw]
+    for k, n in enumerate(lists.value_lengths().to_pylist()):
+        out[k] += b"".join(raw[at : at + (n or 0)])
+        at += n or 0
+    return out
+
+
 #: Bytes of encoded points that a task holds at once.
 BLOB = 1 << 22
 
@@ -476,8 +562,7 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array([part], pa.int64()), pa.array([rel], pa.int64()), pa.array([n], pa.int64()), pa.array([bytes(held)], pa.binary())], names=["part", "rel", "n", "data"])
 
     for batch in batches:
-        for row in batch.to_pylist():
-            raw = encode_point(row)
+        for raw in _encoded(batch):
             held += struct.pack("<I", len(raw)) + raw
             n += 1
             if len(held) >= BLOB:
@@ -519,7 +604,7 @@ def write_net(points: DataFrame, path: str, header: dict[str, str]) -> int:
             os.fsync(f.fileno())
         yield pa.record_batch([pa.array([1], pa.int64())], names=["done"])
 
-    placed = blobs.join(ahead, "part").select((F.col("ahead") + F.col("rel") + start).alias("at"), "data")
+    placed = blobs.join(F.broadcast(ahead), "part").select((F.col("ahead") + F.col("rel") + start).alias("at"), "data")
     placed.mapInArrow(place, "done long").agg(F.sum("done")).collect()
     discard(blobs)
     return total.n
